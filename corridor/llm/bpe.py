@@ -1,23 +1,20 @@
 """Byte-pair merges compiled into a lazily determinised finite-state transducer.
 
-A state stands for what has been read of a word: for every position that a token may still start from, the token that ends there. The tokens of a
-prefix p of length i are those of p without its last token, then that last token; and among the tokens that end p it is the one that merging leaves
-next to the token before it. So reading one more symbol needs tokens no longer than the vocabulary's longest: the lookahead after which a token is
-certain is bounded. States and transitions are made when first met; words beyond ``DEPTH`` symbols run through the same transition without storing it.
+Two neighbouring pieces are compatible if merging their union by itself gives them again. A word's pieces are the one way to cut it into compatible pieces.
+So there is a state for each piece, the last that was emitted, and from it a transition for each compatible piece; transitions are made when first met.
+A piece is emitted after a lookahead of at most the longest piece: the longest that fits is taken, and given up for the next shorter one if it leads into
+a dead end, which happens at most once at each place of a word, as what leads to a place is unique too.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import json
 from functools import lru_cache
 
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words up to this length share stored states.
-DEPTH = 40
-#: Stored states and stored words of one worker, at most; beyond, the store starts anew. It changes speed alone.
-STATES, WORDS = 400_000, 200_000
+#: Transitions and words that a worker keeps, at most; beyond, the store starts anew. It changes speed alone.
+TRANSITIONS, WORDS = 1_000_000, 200_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -27,36 +24,21 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class State:
-    __slots__ = ("before", "count", "last", "next", "path")
-
-    def __init__(self, last: int, before: State | None, path: tuple) -> None:
-        self.last, self.before, self.path, self.next = last, before, path, {}
-        self.count = before.count + 1 if before is not None else 0
-
-
 class Transducer:
     """pieces: a piece's symbols, as a string, to its id. formed: a pair of ids that merge to (rank, id of the union)."""
 
     def __init__(self, pieces: dict[str, int], formed: dict[tuple[int, int], tuple[int, int]]) -> None:
         self.pieces, self.formed = pieces, formed
-        self.ends = {p[k:] for p in pieces for k in range(len(p))}
-        self.longest = max(map(len, pieces))
+        #: Every start of a piece, and the piece's id where it is one itself (else -1).
+        self.starts = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), -1) | pieces
         self.born, self.alone = {}, {}
         for symbols, v in pieces.items():
             steps = self.merging([pieces[s] for s in symbols])
             whole = [x for x in steps if len(x) == 1]
             self.alone[v] = whole == [[v]]
             self.born[v] = (formed[tuple(steps[-2])][0], *steps[-2]) if self.alone[v] and len(symbols) > 1 else (-1, v, v)
-        self.fits: dict[tuple, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        """Forgets the stored states. They point at each other; with many of them the cyclic collector is the main cost, so users turn it off and it runs here."""
-        self.start = State(-1, None, ())
-        self.start.path = (self.start,)
-        self.stored = 0
-        gc.collect()
+        self.after: dict[int, dict[int, bool]] = {}
+        self.made = 0
 
     def merging(self, ids: list[int]) -> list[list[int]]:
         """Merging by the definition, step by step: the pair of lowest rank first, the leftmost of equals. For compiling only."""
@@ -69,21 +51,19 @@ class Transducer:
             steps.append(ids)
         return steps
 
-    def fit(self, a: int, b: int) -> bool:
-        """Whether merging leaves b as it is right after a (at the start: by itself).
-
-        Takes the later of the two apart, again and again: no pair that meets at the border may merge before the piece that was taken apart last was whole.
-        """
-        if a < 0:
-            return self.alone[b]
-        if (known := self.fits.get((a, b))) is None:
-            known = self.alone[b] and self.border(a, b)
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            self.fits[a, b] = known
-        return known
+    def transition(self, a: int, b: int) -> bool:
+        """Whether b may follow a (-1: the start)."""
+        known = self.after.setdefault(a, {})
+        if (found := known.get(b)) is None:
+            found = known[b] = self.alone[b] and (a < 0 or self.border(a, b))
+            self.made += 1
+            if self.made > TRANSITIONS:
+                self.after.clear()
+                self.made = 0
+        return found
 
     def border(self, a: int, b: int) -> bool:
+        """Takes the later of the two apart, again and again: no pair that meets at the border may merge before the piece that was taken apart last was whole."""
         left_until = right_until = float("inf")  # when the neighbours in hand become part of something larger
         while True:
             meets = self.formed.get((a, b))
@@ -97,47 +77,38 @@ class Transducer:
             else:
                 b, right_until = b_start, rb
 
-    def step(self, path: tuple, tail: str) -> State:
-        """The state after one more symbol. path: the states before it, oldest first; tail: the symbols since the oldest, with the new one."""
-        n, found, size = len(path), [], 1
-        while size <= n and (end := tail[n - size :]) in self.ends:
-            if (piece := self.pieces.get(end)) is not None:
-                found.append((piece, path[n - size]))
-            size += 1
-        for piece, before in reversed(found):
-            if self.fit(before.last, piece):
-                return State(piece, before, ())
-        raise ValueError("symbols outside the vocabulary")
-
-    def read(self, symbols: str) -> State:
-        if len(symbols) > DEPTH:
-            return self.read_long(symbols)
-        state = self.start
-        for k, s in enumerate(symbols):
-            if (after := state.next.get(s)) is None:
-                after = self.step(state.path, symbols[: k + 1])
-                after.path = (*state.path, after)
-                state.next[s] = after
-                self.stored += 1
-            state = after
-        if self.stored > STATES:
-            self.reset()
-        return state
-
-    def read_long(self, symbols: str) -> State:
-        path: list[State] = [self.start]
-        for k in range(len(symbols)):
-            path.append(self.step(path, symbols[k + 1 - len(path) : k + 1]))
-            if len(path) > self.longest:
-                del path[0]
-        return path[-1]
-
     def ids(self, symbols: str) -> list[int]:
-        state, out = self.read(symbols), []
-        while state.before is not None:
-            out.append(state.last)
-            state = state.before
-        return out[::-1]
+        out: list[int] = []
+        taken: list[tuple] = []  # of each step: where it began, and what may still be tried there
+        dead: set[int] = set()
+        at, end, last = 0, len(symbols), -1
+        start, after = self.starts.get, self.after
+        while at < end:
+            ways, stop = [], at + 1
+            while stop <= end and (piece := start(symbols[at:stop])) is not None:
+                if piece >= 0:
+                    ways.append((piece, stop))
+                stop += 1
+            while True:
+                if not ways:
+                    if not taken:
+                        raise ValueError("symbols outside the vocabulary")
+                    dead.add(at)
+                    at, ways = taken.pop()
+                    out.pop()
+                    last = out[-1] if out else -1
+                    continue
+                piece, stop = ways.pop()
+                try:
+                    fits = after[last][piece]
+                except KeyError:
+                    fits = self.transition(last, piece)
+                if fits and stop not in dead:
+                    break
+            taken.append((at, ways))
+            out.append(piece)
+            at, last = stop, piece
+        return out
 
 
 @lru_cache(maxsize=4)

@@ -1,7 +1,7 @@
 """Token counts by a compiled finite-state tokenizer whose chunk state maps compose.
 
-The tokenizer is a deterministic transducer (see bpe.py) whose transitions carry the number of tokens that they emit, net of the tokens that they take
-back; counts of whole words are kept as transitions of their own. White space brings it into its start state whatever the state before. So the map of a
+The tokenizer is a deterministic transducer (see bpe.py) whose transitions emit a token each; transitions over whole words carry the number of
+tokens that they emit. White space brings it into its start state whatever the state before. So the map of a
 chunk from entry states to (exit state, tokens) needs three things: the part before its first white space, which the entry state reads to its end; the
 tokens between its first and last white space; and the part after the last, which is the exit state. Such maps compose associatively, and the maps of a
 text's chunks are combined by a parallel prefix scan: pairs, pairs of pairs, and so on.
@@ -63,7 +63,7 @@ class Counter:
 
     def emitted(self, word: str) -> int:
         own = word.encode().decode("latin-1")
-        return self.machine.read(own[:-1] + chr(ord(own[-1]) + 256)).count
+        return len(self.machine.ids(own[:-1] + chr(ord(own[-1]) + 256)))
 
     def read(self, text: str) -> int:
         return sum(map(self.words.__getitem__, self.word.findall(text)))
