@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridor.plans import planning
+from corridor.plans import planning, spatial
 
-_ALL = planning.QUERIES
+_ALL = planning.QUERIES | spatial.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
