@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridor.plans import planning, reasoning, spatial
+from corridor.plans import conversations, planning, reasoning, spatial
 
-_ALL = planning.QUERIES | spatial.QUERIES | reasoning.QUERIES
+_ALL = planning.QUERIES | spatial.QUERIES | reasoning.QUERIES | conversations.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,6 +51,11 @@ SELECT u.conv_id, u.turn, u.text AS user_text, CASE u.conv_id % 3 WHEN 0 THEN 'R
   CASE WHEN @h(u.conv_id || '|' || u.turn || '|4') % 2 = 1 THEN '<Thoughts?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|5') % 2 = 1 THEN '<Plan?><Plan?>' ELSE '' END || a.text AS answer
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND u.role = 'user'
 JOIN orders o ON o.o_orderkey = u.conv_id + 1 JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey"""),
+    "media_rows": (("conversations",), """
+SELECT conv_id, turn, role, repeat('<image>', cast(@h('i|' || conv_id || '|' || turn) % 3 AS int)) || ' ' || text || CASE WHEN @h('w|' || conv_id || '|' || turn) % 5 = 0 THEN ' <video> ' ELSE '' END AS text,
+  cast(@h('n|' || conv_id || '|' || turn) % 3 AS int) AS n_images, cast(CASE WHEN @h('w|' || conv_id || '|' || turn) % 5 = 0 THEN 1 ELSE 0 END AS int) AS n_videos FROM conversations"""),
+    "sizes": (("part",), """
+SELECT p_partkey AS id, cast(p_size * 37 + p_partkey % 500 + 3 AS int) AS height, cast(p_size * 19 + (p_partkey * 7) % 1300 + 5 AS int) AS width, cast(p_partkey % 900 + 1 AS int) AS frames, cast(10 + p_partkey % 5 * 5 AS double) AS fps FROM part"""),
     "latents": (("documents",), """
 SELECT doc_id, k, lp_post, lp_post + (@h('p|' || doc_id || '|' || k) % 81 - 40) / cast(8 as double) AS lp_prior
 FROM (SELECT doc_id, k, -(@h('q|' || doc_id || '|' || k) % 4000) / cast(8 as double) AS lp_post FROM (SELECT doc_id, @series(0, 7) AS k FROM documents) a) b"""),
