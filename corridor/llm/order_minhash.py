@@ -9,9 +9,11 @@ matches at best, the similarity is m / (n1 + n2 - m), at most the Jaccard simila
 similarity ``threshold`` or more are linked; linked texts, directly or by others, form a class.
 
 Equal word sequences are one class from the start. In a bucket, every member is verified against the bucket's first and last member, which is a number of
-pairs in proportion to the rows; that is every pair of a bucket of up to three. Members of larger buckets that are not yet connected are compared with each
-other by their least k-mers in tiles of bounded size, and those that look similar are verified, the best few of each text and class first and more in
-later rounds, until none is left that is not connected. So no group is expanded into its pairs, and none is cut short.
+pairs in proportion to the rows; that is every pair of a bucket of up to three. The members of larger buckets that are not yet connected, in tiles of bounded
+size of texts of like length, have the k-mers that they share counted by products of incidence matrices, and pairs that share enough are verified, the
+best few of each text and class first and more in later rounds, until none is left that is not connected. The counts are exact for texts of up to ``SET``
+k-mers; of longer ones the ``SET`` of least hash are counted, with five standard deviations to spare. So no group is expanded into its pairs, and none is
+cut short.
 
 Null texts and texts without words link with nothing and are kept. Repeated rows are copies of each other. Rows without an id take part; the row that a
 class keeps is that of its least id.
@@ -35,8 +37,9 @@ from corridor.llm.common import documents, map_arrow, mix64, ship, written
 from corridor.llm.components import components
 
 WORDS, SKETCHES, LEAST = 5, 16, 3
-TILE, LIKELY = 1024, 0.5
-SKETCH = "uid long, doc_id long, text_hash long, key binary, n long, picks array<long>, least binary"
+TILE, SET, SPARE = 512, 1024, 0.92
+BROADCAST = 300_000
+SKETCH = "uid long, doc_id long, text_hash long, key binary, n long, picks array<long>"
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64), 11)[:, None]
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -68,10 +71,10 @@ def labelled(words: bytes) -> np.ndarray:
     return h
 
 
-def sketch(h: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The picks of every function as one number each, and a byte of each of the least k-mers by hash."""
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The picks of every function, in text order, as one number each."""
     size = min(LEAST, len(h))
-    picks, least = np.empty(SKETCHES, np.int64), np.zeros((SKETCHES, LEAST), np.uint8)
+    picks = np.empty(SKETCHES, np.int64)
     step = max(1, min(SKETCHES, (1 << 20) // len(h)))
     for lo in range(0, SKETCHES, step):
         with np.errstate(over="ignore"):
@@ -79,14 +82,12 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, bytes]:
             x ^= x >> np.uint64(31)
             x *= _ODD
         at = np.argpartition(x, size - 1, axis=1)[:, :size] if size < len(h) else np.tile(np.arange(len(h)), (len(x), 1))
-        by_hash = np.take_along_axis(at, np.argsort(np.take_along_axis(x, at, 1), axis=1), 1)
-        least[lo : lo + step, :size] = (h[by_hash] >> np.uint64(24)).astype(np.uint8)
         with np.errstate(over="ignore"):
             value = np.zeros(len(x), np.uint64)
             for k in np.sort(at, axis=1).T:
                 value = mix64(value * _ODD + h[k], 3)
         picks[lo : lo + step] = value.view(np.int64)
-    return picks, least.tobytes()
+    return picks
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -118,33 +119,42 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("picks", pa.list_(pa.int64())), ("least", pa.binary())])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("picks", pa.list_(pa.int64()))])
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                part, keys, sizes, picks, least = batch.slice(lo, 1024), [], [], [], []
+                part, keys, sizes, picks = batch.slice(lo, 1024), [], [], []
                 for text in part.column(1):
                     words = words_of(text.as_py())
                     if words:
                         h = labelled(words)
-                        p, x = sketch(h)
                     keys.append(hashlib.blake2b(words, digest_size=16).digest() if words else None)
                     sizes.append(len(h) if words else None)
-                    picks.append(p if words else None)
-                    least.append(x if words else None)
+                    picks.append(sketch(h) if words else None)
                 uids = pa.array(range(uid, uid + part.num_rows), pa.int64())
                 uid += part.num_rows
-                yield pa.RecordBatch.from_arrays([uids, part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(picks, pa.list_(pa.int64())), pa.array(least, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([uids, part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(picks, pa.list_(pa.int64()))], schema=schema)
 
     return map_arrow(documents(docs).withColumn("text_hash", F.xxhash64("text")), run, SKETCH)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b: nodes) whose texts are similar."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most BROADCAST rows; else joins deal both sides out."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def texts_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the given nodes."""
     own = nodes.select("node", "doc_id", "text_hash").join(ends, "node", "left_semi").withColumnRenamed("doc_id", "own_id")
+    own = small(written(own, "wanted"))
     texts = documents(docs).withColumn("h", F.xxhash64("text"))
     found = own.join(texts, (own["text_hash"] == texts["h"]) & own["own_id"].eqNullSafe(texts["doc_id"])).select("node", "text")
-    found = written(found.dropDuplicates(["node"]), "texts")
+    return found.dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b: nodes) whose texts are similar."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = written(texts_of(ends, nodes, docs), "texts")
     left, right = found.toDF("a", "text_a"), found.toDF("b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,41 +176,76 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     return written(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long"), "links")
 
 
+def sets(texts: DataFrame) -> DataFrame:
+    """node, kmers: the SET labelled k-mers of least hash, four bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.sort(labelled(words_of(t.as_py())))[:SET] >> np.uint64(12) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], ["node", "kmers"])
+
+    return map_arrow(texts, run, "node long, kmers binary")
+
+
+def shared(sides: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """How many k-mers each text of one side shares with each of the other, by products of incidence matrices over the k-mers that both sides have."""
+    flat = [np.concatenate(own) if own else np.zeros(0, np.uint32) for own in sides]
+    rows = [np.repeat(np.arange(len(own)), [len(x) for x in own]) for own in sides]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    places = [np.searchsorted(common, x) for x in flat]
+    known = [(p < len(common)) & (common[np.minimum(p, len(common) - 1)] == x) if len(common) else np.zeros(len(x), bool) for p, x in zip(places, flat, strict=True)]
+    for lo in range(0, len(common), 4096):
+        parts = []
+        for own, r, p, k in zip(sides, rows, places, known, strict=True):
+            part = np.zeros((len(own), 4096), np.float32)
+            inside = k & (p >= lo) & (p < lo + 4096)
+            part[r[inside], p[inside] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def partners(most: int, threshold: float):
     return lambda group: likely(group, most, threshold)
 
 
 def likely(group: pa.Table, most: int, threshold: float) -> pa.Table:
-    """Pairs of different components that look similar by their least k-mers: each text's best ``most`` of each component, and whether there were more."""
+    """Pairs of different components that share enough k-mers: each text's best ``most`` of each component, and whether there were more."""
     same = group["i"][0].as_py() == group["j"][0].as_py()
-    node, n, component, block = (group[c].to_numpy() for c in ("node", "n", "component", "block"))
-    least = np.frombuffer(b"".join(group["least"].to_pylist()), np.uint8).reshape(-1, SKETCHES, LEAST)
+    node, n, component, block, shorter = (group[c].to_numpy(zero_copy_only=False) for c in ("node", "n", "component", "block", "shorter"))
     left = np.arange(len(node)) if same else np.flatnonzero(block == block.min())
     right = left if same else np.flatnonzero(block != block.min())
+    kmers = [np.frombuffer(x, "<u4") for x in group["kmers"].to_pylist()]
+    a, b = n[left][:, None], n[right][None, :]
+    ok = (component[left][:, None] != component[right]) & (np.minimum(a, b) >= threshold * np.maximum(a, b)) & ~(shorter[left][:, None] & shorter[right])
+    if same:
+        ok = np.triu(ok, 1)
     out_a, out_b, more = [], [], False
-    for x in left:
-        other = right[(component[right] != component[x]) & (np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x])) & ((node[right] > node[x]) | (not same))]
-        if not len(other):
-            continue
-        share = (least[other][:, :, :, None] == least[x][None, :, None, :]).any(3).mean((1, 2))
-        order = np.argsort(-share, kind="stable")
-        order = order[share[order] >= LIKELY]
-        seen: dict[int, int] = {}
-        for y in other[order]:
-            seen[component[y]] = seen.get(component[y], 0) + 1
-            if seen[component[y]] <= most:
-                out_a.append(min(node[x], node[y]))
-                out_b.append(max(node[x], node[y]))
-            else:
-                more = True
+    if ok.any():
+        counts = shared(([kmers[k] for k in left], [kmers[k] for k in right]))
+        need = np.where(np.maximum(a, b) <= SET, np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9), SPARE * threshold * SET)
+        ok &= counts >= need
+        for x in np.flatnonzero(ok.any(1)):
+            other = np.flatnonzero(ok[x])
+            seen: dict[int, int] = {}
+            for y in other[np.argsort(-counts[x, other], kind="stable")]:
+                c = component[right[y]]
+                seen[c] = seen.get(c, 0) + 1
+                if seen[c] <= most:
+                    p, q = node[left[x]], node[right[y]]
+                    out_a.append(min(p, q))
+                    out_b.append(max(p, q))
+                else:
+                    more = True
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "more": pa.array([more] * len(out_a), pa.bool_())})
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """uid, doc_id, text_hash (xxhash64), class_id (least doc_id of the class), kept, of every row."""
     rows = written(sketches(docs), "sketches")
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min_by(F.struct("doc_id", "text_hash"), "uid").alias("own"), F.first("n").alias("n"), F.first("picks").alias("picks"), F.first("least").alias("least"))
-    nodes = written(nodes.select("key", "node", "own.doc_id", "own.text_hash", "n", "picks", "least"), "nodes")
+    nodes = rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min_by(F.struct("doc_id", "text_hash"), "uid").alias("own"), F.first("n").alias("n"), F.first("picks").alias("picks"))
+    nodes = written(nodes.select("key", "node", "own.doc_id", "own.text_hash", "n", "picks"), "nodes")
     picks = nodes.select("node", "n", F.posexplode("picks").alias("band", "pick"))
     buckets = picks.groupBy("band", "pick").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first"), F.max(F.struct("node", "n")).alias("last")).where("size > 1")
     buckets = written(buckets, "buckets")
@@ -210,14 +255,21 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     tested = written(pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct(), "pairs")
     links = verified(tested, nodes, docs, threshold)
     found = components(links)
-    large, most = buckets.where("size > 3").select("band", "pick", "size"), 4
+    large, most, kmers = buckets.where("size > 3").select("band", "pick"), 4, None
     ship(docs.sparkSession)
     while not large.isEmpty():
         members = picks.join(large, ["band", "pick"]).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = members.groupBy("band", "pick").agg((F.ceil(F.max("size") / F.lit(TILE))).alias("blocks"), (F.min("component") < F.max("component")).alias("open")).where("open").drop("open")
-        dealt = written(members.join(mixed, ["band", "pick"]).drop("size").join(nodes.select("node", "least"), "node"), "members")
+        mixed = members.groupBy("band", "pick").agg((F.min("component") < F.max("component")).alias("open")).where("open").drop("open")
+        members = written(members.join(mixed, ["band", "pick"]), "members")
+        if kmers is None:
+            kmers = written(sets(texts_of(members.select("node").distinct(), nodes, docs)), "kmers")
+        grade = F.floor(F.log("n") / F.lit(np.log(1 / threshold))).cast("int")  # partners are of the same grade or the next
+        graded = members.withColumn("g", F.explode(F.array(F.struct(grade.alias("grade"), F.lit(False).alias("shorter")), F.struct((grade + 1).alias("grade"), F.lit(True).alias("shorter")))))
+        graded = graded.select("band", "pick", "node", "n", "component", "g.grade", "g.shorter")
+        sizes = graded.groupBy("band", "pick", "grade").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("blocks"), F.count("*").alias("size"), F.bool_or(~F.col("shorter")).alias("any")).where("size > 1 AND any")
+        dealt = graded.join(sizes.select("band", "pick", "grade", "blocks"), ["band", "pick", "grade"]).join(kmers, "node")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        cells = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("band", "pick", "i", "j")
+        cells = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("band", "pick", "grade", "i", "j")
         new = written(cells.applyInArrow(partners(most, threshold), "a long, b long, more boolean"), "likely")
         fresh = written(new.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
@@ -240,8 +292,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The kept rows of docs, with all columns."""
-    kept = classes(docs, threshold).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    own = docs.withColumn("_hash", F.xxhash64(docs["text"].cast("string")))
-    found = own.join(kept, (F.col("_hash") == F.col("_kept_hash")) & own["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    """The kept rows of docs, with all columns; of repeated rows one."""
+    own = classes(docs, threshold).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
+    own = written(own.where("NOT _kept OR _n > 1"), "copies")
+    rows = docs.withColumn("_hash", F.xxhash64(docs["text"].cast("string")))
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, (F.col("_hash") == F.col("_text")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_id")), how)
+
+    out = joined(small(own.select("_id", "_text")), "left_anti")
+    repeated = written(own.where("_kept").select("_id", "_text"), "repeated")
+    if not repeated.isEmpty():
+        out = out.union(joined(small(repeated), "left_semi").dropDuplicates(["doc_id", "_hash"]))
+    return out.drop("_hash")
