@@ -49,29 +49,32 @@ def point_cell(x: Column, y: Column) -> tuple[Column, Column]:
     return ((y + HALF - CELL / 2) / CELL).cast("int"), ((x + HALF - CELL / 2) / CELL).cast("int")
 
 
-def box_cells(points: DataFrame, x: str, y: str, length: float = LENGTH, width: float = WIDTH) -> DataFrame:
-    """A row r, c for each cell of the footprint at each point; cells off the map count for its border."""
+def cell_sets(cells: DataFrame) -> DataFrame:
+    """token, t, taken: the occupied cells of a raster as one set of numbers; a raster has SIDE * SIDE cells at most."""
+    return cells.groupBy("token", "t").agg(F.collect_set(F.col("r") * SIDE + F.col("c")).alias("taken"))
+
+
+def box_cells(x: Column, y: Column, length: float = LENGTH, width: float = WIDTH) -> Column:
+    """The numbers of the cells that the footprint covers at a point; cells off the map count for its border."""
     offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in footprint(length, width)])
     clip = lambda v: F.least(F.greatest(v.cast("int"), F.lit(0)), F.lit(SIDE - 1))
-    rows = points.withColumn("_o", F.explode(offsets))
-    return rows.withColumns({"r": clip(F.col(y) / CELL + F.col("_o.r")), "c": clip(F.col(x) / CELL + F.col("_o.c"))}).drop("_o")
+    return F.transform(offsets, lambda o: clip(y / CELL + o["r"]) * SIDE + clip(x / CELL + o["c"]))
 
 
 def hits(points: DataFrame, x: str, y: str, cells: DataFrame, name: str, length: float = LENGTH, width: float = WIDTH) -> DataFrame:
-    """token, t and whether any cell of the footprint is occupied."""
-    found = box_cells(points.select("token", "t", x, y), x, y, length, width).join(cells.select("token", "t", "r", "c").distinct(), ["token", "t", "r", "c"], "left_semi")
-    return points.select("token", "t").join(found.select("token", "t", F.lit(True).alias(name)).distinct(), ["token", "t"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    """token, t and whether any cell of the footprint is occupied: one join, by token and step, however large the footprint."""
+    rows = points.select("token", "t", x, y).join(cell_sets(cells), ["token", "t"], "left")
+    return rows.select("token", "t", F.coalesce(F.arrays_overlap("taken", box_cells(F.col(x), F.col(y), length, width)), F.lit(False)).alias(name))
 
 
 def collisions(gt: DataFrame, pred: DataFrame, cells: DataFrame) -> DataFrame:
     """token, t, gt_hit, point_hit, box_hit: the last two only where the true vehicle is free."""
-    rows = align(gt, pred)
+    rows = align(gt, pred).join(cell_sets(cells), ["token", "t"], "left")
+    over = lambda own: F.coalesce(F.arrays_overlap("taken", own), F.lit(False))
     r, c = point_cell(F.col("px"), F.col("py"))
-    at = cells.select("token", "t", "r", "c").distinct().withColumn("at", F.lit(True))
-    point = rows.select("token", "t", r.alias("r"), c.alias("c")).where("r BETWEEN 0 AND 199 AND c BETWEEN 0 AND 199").join(at, ["token", "t", "r", "c"], "left_semi").select("token", "t", F.lit(True).alias("point"))
-    out = hits(rows, "x", "y", cells, "gt_hit").join(hits(rows, "px", "py", cells, "box"), ["token", "t"]).join(point, ["token", "t"], "left")
-    free = ~F.col("gt_hit")
-    return out.select("token", "t", "gt_hit", (F.coalesce("point", F.lit(False)) & free).alias("point_hit"), (F.col("box") & free).alias("box_hit"))
+    inside = r.between(0, SIDE - 1) & c.between(0, SIDE - 1)
+    rows = rows.withColumn("gt_hit", over(box_cells(F.col("x"), F.col("y"))))
+    return rows.select("token", "t", "gt_hit", (inside & over(F.array(r * SIDE + c)) & ~F.col("gt_hit")).alias("point_hit"), (over(box_cells(F.col("px"), F.col("py"))) & ~F.col("gt_hit")).alias("box_hit"))
 
 
 def collision_by_step(found: DataFrame) -> DataFrame:
