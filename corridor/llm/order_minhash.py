@@ -255,12 +255,14 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     tested = written(pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct(), "pairs")
     links = verified(tested, nodes, docs, threshold)
     found = components(links)
-    large, most, kmers = buckets.where("size > 3").select("band", "pick"), 4, None
+    members, most, kmers = written(picks.join(buckets.where("size > 3").select("band", "pick"), ["band", "pick"]), "members"), 4, None
     ship(docs.sparkSession)
-    while not large.isEmpty():
-        members = picks.join(large, ["band", "pick"]).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    while True:
+        members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = members.groupBy("band", "pick").agg((F.min("component") < F.max("component")).alias("open")).where("open").drop("open")
-        members = written(members.join(mixed, ["band", "pick"]), "members")
+        members = written(members.join(mixed, ["band", "pick"], "left_semi"), "members")
+        if members.isEmpty():
+            break
         if kmers is None:
             kmers = written(sets(texts_of(members.select("node").distinct(), nodes, docs)), "kmers")
         grade = F.floor(F.log("n") / F.lit(np.log(1 / threshold))).cast("int")  # partners are of the same grade or the next
@@ -272,14 +274,15 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         cells = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("band", "pick", "grade", "i", "j")
         new = written(cells.applyInArrow(partners(most, threshold), "a long, b long, more boolean"), "likely")
         fresh = written(new.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if new.where("more").isEmpty():
-                break
-        else:
-            tested = tested.union(fresh)
-            links = links.union(verified(fresh, nodes, docs, threshold))
-            found = components(links)
-        most *= 8
+        more = not new.where("more").isEmpty()
+        if not fresh.isEmpty():
+            tested, added = tested.union(fresh), verified(fresh, nodes, docs, threshold)
+            if not added.isEmpty():
+                links = links.union(added)
+                found = components(links)
+        if not more:
+            break
+        members, most = members.drop("component"), most * 64 if most < 1000 else most * 10**6
     member = rows.join(nodes.select("key", "node"), "key", "left").join(found, "node", "left")
     member = written(member.select("uid", "doc_id", "text_hash", F.coalesce("component", "node", "uid").alias("root")), "members")
     heads = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("class_id"), F.col("uid").alias("first"))).alias("head"))
