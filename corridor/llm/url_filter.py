@@ -110,7 +110,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     lengths = sorted({len(r) - len(r.partition("/")[0]) for _, r in rules})
     asked = keys(F.col("host"), F.col("path"), lengths) if rules else F.array().cast("array<string>")
     universe = urls.select("host", "path").distinct().select(F.explode(asked).alias("key"))
-    cascades = {v: cascade(spark.createDataFrame([(r,) for w, r in rules if w == v], "key string"), universe) for v in sorted({v for v, _ in rules})}
+    cascades = {v: cascade(spark.range(1).select(F.explode(F.array(*[F.lit(r) for w, r in rules if w == v])).alias("key")), universe) for v in sorted({v for v, _ in rules})}
     verdict = lambda key: F.coalesce(*[F.when(c.lists(key), F.lit(v)) for v, c in cascades.items()])
     fits = F.filter(F.transform(asked, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), (verdict(k) if cascades else F.lit(None).cast("string")).alias("verdict"))), lambda x: x["verdict"].isNotNull())
     return urls.withColumn("best", F.array_max(fits)).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
