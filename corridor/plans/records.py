@@ -10,7 +10,9 @@ from corridor.sources import files
 from corridor.sources.fixtures import view, with_views
 
 _NO_VIEWS = "WITH RECURSIVE \n"
-_LINES = "name || ' object_id: ' || ord || ', position: (' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || '), size: (' || dx::DECIMAL(18,2) || ', ' || dy::DECIMAL(18,2) || ')'"
+_IDS = """WITH n AS (SELECT doc_id, doc_id % 9 + 3 AS n FROM documents), p AS (SELECT doc_id, n, i, i // (n + 2) AS part, i % (n + 2) AS j FROM n, generate_series(0, 40) g(i) WHERE i < 3 * n + 4),
+x AS (SELECT doc_id, n, i, CASE WHEN part < 2 AND j = n THEN CASE part WHEN 0 THEN 77091 ELSE 151645 END WHEN part < 2 AND j = n + 1 THEN 198 ELSE (doc_id * 31 + (j + 1) * 7 + part + 1) % 1000 END AS id FROM p),
+l AS (SELECT *, CASE WHEN i >= n + 2 AND i < 2 * n + 4 THEN id ELSE -100 END AS label FROM x)"""
 
 
 def _prompts(s, d):
@@ -19,7 +21,7 @@ def _prompts(s, d):
 
 def _ids(s, d):
     """Token ids made of documents: a start token, a kind, some words, an end token, and so on."""
-    n = F.pmod(F.xxhash64("doc_id"), F.lit(9)) + 3
+    n = F.pmod(F.col("doc_id"), F.lit(9)) + 3
     body = lambda k: F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.pmod(F.col("doc_id") * 31 + i * 7 + k, F.lit(1000)))
     return view(s, d, "documents").select("doc_id", F.concat(body(1), F.array(F.lit(77091), F.lit(198)).cast("array<long>"), body(2), F.array(F.lit(151645), F.lit(198)).cast("array<long>"), body(3)).alias("ids"))
 
@@ -63,9 +65,9 @@ QUERIES = {
     "split_valid_problem": ((lambda s, d: conversations.media_check(view(s, d, "media_rows")).groupBy(F.col("problem").isNull().alias("valid")).agg(F.count("*").alias("n"))), with_views(""", ck AS (SELECT *, (length(text) - length(replace(text, '<image>', ''))) // 7 AS images, (length(text) - length(replace(text, '<video>', ''))) // 7 AS videos FROM media_rows)
 SELECT NOT ((role IN ('gpt', 'assistant') AND (images > 0 OR videos > 0)) OR images <> n_images OR videos <> n_videos) AS valid, count(*) AS n FROM ck GROUP BY 1""", "media_rows")),
     "pack_bins": ((lambda s, d: packing.pack_bins(view(s, d, "documents").select("doc_id", F.least(F.col("n_chars") / 4, F.lit(4096)).cast("long").alias("n")), "doc_id", "n")), None),
-    "label_mask": ((lambda s, d: packing.label_masks(_ids(s, d), "ids", "doc_id")), None),
+    "label_mask": ((lambda s, d: packing.label_masks(_ids(s, d), "ids", "doc_id").select("doc_id", F.posexplode(F.arrays_zip("ids", "labels")).alias("place", "x")).select("doc_id", "place", F.col("x.ids").alias("id"), F.col("x.labels").alias("label"))), _IDS + " SELECT doc_id, i::INT AS place, id, label FROM l"),
     "rope_index": ((lambda s, d: packing.rope_index(_kinds(s, d), "doc_id")), "WITH k AS (SELECT doc_id AS key, doc_id % 4 + 1 AS n FROM documents), p AS (SELECT key, n, i FROM k, generate_series(0, 12) g(i) WHERE i < n + 8) SELECT key, i::INT AS place, CASE WHEN i < n THEN i WHEN i < n + 6 THEN n ELSE i - 3 END AS t, CASE WHEN i < n THEN i WHEN i < n + 6 THEN n + (i - n) // 3 ELSE i - 3 END AS h, CASE WHEN i < n THEN i WHEN i < n + 6 THEN n + (i - n) % 3 ELSE i - 3 END AS w FROM p"),
-    "collated_batch": ((lambda s, d: packing.collate(packing.label_masks(_ids(s, d), "ids", "doc_id").withColumn("b", F.floor(F.col("doc_id") / 8)), "b", "doc_id", 24).select("doc_id", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("n"))), None),
-    "flattened_pack": ((lambda s, d: packing.flattened(_ids(s, d).withColumn("b", F.floor(F.col("doc_id") / 8)), "b", "doc_id").select("b", F.size("ids").alias("n"), F.size("ends").alias("parts"), F.element_at("ends", -1).alias("last"))), None),
+    "collated_batch": ((lambda s, d: packing.collate(packing.label_masks(_ids(s, d), "ids", "doc_id").withColumn("b", F.floor(F.col("doc_id") / 8)), "b", "doc_id", 24).select("doc_id", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("n"))), _IDS + " SELECT doc_id, sum(id)::BIGINT AS total, (sum(label) - 100 * (24 - count(*)))::BIGINT AS labels, count(*)::INT AS n FROM l WHERE i < 24 GROUP BY doc_id"),
+    "flattened_pack": ((lambda s, d: packing.flattened(_ids(s, d).withColumn("b", F.floor(F.col("doc_id") / 8)), "b", "doc_id").select("b", F.size("ids").alias("n"), F.size("ends").alias("parts"), F.element_at("ends", -1).alias("last"))), "SELECT doc_id // 8 AS b, sum(3 * (doc_id % 9 + 3) + 4)::INT AS n, (count(*) + 1)::INT AS parts, sum(3 * (doc_id % 9 + 3) + 4)::INT AS last FROM documents GROUP BY 1"),
     "collision_refine": ((lambda s, d: packing.refine_paths(view(s, d, "pred"), view(s, d, "occ")).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})), None),
 }

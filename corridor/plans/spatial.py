@@ -12,6 +12,19 @@ _VALID = "px >= 0 AND px < 200 AND py >= 0 AND py < 200"
 _TEXT = "name || ' object_id: ' || ord || ', position: (' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || '), size: (' || dx::DECIMAL(18,2) || ', ' || dy::DECIMAL(18,2) || ')'"
 _STEPS = ", w AS (SELECT token, ord, t::INT AS t, x + t * vx AS x, y + t * 0.5 AS y FROM objects, generate_series(1, 6) s(t))"
 _AT = f", q AS (SELECT *, {_PIXEL} FROM gt), v AS (SELECT *, {_VALID} AS valid FROM q)"
+_EGO = """, eg AS (SELECT token % 15000 AS token, t, avg(x) AS ex, avg(y) AS ey FROM gt GROUP BY 1, 2),
+w AS (SELECT token, ord, dx AS bdx, dy AS bdy, rot_z AS br, t::INT AS t, x + t * vx AS bx, y + t * 0.5 AS by_ FROM objects, generate_series(1, 6) s(t)),
+m AS (SELECT w.*, ex, ey FROM w JOIN eg ON eg.token = w.token AND eg.t = w.t WHERE abs(bx - ex) < 10 AND abs(by_ - ey) < 10),
+p AS (SELECT *, list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [ex + 1.85::DOUBLE * s[1], ey + 4.084::DOUBLE * s[2]]) AS pa,
+  list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [bx + bdx * s[1] * cos(br) + bdy * s[2] * sin(br), by_ - bdx * s[1] * sin(br) + bdy * s[2] * cos(br)]) AS pb FROM m),
+x AS (SELECT token, t, ord, pa, pb, unnest([[1::DOUBLE, 0], [0, 1], [cos(br), -sin(br)], [sin(br), cos(br)]]) AS u FROM p),
+y AS (SELECT token, t, ord, list_transform(pa, lambda c: c[1] * u[1] + c[2] * u[2]) AS la, list_transform(pb, lambda c: c[1] * u[1] + c[2] * u[2]) AS lb FROM x),
+ov AS (SELECT token, t, ord, bool_and(list_max(la) - list_min(lb) > 1e-9 AND list_max(lb) - list_min(la) > 1e-9) AS overlaps FROM y GROUP BY token, t, ord),
+e AS (SELECT token, t, ord, pa AS c, pb AS q FROM p UNION ALL SELECT token, t, ord, pb, pa FROM p),
+f AS (SELECT token, t, ord, c[i] AS c, q[j] AS s, q[j % 4 + 1] AS z FROM e, generate_series(1, 4) x(i), generate_series(1, 4) z(j)),
+g AS (SELECT *, greatest(0, least(1, ((c[1] - s[1]) * (z[1] - s[1]) + (c[2] - s[2]) * (z[2] - s[2])) / ((z[1] - s[1]) ** 2 + (z[2] - s[2]) ** 2))) AS k FROM f),
+ds AS (SELECT token, t, ord, min(sqrt((c[1] - s[1] - k * (z[1] - s[1])) ** 2 + (c[2] - s[2] - k * (z[2] - s[2])) ** 2)) AS v FROM g GROUP BY token, t, ord),
+oc AS (SELECT ds.token, ds.t, ds.ord, ov."overlaps", round(v, 6) AS distance, ov."overlaps" OR v < 0.5 AS collides FROM ds JOIN ov ON ov.token = ds.token AND ov.t = ds.t AND ov.ord = ds.ord)"""
 _SHAPES = """, m AS (SELECT a.token, a.ord AS a, b.ord AS b, a.x AS ax, a.y AS ay, a.dx AS adx, a.dy AS ady, a.rot_z AS ar, b.x AS bx, b.y AS by_, b.dx AS bdx, b.dy AS bdy, b.rot_z AS br
   FROM objects a JOIN objects b ON a.token = b.token AND a.ord < b.ord AND abs(a.x - b.x) < 10 AND abs(a.y - b.y) < 10),
 p AS (SELECT *, list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [ax + adx * s[1] * cos(ar) + ady * s[2] * sin(ar), ay - adx * s[1] * sin(ar) + ady * s[2] * cos(ar)]) AS pa,
@@ -73,8 +86,11 @@ SELECT token, a, b, bool_and(list_max(la) - list_min(lb) > 1e-9 AND list_max(lb)
 f AS (SELECT token, a, b, c[i] AS c, q[j] AS s, q[j % 4 + 1] AS t FROM e, generate_series(1, 4) x(i), generate_series(1, 4) z(j)),
 g AS (SELECT *, greatest(0, least(1, ((c[1] - s[1]) * (t[1] - s[1]) + (c[2] - s[2]) * (t[2] - s[2])) / ((t[1] - s[1]) ** 2 + (t[2] - s[2]) ** 2))) AS k FROM f)
 SELECT token, a, b, round(min(sqrt((c[1] - s[1] - k * (t[1] - s[1])) ** 2 + (c[2] - s[2] - k * (t[2] - s[2])) ** 2)), 5) AS distance FROM g GROUP BY token, a, b""", "objects")),
-    "object_collision": (lambda s, d: spatial.object_collisions(*_ego(s, d)), None),
-    "combined_collision": (lambda s, d: spatial.combined_collision(spatial.safety_collisions(_ego(s, d)[0], view(s, d, "occ").withColumn("token", F.col("token") % 15000)), spatial.object_collisions(*_ego(s, d))), None),
+    "object_collision": (lambda s, d: spatial.object_collisions(*_ego(s, d)), with_views(_EGO + " SELECT * FROM oc", "gt", "objects")),
+    "combined_collision": (lambda s, d: spatial.combined_collision(spatial.safety_collisions(_ego(s, d)[0], view(s, d, "occ").withColumn("token", F.col("token") % 15000)), spatial.object_collisions(*_ego(s, d))), with_views(_EGO + """, o AS (SELECT r, c FROM generate_series(96, 105) a(r), generate_series(97, 102) b(c)),
+h AS (SELECT DISTINCT eg.token, eg.t FROM eg, o, occ s WHERE s.token % 15000 = eg.token AND s.p > 0.1 AND s.t > 0 AND s.t = least(eg.t, 4) AND s.r = greatest(0, least(199, trunc(ey / 0.5 + o.r)::INT)) AND s.c = greatest(0, least(199, trunc(ex / 0.5 + o.c)::INT))),
+hc AS (SELECT DISTINCT token, t FROM oc WHERE collides)
+SELECT eg.token, eg.t, h.token IS NOT NULL AND hc.token IS NOT NULL AS collides FROM eg LEFT JOIN h ON h.token = eg.token AND h.t = eg.t LEFT JOIN hc ON hc.token = eg.token AND hc.t = eg.t""", "gt", "objects", "occ")),
     "detections_to_cells": (lambda s, d: spatial.cells_of_boxes(spatial.waypoints(view(s, d, "objects"), 2), view(s, d, "objects")).groupBy("token", "t").agg(F.count("*").alias("cells"), F.sum("r").alias("rows"), F.sum("c").alias("columns")), with_views(_STEPS + """, b AS (SELECT w.token, w.t, w.x, w.y, o.dx, o.dy, o.rot_z AS z FROM w JOIN objects o USING (token, ord) WHERE w.t <= 2),
 g AS (SELECT *, sqrt(dx ** 2 + dy ** 2) / 2 AS h FROM b), i AS (SELECT g.*, r.r, c.c FROM g, generate_series(greatest(floor((y - h + 50) / 0.5), 0)::INT, least(floor((y + h + 50) / 0.5), 199)::INT) r(r), generate_series(greatest(floor((x - h + 50) / 0.5), 0)::INT, least(floor((x + h + 50) / 0.5), 199)::INT) c(c)),
 k AS (SELECT *, c * 0.5 - 49.75 - x AS u, r * 0.5 - 49.75 - y AS v FROM i), f AS (SELECT DISTINCT token, t, r::INT AS r, c::INT AS c FROM k WHERE abs(u * cos(z) - v * sin(z)) <= dx / 2 AND abs(u * sin(z) + v * cos(z)) <= dy / 2)
