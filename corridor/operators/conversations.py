@@ -113,3 +113,21 @@ def prefix_lengths(rows: DataFrame, length: str, order: str, by: str) -> DataFra
 def without_marks(text: Column) -> Column:
     """Grounding tags removed, their contents kept for refs and dropped for boxes."""
     return F.regexp_replace(F.regexp_replace(text, r"<box>.*?</box>", ""), r"</?ref>", "")
+
+
+def vision_elements(content: Column) -> Column:
+    """The parts of a message's content (structs of type, image, video) that are images or videos."""
+    return F.filter(content, lambda e: e["image"].isNotNull() | e["video"].isNotNull() | F.coalesce(e["type"].isin("image", "image_url", "video"), F.lit(False)))
+
+
+def packed_estimate(text: Column, turns: Column, media_tokens: Column, base: int = 21, per_turn: int = 5) -> Column:
+    """Tokens of a packed conversation: a base, what each turn costs, words, and media."""
+    return base + turns * per_turn + words(text) + F.coalesce(media_tokens, F.lit(0))
+
+
+def plain_names(rows: DataFrame) -> DataFrame:
+    """Column names in lower case, except single capitals (option columns). A name that would then occur twice is refused."""
+    names = [c if len(c) == 1 and c.isupper() else c.lower() for c in rows.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"names clash: {sorted({n for n in names if names.count(n) > 1})}")
+    return rows.toDF(*names)

@@ -100,3 +100,16 @@ def picked(index: Column, candidates: Column, compat: bool = False) -> Column:
     """The chosen candidate, null if the index is outside; with compat the last one can't be chosen."""
     top = F.size(candidates) - (1 if compat else 0)
     return F.when((index >= 0) & (index < top), F.get(candidates, index))
+
+
+def ego_prompt(vx: Column, vy: Column, v_yaw: Column, ax: Column, ay: Column, mission: Column) -> Column:
+    """The ego vehicle's state as text: metres and half seconds, two decimals."""
+    line = lambda title, *c: F.concat(F.lit(f"\n - {title}: ("), F.concat_ws(",", *[two_decimals(x) for x in c]), F.lit(")"))
+    return F.concat(F.lit("Ego states:"), line("Velocity", vx * 0.5, vy * 0.5), F.lit("\n - Heading: ("), two_decimals(v_yaw * 0.5), F.lit(")"), line("Acceleration", ax, ay), F.lit("\nMission Goal: "), mission)
+
+
+def accelerations(points: DataFrame) -> DataFrame:
+    """token, ax, ay: the difference of a path's last two steps; null for paths of fewer than three points."""
+    own = points.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("p"))  # a path has a fixed number of points
+    last = lambda k, c: F.try_element_at("p", F.lit(-k))[c]
+    return own.select("token", *[((last(1, c) - last(2, c)) - (last(2, c) - last(3, c))).alias(f"a{c}") for c in "xy"])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.functions.trajectory_text import fenced_json
+from corridor.functions.workers import shipped
 
 #: The forms of an object's line and of a waypoint list.
 OBJECT = r"^(\w+) object_id: (\d+), position: \((-?[\d.]+), (-?[\d.]+)\), size: \((-?[\d.]+), (-?[\d.]+)\)"
@@ -47,3 +51,13 @@ def matched_times(results: DataFrame, contents: DataFrame, *key: str) -> DataFra
 
 def per_embodiment(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.explode(column))
+
+
+def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows through a model that callers bring: batch in, batch out, in the given schema. The engine has no model of its own."""
+
+    def run(batches):
+        for b in batches:
+            yield model(b)
+
+    return shipped(rows).mapInPandas(run, schema)

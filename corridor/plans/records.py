@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corridor.functions import keyed, trajectory_text
-from corridor.operators import choices, conversations, packing, spatial, text_records, tools
+from corridor.operators import choices, conversations, driving, links, packing, spatial, text_records, tools
 from corridor.sources import files
 from corridor.sources.fixtures import view, with_views
 
@@ -46,7 +47,18 @@ def _mix(s, d):
     return files.registry(s, "documents%30,conversations", known, schema, "text").groupBy("data_path").agg(F.count("*").alias("n"))
 
 
+def _links(s, d):
+    own = view(s, d, "events")
+    return own.select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next"))
+
+
 QUERIES = {
+    "scene_link_walk": ((lambda s, d: links.walk(_links(s, d), "event_id", "next")), "SELECT event_id, first_value(event_id) OVER w AS start, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
+    "ego_prompts": ((lambda s, d: view(s, d, "orders").select("o_orderkey", driving.ego_prompt(*[(F.col("o_orderkey") % k - 2) / F.lit(4.0) for k in (5, 9, 3, 4, 7)], F.lit("FORWARD")).alias("prompt"))), "WITH v AS (SELECT o_orderkey, " + ", ".join(f"((o_orderkey % {k} - 2) / 4 * {f})::DECIMAL(18,2) AS v{k}" for k, f in ((5, 0.5), (9, 0.5), (3, 0.5), (4, 1), (7, 1))) + " FROM orders) SELECT o_orderkey, 'Ego states:' || chr(10) || ' - Velocity: (' || v5 || ',' || v9 || ')' || chr(10) || ' - Heading: (' || v3 || ')' || chr(10) || ' - Acceleration: (' || v4 || ',' || v7 || ')' || chr(10) || 'Mission Goal: FORWARD' AS prompt FROM v"),
+    "accelerations": ((lambda s, d: driving.accelerations(view(s, d, "gt"))), with_views(", a AS (SELECT token, t, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM gt WINDOW w AS (PARTITION BY token ORDER BY t)), b AS (SELECT token, t, dx - lag(dx) OVER w AS ax, dy - lag(dy) OVER w AS ay FROM a WINDOW w AS (PARTITION BY token ORDER BY t)) SELECT token, ax, ay FROM b WHERE t = 6", "gt")),
+    "vision_elements": ((lambda s, d: view(s, d, "media_rows").select("conv_id", "turn", F.size(conversations.vision_elements(F.array(F.struct(F.lit("text").alias("type"), F.when(F.col("n_images") > 0, "i").alias("image"), F.lit(None).cast("string").alias("video")), F.struct(F.when(F.col("n_videos") > 0, "video").otherwise("text").alias("type"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("video"))))).alias("n"))), with_views("SELECT conv_id, turn, ((n_images > 0)::INT + (n_videos > 0)::INT)::INT AS n FROM media_rows", "media_rows")),
+    "packed_estimates": ((lambda s, d: view(s, d, "media_rows").select("conv_id", "turn", conversations.packed_estimate(F.col("text"), F.lit(2), F.col("n_images") * 64).alias("tokens"))), with_views("SELECT conv_id, turn, (31 + len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + n_images * 64)::INT AS tokens FROM media_rows", "media_rows")),
+    "plain_names": ((lambda s, d: conversations.plain_names(view(s, d, "part").select(F.col("p_partkey").alias("Index"), F.col("p_name").alias("A"), F.col("p_brand").alias("Answer")))), "SELECT p_partkey AS index, p_name AS A, p_brand AS answer FROM part"),
     "front_object_records": ((lambda s, d: text_records.front_objects(_prompts(s, d), "prompt", "token")), with_views("SELECT token, ord, name, x::DECIMAL(18,2)::DOUBLE AS x, y::DECIMAL(18,2)::DOUBLE AS y, dx::DECIMAL(18,2)::DOUBLE AS dx, dy::DECIMAL(18,2)::DOUBLE AS dy FROM objects WHERE abs(x) < 20 AND abs(y) < 20", "objects")),
     "objects_with_waypoints": ((lambda s, d: text_records.with_waypoints(spatial.front(view(s, d, "objects")).select("token", "ord"), spatial.waypoints(view(s, d, "objects")).where("t = 6 AND y > 0").select("token", "ord", "x", "y"), "token")), with_views(", w AS (SELECT token, ord, x + 6 * vx AS x, y + 3 AS y FROM objects) SELECT o.token, o.ord, w.x, w.y FROM objects o LEFT JOIN w ON w.token = o.token AND w.ord = o.ord AND w.y > 0 WHERE abs(o.x) < 5 AND o.y >= 0 AND o.y < 20", "objects")),
     "boxes_from_text": ((lambda s, d: text_records.boxes_3d(_fenced(s, d), "text", "p_partkey").select("p_partkey", "place", "label", F.get("box", 0).alias("x"), F.size("box").alias("n"))), "SELECT p_partkey, k::INT AS place, CASE k WHEN 0 THEN 'part ' || p_partkey ELSE 'b' END AS label, CASE k WHEN 0 THEN p_partkey % 50 ELSE 1 END::DOUBLE AS x, 9 AS n FROM part, generate_series(0, 1) g(k) WHERE p_partkey % 3 <> 2"),
