@@ -52,3 +52,16 @@ def test_empty_input(spark):
     docs = table(spark, DATA, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_odd_rows_pass_through_all_stages(spark):
+    good = [r.text for r in table(spark, DATA, "documents").where("lang = 'en'").orderBy("doc_id").limit(60).collect()]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(good)] + [(900, None, None, None, None), (901, "", "en", "s", 0), (902, "  \n", "en", None, 3), (None, good[5] + " and more to say", "en", "s", 1), (903, good[7] * 200, "en", "s", 1), (1, good[1], "en", "s", len(good[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("score", "node", "key", "lang_pred", "_hash", "part", "x", "y")})
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, DATA).cache()
+        assert after.count() <= before.count() or name == "packing"
+        before = after
+    assert {901, 902, 900}.isdisjoint({r.doc_id for r in before.collect()})
+    assert before.where("doc_id = 1 AND start = 0").count() <= 1
