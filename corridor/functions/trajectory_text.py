@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKER = "Planned Trajectory:"
+from corridor.functions.formats import MARKER
+
 #: The number and pair formats that texts use, in order of preference.
 NUMBER = r"-?\d+\.?\d*"
 PAIRS = (
@@ -115,6 +116,10 @@ def points_text(points: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(points, lambda p: F.concat(F.lit("("), two_decimals(p["x"]), F.lit(","), two_decimals(p["y"]), F.lit(")"))), ", "), F.lit("]"))
 
 
+def planning_target(points: Column) -> Column:
+    return F.concat(F.lit(f"{MARKER}\n"), points_text(points))
+
+
 def last_code_block(text: Column, languages: str = "python|html") -> Column:
     """The last fenced block, trimmed; null without one."""
     blocks = F.regexp_extract_all(text, F.lit(rf"```(?:{languages})\s*\n([\s\S]*?)```"), F.lit(1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corridor.functions import formats
+
 #: Answers that decline, and the marks that part words.
 REJECTIONS = ("Sorry, I can't help with images of people yet.", "I can't process this file.", "I'm sorry, but without the image provided", "Cannot determine the answer")
 FAILED = "Failed to obtain answer via API"
@@ -52,25 +54,29 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return rows.rollup("split").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("accuracy"))
 
 
+def option_lines(opts: Column, between: str = "\n") -> Column:
+    return F.array_join(F.transform(F.map_entries(opts), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), between)
+
+
 def mcq_prompt(question: Column, opts: Column, hint: Column | None = None) -> Column:
-    """Question, options and instruction; in Chinese if the question is."""
-    lines = F.array_join(F.transform(F.map_entries(opts), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n")
-    chinese = question.rlike("[一-鿿]")
+    """Hint, question, options and what is asked for; that in Chinese if the text has Chinese characters. Without options the question alone."""
     lead = F.lit("") if hint is None else F.coalesce(F.concat(F.lit("Hint: "), hint, F.lit("\n")), F.lit(""))
-    return F.concat(lead, F.lit("Question: "), question, F.lit("\nOptions:\n"), lines, F.lit("\n"), F.when(chinese, "请直接回答选项字母。").otherwise("Please select the correct answer from the options above."))
+    head = F.concat(lead, F.lit("Question: "), question)
+    full = F.concat(head, F.lit("\nOptions:\n"), option_lines(opts), F.lit("\n"))
+    return F.when(F.size(opts) > 0, F.concat(full, F.when(full.rlike("[一-鿿]"), formats.SELECT_CHINESE).otherwise(formats.SELECT))).otherwise(head)
 
 
 def judge_prompt(question: Column, opts: Column, prediction: Column) -> Column:
-    lines = F.array_join(F.transform(F.map_entries(opts), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), " ")
-    return F.concat(F.lit("Match the answer with one option; say Z if none fits.\nQuestion: "), question, F.lit("\nOptions: "), lines, F.lit("\nAnswer: "), prediction, F.lit("\nYour output: "))
+    options = F.concat(F.lit("There are several options: \n"), option_lines(opts), F.lit("\n"))
+    return F.concat(F.lit(formats.JUDGE), question, F.lit("?\nOptions: "), options, F.lit("\nAnswer: "), prediction, F.lit("\nYour output: "))
 
 
 def yes_no_prompt(question: Column) -> Column:
-    return F.concat(question, F.lit(" Please answer yes or no."))
+    return F.concat(question, F.lit(formats.YES_NO))
 
 
 def short_prompt(question: Column) -> Column:
-    return F.concat(question, F.lit("\nPlease try to answer the question with short words or phrases if possible."))
+    return F.concat(question, F.lit(formats.SHORT))
 
 
 def interleaved(text: Column) -> Column:
@@ -85,8 +91,11 @@ def as_list(text: Column) -> Column:
 
 
 def code_prompt(question: Column, starter: Column, has_function: Column) -> Column:
-    """Standard input and output, or a function to call."""
-    return F.concat(F.lit("QUESTION:\n"), question, F.coalesce(F.concat(F.lit("\n"), starter), F.lit("")), F.when(has_function, "\nUse Call-Based format").otherwise("\nUse Standard Input format"), F.lit("\nANSWER:\n"))
+    """Standard input and output, or a function to call if one is named or begun."""
+    starter = F.nullif(starter, F.lit(""))
+    call = has_function | starter.isNotNull()
+    begun = F.coalesce(F.concat(F.lit(formats.STARTER), starter, F.lit("\n")), F.lit(""))
+    return F.concat(F.lit("\nQUESTION:\n"), question, F.when(call, formats.CALL_BASED).otherwise(formats.STANDARD_IO), begun, F.lit("\nANSWER:\n"))
 
 
 def same_output(got: Column, want: Column) -> Column:

@@ -5,22 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridor.functions import formats
+from corridor.functions.formats import IMAGE, VIDEO
 from corridor.functions.keyed import uniform
+from corridor.functions.trajectory_text import section
 
-BLOCKS = ("goal", "perception", "experience", "rules", "thoughts", "plan")
-IMAGE, VIDEO = "<image>", "<video>"
+#: What a conversation's answer may hold, in order; and what a question-and-answer conversation's may.
+BLOCKS = ("goal", "perception", "commonsense", "experience", "cot", "reasoning")
+VQA_BLOCKS = ("goal", "perception", "experience", "collidable", "plan", "objects")
 
 
-def blank(text: Column, title: str) -> Column:
-    return F.concat(F.lit(f"\n{title}: "), F.coalesce(text, F.lit("None.")), F.lit("\n"))
+def parted_ego(ego: Column) -> tuple[Column, Column]:
+    """What stands before the mission goal, and the goal's text; null without one."""
+    mark = F.lit(f"\n{formats.GOAL}")
+    has = F.contains(ego, mark)
+    return F.when(has, F.split_part(ego, mark, F.lit(1))), F.when(has, F.split_part(ego, mark, F.lit(2)))
 
 
-def sft_rows(rows: DataFrame, with_goal: bool = True, with_perception: bool = True, with_experience: bool = True, with_reasoning: bool = False) -> DataFrame:
-    """conversations: a human turn of ego, and what is asked for of goal, perception, experience and reasoning, and an assistant turn of the target."""
-    parts = [F.col("ego")]
-    parts += [blank(F.col(c), t) for c, t, on in (("goal", "Mission Goal", with_goal), ("perception", "Perception", with_perception), ("experience", "Experience", with_experience), ("reasoning", "Reasoning", with_reasoning)) if on]
+def blocks() -> dict[str, Column]:
+    """The texts of a planner sample's blocks: columns ego, perception, commonsense, experiences, chain_of_thoughts, reasoning."""
+    return {
+        "goal": F.concat(F.lit(formats.GOAL), parted_ego(F.col("ego"))[1]), "perception": F.col("perception"), "commonsense": F.col("commonsense"), "experience": F.coalesce("experiences", F.lit(formats.NO_EXPERIENCE)),
+        "cot": F.coalesce("chain_of_thoughts", F.lit("")), "reasoning": F.col("reasoning"),
+    }
+
+
+def vqa_blocks() -> dict[str, Column]:
+    """The same as answers to fixed questions; blank ones say None."""
+    asked = dict(zip(VQA_BLOCKS, formats.QUESTIONS, strict=True))
+    after = lambda c, mark: F.when(F.contains(F.col(c), F.lit(mark)), F.split_part(F.col(c), F.lit(mark), F.lit(2)))
+    filled = lambda t: F.when(F.trim(F.regexp_replace(t, r"\s+", " ")) == "", F.lit(formats.NONE)).otherwise(t)
+    texts = {
+        "goal": parted_ego(F.col("ego"))[1], "perception": filled(after("perception", formats.PERCEPTION)), "experience": F.coalesce(filled(after("experiences", formats.EXPERIENCE)), F.lit(formats.NO_SIMILAR)),
+        "collidable": section(F.col("chain_of_thoughts"), "\nThoughts:", "\nDriving Plan:"), "plan": filled(after("chain_of_thoughts", "\nDriving Plan:")), "objects": section(F.col("reasoning"), "\nThoughts:", "\nDriving Plan:"),
+    }
+    return {k: F.concat(F.lit(asked[k]), texts[k]) for k in VQA_BLOCKS}
+
+
+def sft_rows(rows: DataFrame, system: str = "", with_goal: bool = True, with_perception: bool = True, with_experience: bool = True, own_reasoning: bool = False) -> DataFrame:
+    """conversations: a human turn of image, system text and ego state, and an assistant turn of what is asked for, common sense, reasoning and the target. Rows without a goal are null."""
+    own = blocks()
+    parts = [own[k] for k, on in (("goal", with_goal), ("perception", with_perception)) if on] + [F.coalesce("experiences", F.lit(""))] * with_experience + [own["commonsense"], own["cot" if own_reasoning else "reasoning"], F.col("planning_target")]
     turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
-    return rows.withColumn("conversations", F.array(turn("human", F.concat(*parts)), turn("assistant", F.col("target"))))
+    human = F.concat(F.lit(f"{IMAGE}\n{system}"), parted_ego(F.col("ego"))[0])
+    return rows.withColumn("conversations", F.array(turn("human", human), turn("assistant", F.concat(*parts))))
 
 
 def expand_masks(rows: DataFrame, key: str, n: int, prior: float = 0.5, dropout: float = 0.2, seed: str = "42") -> DataFrame:
@@ -30,18 +58,21 @@ def expand_masks(rows: DataFrame, key: str, n: int, prior: float = 0.5, dropout:
     return out.withColumns({f"keep_{b}": uniform(seed, F.col(key), F.col("conversation_type"), F.col("index"), b) < F.col("_k.p") for b in BLOCKS}).drop("_k")
 
 
-def masked_conversation(rows: DataFrame) -> DataFrame:
-    """user and assistant of masked rows: blocks that are in go to the assistant; a posterior row is given the target, a prior row must produce it."""
-    kept = F.concat(*[F.when(F.col(f"keep_{b}"), F.concat(F.lit(f"<{b}>"), F.coalesce(F.col(b), F.lit("None.")))).otherwise("") for b in BLOCKS])
+def masked_conversation(rows: DataFrame, system: str = "", vqa: bool = False) -> DataFrame:
+    """user and assistant of masked planner samples: blocks that are in go to the assistant; a posterior row is given the target, a prior row must produce it."""
+    own = vqa_blocks() if vqa else blocks()
+    gap = "\n\n" if vqa else ""
+    kept = F.concat(*[F.when(F.col(f"keep_{b}"), text).otherwise("") for b, text in own.items()])
     posterior = F.col("conversation_type") == "posterior"
-    user = F.concat(F.col("ego"), F.when(posterior, F.concat(F.lit("\n"), F.col("target"))).otherwise(""))
-    return rows.withColumns({"user": user, "assistant": F.concat(kept, F.when(posterior, "").otherwise(F.concat(F.lit("\n"), F.col("target"))))})
+    target = F.concat(F.lit(gap), F.col("planning_target"))
+    head = F.concat(F.lit(f"{IMAGE}\n{system}"), F.col("commonsense") if vqa else F.lit(""), parted_ego(F.col("ego"))[0])
+    return rows.withColumns({"user": F.concat(head, F.when(posterior, target).otherwise("")), "assistant": F.concat(kept, F.when(posterior, "").otherwise(target))})
 
 
 def one_kind(rows: DataFrame, key: str, n: int, dropout: float = 0.3, seed: str = "42") -> DataFrame:
-    """n rows for each, all prior or all posterior by one coin a row; each block is in with probability 1 - dropout; mask lists the blocks."""
+    """n rows for each, all prior or all posterior by one coin a row; keep_{block} holds with probability 1 - dropout."""
     out = rows.withColumn("conversation_type", F.when(uniform(seed, F.col(key), "coin") < 0.5, "prior").otherwise("posterior")).withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return out.withColumn("mask", F.concat(*[F.when(uniform(seed, F.col(key), F.col("index"), b) < 1 - dropout, "1").otherwise("0") for b in BLOCKS]))
+    return out.withColumns({f"keep_{b}": uniform(seed, F.col(key), F.col("index"), b) < 1 - dropout for b in VQA_BLOCKS})
 
 
 def prior_and_posterior(rows: DataFrame) -> DataFrame:

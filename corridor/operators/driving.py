@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridor.functions.formats import TRAFFIC_RULES
 from corridor.functions.trajectory_text import two_decimals
 
 #: Half width and half length of the ego vehicle in metres.
 HALF_WIDTH, HALF_LENGTH = 0.925, 2.042
-#: The rules of the road that every prompt carries.
-COMMON_SENSE = (
-    ("traffic", "Avoid collisions with other objects."),
-    ("traffic", "Always drive on drivable regions."),
-    ("traffic", "Avoid occupied regions."),
-    ("state", "Start from the current speed and heading."),
-    ("mission", "Follow the mission goal."),
-)
-
 
 def goal(right: Column, left: Column) -> Column:
     return F.when(right > 0, "RIGHT").when(left > 0, "LEFT").otherwise("FORWARD")
@@ -64,19 +56,27 @@ def meta_actions(ego: DataFrame, path: DataFrame) -> DataFrame:
     return rows.select("token", F.when(speed == "STOP", speed).otherwise(F.concat(turn, F.lit(" WITH "), speed)).alias("action"))
 
 
-def reasoning_text(ego: DataFrame, hits: DataFrame, actions: DataFrame) -> DataFrame:
-    """token, thoughts: the notable objects in their order, or None, and the action."""
-    line = F.concat(F.lit("object "), F.col("ord").cast("string"), F.lit(" at "), two_decimals(F.col("t") / 2), F.lit(" s"))
-    notable = hits.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("n"))
-    rows = ego.select("token").join(notable, "token", "left").join(actions, "token")
-    return rows.select("token", F.concat(F.lit("Notable objects: "), F.coalesce(F.array_join(F.col("n.l"), "; "), F.lit("None")), F.lit("\nMeta action: "), F.col("action")).alias("thoughts"))
+def reasoning_text(ego: DataFrame, hits: DataFrame, actions: DataFrame, steps: DataFrame, objects: DataFrame) -> DataFrame:
+    """token, thoughts: the notable objects in their order, where they are and will be when they enter the safe zone, or None; and the driving plan."""
+    at = lambda x, y: F.concat(F.lit("("), two_decimals(F.col(x)), F.lit(","), two_decimals(F.col(y)), F.lit(")"))
+    now = objects.select("token", "ord", "name", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    seconds = (F.col("t") * F.lit(0.5)).cast("string")
+    line = F.concat(F.lit(" - Notable Objects: "), F.col("name"), F.lit(" at "), at("ox", "oy"), F.lit(", moving to "), at("x", "y"), F.lit(" at "), seconds, F.lit(" second\n   Potential Effects: within the safe zone of the ego-vehicle at "), seconds, F.lit(" second\n"))
+    rows = hits.join(steps, ["token", "ord", "t"]).join(now, ["token", "ord"])
+    notable = rows.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("n"))
+    found = ego.select("token").join(notable, "token", "left").join(actions, "token")
+    none = " - Notable Objects: None\n   Potential Effects: None\n"
+    return found.select("token", F.concat(F.lit("*****Chain of Thoughts Reasoning:*****\nThoughts:\n"), F.coalesce(F.array_join("n.l", ""), F.lit(none)), F.lit("Driving Plan: "), F.col("action"), F.lit("\n")).alias("thoughts"))
+
+
+def common_sense(kind: str = "Traffic Rules", rules: tuple[str, ...] = TRAFFIC_RULES) -> str:
+    return f"\n*****{kind}:*****\n" + "".join(f"- {r}\n" for r in rules)
 
 
-def planner_message(rows: DataFrame) -> DataFrame:
-    """token, message of ego, perception, experiences, reasoning (each may be null) and the rules."""
-    rules = "\n".join(f"- {text}" for _, text in COMMON_SENSE)
-    part = lambda c, title: F.coalesce(F.concat(F.lit(f"\n{title}: "), F.col(c)), F.lit(""))
-    return rows.select("token", F.concat(F.coalesce("ego", F.lit("")), part("perception", "Perception"), part("experiences", "Experience"), F.lit(f"\nRules:\n{rules}"), part("reasoning", "Reasoning")).alias("message"))
+def planner_message(rows: DataFrame, short_experience: bool = True, own_reasoning: bool = False) -> DataFrame:
+    """id, message: ego, perception, experiences (or the long ones), common sense, and reasoning (or the chain of thoughts); what is null is left out."""
+    order = ("ego", "perception", "experiences" if short_experience else "long_experiences", "commonsense", "chain_of_thoughts" if own_reasoning else "reasoning")
+    return rows.select("id", F.concat(*[F.coalesce(c, F.lit("")) for c in order]).alias("message"))
 
 
 def squared(a: str, b: str) -> Column:
@@ -102,10 +102,16 @@ def picked(index: Column, candidates: Column, compat: bool = False) -> Column:
     return F.when((index >= 0) & (index < top), F.get(candidates, index))
 
 
-def ego_prompt(vx: Column, vy: Column, v_yaw: Column, ax: Column, ay: Column, mission: Column) -> Column:
-    """The ego vehicle's state as text: metres and half seconds, two decimals."""
-    line = lambda title, *c: F.concat(F.lit(f"\n - {title}: ("), F.concat_ws(",", *[two_decimals(x) for x in c]), F.lit(")"))
-    return F.concat(F.lit("Ego states:"), line("Velocity", vx * 0.5, vy * 0.5), F.lit("\n - Heading: ("), two_decimals(v_yaw * 0.5), F.lit(")"), line("Acceleration", ax, ay), F.lit("\nMission Goal: "), mission)
+def ego_prompt(states: dict[str, Column], history: list[tuple[Column, Column]], mission: Column) -> Column:
+    """The ego vehicle's state, first four places of its history and goal as text. states: vx, vy, v_yaw, ax, ay, cx, cy, v_head, steering; speeds are halved to metres a step."""
+    d = {k: two_decimals(v * 0.5 if k in ("vx", "vy", "v_head") else v) for k, v in states.items()}
+    pair = lambda a, b: F.concat(F.lit("("), a, F.lit(","), b, F.lit(")"))
+    parts = [
+        F.lit("*****Ego States:*****\nCurrent State:\n - Velocity (vx,vy): "), pair(d["vx"], d["vy"]), F.lit("\n - Heading Angular Velocity (v_yaw): ("), d["v_yaw"], F.lit(")\n - Acceleration (ax,ay): "), pair(d["ax"], d["ay"]),
+        F.lit("\n - Can Bus: "), pair(d["cx"], d["cy"]), F.lit("\n - Heading Speed: ("), d["v_head"], F.lit(")\n - Steering: ("), d["steering"], F.lit(")\nHistorical Trajectory (last 2 seconds): ["),
+        F.concat_ws(", ", *[pair(two_decimals(x), two_decimals(y)) for x, y in history[:4]]), F.lit("]\nMission Goal: "), mission, F.lit("\n"),
+    ]
+    return F.concat(*parts)
 
 
 def accelerations(points: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKERS = ("<Goal?>", "<Perception?>", "<Experience?>", "<Rules?>", "<Thoughts?>", "<Plan?>")
+from corridor.functions.formats import QUESTIONS
+
+MARKERS = QUESTIONS
 
 
 def occurrences(text: Column, marker: str) -> Column:

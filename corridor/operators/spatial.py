@@ -29,16 +29,27 @@ def all_objects(objects: DataFrame) -> DataFrame:
     return objects
 
 
-def prompt(objects: DataFrame, title: str) -> DataFrame:
-    """token, prompt: a line for each object, in their order; tokens without objects have no row."""
-    line = F.concat(F.col("name"), F.lit(" object_id: "), F.col("ord").cast("string"), F.lit(", position: ("), two_decimals(F.col("x")), F.lit(", "), two_decimals(F.col("y")), F.lit("), size: ("), two_decimals(F.col("dx")), F.lit(", "), two_decimals(F.col("dy")), F.lit(")"))
+def prompt(objects: DataFrame, header: str, lead: str) -> DataFrame:
+    """token, prompt: the header and a line for each object, in their order; tokens without objects have no row. See formats.OBJECTS."""
+    pair = lambda a, b: F.concat(F.lit("("), two_decimals(F.col(a)), F.lit(", "), two_decimals(F.col(b)), F.lit(")"))
+    line = F.concat(F.lit(f"{lead}, object type: "), F.col("name"), F.lit(", object id: "), F.col("ord").cast("string"), F.lit(", position: "), pair("x", "y"), F.lit(", size: "), pair("dx", "dy"), F.lit("\n"))
     lines = F.array_sort(F.collect_list(F.struct(F.col("ord"), line.alias("line"))))
-    return objects.groupBy("token").agg(lines.alias("l")).select("token", F.concat(F.lit(title + "\n"), F.array_join(F.col("l.line"), "\n")).alias("prompt"))
+    return objects.groupBy("token").agg(lines.alias("l")).select("token", F.concat(F.lit(header), F.array_join(F.col("l.line"), "")).alias("prompt"))
 
 
-def waypoints(objects: DataFrame, steps: int = 6) -> DataFrame:
-    """A row for each object and step t (1 to steps): where it will be."""
-    at = objects.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+def trajectory_prompt(steps: DataFrame, objects: DataFrame, header: str, lead: str, span: str, short: bool = False) -> DataFrame:
+    """token, prompt: the header and where each object will be, all waypoints or the last. See formats.TRAJECTORIES."""
+    pair = F.concat(F.lit("("), two_decimals(F.col("x")), F.lit(", "), two_decimals(F.col("y")), F.lit(")"))
+    own = steps.groupBy("token", "ord").agg(F.array_sort(F.collect_list(F.struct("t", pair.alias("p")))).alias("w")).join(objects.select("token", "ord", "name"), ["token", "ord"])
+    rest = F.concat(F.lit(", moving to: "), F.element_at("w.p", -1)) if short else F.concat(F.lit(f", future waypoint coordinates in {span}: ["), F.array_join("w.p", ", "), F.lit("]"))
+    start = f"{lead}: " if lead == "Object type" else f"{lead}, object type: "
+    line = F.concat(F.lit(start), F.col("name"), F.lit(", object id: "), F.col("ord").cast("string"), rest, F.lit("\n"))
+    return own.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("l")).select("token", F.concat(F.lit(header), F.array_join("l.l", "")).alias("prompt"))
+
+
+def waypoints(objects: DataFrame, steps: int = 6, first: int = 1) -> DataFrame:
+    """A row for each object and step t (first to steps): where it will be; step 0 is now."""
+    at = objects.withColumn("t", F.explode(F.sequence(F.lit(first), F.lit(steps))))
     return at.withColumns({"x": F.col("x") + F.col("t") * F.col("vx"), "y": F.col("y") + F.col("t") * F.lit(0.5)}).select("token", "ord", "t", "x", "y")
 
 

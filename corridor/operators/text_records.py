@@ -12,7 +12,7 @@ from corridor.functions.trajectory_text import fenced_json
 from corridor.functions.workers import shipped
 
 #: The forms of an object's line and of a waypoint list.
-OBJECT = r"^(\w+) object_id: (\d+), position: \((-?[\d.]+), (-?[\d.]+)\), size: \((-?[\d.]+), (-?[\d.]+)\)"
+OBJECT = r"object type: (\w+), object id: (\d+), position: \((-?[\d.]+), (-?[\d.]+)\), size: \((-?[\d.]+), (-?[\d.]+)\)"
 NUMBERS = r"\((-?[\d.]+),\s*(-?[\d.]+)\)"
 
 

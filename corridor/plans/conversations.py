@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corridor.functions import media, trajectory_text
+from corridor.functions import formats, media, trajectory_text
 from corridor.operators import choices, conversations
 from corridor.sources.fixtures import view, with_views
 
 _WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
-_BLOCKS = conversations.BLOCKS
-_SAMPLE = """, sm AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, user_text AS ego, goal, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE location END AS perception, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE 'went ' || goal END AS experience,
-  'keep distance' AS rules, 'road in ' || location AS thoughts, 'drive ' || goal AS plan, answer AS target FROM samples)"""
+_BLOCKS, _VQA = conversations.BLOCKS, conversations.VQA_BLOCKS
 _U = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-_MASKS = _SAMPLE + """, ki(conversation_type, p) AS (VALUES ('prior', 0.5::DOUBLE), ('posterior', 0.8::DOUBLE)),
-mk AS (SELECT sm.*, conversation_type, i::INT AS index, """ + ", ".join(_U.format(f"'42|' || id || '|' || conversation_type || '|' || i || '|{b}'") + f" < p AS keep_{b}" for b in _BLOCKS) + " FROM sm, ki, generate_series(0, 7) g(i))"
+_MASKS = """, ki(conversation_type, p) AS (VALUES ('prior', 0.5::DOUBLE), ('posterior', 0.8::DOUBLE)),
+mk AS (SELECT planner.*, conversation_type, i::INT AS index, """ + ", ".join(_U.format(f"'42|' || id || '|' || conversation_type || '|' || i || '|{b}'") + f" < p AS keep_{b}" for b in _BLOCKS) + " FROM planner, ki, generate_series(0, 7) g(i))"
+_COINS = ", cn AS (SELECT planner.*, CASE WHEN " + _U.format("'42|' || id || '|coin'") + " < 0.5 THEN 'prior' ELSE 'posterior' END AS conversation_type, i::INT AS index, " + ", ".join(_U.format(f"'42|' || id || '|' || i || '|{b}'") + f" < 0.7::DOUBLE AS keep_{b}" for b in _VQA) + " FROM planner, generate_series(0, 3) g(i))"
+_GOAL, _HEAD = "split_part(ego, chr(10) || 'Mission Goal:', 2)", "split_part(ego, chr(10) || 'Mission Goal:', 1)"
+_TEXTS = {"goal": f"'Mission Goal:' || {_GOAL}", "perception": "perception", "commonsense": "commonsense", "experience": "coalesce(experiences, chr(10) || 'Experience: None.' || chr(10))", "cot": "chain_of_thoughts", "reasoning": "reasoning"}
+_FILL = "CASE WHEN trim({0}, ' ' || chr(10)) = '' THEN chr(10) || 'None.' ELSE {0} END"
+_ASKED = dict(zip(_VQA, formats.QUESTIONS, strict=True))
+_VQA_TEXTS = {
+    "goal": _GOAL, "perception": _FILL.format("split_part(perception, '*****Perception Results:*****', 2)"), "experience": "coalesce(split_part(experiences, '*****Past Driving Experience for Reference:*****', 2), chr(10) || 'No similar past experience available.')",
+    "collidable": _FILL.format("split_part(split_part(chain_of_thoughts, chr(10) || 'Thoughts:', 2), chr(10) || 'Driving Plan:', 1)"), "plan": _FILL.format("split_part(chain_of_thoughts, chr(10) || 'Driving Plan:', 2)"), "objects": _FILL.format("split_part(split_part(reasoning, chr(10) || 'Thoughts:', 2), chr(10) || 'Driving Plan:', 1)"),
+}
 _CHOICE = ", op AS (SELECT *, [struct_pack(k := 'A', v := a), struct_pack(k := 'B', v := b), struct_pack(k := 'C', v := c), struct_pack(k := 'D', v := d)] AS o FROM mcq)"
 _INFER = _CHOICE + f""", t AS (SELECT *, list_filter(regexp_split_to_array(translate(prediction, '{choices.MARKS}', '{' ' * len(choices.MARKS)}'), '\\s+'), lambda w: w <> '') AS w FROM op),
 l AS (SELECT *, list_filter(['A', 'B', 'C', 'D'], lambda x: list_contains(w, x)) AS letters, list_filter(o, lambda e: contains(lower(prediction), lower(e.v))) AS texts FROM t),
@@ -28,8 +35,7 @@ rs AS (SELECT *, CASE WHEN hb * wb > 16777216 THEN floor(height / dn / 32) * 32
 
 
 def _sample(s, d):
-    own = view(s, d, "samples")
-    return own.select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("user_text").alias("ego"), "goal", F.when(F.col("conv_id") % 4 != 0, F.col("location")).alias("perception"), F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("went "), F.col("goal"))).alias("experience"), F.lit("keep distance").alias("rules"), F.concat(F.lit("road in "), F.col("location")).alias("thoughts"), F.concat(F.lit("drive "), F.col("goal")).alias("plan"), F.col("answer").alias("target"))
+    return view(s, d, "planner")
 
 
 def _inferred(s, d):
@@ -51,16 +57,16 @@ def _stdout(s, d):
 
 
 QUERIES = {
-    "mask_expansion": ((lambda s, d: conversations.expand_masks(_sample(s, d), "id", 8).select("id", "conversation_type", "index", *[f"keep_{b}" for b in _BLOCKS])), with_views(_MASKS + " SELECT id, conversation_type, index, " + ", ".join(f"keep_{b}" for b in _BLOCKS) + " FROM mk", "samples")),
-    "masked_conversations": ((lambda s, d: conversations.masked_conversation(conversations.expand_masks(_sample(s, d), "id", 8)).select("id", "conversation_type", "index", "user", "assistant")), with_views(_MASKS + " SELECT id, conversation_type, index, ego || CASE WHEN conversation_type = 'posterior' THEN chr(10) || target ELSE '' END AS user, " + " || ".join(f"CASE WHEN keep_{b} THEN '<{b}>' || coalesce({b}, 'None.') ELSE '' END" for b in _BLOCKS) + " || CASE WHEN conversation_type = 'posterior' THEN '' ELSE chr(10) || target END AS assistant FROM mk", "samples")),
-    "vqa_coin": ((lambda s, d: conversations.one_kind(_sample(s, d), "id", 4).select("id", "conversation_type", "index", "mask")), with_views(_SAMPLE + " SELECT id, CASE WHEN " + _U.format("'42|' || id || '|coin'") + " < 0.5 THEN 'prior' ELSE 'posterior' END AS conversation_type, i::INT AS index, " + " || ".join("CASE WHEN " + _U.format(f"'42|' || id || '|' || i || '|{b}'") + " < 0.7::DOUBLE THEN '1' ELSE '0' END" for b in _BLOCKS) + " AS mask FROM sm, generate_series(0, 3) g(i)", "samples")),
-    "sft_rows": ((lambda s, d: conversations.sft_rows(_sample(s, d)).select("id", F.posexplode("conversations").alias("place", "c")).select("id", "place", F.col("c.from").alias("who"), F.col("c.value").alias("value"))), with_views(_SAMPLE + """ SELECT id, 0 AS place, 'human' AS who, ego || chr(10) || 'Mission Goal: ' || coalesce(goal, 'None.') || chr(10) || chr(10) || 'Perception: ' || coalesce(perception, 'None.') || chr(10) || chr(10) || 'Experience: ' || coalesce(experience, 'None.') || chr(10) AS value FROM sm
-UNION ALL SELECT id, 1, 'assistant', target FROM sm""", "samples")),
-    "prior_posterior_messages": ((lambda s, d: conversations.prior_and_posterior(_sample(s, d).select("id", F.col("ego").alias("user"), F.col("plan").alias("action"), F.col("thoughts").alias("latent"))).drop("user", "action", "latent")), with_views(_SAMPLE + " SELECT id, ego || chr(10) || plan AS posterior_user, thoughts AS posterior_assistant, ego AS prior_user, thoughts || chr(10) || chr(10) || plan AS prior_assistant FROM sm", "samples")),
-    "goal_split": ((lambda s, d: _sample(s, d).select("id", F.split(F.concat("ego", F.lit("\nMission Goal:"), F.col("goal")), "\nMission Goal:").alias("p")).select("id", F.try_element_at("p", F.lit(1)).alias("ego"), F.try_element_at("p", F.lit(2)).alias("goal"))), with_views(_SAMPLE + " SELECT id, split_part(ego || chr(10) || 'Mission Goal:' || goal, chr(10) || 'Mission Goal:', 1) AS ego, goal FROM sm", "samples")),
-    "vqa_sections": ((lambda s, d: _sample(s, d).select("id", F.concat(F.lit("x\nThoughts:"), F.coalesce("perception", F.lit(" ")), F.lit("\nDriving Plan:"), F.col("plan")).alias("x")).select("id", trajectory_text.section(F.col("x"), "\nThoughts:", "\nDriving Plan:").alias("thoughts"), trajectory_text.section(F.col("x"), "\nDriving Plan:", "\nEnd").alias("plan"), trajectory_text.section(F.col("x"), "\nNothing:", "\nEnd").alias("nothing"))), with_views(_SAMPLE + " SELECT id, CASE WHEN perception IS NULL THEN chr(10) || 'None.' ELSE perception END AS thoughts, plan, NULL::VARCHAR AS nothing FROM sm", "samples")),
-    "token_stats": ((lambda s, d: conversations.token_statistics(_sample(s, d), "ego", "target")), with_views(_SAMPLE + f", c AS (SELECT {_WORDS.format('ego')} AS u, {_WORDS.format('target')} AS a FROM sm) SELECT count(*) AS n, sum(u)::BIGINT AS user_tokens, sum(a)::BIGINT AS assistant_tokens, max(u + a) AS longest, round(avg(u + a), 6) AS average FROM c", "samples")),
-    "token_limit_flags": ((lambda s, d: conversations.over_limit(_sample(s, d).select("id", "ego"), "ego", 400).drop("ego")), with_views(_SAMPLE + f" SELECT id, {_WORDS.format('ego')}::INT AS tokens, {_WORDS.format('ego')} + 256 > 400 AS over FROM sm", "samples")),
+    "mask_expansion": ((lambda s, d: conversations.expand_masks(_sample(s, d), "id", 8).select("id", "conversation_type", "index", *[f"keep_{b}" for b in _BLOCKS])), with_views(_MASKS + " SELECT id, conversation_type, index, " + ", ".join(f"keep_{b}" for b in _BLOCKS) + " FROM mk", "planner")),
+    "masked_conversations": ((lambda s, d: conversations.masked_conversation(conversations.expand_masks(_sample(s, d), "id", 8)).select("id", "conversation_type", "index", "user", "assistant")), with_views(_MASKS + f" SELECT id, conversation_type, index, '<image>' || chr(10) || {_HEAD} || CASE WHEN conversation_type = 'posterior' THEN planning_target ELSE '' END AS user, " + " || ".join(f"CASE WHEN keep_{b} THEN {_TEXTS[b]} ELSE '' END" for b in _BLOCKS) + " || CASE WHEN conversation_type = 'posterior' THEN '' ELSE planning_target END AS assistant FROM mk", "planner")),
+    "vqa_coin": ((lambda s, d: conversations.one_kind(_sample(s, d), "id", 4).select("id", "conversation_type", "index", *[f"keep_{b}" for b in _VQA])), with_views(_COINS + " SELECT id, conversation_type, index, " + ", ".join(f"keep_{b}" for b in _VQA) + " FROM cn", "planner")),
+    "vqa_conversations": ((lambda s, d: conversations.masked_conversation(conversations.one_kind(_sample(s, d), "id", 4), vqa=True).select("id", "conversation_type", "index", "user", "assistant")), with_views(_COINS + f" SELECT id, conversation_type, index, '<image>' || chr(10) || commonsense || {_HEAD} || CASE WHEN conversation_type = 'posterior' THEN chr(10) || chr(10) || planning_target ELSE '' END AS user, " + " || ".join(f"CASE WHEN keep_{b} THEN '{_ASKED[b]}' || {_VQA_TEXTS[b]} ELSE '' END" for b in _VQA) + " || CASE WHEN conversation_type = 'posterior' THEN '' ELSE chr(10) || chr(10) || planning_target END AS assistant FROM cn", "planner")),
+    "sft_rows": ((lambda s, d: conversations.sft_rows(_sample(s, d)).select("id", F.posexplode("conversations").alias("place", "c")).select("id", "place", F.col("c.from").alias("who"), F.col("c.value").alias("value"))), with_views(f"SELECT id, 0 AS place, 'human' AS who, '<image>' || chr(10) || {_HEAD} AS value FROM planner UNION ALL SELECT id, 1, 'assistant', 'Mission Goal:' || {_GOAL} || perception || coalesce(experiences, '') || commonsense || reasoning || planning_target FROM planner", "planner")),
+    "prior_posterior_messages": ((lambda s, d: conversations.prior_and_posterior(_sample(s, d).select("id", F.col("ego").alias("user"), F.col("planning_target").alias("action"), F.col("reasoning").alias("latent"))).drop("user", "action", "latent")), with_views("SELECT id, ego || chr(10) || planning_target AS posterior_user, reasoning AS posterior_assistant, ego AS prior_user, reasoning || chr(10) || chr(10) || planning_target AS prior_assistant FROM planner", "planner")),
+    "goal_split": ((lambda s, d: _sample(s, d).select("id", conversations.parted_ego(F.col("ego"))[0].alias("ego"), conversations.parted_ego(F.col("ego"))[1].alias("goal"))), with_views(f"SELECT id, {_HEAD} AS ego, {_GOAL} AS goal FROM planner", "planner")),
+    "vqa_sections": ((lambda s, d: _sample(s, d).select("id", *[t.alias(b) for b, t in conversations.vqa_blocks().items()])), with_views("SELECT id, " + ", ".join(f"'{_ASKED[b]}' || {_VQA_TEXTS[b]} AS {b}" for b in _VQA) + " FROM planner", "planner")),
+    "token_stats": ((lambda s, d: conversations.token_statistics(_sample(s, d), "ego", "reasoning")), with_views(f", c AS (SELECT {_WORDS.format('ego')} AS u, {_WORDS.format('reasoning')} AS a FROM planner) SELECT count(*) AS n, sum(u)::BIGINT AS user_tokens, sum(a)::BIGINT AS assistant_tokens, max(u + a) AS longest, round(avg(u + a), 6) AS average FROM c", "planner")),
+    "token_limit_flags": ((lambda s, d: conversations.over_limit(_sample(s, d).select("id", "ego"), "ego", 400).drop("ego")), with_views(f"SELECT id, {_WORDS.format('ego')}::INT AS tokens, {_WORDS.format('ego')} + 256 > 400 AS over FROM planner", "planner")),
     "word_lengths": ((lambda s, d: view(s, d, "media_rows").select("conv_id", "turn", conversations.length_estimate(F.col("text"), F.col("n_images") > 0).alias("length"))), with_views(f"SELECT conv_id, turn, (CASE WHEN n_images > 0 THEN {_WORDS.format('text')} + 128 ELSE -{_WORDS.format('text')} END)::INT AS length FROM media_rows", "media_rows")),
     "message_tokenise": ((lambda s, d: conversations.parts(view(s, d, "media_rows"), "text", "conv_id", "turn")), with_views(r""", sp AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(replace(text, '<image>', chr(1) || '<image>' || chr(1)), '<video>', chr(1) || '<video>' || chr(1)), chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM media_rows),
 un AS (SELECT conv_id, turn, unnest(generate_series(1, len(p))) AS i, p FROM sp), kd AS (SELECT conv_id, turn, (i - 1)::INT AS place, CASE p[i] WHEN '<image>' THEN 'image' WHEN '<video>' THEN 'video' ELSE 'text' END AS kind, p[i] AS value FROM un)
@@ -73,7 +79,7 @@ SELECT *, CASE WHEN kind <> 'text' THEN (row_number() OVER (PARTITION BY conv_id
     "answer_key_anti_check": ((lambda s, d: view(s, d, "documents").select("doc_id").join(view(s, d, "labels").select("doc_id"), "doc_id", "left_anti")), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "mcq_complete": ((lambda s, d: choices.complete(view(s, d, "mcq").withColumns({"a": F.when(F.col("doc_id") % 3 != 0, F.col("a")), "answer": F.when(F.col("doc_id") % 3 != 0, F.col("answer")).otherwise(F.col("c"))})).select("doc_id", "a", "b", "answer")), with_views("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN a ELSE c END AS a, CASE WHEN doc_id % 3 <> 0 THEN b ELSE 'Other Answers' END AS b, CASE WHEN doc_id % 3 <> 0 THEN answer ELSE 'A' END AS answer FROM mcq", "mcq")),
     "mcq_prompts": ((lambda s, d: view(s, d, "mcq").select("doc_id", choices.mcq_prompt(F.concat(F.lit("What in "), F.col("split"), F.when(F.col("doc_id") % 2 == 0, "?").otherwise("中?")), choices.options("a", "b", "c", "d")).alias("prompt"))), with_views("SELECT doc_id, 'Question: What in ' || split || CASE WHEN doc_id % 2 = 0 THEN '?' ELSE '中?' END || chr(10) || 'Options:' || chr(10) || 'A. ' || a || chr(10) || 'B. ' || b || chr(10) || 'C. ' || c || chr(10) || 'D. ' || d || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Please select the correct answer from the options above.' ELSE '请直接回答选项字母。' END AS prompt FROM mcq", "mcq")),
-    "judge_prompts": ((lambda s, d: view(s, d, "mcq").select("doc_id", choices.judge_prompt(F.lit("Which?"), choices.options("a", "b", "c", "d"), F.col("prediction")).alias("prompt"))), with_views("SELECT doc_id, 'Match the answer with one option; say Z if none fits.' || chr(10) || 'Question: Which?' || chr(10) || 'Options: A. ' || a || ' B. ' || b || ' C. ' || c || ' D. ' || d || chr(10) || 'Answer: ' || prediction || chr(10) || 'Your output: ' AS prompt FROM mcq", "mcq")),
+    "judge_prompts": ((lambda s, d: view(s, d, "mcq").select("doc_id", choices.judge_prompt(F.lit("Which"), choices.options("a", "b", "c", "d"), F.col("prediction")).alias("prompt"))), with_views("SELECT doc_id, '" + formats.JUDGE.replace("\n", "' || chr(10) || '") + "' || 'Which?' || chr(10) || 'Options: There are several options: ' || chr(10) || 'A. ' || a || chr(10) || 'B. ' || b || chr(10) || 'C. ' || c || chr(10) || 'D. ' || d || chr(10) || chr(10) || 'Answer: ' || prediction || chr(10) || 'Your output: ' AS prompt FROM mcq", "mcq")),
     "unresolved_answers": ((lambda s, d: _inferred(s, d).where("inferred IS NULL").select("doc_id", F.lit("Z").alias("option"), F.lit(False).alias("extracted"))), with_views(_INFER + " SELECT doc_id, 'Z' AS option, false AS extracted FROM f WHERE inferred IS NULL", "mcq")),
     "output_comparison": ((lambda s, d: _stdout(s, d).select("p_partkey", choices.same_output(F.col("got"), F.col("want")).alias("same"))), "SELECT p_partkey, p_partkey % 6 <> 5 AS same FROM part"),
     "code_test_summary": ((lambda s, d: choices.test_summary(_stdout(s, d).select((F.when(F.col("k") == 4, -1).when(F.col("k") == 3, -2).when(F.col("k") == 5, 0).otherwise(1)).alias("outcome")))), "WITH o AS (SELECT CASE p_partkey % 6 WHEN 4 THEN -1 WHEN 3 THEN -2 WHEN 5 THEN 0 ELSE 1 END AS o FROM part) SELECT count(*) AS total, count(*) FILTER (o = 1) AS passed, count(*) FILTER (o = 0) AS failed, count(*) FILTER (o = -1) AS timed_out, count(*) FILTER (o = -2) AS broken, round(avg((o = 1)::INT), 6) AS accuracy, bool_and(o = 1) AS all_passed FROM o"),

@@ -22,7 +22,7 @@ FROM (SELECT doc_id, k, unnest(generate_series(0, 4)) AS pos FROM latents))"""
 _EGO = ", ego AS (SELECT o_orderkey AS token, (o_orderkey % 5 - 2) / 8::DOUBLE AS vx, (o_orderkey % 9) / 4::DOUBLE AS vy, (o_orderkey % 3 - 1) / 8::DOUBLE AS ax, (o_orderkey % 4 - 2) / 8::DOUBLE AS ay FROM orders)"
 _PATH = _EGO + """, st AS (SELECT token, t::INT AS t, CASE WHEN t > 0 THEN vx + (t - 1) * ax ELSE 0 END AS dx, CASE WHEN t = 0 THEN 0 WHEN t = 1 THEN vy ELSE greatest(vy + (t - 1) * ay, 0) END AS dy FROM ego, generate_series(0, 6) g(t)),
 path AS (SELECT token, t, sum(dx) OVER w AS x, sum(dy) OVER w AS y, dx, dy FROM st WINDOW w AS (PARTITION BY token ORDER BY t))"""
-_HIT = _PATH + """, w AS (SELECT token, ord, dx, dy, t::INT AS t, x + t * vx AS x, y + t * 0.5 AS y FROM objects, generate_series(1, 6) s(t)),
+_HIT = _PATH + """, w AS (SELECT token, ord, dx, dy, t::INT AS t, x + t * vx AS x, y + t * 0.5 AS y FROM objects, generate_series(0, 6) s(t)),
 h AS (SELECT w.token, w.ord, min(w.t) AS t FROM w JOIN path p ON p.token = w.token AND p.t = w.t WHERE abs(p.x - w.x) < 0.925 + w.dx / 2 + 2 AND w.y > p.y AND w.y - p.y < 2.042 + w.dy / 2 + 6 AND w.y + (6 - w.t) * 0.5 > 0 GROUP BY w.token, w.ord)"""
 _ACTION = _PATH + """, f AS (SELECT token, max(abs(x)) FILTER (t > 0) AS aside, arg_max(x, t) AS x, arg_max(sqrt(dx * dx + dy * dy), t) AS th FROM path GROUP BY token),
 s AS (SELECT f.*, sqrt(vx * vx + vy * vy) AS nw FROM f JOIN ego USING (token)),
@@ -45,7 +45,12 @@ def _ego(s, d):
 
 def _first(s, d):
     o = view(s, d, "objects")
-    return driving.first_hits(driving.roll_out(_ego(s, d)), spatial.waypoints(o), o)
+    return driving.first_hits(driving.roll_out(_ego(s, d)), spatial.waypoints(o, first=0), o)
+
+
+def _thoughts(s, d):
+    ego, objects = _ego(s, d), view(s, d, "objects")
+    return driving.reasoning_text(ego, _first(s, d), driving.meta_actions(ego, driving.roll_out(ego)), spatial.waypoints(objects, first=0), objects)
 
 
 def _memory(s, d):
@@ -103,10 +108,11 @@ QUERIES = {
     "ego_goals": ((lambda s, d: view(s, d, "orders").select(F.col("o_orderkey").alias("token"), driving.goal(F.col("o_orderkey") % 3 - 1, F.col("o_orderkey") % 2).alias("goal"))), "SELECT o_orderkey AS token, CASE WHEN o_orderkey % 3 - 1 > 0 THEN 'RIGHT' WHEN o_orderkey % 2 > 0 THEN 'LEFT' ELSE 'FORWARD' END AS goal FROM orders"),
     "safe_zone_first_hit": (_first, with_views(_HIT + " SELECT token, ord, t FROM h", "objects")),
     "meta_action": ((lambda s, d: driving.meta_actions(_ego(s, d), driving.roll_out(_ego(s, d)))), "WITH" + _ACTION[1:] + " SELECT * FROM act"),
-    "rule_reasoning_text": ((lambda s, d: driving.reasoning_text(_ego(s, d), _first(s, d), driving.meta_actions(_ego(s, d), driving.roll_out(_ego(s, d))))), with_views(_HIT + _ACTION[len(_PATH):] + """, n AS (SELECT token, string_agg('object ' || ord || ' at ' || (t / 2)::DECIMAL(18,2) || ' s', '; ' ORDER BY ord) AS l FROM h GROUP BY token)
-SELECT act.token, 'Notable objects: ' || coalesce(l, 'None') || chr(10) || 'Meta action: ' || action AS thoughts FROM act LEFT JOIN n ON n.token = act.token""", "objects")),
-    "planner_messages": ((lambda s, d: driving.planner_message(driving.meta_actions(_ego(s, d), driving.roll_out(_ego(s, d))).select("token", F.lit("Ego: on the road.").alias("ego"), F.lit(None).cast("string").alias("perception"), F.lit("None.").alias("experiences"), F.col("action").alias("reasoning")))), "WITH" + _ACTION[1:] + " SELECT token, 'Ego: on the road.' || chr(10) || 'Experience: None.' || chr(10) || 'Rules:' || chr(10) || '" + "' || chr(10) || '".join(f"- {t}" for _, t in driving.COMMON_SENSE) + "' || chr(10) || 'Reasoning: ' || action AS message FROM act"),
-    "common_sense": ((lambda s, d: s.createDataFrame([(k, *x) for k, x in enumerate(driving.COMMON_SENSE)], "place int, kind string, rule string")), "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(driving.COMMON_SENSE)) + ") v(place, kind, rule)"),
+    "rule_reasoning_text": (_thoughts, with_views(_HIT + _ACTION[len(_PATH):] + """, n AS (SELECT h.token, string_agg(' - Notable Objects: ' || o.name || ' at (' || o.x::DECIMAL(18,2) || ',' || o.y::DECIMAL(18,2) || '), moving to (' || w.x::DECIMAL(18,2) || ',' || w.y::DECIMAL(18,2) || ') at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10) || '   Potential Effects: within the safe zone of the ego-vehicle at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10), '' ORDER BY h.ord) AS l
+  FROM h JOIN objects o ON o.token = h.token AND o.ord = h.ord JOIN w ON w.token = h.token AND w.ord = h.ord AND w.t = h.t GROUP BY h.token)
+SELECT act.token, '*****Chain of Thoughts Reasoning:*****' || chr(10) || 'Thoughts:' || chr(10) || coalesce(l, ' - Notable Objects: None' || chr(10) || '   Potential Effects: None' || chr(10)) || 'Driving Plan: ' || action || chr(10) AS thoughts FROM act LEFT JOIN n ON n.token = act.token""", "objects")),
+    "planner_messages": ((lambda s, d: driving.planner_message(view(s, d, "planner"))), with_views("SELECT id, ego || perception || coalesce(experiences, '') || commonsense || reasoning AS message FROM planner", "planner")),
+    "common_sense": ((lambda s, d: s.range(1).select(F.lit(driving.common_sense()).alias("prompt"))), "SELECT chr(10) || '*****Traffic Rules:*****' || chr(10) || '- " + "' || chr(10) || '- ".join(driving.TRAFFIC_RULES) + "' || chr(10) AS prompt"),
     "experience_topk": ((lambda s, d: driving.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).withColumn("confidence", F.round("confidence", 6))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
   + 10 * list_sum(list_transform(generate_series(10, 12), lambda i: (q.e[i] - m.e[i]) ** 2)) + list_sum(list_transform(generate_series(13, 20), lambda i: (q.e[i] - m.e[i]) ** 2)))) END AS confidence FROM mem q, mem m WHERE q.ord % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, ord)::INT AS place FROM c) SELECT query, ord, round(confidence, 6) AS confidence, place FROM r WHERE place <= 3"""),

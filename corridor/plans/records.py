@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corridor.functions import keyed, trajectory_text
+from corridor.functions import formats, keyed, trajectory_text
 from corridor.operators import choices, conversations, driving, links, packing, spatial, text_records, tools
 from corridor.sources import files
 from corridor.sources.fixtures import view, with_views
@@ -17,7 +17,7 @@ l AS (SELECT *, CASE WHEN i >= n + 2 AND i < 2 * n + 4 THEN id ELSE -100 END AS
 
 
 def _prompts(s, d):
-    return spatial.prompt(spatial.surrounding(view(s, d, "objects")), "Objects:").withColumn("prompt", F.concat("prompt", F.lit("\n\ncar object_id: 99, position: (1.00, 1.00), size: (1.00, 1.00)")))
+    return spatial.prompt(spatial.surrounding(view(s, d, "objects")), *formats.OBJECTS["surrounding"]).withColumn("prompt", F.concat("prompt", F.lit("\nObject detected, object type: car, object id: 99, position: (1.00, 1.00), size: (1.00, 1.00)")))
 
 
 def _ids(s, d):
@@ -52,9 +52,21 @@ def _links(s, d):
     return own.select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next"))
 
 
+_STATES = (("vx", 5, 0.5), ("vy", 9, 0.5), ("v_yaw", 3, 1), ("ax", 4, 1), ("ay", 7, 1), ("cx", 6, 1), ("cy", 8, 1), ("v_head", 11, 0.5), ("steering", 13, 1))
+
+
+def _ego_prompts(s, d):
+    k = F.col("o_orderkey")
+    states = {n: (k % m - 2) / F.lit(4.0) for n, m, _ in _STATES}
+    history = [(F.lit(-i / 4), F.lit(i * -0.5)) for i in range(5)]
+    return view(s, d, "orders").select(k.alias("token"), driving.ego_prompt(states, history, driving.goal((k % 3 == 0).cast("int"), (k % 3 == 1).cast("int"))).alias("prompt"))
+
+
 QUERIES = {
     "scene_link_walk": ((lambda s, d: links.walk(_links(s, d), "event_id", "next")), "SELECT event_id, first_value(event_id) OVER w AS start, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
-    "ego_prompts": ((lambda s, d: view(s, d, "orders").select("o_orderkey", driving.ego_prompt(*[(F.col("o_orderkey") % k - 2) / F.lit(4.0) for k in (5, 9, 3, 4, 7)], F.lit("FORWARD")).alias("prompt"))), "WITH v AS (SELECT o_orderkey, " + ", ".join(f"((o_orderkey % {k} - 2) / 4 * {f})::DECIMAL(18,2) AS v{k}" for k, f in ((5, 0.5), (9, 0.5), (3, 0.5), (4, 1), (7, 1))) + " FROM orders) SELECT o_orderkey, 'Ego states:' || chr(10) || ' - Velocity: (' || v5 || ',' || v9 || ')' || chr(10) || ' - Heading: (' || v3 || ')' || chr(10) || ' - Acceleration: (' || v4 || ',' || v7 || ')' || chr(10) || 'Mission Goal: FORWARD' AS prompt FROM v"),
+    "ego_prompts": (_ego_prompts, "WITH v AS (SELECT o_orderkey AS k, " + ", ".join(f"((o_orderkey % {m} - 2) / 4 * {f})::DECIMAL(18,2) AS {n}" for n, m, f in _STATES) + """ FROM orders)
+SELECT k AS token, '*****Ego States:*****' || chr(10) || 'Current State:' || chr(10) || ' - Velocity (vx,vy): (' || vx || ',' || vy || ')' || chr(10) || ' - Heading Angular Velocity (v_yaw): (' || v_yaw || ')' || chr(10) || ' - Acceleration (ax,ay): (' || ax || ',' || ay || ')' || chr(10) || ' - Can Bus: (' || cx || ',' || cy || ')' || chr(10)
+  || ' - Heading Speed: (' || v_head || ')' || chr(10) || ' - Steering: (' || steering || ')' || chr(10) || 'Historical Trajectory (last 2 seconds): [' || list_aggregate(list_transform([0, 1, 2, 3], lambda i: '(' || (-i / 4)::DECIMAL(18,2) || ',' || (i * -0.5)::DECIMAL(18,2) || ')'), 'string_agg', ', ') || ']' || chr(10) || 'Mission Goal: ' || CASE k % 3 WHEN 0 THEN 'RIGHT' WHEN 1 THEN 'LEFT' ELSE 'FORWARD' END || chr(10) AS prompt FROM v"""),
     "accelerations": ((lambda s, d: driving.accelerations(view(s, d, "gt"))), with_views(", a AS (SELECT token, t, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM gt WINDOW w AS (PARTITION BY token ORDER BY t)), b AS (SELECT token, t, dx - lag(dx) OVER w AS ax, dy - lag(dy) OVER w AS ay FROM a WINDOW w AS (PARTITION BY token ORDER BY t)) SELECT token, ax, ay FROM b WHERE t = 6", "gt")),
     "vision_elements": ((lambda s, d: view(s, d, "media_rows").select("conv_id", "turn", F.size(conversations.vision_elements(F.array(F.struct(F.lit("text").alias("type"), F.when(F.col("n_images") > 0, "i").alias("image"), F.lit(None).cast("string").alias("video")), F.struct(F.when(F.col("n_videos") > 0, "video").otherwise("text").alias("type"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("video"))))).alias("n"))), with_views("SELECT conv_id, turn, ((n_images > 0)::INT + (n_videos > 0)::INT)::INT AS n FROM media_rows", "media_rows")),
     "packed_estimates": ((lambda s, d: view(s, d, "media_rows").select("conv_id", "turn", conversations.packed_estimate(F.col("text"), F.lit(2), F.col("n_images") * 64).alias("tokens"))), with_views("SELECT conv_id, turn, (31 + len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + n_images * 64)::INT AS tokens FROM media_rows", "media_rows")),
@@ -70,7 +82,7 @@ QUERIES = {
     "stripped_marks": ((lambda s, d: view(s, d, "part").select("p_partkey", conversations.without_marks(F.concat(F.lit("<ref>"), F.col("p_name"), F.lit("</ref><box>(1,2)</box> ok"))).alias("text"))), "SELECT p_partkey, p_name || ' ok' AS text FROM part"),
     "list_fields": ((lambda s, d: view(s, d, "part").select("p_partkey", F.explode(choices.as_list(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('["'), F.col("p_brand"), F.lit('", "x"]'))).otherwise(F.col("p_brand")))).alias("item"))), "SELECT p_partkey, p_brand AS item FROM part UNION ALL SELECT p_partkey, 'x' FROM part WHERE p_partkey % 2 = 0"),
     "interleaved_media": ((lambda s, d: view(s, d, "part").select("p_partkey", F.posexplode(choices.interleaved(F.concat(F.lit("see <image 1> and <image 2> of "), F.col("p_name")))).alias("k", "p")).select("p_partkey", "k", "p.kind", "p.value")), "SELECT p_partkey, k::INT AS k, CASE k % 2 WHEN 0 THEN 'text' ELSE 'image' END AS kind, CASE k WHEN 0 THEN 'see ' WHEN 1 THEN '1' WHEN 2 THEN ' and ' WHEN 3 THEN '2' ELSE ' of ' || p_name END AS value FROM part, generate_series(0, 4) g(k)"),
-    "code_prompts": ((lambda s, d: view(s, d, "part").select("p_partkey", choices.code_prompt(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "def f():"), F.col("p_partkey") % 3 == 0).alias("prompt"))), "SELECT p_partkey, 'QUESTION:' || chr(10) || p_name || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'def f():' ELSE '' END || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN 'Use Call-Based format' ELSE 'Use Standard Input format' END || chr(10) || 'ANSWER:' || chr(10) AS prompt FROM part"),
+    "code_prompts": ((lambda s, d: view(s, d, "part").select("p_partkey", choices.code_prompt(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "def f():").otherwise(""), F.col("p_partkey") % 3 == 0).alias("prompt"))), "SELECT p_partkey, chr(10) || 'QUESTION:' || chr(10) || p_name || chr(10) || CASE WHEN p_partkey % 3 = 0 OR p_partkey % 2 = 0 THEN 'Please write your code using Call-Based format.' ELSE 'Please write your code using Standard IO, i.e. input() and print().' END || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'The starter code is provided as below. Please finish the code.' || chr(10) || 'def f():' || chr(10) ELSE '' END || chr(10) || 'ANSWER:' || chr(10) AS prompt FROM part"),
     "dataset_mix_sampled": (_mix, "SELECT '/data/documents' AS data_path, floor(0.3 * count(*))::BIGINT AS n FROM documents UNION ALL SELECT '/data/conversations', count(*) FROM conversations"),
     "back_references": ((lambda s, d: files.resolved_images(view(s, d, "part").select(F.col("p_partkey").cast("string").alias("index"), F.when(F.col("p_partkey") % 4 == 0, F.repeat("p_name", 20)).otherwise((F.col("p_partkey") - F.col("p_partkey") % 4).cast("string")).alias("image"))).select("index", F.length("image").alias("n"))), "WITH p AS (SELECT p_partkey::VARCHAR AS index, CASE WHEN p_partkey % 4 = 0 THEN repeat(p_name, 20) ELSE (p_partkey - p_partkey % 4)::VARCHAR END AS image FROM part) SELECT a.index, length(CASE WHEN length(a.image) <= 64 THEN b.image ELSE a.image END)::INT AS n FROM p a LEFT JOIN p b ON length(a.image) <= 64 AND b.index = a.image"),
     "tool_calls": ((lambda s, d: tools.call("objects_in_range", {"objects": view(s, d, "objects")}, x_start=-20, x_end=20, y_start=0, y_end=10).groupBy("name").agg(F.count("*").alias("n"))), with_views("SELECT name, count(*) AS n FROM objects WHERE x BETWEEN -20 AND 20 AND y BETWEEN 0 AND 10 GROUP BY name", "objects")),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corridor.functions import formats
 from corridor.operators import planning, spatial
 from corridor.sources.fixtures import view, with_views
 
 _PIXEL = "trunc(200 * (x + 50.25) / 100)::INT AS px, trunc(200 * (y + 50.25) / 100)::INT AS py"
 _VALID = "px >= 0 AND px < 200 AND py >= 0 AND py < 200"
-_TEXT = "name || ' object_id: ' || ord || ', position: (' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || '), size: (' || dx::DECIMAL(18,2) || ', ' || dy::DECIMAL(18,2) || ')'"
+_LINE = """'{lead}, object type: ' || name || ', object id: ' || ord || ', position: (' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || '), size: (' || dx::DECIMAL(18,2) || ', ' || dy::DECIMAL(18,2) || ')' || chr(10)"""
 _STEPS = ", w AS (SELECT token, ord, t::INT AS t, x + t * vx AS x, y + t * 0.5 AS y FROM objects, generate_series(1, 6) s(t))"
 _AT = f", q AS (SELECT *, {_PIXEL} FROM gt), v AS (SELECT *, {_VALID} AS valid FROM q)"
 _EGO = """, eg AS (SELECT token % 15000 AS token, t, avg(x) AS ex, avg(y) AS ey FROM gt GROUP BY 1, 2),
@@ -55,8 +56,36 @@ _FILTERS = {
     "front_objects": (spatial.front, "abs(x) < 5 AND y >= 0 AND y < 20"), "objects_in_range": (lambda o: spatial.in_range(o, -20, 20, 0, 10), "x BETWEEN -20 AND 20 AND y BETWEEN 0 AND 10"), "all_objects": (spatial.all_objects, "true"),
 }
 
+def _quoted(text):
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+def _prompt(kind, pick, condition):
+    header, lead = formats.OBJECTS_IN_RANGE[0].format(-20, 20, 0, 10) if kind == "range" else formats.OBJECTS[kind][0], formats.OBJECTS.get(kind, formats.OBJECTS_IN_RANGE)[1]
+    return (lambda s, d: spatial.prompt(pick(view(s, d, "objects")), header, lead)), with_views(f"SELECT token, {_quoted(header)} || string_agg({_LINE.format(lead=lead)}, '' ORDER BY ord) AS prompt FROM objects WHERE {condition} GROUP BY token", "objects")
+
+
+def _futures(kind, short, pick, condition):
+    header, lead, span = formats.TRAJECTORIES[kind]
+    start = f"{lead}: " if lead == "Object type" else f"{lead}, object type: "
+    rest = "', moving to: ' || max(p) FILTER (t = 6)" if short else f"', future waypoint coordinates in {span}: [' || string_agg(p, ', ' ORDER BY t) || ']'"
+    sql = f"""{_STEPS}, q AS (SELECT w.token, w.ord, o.name, t, '(' || w.x::DECIMAL(18,2) || ', ' || w.y::DECIMAL(18,2) || ')' AS p FROM w JOIN objects o ON o.token = w.token AND o.ord = w.ord WHERE {condition}),
+l AS (SELECT token, ord, '{start}' || name || ', object id: ' || ord || {rest} || chr(10) AS l FROM q GROUP BY token, ord, name) SELECT token, {_quoted(header)} || string_agg(l, '' ORDER BY ord) AS prompt FROM l GROUP BY token"""
+
+    def run(s, d):
+        own = pick(view(s, d, "objects"))
+        return spatial.trajectory_prompt(spatial.waypoints(own), own, header, lead, span, short)
+
+    return run, with_views(sql, "objects")
+
+
 QUERIES = {n: ((lambda s, d, f=f: f(view(s, d, "objects"))), with_views(f"SELECT * FROM objects WHERE {c}", "objects")) for n, (f, c) in _FILTERS.items()} | {
-    "object_prompt_text": (lambda s, d: spatial.prompt(spatial.front(view(s, d, "objects")), "Front objects:"), with_views(f"SELECT token, 'Front objects:' || chr(10) || string_agg({_TEXT}, chr(10) ORDER BY ord) AS prompt FROM objects WHERE abs(x) < 5 AND y >= 0 AND y < 20 GROUP BY token", "objects")),
+    "leading_object_prompts": _prompt("leading", *_FILTERS["leading_objects"]),
+    "surrounding_object_prompts": _prompt("surrounding", *_FILTERS["surrounding_objects"]),
+    "object_prompt_text": _prompt("front", *_FILTERS["front_objects"]),
+    "range_object_prompts": _prompt("range", *_FILTERS["objects_in_range"]),
+    "leading_trajectory_prompts": _futures("leading", False, spatial.leading, "abs(o.x) < 3 AND o.y >= 0 AND o.y < 10"),
+    "trajectory_prompts_for_ids": _futures("ids", True, lambda o: spatial.for_ids(o, [0, 2, 5]), "o.ord IN (0, 2, 5)"),
     "leading_trajectories": (lambda s, d: spatial.waypoints(spatial.leading(view(s, d, "objects"))), with_views(_STEPS + " SELECT w.* FROM w JOIN objects o USING (token, ord) WHERE abs(o.x) < 3 AND o.y >= 0 AND o.y < 10", "objects")),
     "waypoints_for_ids": (lambda s, d: spatial.for_ids(spatial.waypoints(view(s, d, "objects")), [0, 2, 5]), with_views(_STEPS + " SELECT * FROM w WHERE ord IN (0, 2, 5)", "objects")),
     "waypoint_at_step": (lambda s, d: spatial.at_step(spatial.waypoints(view(s, d, "objects")), [0, 2, 5], 3), with_views(_STEPS + " SELECT *, 1.5::DOUBLE AS seconds FROM w WHERE ord IN (0, 2, 5) AND t = 3", "objects")),

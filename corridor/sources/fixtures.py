@@ -46,11 +46,16 @@ SELECT DISTINCT token, cast(i % 4 AS int) AS layer, cast(@h('mr|' || token || '|
 FROM (SELECT token, @series(0, 199) AS i FROM (SELECT DISTINCT token FROM gt) a) b"""),
     "samples": (("conversations", "orders", "customer", "nation", "region"), """
 SELECT u.conv_id, u.turn, u.text AS user_text, CASE u.conv_id % 3 WHEN 0 THEN 'RIGHT' WHEN 1 THEN 'LEFT' ELSE 'FORWARD' END AS goal, r.r_name AS location,
-  CASE WHEN @h(u.conv_id || '|' || u.turn || '|0') % 2 = 1 THEN '<Goal?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|1') % 2 = 1 THEN '<Perception?>' ELSE '' END ||
-  CASE WHEN @h(u.conv_id || '|' || u.turn || '|2') % 2 = 1 THEN '<Experience?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|3') % 2 = 1 THEN '<Rules?>' ELSE '' END ||
-  CASE WHEN @h(u.conv_id || '|' || u.turn || '|4') % 2 = 1 THEN '<Thoughts?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|5') % 2 = 1 THEN '<Plan?><Plan?>' ELSE '' END || a.text AS answer
+  CASE WHEN @h(u.conv_id || '|' || u.turn || '|0') % 2 = 1 THEN '<What is the mission goal?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|1') % 2 = 1 THEN '<What do you perceive in the scene?>' ELSE '' END ||
+  CASE WHEN @h(u.conv_id || '|' || u.turn || '|2') % 2 = 1 THEN '<What is a similar past experience?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|3') % 2 = 1 THEN '<What are the collidable objects?>' ELSE '' END ||
+  CASE WHEN @h(u.conv_id || '|' || u.turn || '|4') % 2 = 1 THEN '<What is the driving plan?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|5') % 2 = 1 THEN '<What are the notable objects?><What are the notable objects?>' ELSE '' END || a.text AS answer
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND u.role = 'user'
 JOIN orders o ON o.o_orderkey = u.conv_id + 1 JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey"""),
+    "planner": (("samples",), """
+SELECT conv_id * 1000 + turn AS id, 'Ego: ' || user_text || chr(10) || 'Mission Goal: ' || goal || chr(10) AS ego, '*****Perception Results:*****' || CASE WHEN conv_id % 4 = 0 THEN '' ELSE chr(10) || location END AS perception,
+  chr(10) || '*****Traffic Rules:*****' AS commonsense, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE '*****Past Driving Experience for Reference:*****' || chr(10) || 'went ' || goal END AS experiences,
+  'x' || chr(10) || 'Thoughts:' || CASE WHEN turn % 3 = 0 THEN ' ' ELSE ' objects near' END || chr(10) || 'Driving Plan:' || ' drive ' || goal AS chain_of_thoughts,
+  'y' || chr(10) || 'Thoughts:' || ' saw ' || location || chr(10) || 'Driving Plan:' || ' go' AS reasoning, 'Planned Trajectory:' || chr(10) || '[(1.00,2.00)]' AS planning_target FROM samples"""),
     "media_rows": (("conversations",), """
 SELECT conv_id, turn, role, repeat('<image>', cast(@h('i|' || conv_id || '|' || turn) % 3 AS int)) || ' ' || text || CASE WHEN @h('w|' || conv_id || '|' || turn) % 5 = 0 THEN ' <video> ' ELSE '' END AS text,
   cast(@h('n|' || conv_id || '|' || turn) % 3 AS int) AS n_images, cast(CASE WHEN @h('w|' || conv_id || '|' || turn) % 5 = 0 THEN 1 ELSE 0 END AS int) AS n_videos FROM conversations"""),
