@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridor.functions import formats
-from corridor.operators import planning, spatial
+from corridor.operators import map_text, planning, spatial
 from corridor.sources.fixtures import view, with_views
 
 _PIXEL = "trunc(200 * (x + 50.25) / 100)::INT AS px, trunc(200 * (y + 50.25) / 100)::INT AS py"
@@ -13,6 +13,11 @@ _VALID = "px >= 0 AND px < 200 AND py >= 0 AND py < 200"
 _LINE = """'{lead}, object type: ' || name || ', object id: ' || ord || ', position: (' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || '), size: (' || dx::DECIMAL(18,2) || ', ' || dy::DECIMAL(18,2) || ')' || chr(10)"""
 _STEPS = ", w AS (SELECT token, ord, t::INT AS t, x + t * vx AS x, y + t * 0.5 AS y FROM objects, generate_series(1, 6) s(t))"
 _AT = f", q AS (SELECT *, {_PIXEL} FROM gt), v AS (SELECT *, {_VALID} AS valid FROM q)"
+_POINT = "'(' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || ')'"
+_SHOULDERS = _AT + f""", n AS (SELECT v.token, v.t, max(m.c) FILTER (m.c < px) AS l, min(m.c) FILTER (m.c >= px) AS k FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 2 AND m.r >= greatest(py - 5, 0) AND m.r < least(py + 5, 199) WHERE valid GROUP BY v.token, v.t),
+d AS (SELECT v.token, v.t, x, y, ((px - l) * 0.5::DOUBLE) || 'm' AS l, ((k - px) * 0.5::DOUBLE) || 'm' AS k FROM v LEFT JOIN n ON n.token = v.token AND n.t = v.t WHERE valid)
+SELECT token, 'Distance to both sides of road shoulders of selected locations:' || chr(10) || string_agg('Location ' || {_POINT} || CASE WHEN l IS NULL AND k IS NULL THEN ' distance to shoulders are uncertain' WHEN l IS NULL THEN ' distance to left shoulder is uncertain and distance to right shoulder is ' || k
+  WHEN k IS NULL THEN ' distance to left shoulder is ' || l || ' and distance to right shoulder is uncertain' ELSE ' distance to left shoulder is ' || l || ' and right shoulder is ' || k END || chr(10), '' ORDER BY t) AS prompt FROM d GROUP BY token"""
 _EGO = """, eg AS (SELECT token % 15000 AS token, t, avg(x) AS ex, avg(y) AS ey FROM gt GROUP BY 1, 2),
 w AS (SELECT token, ord, dx AS bdx, dy AS bdy, rot_z AS br, t::INT AS t, x + t * vx AS bx, y + t * 0.5 AS by_ FROM objects, generate_series(1, 6) s(t)),
 m AS (SELECT w.*, ex, ey FROM w JOIN eg ON eg.token = w.token AND eg.t = w.t WHERE abs(bx - ex) < 10 AND abs(by_ - ey) < 10),
@@ -80,6 +85,12 @@ l AS (SELECT token, ord, '{start}' || name || ', object id: ' || ord || {rest} |
 
 
 QUERIES = {n: ((lambda s, d, f=f: f(view(s, d, "objects"))), with_views(f"SELECT * FROM objects WHERE {c}", "objects")) for n, (f, c) in _FILTERS.items()} | {
+    "drivable_prompts": ((lambda s, d: map_text.drivable(*_map(s, d))), with_views(_AT + f" SELECT v.token, 'Drivability of selected locations:' || chr(10) || coalesce(string_agg('Location ' || {_POINT} || CASE WHEN m.token IS NOT NULL THEN ' is drivable' ELSE ' is not drivable' END || chr(10), '' ORDER BY v.t) FILTER (valid), '') AS prompt FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 0 GROUP BY v.token", "gt", "map_cells")),
+    "drivable_path_prompts": ((lambda s, d: map_text.drivable_path(*_map(s, d))), with_views(_AT + f" SELECT v.token, 'Drivability of the planned trajectory:' || chr(10) || coalesce(string_agg('Waypoint ' || {_POINT} || ' is not drivable at time step ' || v.t || chr(10), '' ORDER BY v.t) FILTER (valid AND m.token IS NULL), 'All waypoints of the planned trajectory are in drivable regions' || chr(10)) AS prompt FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 0 GROUP BY v.token", "gt", "map_cells")),
+    "lane_prompts": ((lambda s, d: map_text.lanes(*_map(s, d))), with_views(_AT + f", l AS (SELECT v.token, v.t, any_value(v.x) AS x, any_value(v.y) AS y, any_value(valid) AS valid, string_agg(['divider', 'ped_crossing', 'boundary'][m.layer + 1], ', ' ORDER BY m.layer) AS n FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer < 3 GROUP BY v.token, v.t) SELECT token, 'Lane category of selected locations:' || chr(10) || coalesce(string_agg('Location ' || {_POINT} || CASE WHEN n IS NULL THEN ' has no lane category' ELSE ' has lane category ' || n END || chr(10), '' ORDER BY t) FILTER (valid), '') AS prompt FROM l GROUP BY token", "gt", "map_cells")),
+    "shoulder_prompts": ((lambda s, d: map_text.shoulders(*_map(s, d))), with_views(_SHOULDERS, "gt", "map_cells")),
+    "crossing_prompts": ((lambda s, d: map_text.crossing(*_map(s, d), 3)), with_views(_AT + ", k AS (SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 3 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1) SELECT token, 'Get the nearest pedestrian crossing location:' || chr(10) || string_agg('The nearest pedestrian crossing is at (' || (-50 + (c + 0.5::DOUBLE) * 0.5)::DECIMAL(18,2) || ', ' || (-50 + (r + 0.5::DOUBLE) * 0.5)::DECIMAL(18,2) || ')' || chr(10), '' ORDER BY t) AS prompt FROM k GROUP BY token", "gt", "map_cells")),
+    "collision_check_prompts": ((lambda s, d: map_text.collision_check(view(s, d, "gt"), view(s, d, "occ"))), with_views(f", q AS (SELECT *, {_PIXEL} FROM gt) SELECT q.token, 'Check collision of the planned trajectory:' || chr(10) || coalesce(string_agg('Waypoint ' || {_POINT} || ' collides at timestep ' || q.t || chr(10), '' ORDER BY q.t) FILTER (o.token IS NOT NULL AND {_VALID}), 'The planned trajectory does not collide with any other objects.' || chr(10)) AS prompt FROM q LEFT JOIN occ o ON o.token = q.token AND o.t = q.t AND o.r = py AND o.c = px AND o.p > 0.1 AND q.t < 5 GROUP BY q.token", "gt", "occ")),
     "leading_object_prompts": _prompt("leading", *_FILTERS["leading_objects"]),
     "surrounding_object_prompts": _prompt("surrounding", *_FILTERS["surrounding_objects"]),
     "object_prompt_text": _prompt("front", *_FILTERS["front_objects"]),
