@@ -10,8 +10,8 @@ similarity ``threshold`` or more are linked; linked texts, directly or by others
 
 Equal word sequences are one class from the start. In a bucket, every member is verified against the bucket's first and last member, which is a number of
 pairs in proportion to the rows; that is every pair of a bucket of up to three. The members of larger buckets that are not yet connected, in tiles of bounded
-size of texts of like length, have the k-mers that they share counted by products of incidence matrices, and pairs that share enough are verified, the
-best few of each text and class first and more in later rounds, until none is left that is not connected. The counts are exact for texts of up to ``SET``
+size of texts of like length, have the k-mers that they share counted by products of incidence matrices. Of the pairs that share enough, those of a spanning
+forest are verified, and of more forests in later rounds, until no pair is left that is neither tested nor connected. The counts are exact for texts of up to ``SET``
 k-mers; of longer ones the ``SET`` of least hash are counted, with five standard deviations to spare. So no group is expanded into its pairs, and none is
 cut short.
 
@@ -206,12 +206,21 @@ def shared(sides: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
     return out
 
 
-def partners(most: int, threshold: float):
-    return lambda group: likely(group, most, threshold)
+def partners(forests: int, threshold: float):
+    return lambda group: likely(group, forests, threshold)
 
 
-def likely(group: pa.Table, most: int, threshold: float) -> pa.Table:
-    """Pairs of different components that share enough k-mers: each text's best ``most`` of each component, and whether there were more."""
+def top(root: dict[int, int], x: int) -> int:
+    while (up := root.setdefault(x, x)) != x:
+        root[x] = x = root[up] if up in root else up
+    return x
+
+
+def likely(group: pa.Table, forests: int, threshold: float) -> pa.Table:
+    """Pairs of different components that share enough k-mers, as so many spanning forests of the components, most k-mers first; and whether pairs are left over.
+
+    Of n texts that all share enough, a forest has n - 1 pairs, not n * n / 2. If they are verified, the texts are connected and nothing is left to do.
+    """
     same = group["i"][0].as_py() == group["j"][0].as_py()
     node, n, component, block, shorter = (group[c].to_numpy(zero_copy_only=False) for c in ("node", "n", "component", "block", "shorter"))
     left = np.arange(len(node)) if same else np.flatnonzero(block == block.min())
@@ -221,24 +230,23 @@ def likely(group: pa.Table, most: int, threshold: float) -> pa.Table:
     ok = (component[left][:, None] != component[right]) & (np.minimum(a, b) >= threshold * np.maximum(a, b)) & ~(shorter[left][:, None] & shorter[right])
     if same:
         ok = np.triu(ok, 1)
-    out_a, out_b, more = [], [], False
+    pairs, more = [], False
     if ok.any():
         counts = shared(([kmers[k] for k in left], [kmers[k] for k in right]))
         need = np.where(np.maximum(a, b) <= SET, np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9), SPARE * threshold * SET)
-        ok &= counts >= need
-        for x in np.flatnonzero(ok.any(1)):
-            other = np.flatnonzero(ok[x])
-            seen: dict[int, int] = {}
-            for y in other[np.argsort(-counts[x, other], kind="stable")]:
-                c = component[right[y]]
-                seen[c] = seen.get(c, 0) + 1
-                if seen[c] <= most:
-                    p, q = node[left[x]], node[right[y]]
-                    out_a.append(min(p, q))
-                    out_b.append(max(p, q))
-                else:
-                    more = True
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "more": pa.array([more] * len(out_a), pa.bool_())})
+        x, y = np.nonzero(ok & (counts >= need))
+        order = np.argsort(-(counts[x, y] / np.minimum(a[x, 0] + b[0, y], 2 * SET)), kind="stable")
+        roots: list[dict[int, int]] = [{} for _ in range(forests)]
+        for p, q in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
+            for root in roots:
+                u, v = top(root, component[p]), top(root, component[q])
+                if u != v:
+                    root[u] = v
+                    pairs.append(sorted((node[p], node[q])))
+                    break
+            else:
+                more = True
+    return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64()), "more": pa.array([more] * len(pairs), pa.bool_())})
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -255,7 +263,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     tested = written(pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct(), "pairs")
     links = verified(tested, nodes, docs, threshold)
     found = components(links)
-    members, most, kmers = written(picks.join(buckets.where("size > 3").select("band", "pick"), ["band", "pick"]), "members"), 4, None
+    members, forests, kmers = written(picks.join(buckets.where("size > 3").select("band", "pick"), ["band", "pick"]), "members"), 1, None
     ship(docs.sparkSession)
     while True:
         members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -272,7 +280,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         dealt = graded.join(sizes.select("band", "pick", "grade", "blocks"), ["band", "pick", "grade"]).join(kmers, "node")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         cells = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("band", "pick", "grade", "i", "j")
-        new = written(cells.applyInArrow(partners(most, threshold), "a long, b long, more boolean"), "likely")
+        new = written(cells.applyInArrow(partners(forests, threshold), "a long, b long, more boolean"), "likely")
         fresh = written(new.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = not new.where("more").isEmpty()
         if not fresh.isEmpty():
@@ -282,7 +290,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 found = components(links)
         if not more:
             break
-        members, most = members.drop("component"), most * 64 if most < 1000 else most * 10**6
+        members, forests = members.drop("component"), forests * 16
     member = rows.join(nodes.select("key", "node"), "key", "left").join(found, "node", "left")
     member = written(member.select("uid", "doc_id", "text_hash", F.coalesce("component", "node", "uid").alias("root")), "members")
     heads = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("class_id"), F.col("uid").alias("first"))).alias("head"))
