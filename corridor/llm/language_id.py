@@ -2,8 +2,8 @@
 
 Features are the counts of hashed 1- to 3-grams of lower-case characters (digits and ASCII punctuation read as spaces), weighted by inverse document
 frequency and scaled to unit length. Document frequencies cover every learnable text. The weights are trained by follow-the-regularised-leader with an
-elastic-net penalty, which leaves most of them at zero, on a sample bounded by ``SLOTS`` documents a language: the one of least hash in each slot that
-ids hash into. A part of the sample is left for calibration: one temperature that fits the probabilities to it.
+elastic-net penalty, which leaves most of them at zero, on a sample bounded by ``SLOTS`` documents a language and ``SAMPLE`` in all: the one of least hash
+in each slot that ids hash into. More than ``MOST`` language values are refused. A part of the sample is left for calibration: one temperature that fits the probabilities to it.
 
 A text that is null or has no letter is ``und`` with score 0. Learnable are rows with an id, a text, a language and a fold other than the held-out one;
 without any, every text is ``und``. Rows are independent; repeated and null ids keep a row each. Whole texts are read, in blocks of bounded size.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corridor.llm.common import map_arrow, remainder
 
 BITS = 15
-SLOTS, CALIBRATION = 256, 64
+SLOTS, SAMPLE, MOST = 256, 16384, 1024
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 2e-3, 1e-3
 BLOCK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -140,10 +140,13 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     for k, n in df.items():
         idf[k] = np.log((1 + total) / (1 + n)) + 1
 
+    if (kinds := rows.select("lang").distinct().limit(MOST + 1).count()) > MOST:
+        raise ValueError(f"more than {MOST} language values")
+    slots = min(SLOTS, SAMPLE // max(kinds, 1))
     hashed = F.xxhash64("doc_id")
-    slot = F.pmod(hashed, F.lit(SLOTS))
+    slot = F.pmod(hashed, F.lit(slots))
     picks = rows.groupBy("lang", slot.alias("slot")).agg(F.min_by("doc_id", hashed).alias("doc_id"))
-    sample = rows.join(F.broadcast(picks), ["lang", "doc_id"]).select("lang", "slot", "text")  # SLOTS ids a language
+    sample = rows.join(F.broadcast(picks), ["lang", "doc_id"]).select("lang", "slot", "text")  # at most SAMPLE ids
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +163,7 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     for r in own:
         at, counts = np.array(r["at"], np.int64), np.array(r["counts"], np.float64)
         x = counts * idf[at]
-        (check if r.slot < CALIBRATION else fit).append((place[r.lang], at, x / max(np.sqrt((x * x).sum()), 1e-12)))
+        (check if r.slot < slots // 4 else fit).append((place[r.lang], at, x / max(np.sqrt((x * x).sum()), 1e-12)))
     fit, check = fit or check, check or fit
     weights, bias = follow(fit, len(languages), 1 << BITS)
     model = Model(languages, weights, idf, bias)
