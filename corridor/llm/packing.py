@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from corridor.llm.bpe import byte_characters
 from corridor.llm.common import documents, map_arrow, written
 
+BROADCAST = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -102,7 +103,8 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end
     """A row per piece, in the columns of ``PIECES``."""
     table = written(encoded(docs, vocabulary, pattern, end_id), "packing")
     totals = table.groupBy("part").agg(F.max(F.col("before") + F.length("ids") / F.col("width")).cast("long").alias("tokens"))
-    offsets = totals.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("base"))  # a row per partition of the first pass
+    offsets = written(totals.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("base")), "offsets")  # a row per partition of the first pass
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST else offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
