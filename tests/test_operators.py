@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corridor.functions import keyed, media, trajectory_text
-from corridor.operators import choices, conversations, driving, packing, planning, reasoning, refine, spatial, tools
+from corridor.operators import choices, conversations, driving, links, map_text, packing, planning, reasoning, refine, spatial, text_records, tools
 from corridor.sources import files
 from corridor.streaming import generations
 
@@ -195,3 +195,32 @@ def test_stream_equals_batch(spark, tmp_path):
     generations.run(spark, str(source), gt, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.t: (r.n, r.l2) for r in generations.merged(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {t: (3, float(t - 1)) for t in range(1, 7)}
+
+
+def test_links(spark):
+    chain = spark.createDataFrame([(1, 7), (7, 3), (3, None), (9, None), (4, 9)], "k long, n long")
+    assert {r.k: (r.start, r.place) for r in links.walk(chain, "k", "n").collect()} == {1: (1, 1), 7: (1, 2), 3: (1, 3), 4: (4, 1), 9: (4, 2)}
+    assert links.walk(chain.limit(0), "k", "n").count() == 0
+
+
+def test_map_texts(spark):
+    points = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 99.0, 0.0), (2, 1, 0.0, 0.0)], "token int, t int, x double, y double")
+    cells = spark.createDataFrame([(1, 0, 120, 120)], "token int, layer int, r int, c int")
+    got = {r.token: r.prompt for r in map_text.drivable(points, cells).collect()}
+    assert got == {1: "Drivability of selected locations:\nLocation (10.00, 10.00) is drivable\n", 2: "Drivability of selected locations:\nLocation (0.00, 0.00) is not drivable\n"}
+    path = {r.token: r.prompt.split("\n")[1] for r in map_text.drivable_path(points, cells).collect()}
+    assert path == {1: "All waypoints of the planned trajectory are in drivable regions", 2: "Waypoint (0.00, 0.00) is not drivable at time step 1"}
+    assert map_text.shoulders(points.limit(0), cells).count() == 0
+
+
+def test_names_and_models(spark):
+    assert conversations.plain_names(spark.createDataFrame([(1, 2)], "Index int, A int")).columns == ["index", "A"]
+    with pytest.raises(ValueError):
+        conversations.plain_names(spark.createDataFrame([(1, 2)], "Index int, INDEX int").toDF("Index", "INDEX"))
+    assert [r.v for r in text_records.scored(spark.range(3), lambda b: b.assign(v=b["id"] * 2), "id long, v long").orderBy("id").collect()] == [0, 2, 4]
+
+
+def test_point_read(spark, tmp_path):
+    spark.range(10).withColumn("token", F.col("id") % 3).write.partitionBy("token").parquet(str(tmp_path / "t"))
+    rows = files.point_read(spark, str(tmp_path / "t"), "token", 1)
+    assert rows.count() == 3 and "PartitionFilters: [isnotnull(token" in rows._jdf.queryExecution().toString()
