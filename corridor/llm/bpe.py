@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 
+import regex
+
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Transitions and words that a worker keeps, at most; beyond, the store starts anew. It changes speed alone.
-TRANSITIONS, WORDS = 1_000_000, 200_000
+TRANSITIONS, WORDS = 1_000_000, 400_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -150,3 +153,31 @@ def from_json(path: str) -> tuple[Transducer, dict]:
 def white(pattern: str) -> str:
     r"""The pattern with \s and \S as the Unicode property White_Space, which Python's own classes exceed by four control characters."""
     return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+
+
+def narrow(pattern: str) -> str:
+    r"""The pattern for texts of the first 256 characters alone: \p{L}, \p{N} and \s are listed as what they hold of those."""
+    first = [chr(c) for c in range(256)]
+    listed = {k: "".join(f"\\x{ord(c):02x}" for c in first if regex.match(white(k), c)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    out = []
+    for part in re.split(r"(\[[^\]]*\])", pattern):
+        inside = part.startswith("[")
+        part = part.replace(r"\S", f"[^{listed[chr(92) + 's']}]")
+        for k, own in listed.items():
+            part = part.replace(k, own if inside else f"[{own}]")
+        out.append(part)
+    return "".join(out)
+
+
+def splitter(pattern: str):
+    """Text to its words by the pattern; the narrow form of it, which costs half, wherever it says the same."""
+    wide, quick = regex.compile(white(pattern)).findall, re.compile(narrow(pattern)).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return wide(text)
+        return quick(text)
+
+    return split

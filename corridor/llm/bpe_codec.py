@@ -13,7 +13,6 @@ from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from corridor.llm import bpe
@@ -51,11 +50,11 @@ class Utf8Machine:
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         self.machine, self.pieces = bpe.from_ranks(path)
-        self.pattern = regex.compile(bpe.white(pattern))
+        self.split = bpe.splitter(pattern)
         self.words = Words(lambda word: tuple(self.machine.ids(word.encode().decode("latin-1"))))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text))))
+        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
 
     def bytes_of(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))

@@ -56,7 +56,7 @@ class Counter:
         known = self.suffix and split and split["behavior"] == "Removed" and split["invert"] and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         if not known:
             raise ValueError(f"{path}: the transducer is compiled for NFC, lower case and words without white space")
-        self.word = regex.compile(bpe.white(split["pattern"]["Regex"]))
+        self.split = bpe.splitter(split["pattern"]["Regex"])
         self.white = regex.compile(bpe.white(r"\s"))
         self.normal = _normalizer(path)
         self.words = Words(self.emitted)
@@ -66,7 +66,7 @@ class Counter:
         return len(self.machine.ids(own[:-1] + chr(ord(own[-1]) + 256)))
 
     def read(self, text: str) -> int:
-        return sum(map(self.words.__getitem__, self.word.findall(text)))
+        return sum(map(self.words.__getitem__, self.split(text)))
 
     def state_map(self, chunk: str) -> tuple:
         """(whether it has white space, what the entry state reads on, tokens in between, the exit state); without white space all is read on."""

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,13 @@ def test_compiled_merges_equal_the_library():
             assert got == [i for w in re.findall(r"\S+", word) for i in enc._encode_single_piece(w.encode())]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=300), max_size=40))
+def test_narrow_patterns_split_alike(text):
+    for pattern in (P.PATTERN, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        assert bpe.splitter(pattern)(text) == regex.compile(bpe.white(pattern)).findall(text)
+
+
 def test_token_counts(spark):
     tok = Tokenizer.from_file(WORD)
     want = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
