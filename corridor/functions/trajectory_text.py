@@ -19,6 +19,11 @@ PAIRS = (
 LITERAL = rf"^\[\s*(?:\(\s*{NUMBER}\s*,\s*{NUMBER}\s*\)|\[\s*{NUMBER}\s*,\s*{NUMBER}\s*\])(?:\s*,\s*(?:\(\s*{NUMBER}\s*,\s*{NUMBER}\s*\)|\[\s*{NUMBER}\s*,\s*{NUMBER}\s*\]))*\s*,?\s*\]$"
 
 
+def let(value: Column, expression) -> Column:
+    """An expression of a value that is computed once, however often the expression uses it."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
 def after_marker(text: Column, marker: str = MARKER) -> Column:
     """The text between the first and the second marker, trimmed; null without one."""
     return F.when(F.contains(text, F.lit(marker)), F.regexp_replace(F.split_part(text, F.lit(marker), F.lit(2)), r"^\s+|\s+$", ""))
@@ -30,9 +35,13 @@ def numbers(text: Column) -> Column:
 
 def paired(values: Column, drop_odd: bool = False) -> Column:
     """Neighbours in pairs; null for fewer than two, or for an odd number unless its last is dropped."""
-    n = F.size(values)
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), lambda k: F.struct(F.get(values, 2 * k).alias("x"), F.get(values, 2 * k + 1).alias("y")))
-    return F.when((n >= 2) & (F.lit(drop_odd) | (n % 2 == 0)), pairs)
+
+    def read(v: Column) -> Column:
+        n = F.size(v)
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), lambda k: F.struct(F.get(v, 2 * k).alias("x"), F.get(v, 2 * k + 1).alias("y")))
+        return F.when((n >= 2) & (F.lit(drop_odd) | (n % 2 == 0)), pairs)
+
+    return let(values, read)
 
 
 def bracketed(text: Column) -> tuple[Column, Column]:
@@ -43,8 +52,7 @@ def bracketed(text: Column) -> tuple[Column, Column]:
 
 def parse_trajectory(text: Column) -> Column:
     """The plain parser: the first bracket after the marker, read as numbers in pairs. Of nested brackets it sees the first pair only."""
-    square, rounds = bracketed(after_marker(text))
-    return F.coalesce(paired(numbers(square)), paired(numbers(rounds)))
+    return let(after_marker(text), lambda t: F.coalesce(*[paired(numbers(part)) for part in bracketed(t)]))
 
 
 def repaired(text: Column) -> Column:
@@ -55,20 +63,17 @@ def repaired(text: Column) -> Column:
 def pairs_of(text: Column, pattern: str) -> Column:
     """All matches of a pattern with two groups; null without any."""
     xs, ys = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    return F.when(F.size(xs) > 0, F.zip_with(xs, ys, lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))))
+    return let(F.zip_with(xs, ys, lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))), lambda z: F.when(F.size(z) > 0, z))
 
 
 def parse_robust(text: Column) -> Column:
     """The tolerant parser: torn numbers are joined, then the pair formats in order of preference, then bare pairs within bounds, if at least two."""
-    square, rounds = bracketed(after_marker(text))
-
-    def read(part: Column) -> Column:
-        fixed = repaired(part)
+    def read(fixed: Column) -> Column:
         bare = pairs_of(F.regexp_replace(fixed, r"""['"]""", ""), rf"({NUMBER})\s+({NUMBER})")
-        bare = F.when(F.contains(fixed, F.lit("[")) & (F.size(bare) >= 2) & F.forall(bare, lambda p: (F.abs(p["x"]) < 1000) & (F.abs(p["y"]) < 1000)), bare)
+        bare = let(bare, lambda p: F.when(F.contains(fixed, F.lit("[")) & (F.size(p) >= 2) & F.forall(p, lambda q: (F.abs(q["x"]) < 1000) & (F.abs(q["y"]) < 1000)), p))
         return F.coalesce(F.when(fixed.rlike(LITERAL), paired(numbers(fixed))), *[pairs_of(fixed, p) for p in PAIRS], bare)
 
-    return F.coalesce(read(square), read(rounds))
+    return let(after_marker(text), lambda t: F.coalesce(*[let(repaired(part), read) for part in bracketed(t)]))
 
 
 def parse_strict(text: Column, steps: int = 6) -> Column:
