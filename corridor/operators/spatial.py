@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,9 +180,10 @@ def box_distance(a: Column, b: Column) -> Column:
 
 
 def object_collisions(ego: DataFrame, steps: DataFrame, objects: DataFrame, margin: float = 0.5) -> DataFrame:
-    """token, t, ord, overlaps, distance: for objects near a waypoint of the ego vehicle (within ten metres in x and y)."""
+    """token, t, ord, overlaps, distance, collides: for every object that its size lets come within the margin, and for others near a waypoint of the ego vehicle (within ten metres in x and y); an object without a row cannot collide."""
     shape = objects.select("token", "ord", "dx", "dy", "rot_z")
-    near = ego.select("token", "t", F.col("x").alias("ex"), F.col("y").alias("ey")).join(steps.join(shape, ["token", "ord"]), ["token", "t"]).where((F.abs(F.col("x") - F.col("ex")) < 10) & (F.abs(F.col("y") - F.col("ey")) < 10))
+    reach = F.greatest(F.lit(10.0), (F.lit(math.hypot(LENGTH, WIDTH)) + F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)) / 2 + margin)
+    near = ego.select("token", "t", F.col("x").alias("ex"), F.col("y").alias("ey")).join(steps.join(shape, ["token", "ord"]), ["token", "t"]).where((F.abs(F.col("x") - F.col("ex")) < reach) & (F.abs(F.col("y") - F.col("ey")) < reach))
     still = F.lit(0.0)
     mine = corners(F.col("ex"), F.col("ey"), F.lit(WIDTH), F.lit(LENGTH), still)
     rows = near.withColumns({"a": mine, "b": corners(F.col("x"), F.col("y"), F.col("dx"), F.col("dy"), F.col("rot_z"))})

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corridor.operators import spatial
 from corridor.plans import catalogue
 from corridor.sources.fixtures import view
 
@@ -22,3 +23,17 @@ def test_every_scene_has_an_ego_path_of_its_own(spark):
     assert set(ego) == scenes and set(ego.values()) <= set(real.values())
     found = catalogue.queries()["combined_collision"](spark, DATA).collect()
     assert sorted((r.token, r.t) for r in found) == sorted((k, t) for k in scenes for t in range(1, 7))
+
+
+def scene(spark, *boxes):
+    """An ego vehicle at the origin, and boxes (x, y, dx, dy, angle) at step 1."""
+    objects = spark.createDataFrame([(1, k, *map(float, b)) for k, b in enumerate(boxes)], "token long, ord int, x double, y double, dx double, dy double, rot_z double")
+    return spark.createDataFrame([(1, 1, 0.0, 0.0)], "token long, t int, x double, y double"), objects.select("token", "ord", F.lit(1).alias("t"), "x", "y"), objects
+
+
+def test_long_objects_collide_from_afar(spark):
+    # half lengths 9 and 2.042: overlaps; 0.258 m apart; 1.96 m apart; a small box near by; turned by a quarter, 0.275 m apart; too far
+    boxes = [(0, 10.5, 2.5, 18, 0), (0, 11.3, 2.5, 18, 0), (0, 13, 2.5, 18, 0), (8, 0, 2, 4, 0), (10.2, 0, 2.5, 18, 1.5707963267948966), (30, 30, 2.5, 18, 0)]
+    found = {r.ord: r for r in spatial.object_collisions(*scene(spark, *boxes), margin=0.5).collect()}
+    assert {k for k, r in found.items() if r.overlaps} == {0} and {k for k, r in found.items() if r.collides} == {0, 1, 4}
+    assert found[1].distance == pytest.approx(0.258) and 3 in found and 5 not in found
