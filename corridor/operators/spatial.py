@@ -179,7 +179,7 @@ def box_distance(a: Column, b: Column) -> Column:
     return F.least(one_way(a, b), one_way(b, a))
 
 
-def object_collisions(ego: DataFrame, steps: DataFrame, objects: DataFrame, margin: float = 0.5) -> DataFrame:
+def object_collisions(ego: DataFrame, steps: DataFrame, objects: DataFrame, margin: float = 1.0) -> DataFrame:
     """token, t, ord, overlaps, distance, collides: for every object that its size lets come within the margin, and for others near a waypoint of the ego vehicle (within ten metres in x and y); an object without a row cannot collide."""
     shape = objects.select("token", "ord", "dx", "dy", "rot_z")
     reach = F.greatest(F.lit(10.0), (F.lit(math.hypot(LENGTH, WIDTH)) + F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)) / 2 + margin)
@@ -191,10 +191,10 @@ def object_collisions(ego: DataFrame, steps: DataFrame, objects: DataFrame, marg
     return rows.select("token", "t", "ord", "overlaps", F.round("distance", 6).alias("distance"), (F.col("overlaps") | (F.col("distance") < margin)).alias("collides"))
 
 
-def combined_collision(occupancy: DataFrame, detected: DataFrame) -> DataFrame:
-    """token, t, collides: where both the forecast and an object say so."""
-    hit = detected.where("collides").select("token", "t").distinct().withColumn("hit", F.lit(True))
-    return occupancy.join(hit, ["token", "t"], "left").select("token", "t", (F.col("collides") & F.coalesce("hit", F.lit(False))).alias("collides"))
+def combined_collision(ego: DataFrame, occ: DataFrame, steps: DataFrame, objects: DataFrame, margin: float = 1.0) -> DataFrame:
+    """token, t, collides: where both the forecast and an object say so, with one margin."""
+    hit = object_collisions(ego, steps, objects, margin).where("collides").select("token", "t").distinct().withColumn("hit", F.lit(True))
+    return safety_collisions(ego, occ, margin).join(hit, ["token", "t"], "left").select("token", "t", (F.col("collides") & F.coalesce("hit", F.lit(False))).alias("collides"))
 
 
 def cells_of_boxes(steps: DataFrame, objects: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ f AS (SELECT token, a, b, c[i] AS c, q[j] AS s, q[j % 4 + 1] AS t FROM e, genera
 g AS (SELECT *, greatest(0, least(1, ((c[1] - s[1]) * (t[1] - s[1]) + (c[2] - s[2]) * (t[2] - s[2])) / ((t[1] - s[1]) ** 2 + (t[2] - s[2]) ** 2))) AS k FROM f)
 SELECT token, a, b, round(min(sqrt((c[1] - s[1] - k * (t[1] - s[1])) ** 2 + (c[2] - s[2] - k * (t[2] - s[2])) ** 2)), 5) AS distance FROM g GROUP BY token, a, b""", "objects")),
     "object_collision": (lambda s, d: spatial.object_collisions(*_ego(s, d)), with_views(_EGO + " SELECT * FROM oc", "gt", "objects")),
-    "combined_collision": (lambda s, d: spatial.combined_collision(spatial.safety_collisions(_ego(s, d)[0], _of_scenes(view(s, d, "occ"), _dealt(s, d))), spatial.object_collisions(*_ego(s, d))), with_views(_EGO + """, o AS (SELECT r, c FROM generate_series(96, 105) a(r), generate_series(97, 102) b(c)),
+    "combined_collision": (lambda s, d: spatial.combined_collision(*_forecast(s, d)), with_views(_EGO + """, o AS (SELECT r, c FROM generate_series(96, 105) a(r), generate_series(97, 102) b(c)),
 h AS (SELECT DISTINCT eg.token, eg.t FROM eg, o, occ s WHERE s.token % 15000 = eg.token AND s.p > 0.1 AND s.t > 0 AND s.t = least(eg.t, 4) AND s.r = greatest(0, least(199, trunc(ey / 0.5 + o.r)::INT)) AND s.c = greatest(0, least(199, trunc(ex / 0.5 + o.c)::INT))),
 hc AS (SELECT DISTINCT token, t FROM oc WHERE collides)
 SELECT eg.token, eg.t, h.token IS NOT NULL AND hc.token IS NOT NULL AS collides FROM eg LEFT JOIN h ON h.token = eg.token AND h.t = eg.t LEFT JOIN hc ON hc.token = eg.token AND hc.t = eg.t""", "gt", "objects", "occ")),
@@ -160,3 +160,9 @@ def _ego(s, d):
     """An ego trajectory for every scene of objects, under the scene's key; the scenes' waypoints and objects."""
     objects = view(s, d, "objects")
     return _of_scenes(view(s, d, "gt").select("token", "t", "x", "y"), _dealt(s, d)), spatial.waypoints(objects), objects
+
+
+def _forecast(s, d):
+    """What _ego gives, with the forecasts of the scenes' trajectories second."""
+    ego, steps, objects = _ego(s, d)
+    return ego, _of_scenes(view(s, d, "occ"), _dealt(s, d)), steps, objects

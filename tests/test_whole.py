@@ -37,3 +37,11 @@ def test_long_objects_collide_from_afar(spark):
     found = {r.ord: r for r in spatial.object_collisions(*scene(spark, *boxes), margin=0.5).collect()}
     assert {k for k, r in found.items() if r.overlaps} == {0} and {k for k, r in found.items() if r.collides} == {0, 1, 4}
     assert found[1].distance == pytest.approx(0.258) and 3 in found and 5 not in found
+
+
+def test_one_margin_of_a_metre_for_both_detectors(spark):
+    ego, steps, objects = scene(spark, (0, 5.742, 2, 6, 0))  # 0.7 m ahead
+    occ = spark.createDataFrame([(1, 1, 104, 100, 1.0)], "token long, t int, r int, c int, p double")
+    hits = lambda rows: [r.collides for r in rows.collect()]
+    assert hits(spatial.object_collisions(ego, steps, objects)) == [True] and hits(spatial.object_collisions(ego, steps, objects, 0.5)) == [False]
+    assert hits(spatial.combined_collision(ego, occ, steps, objects)) == [True] and hits(spatial.combined_collision(ego, occ, steps, objects, 0.5)) == [False]
