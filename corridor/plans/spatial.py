@@ -131,7 +131,7 @@ SELECT token, a, b, round(min(sqrt((c[1] - s[1] - k * (t[1] - s[1])) ** 2 + (c[2
 h AS (SELECT DISTINCT eg.token, eg.t FROM eg, o, occ s WHERE s.token % 15000 = eg.token AND s.p > 0.1 AND s.t > 0 AND s.t = least(eg.t, 4) AND s.r = greatest(0, least(199, trunc(ey / 0.5 + o.r)::INT)) AND s.c = greatest(0, least(199, trunc(ex / 0.5 + o.c)::INT))),
 hc AS (SELECT DISTINCT token, t FROM oc WHERE collides)
 SELECT eg.token, eg.t, h.token IS NOT NULL AND hc.token IS NOT NULL AS collides FROM eg LEFT JOIN h ON h.token = eg.token AND h.t = eg.t LEFT JOIN hc ON hc.token = eg.token AND hc.t = eg.t""", "gt", "objects", "occ")),
-    "detections_to_cells": (lambda s, d: spatial.cells_of_boxes(spatial.waypoints(view(s, d, "objects"), 2), view(s, d, "objects")).groupBy("token", "t").agg(F.count("*").alias("cells"), F.sum("r").alias("rows"), F.sum("c").alias("columns")), with_views(_STEPS + """, b AS (SELECT w.token, w.t, w.x, w.y, o.dx, o.dy, o.rot_z AS z FROM w JOIN objects o USING (token, ord) WHERE w.t <= 2),
+    "detections_to_cells": (lambda s, d: spatial.cells_of_boxes(spatial.waypoints(view(s, d, "objects")), view(s, d, "objects")).groupBy("token", "t").agg(F.count("*").alias("cells"), F.sum("r").alias("rows"), F.sum("c").alias("columns")), with_views(_STEPS + """, b AS (SELECT w.token, w.t, w.x, w.y, o.dx, o.dy, o.rot_z AS z FROM w JOIN objects o USING (token, ord) WHERE w.t <= 2),
 g AS (SELECT *, sqrt(dx ** 2 + dy ** 2) / 2 AS h FROM b), i AS (SELECT g.*, r.r, c.c FROM g, generate_series(greatest(floor((y - h + 50) / 0.5), 0)::INT, least(floor((y + h + 50) / 0.5), 199)::INT) r(r), generate_series(greatest(floor((x - h + 50) / 0.5), 0)::INT, least(floor((x + h + 50) / 0.5), 199)::INT) c(c)),
 k AS (SELECT *, c * 0.5 - 49.75 - x AS u, r * 0.5 - 49.75 - y AS v FROM i), f AS (SELECT DISTINCT token, t, r::INT AS r, c::INT AS c FROM k WHERE abs(u * cos(z) - v * sin(z)) <= dx / 2 AND abs(u * sin(z) + v * cos(z)) <= dy / 2)
 SELECT token, t, count(*) AS cells, sum(r)::BIGINT AS "rows", sum(c)::BIGINT AS "columns" FROM (SELECT * FROM f UNION ALL SELECT token, 0, r, c FROM f WHERE t = 1) GROUP BY token, t""", "objects")),

@@ -1,5 +1,6 @@
 """Queries and operators that must do the whole job, against definitions written out here."""
 
+import math
 import os
 
 import pytest
@@ -45,3 +46,20 @@ def test_one_margin_of_a_metre_for_both_detectors(spark):
     hits = lambda rows: [r.collides for r in rows.collect()]
     assert hits(spatial.object_collisions(ego, steps, objects)) == [True] and hits(spatial.object_collisions(ego, steps, objects, 0.5)) == [False]
     assert hits(spatial.combined_collision(ego, occ, steps, objects)) == [True] and hits(spatial.combined_collision(ego, occ, steps, objects, 0.5)) == [False]
+
+
+@tables
+def test_detections_fill_all_six_steps(spark):
+    want = {}
+    for o in view(spark, DATA, "objects").collect():
+        for t in range(1, 7):
+            x, y, h = o.x + t * o.vx, o.y + t * 0.5, math.hypot(o.dx, o.dy) / 2
+            for r in range(max(math.floor((y - h + 50) / 0.5), 0), min(math.floor((y + h + 50) / 0.5), 199) + 1):
+                for c in range(max(math.floor((x - h + 50) / 0.5), 0), min(math.floor((x + h + 50) / 0.5), 199) + 1):
+                    u, v = c * 0.5 - 49.75 - x, r * 0.5 - 49.75 - y
+                    if abs(u * math.cos(o.rot_z) - v * math.sin(o.rot_z)) <= o.dx / 2 and abs(u * math.sin(o.rot_z) + v * math.cos(o.rot_z)) <= o.dy / 2:
+                        for k in (0, 1) if t == 1 else (t,):
+                            want.setdefault((o.token, k), set()).add((r, c))
+    got = {(r.token, r.t): (r.cells, r["rows"], r["columns"]) for r in catalogue.queries()["detections_to_cells"](spark, DATA).collect()}
+    assert {t for _, t in got} == set(range(7))
+    assert got == {k: (len(v), sum(r for r, _ in v), sum(c for _, c in v)) for k, v in want.items()}
