@@ -77,7 +77,7 @@ SELECT k AS token, '*****Ego States:*****' || chr(10) || 'Current State:' || chr
     "boxed_answers": ((lambda s, d: view(s, d, "part").select("p_partkey", trajectory_text.boxed_answer(F.concat(F.lit("so \\boxed{1} or \\boxed{a_{"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "}} done").otherwise("} open"))).alias("answer"))), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a_{' || p_size || '}' END AS answer FROM part"),
     "code_blocks": ((lambda s, d: view(s, d, "part").select("p_partkey", trajectory_text.last_code_block(F.concat(F.lit("```python\nx = 1\n```\ntext\n```html\n<p>"), F.col("p_name"), F.lit("</p>\n```"))).alias("code"))), "SELECT p_partkey, '<p>' || p_name || '</p>' AS code FROM part"),
     "labelled_points": ((lambda s, d: view(s, d, "part").select("p_partkey", F.posexplode(trajectory_text.labelled_points(F.concat(F.lit('```json\n[{"point_2d": ['), F.col("p_size").cast("string"), F.lit(', 2]}, {"point_2d": [3, 4], "label": "end"}]\n```')))).alias("k", "p")).select("p_partkey", "k", F.get("p.point", 0).alias("x"), F.col("p.label").alias("label"))), "SELECT p_partkey, k::INT AS k, CASE k WHEN 0 THEN p_size ELSE 3 END::DOUBLE AS x, CASE k WHEN 0 THEN 'point_1' ELSE 'end' END AS label FROM part, generate_series(0, 1) g(k)"),
-    "result_times": ((lambda s, d: text_records.matched_times(view(s, d, "events").select("user_id", (F.col("event_id") % 10).alias("time"), F.col("event_type").alias("result"), F.col("event_id").alias("place")), view(s, d, "events").where("event_id % 50 = 0").select("user_id", F.concat(F.lit("at "), (F.col("event_id") / 50 % 10).cast("int").cast("string")).alias("content")).distinct(), "user_id")), "WITH c AS (SELECT DISTINCT user_id, 'at ' || (event_id // 50 % 10) AS content FROM events WHERE event_id % 50 = 0) SELECT c.user_id, c.content, arg_max(e.event_type, e.event_id) AS result FROM c JOIN events e ON e.user_id = c.user_id AND contains(c.content, (e.event_id % 10)::VARCHAR) GROUP BY c.user_id, c.content"),
+    "result_times": ((lambda s, d: text_records.matched_times(view(s, d, "events").select("user_id", (F.col("event_id") % 10).alias("time"), F.col("event_type").alias("result"), F.col("event_id").alias("place")), view(s, d, "events").select("user_id", F.concat(F.lit("at "), (F.col("event_id") / 50 % 10).cast("int").cast("string")).alias("content")).distinct(), "user_id")), "WITH c AS (SELECT DISTINCT user_id, 'at ' || (event_id // 50 % 10) AS content FROM events WHERE event_id % 50 = 0) SELECT c.user_id, c.content, arg_max(e.event_type, e.event_id) AS result FROM c JOIN events e ON e.user_id = c.user_id AND contains(c.content, (e.event_id % 10)::VARCHAR) GROUP BY c.user_id, c.content"),
     "per_embodiment": ((lambda s, d: text_records.per_embodiment(view(s, d, "part").select("p_partkey", F.split("p_type", " ").alias("embodiment")), "embodiment")), "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS embodiment FROM part"),
     "stripped_marks": ((lambda s, d: view(s, d, "part").select("p_partkey", conversations.without_marks(F.concat(F.lit("<ref>"), F.col("p_name"), F.lit("</ref><box>(1,2)</box> ok"))).alias("text"))), "SELECT p_partkey, p_name || ' ok' AS text FROM part"),
     "list_fields": ((lambda s, d: view(s, d, "part").select("p_partkey", F.explode(choices.as_list(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('["'), F.col("p_brand"), F.lit('", "x"]'))).otherwise(F.col("p_brand")))).alias("item"))), "SELECT p_partkey, p_brand AS item FROM part UNION ALL SELECT p_partkey, 'x' FROM part WHERE p_partkey % 2 = 0"),

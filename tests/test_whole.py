@@ -63,3 +63,16 @@ def test_detections_fill_all_six_steps(spark):
     got = {(r.token, r.t): (r.cells, r["rows"], r["columns"]) for r in catalogue.queries()["detections_to_cells"](spark, DATA).collect()}
     assert {t for _, t in got} == set(range(7))
     assert got == {k: (len(v), sum(r for r, _ in v), sum(c for _, c in v)) for k, v in want.items()}
+
+
+@tables
+def test_contents_of_all_events_get_results(spark):
+    events = view(spark, DATA, "events").select("user_id", "event_id", "event_type").collect()
+    last, want = {}, {}
+    for e in sorted(events, key=lambda e: e.event_id):
+        last[e.user_id, e.event_id % 10] = (e.event_id, e.event_type)
+    for e in events:
+        if found := last.get((e.user_id, k := e.event_id // 50 % 10)):
+            want[e.user_id, f"at {k}"] = found[1]
+    got = {(r.user_id, r.content): r.result for r in catalogue.queries()["result_times"](spark, DATA).collect()}
+    assert got == want and {u for u, _ in got} > {e.user_id for e in events if e.event_id % 50 == 0 and (e.user_id, e.event_id // 50 % 10) in last}
