@@ -39,7 +39,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What a text must hold for anything to be found in it.
 _ANY = r"[0-9]|@|[A-Za-z0-9+/_=-]{20}|(?i:\bat\b.{1,80}\bdot\b)|[\[({](?i:at)[\])}]"
 _GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"),
     "account": re.compile(r"(?<![0-9A-Za-z.,-])[0-9]{8,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z.,-])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?![0-9A-Za-z])"),
     "phone_local": re.compile(r"(?<![0-9A-Za-z+)])(?:\([0-9]{2,5}\)[ ]?|0[0-9]{1,4}[ /-])[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"),
     "email_written": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,40}\s?(?:[\[({]at[\])}]|\bat\b)\s?[A-Za-z0-9-]{1,40}(?:\s?(?:[\[({]dot[\])}]|\bdot\b)\s?[A-Za-z]{2,20}){1,3}(?![A-Za-z])", re.I),

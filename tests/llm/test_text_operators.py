@@ -156,6 +156,13 @@ def test_personal_data(spark):
     assert [r.text for r in pii.redacted(docs(spark, [None, ""])).orderBy("doc_id").collect()] == [None, ""]
 
 
+def test_long_secrets(spark):
+    rng = random.Random(7)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f'token = "{token(n)}" end' for n in (200, 201, 256, 5000)] + ["see " + "x" * 5000 + " end", "- " + "-" * 900]
+    assert [r.text for r in pii.redacted(docs(spark, texts)).orderBy("doc_id").collect()] == ['token = "<secret>" end'] * 4 + texts[4:]
+
+
 def test_added_spans_are_precise():
     trees = pii.trained()
     rows = pii.snippets(99, 60)
