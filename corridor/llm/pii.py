@@ -37,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What a text must hold for anything to be found in it.
-_ANY = r"[0-9]|@|[A-Za-z0-9+/_=-]{20}|(?i:\bat\b.{1,80}\bdot\b)|[\[({](?i:at)[\])}]"
+_ANY = r"[0-9]|@|[A-Za-z0-9+/_=-]{20}|(?is:\bat\b.{1,80}\bdot\b)|[\[({](?i:at)[\])}]"
 _GENERATORS = {
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"),
     "account": re.compile(r"(?<![0-9A-Za-z.,-])[0-9]{8,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z.,-])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?![0-9A-Za-z])"),

@@ -163,6 +163,13 @@ def test_long_secrets(spark):
     assert [r.text for r in pii.redacted(docs(spark, texts)).orderBy("doc_id").collect()] == ['token = "<secret>" end'] * 4 + texts[4:]
 
 
+def test_written_addresses_over_line_ends(spark):
+    texts = ["mail harold at acmecorp dot com now", "mail harold at\nacmecorp dot com now", "mail harold at acmecorp\ndot com now"]
+    assert [pii.proposals(t)[0][0] for t in texts] == ["email_written"] * 3
+    found = [r.spans for r in pii.personal_data(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert found == [pii.joined(pii.spans(t, pii.trained())[1]) for t in texts] and found[1]
+
+
 def test_added_spans_are_precise():
     trees = pii.trained()
     rows = pii.snippets(99, 60)
