@@ -88,7 +88,7 @@ SELECT k AS token, '*****Ego States:*****' || chr(10) || 'Current State:' || chr
     "tool_calls": ((lambda s, d: tools.call("objects_in_range", {"objects": view(s, d, "objects")}, x_start=-20, x_end=20, y_start=0, y_end=10).groupBy("name").agg(F.count("*").alias("n"))), with_views("SELECT name, count(*) AS n FROM objects WHERE x BETWEEN -20 AND 20 AND y BETWEEN 0 AND 10 GROUP BY name", "objects")),
     "split_valid_problem": ((lambda s, d: conversations.media_check(view(s, d, "media_rows")).groupBy(F.col("problem").isNull().alias("valid")).agg(F.count("*").alias("n"))), with_views(""", ck AS (SELECT *, (length(text) - length(replace(text, '<image>', ''))) // 7 AS images, (length(text) - length(replace(text, '<video>', ''))) // 7 AS videos FROM media_rows)
 SELECT NOT ((role IN ('gpt', 'assistant') AND (images > 0 OR videos > 0)) OR images <> n_images OR videos <> n_videos) AS valid, count(*) AS n FROM ck GROUP BY 1""", "media_rows")),
-    "pack_bins": ((lambda s, d: packing.pack_bins(view(s, d, "documents").select("doc_id", F.least(F.col("n_chars") / 4, F.lit(4096)).cast("long").alias("n")), "doc_id", "n")), None),
+    "pack_bins": ((lambda s, d: packing.pack_bins(view(s, d, "documents").select("doc_id", (F.col("n_chars") / 4).cast("long").alias("n")), "doc_id", "n")), None),
     "label_mask": ((lambda s, d: packing.label_masks(_ids(s, d), "ids", "doc_id").select("doc_id", F.posexplode(F.arrays_zip("ids", "labels")).alias("place", "x")).select("doc_id", "place", F.col("x.ids").alias("id"), F.col("x.labels").alias("label"))), _IDS + " SELECT doc_id, i::INT AS place, id, label FROM l"),
     "rope_index": ((lambda s, d: packing.rope_index(_kinds(s, d), "doc_id")), "WITH k AS (SELECT doc_id AS key, doc_id % 4 + 1 AS n FROM documents), p AS (SELECT key, n, i FROM k, generate_series(0, 12) g(i) WHERE i < n + 8) SELECT key, i::INT AS place, CASE WHEN i < n THEN i WHEN i < n + 6 THEN n ELSE i - 3 END AS t, CASE WHEN i < n THEN i WHEN i < n + 6 THEN n + (i - n) // 3 ELSE i - 3 END AS h, CASE WHEN i < n THEN i WHEN i < n + 6 THEN n + (i - n) % 3 ELSE i - 3 END AS w FROM p"),
     "collated_batch": ((lambda s, d: packing.collate(packing.label_masks(_ids(s, d), "ids", "doc_id").withColumn("b", F.floor(F.col("doc_id") / 8)), "b", "doc_id", 24).select("doc_id", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("n"))), _IDS + " SELECT doc_id, sum(id)::BIGINT AS total, (sum(label) - 100 * (24 - count(*)))::BIGINT AS labels, count(*)::INT AS n FROM l WHERE i < 24 GROUP BY doc_id"),

@@ -76,3 +76,20 @@ def test_contents_of_all_events_get_results(spark):
             want[e.user_id, f"at {k}"] = found[1]
     got = {(r.user_id, r.content): r.result for r in catalogue.queries()["result_times"](spark, DATA).collect()}
     assert got == want and {u for u, _ in got} > {e.user_id for e in events if e.event_id % 50 == 0 and (e.user_id, e.event_id // 50 % 10) in last}
+
+
+@tables
+def test_documents_keep_their_sizes_in_bins(spark, tmp_path):
+    docs = view(spark, DATA, "documents").withColumn("n_chars", F.when(F.col("doc_id") % 10 == 0, F.col("n_chars") + 20000).otherwise(F.col("n_chars")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sizes, want = {r.doc_id: r.n_chars // 4 for r in docs.collect()}, {}
+    for batch in {k // 256 for k in sizes}:
+        room = []
+        for k in sorted((k for k in sizes if k // 256 == batch), key=lambda k: (-sizes[k], k)):
+            fits = [(r, b) for b, r in enumerate(room) if r >= sizes[k]]
+            b = min(fits)[1] if fits else len(room)
+            room += [] if fits else [4096]
+            room[b] -= sizes[k]
+            want[k] = (sizes[k], batch, b)
+    got = {r.key: (r.size, r.batch_id, r.bin) for r in catalogue.queries()["pack_bins"](spark, str(tmp_path)).collect()}
+    assert got == want and max(sizes.values()) > 4096
