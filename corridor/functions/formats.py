@@ -15,8 +15,20 @@ OBJECTS_IN_RANGE = ("Object detections in X range {:.2f}-{:.2f} and Y range {:.2
 TRAJECTORIES = {
     "leading": ("Leading object future trajectory:\n", "Leading object found", "6s"),
     "ids": ("Future trajectories for specific objects:\n", "Object type", "3s"),
+    "range": ("Future trajectories in X range {:.2f}-{:.2f} and Y range {:.2f}-{:.2f}:\n", "Object found", "3s"),
     "all": ("All future trajectories:\n", "Object type", "3s"),
 }
+WAYPOINTS = "Future waypoints of specific objects at time {}s:\n"
+#: Raster prompts: headers, and what is said where there is nothing to list.
+DRIVABLE, DRIVABLE_PATH, ALL_DRIVABLE = "Drivability of selected locations:\n", "Drivability of the planned trajectory:\n", "All waypoints of the planned trajectory are in drivable regions\n"
+AROUND_DRIVABLE, AROUND_FREE = "- Surrounding drivable regions: ", "- Surrounding not occupied region: "
+LANE_HEADER, CROSSING_HEADER = "Lane category of selected locations:\n", "Get the nearest pedestrian crossing location:\n"
+OCCUPANCY, COLLISION, NO_COLLISION = "Occupancy information:\n", "Check collision of the planned trajectory:\n", "The planned trajectory does not collide with any other objects.\n"
+#: Of the border on either side: headers for chosen places and for the vehicle's own, the border's name, and what is uncertain for either.
+SIDES = {
+    "shoulder": ("Distance to both sides of road shoulders of selected locations:\n", "Distance to both sides of road shoulders of current ego-vehicle location:\n", "shoulder", "shoulders", "shoulders"),
+    "divider": ("Get distance to both sides of road lane_dividers of selected locations:\n", "Get distance to both sides of road lane_dividers of current ego-vehicle location:\n", "lane_divider", "lane_dividers", "both lane_dividers"),
+}
 LANES = ("divider", "ped_crossing", "boundary")
 TRAFFIC_RULES = (
     "Avoid collision with other objects.",

@@ -112,8 +112,20 @@ def section(text: Column, start: str, end: str) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """Half up on the decimal value, the same in every engine; see the README on text parity."""
-    return value.cast("decimal(18,2)").cast("string")
+    """As ``%.2f`` prints it: the hundredth nearest to the exact binary value, ties to even, small negatives with their sign.
+
+    The product with 100 and what rounding it lost are held apart (Dekker's splitting), so a product that only looks like a tie is told from a real one.
+    """
+    v = value.cast("double")
+    high = v * F.lit(134217729.0) - (v * F.lit(134217729.0) - v)
+    product = v * F.lit(100.0)
+    lost = (high * F.lit(100.0) - product) + (v - high) * F.lit(100.0)
+    below = F.floor(product).cast("double")
+    nearest = F.when((product - below == 0.5) & (lost != 0), below + F.when(lost > 0, 1.0).otherwise(0.0)).otherwise(F.rint(product))
+    cents = F.abs(nearest.try_cast("long"))
+    sign = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
+    plain = F.concat(sign, (cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(F.isnan(v), "nan").when(F.abs(v) < 1e13, plain).otherwise(F.format_string("%.2f", v))
 
 
 def points_text(points: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Sequences for training: bins, label masks, position ids, batches; and a numeric refinement of planned paths. Pandas functions, a group or batch at a time."""
+"""Sequences for training: bins, label masks, position ids, batches; and a numeric refinement of planned paths."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions.workers import shipped
+from corridor.operators.planning import forecast
 
 IGNORED = -100
 
@@ -38,70 +39,67 @@ def pack_bins(rows: DataFrame, key: str, size: str, volume: int = 4096, batch: i
     return shipped(own).groupBy("batch_id").applyInPandas(run, "key long, size long, batch_id long, bin long")
 
 
-def mask_labels(ids: np.ndarray, start: int = 77091, end: int = 151645) -> np.ndarray:
-    """Labels of what answers say: from two after each start token through the end token and the one after it; all else is ignored."""
-    out, k = np.full(len(ids), IGNORED, np.int64), 0
-    while k < len(ids):
-        if ids[k] == start:
-            a = b = k + 2
-            while b < len(ids) and ids[b] != end:
-                b += 1
-            if b < len(ids):
-                out[a : b + 2] = ids[a : b + 2]
-            k = b
-        k += 1
-    return out
+def answer_spans(ids: Column, start: int, end: int) -> Column:
+    """array<struct<first, last>>: what answers say. An answer begins two after a start id and goes on to one past the next end id; starts before that end begin none."""
+    places = lambda own: F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda k: F.get(ids, k) == own)
+    ends, none = places(end), F.array().cast("array<struct<first:int,last:int>>")
 
+    def add(spans: Column, at: Column) -> Column:
+        stop = F.array_min(F.filter(ends, lambda e: e >= at + 2))
+        inside = at < F.coalesce(F.try_element_at(spans, F.lit(-1))["last"], F.lit(-1))
+        return F.when(inside | stop.isNull(), spans).otherwise(F.concat(spans, F.array(F.struct((at + 2).alias("first"), (stop + 1).alias("last")))))
 
-def label_masks(rows: DataFrame, ids: str, *keep: str, start: int = 77091, end: int = 151645) -> DataFrame:
-    """keep columns, ids and labels; a null list counts as empty."""
-    names = [*keep, ids]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    return F.when(F.size(ids) > 0, F.aggregate(places(start), none, add)).otherwise(none)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [np.asarray(x if x is not None else [], np.int64) for x in b[ids]]
-            yield b.assign(**{ids: own, "labels": [mask_labels(x, start, end) for x in own]})[[*names, "labels"]]
 
-    return shipped(rows).select(*names).mapInPandas(run, f"{fields}, `{ids}` array<long>, labels array<long>")
+def label_masks(rows: DataFrame, ids: str, *keep: str, start: int = 77091, end: int = 151645) -> DataFrame:
+    """keep columns, ids and labels: the ids of answers, IGNORED for all else; a null list counts as empty."""
+    own = rows.select(*keep, F.coalesce(F.col(ids).cast("array<long>"), F.array().cast("array<long>")).alias(ids)).withColumn("_spans", answer_spans(F.col(ids), start, end))
+    said = F.transform(ids, lambda x, k: F.when(F.exists("_spans", lambda s: k.between(s["first"], s["last"])), x).otherwise(F.lit(IGNORED).cast("long")))
+    return own.withColumn("labels", said).drop("_spans")
 
 
-def rope_positions(kinds: list[int], grids: list[tuple[int, int, int]], merge: int = 2, seconds: list[float] | None = None, per_second: int = 2, split_frames: bool = False) -> np.ndarray:
-    """Positions [3, L]. kinds: 0 for a text token, n for the n-th vision segment (from 1). Text counts on; a vision token is at its frame, row and column behind all before.
+def rope_positions(row: np.ndarray, kind: np.ndarray, grid: np.ndarray, merge: int = 2, seconds: np.ndarray | None = None, per_second: int = 2, split_frames: bool = False) -> np.ndarray:
+    """Positions [3, n] of the tokens of many rows at once. row, kind: of each token, its row and 0 for text or n for the row's n-th vision segment; grid: frames, height and width of each token's segment.
 
-    seconds: per segment, the seconds between frames, which spread the frames; split_frames: every frame stands alone, with time zero.
+    Text counts on; a vision token is at its frame, row and column behind all before, and what follows begins behind the greatest of them. seconds: of each token's
+    segment, the seconds between frames, which spread the frames; split_frames: every frame stands alone, with time zero.
     """
-    parts, at, k = [], 0, 0
-    while k < len(kinds):
-        n = kinds[k]
-        length = next((i for i, x in enumerate(kinds[k:]) if x != n), len(kinds) - k)
-        if n == 0:
-            parts.append(np.tile(np.arange(length) + at, (3, 1)))
-            at += length
-        else:
-            t, h, w = grids[n - 1]
-            h, w = h // merge, w // merge
-            grid = np.stack(np.meshgrid(np.arange(t), np.arange(h), np.arange(w), indexing="ij")).reshape(3, -1)[:, :length].astype(np.int64)
-            if split_frames:
-                grid[0] = 0
-            elif seconds:
-                grid[0] = (grid[0] * seconds[n - 1] * per_second).astype(np.int64)
-            parts.append(grid + at)
-            at = int(parts[-1].max()) + 1 if grid.size else at
-        k += length
-    return np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
-
-
-def rope_index(rows: DataFrame, key: str, merge: int = 2, split_frames: bool = False) -> DataFrame:
-    """key, place, t, h, w of rows of key, kinds (array of int) and grids (array of three ints each)."""
+    n = len(row)
+    if not n:
+        return np.zeros((3, 0), np.int64)
+    new = np.r_[True, (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])]
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    place, length = np.arange(n) - first[run], np.diff(np.r_[first, n])
+    h, w = np.maximum(grid[:, 1] // merge, 1), np.maximum(grid[:, 2] // merge, 1)
+    frame = place // (h * w)
+    time = np.zeros(n, np.int64) if split_frames else (frame * seconds * per_second).astype(np.int64) if seconds is not None else frame
+    seen = np.stack([time, place // w % h, place % w])
+    own = np.where(kind == 0, place, seen)
+    extent = np.where(kind[first] == 0, length, np.maximum.reduceat(seen.max(0), first) + 1)
+    before = np.cumsum(extent) - extent
+    starts = np.r_[True, row[first][1:] != row[first][:-1]]
+    before -= before[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+    return own + before[run]
+
+
+def rope_index(rows: DataFrame, key: str, merge: int = 2, split_frames: bool = False, seconds: str | None = None, per_second: int = 2) -> DataFrame:
+    """key, place, t, h, w of rows of key, kinds (array of int), grids (array of three ints each) and, if named, seconds (array of double, one for each grid)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, kinds, grids in zip(b[key], b["kinds"], b["grids"], strict=True):
-                p = rope_positions(list(kinds) if kinds is not None else [], [tuple(g) for g in grids] if grids is not None else [], merge, split_frames=split_frames)
-                yield pd.DataFrame({"key": k, "place": np.arange(p.shape[1]), "t": p[0], "h": p[1], "w": p[2]})
+            sizes = np.array([0 if k is None else len(k) for k in b["kinds"]], np.int64)
+            row = np.repeat(np.arange(len(b)), sizes)
+            kind = np.concatenate([np.zeros(0, np.int64), *(np.asarray(k, np.int64) for k in b["kinds"] if k is not None)])
+            counts = np.array([0 if g is None else len(g) for g in b["grids"]], np.int64)
+            segments = np.array([x for g in b["grids"] if g is not None for x in g], np.int64).reshape(-1, 3)
+            at = np.maximum((np.cumsum(counts) - counts)[row] + kind - 1, 0)
+            grid = segments[at] if len(segments) else np.ones((len(row), 3), np.int64)
+            spread = np.array([x for g in b[seconds] if g is not None for x in g], float)[at] if seconds and len(segments) else None
+            t, h, w = rope_positions(row, kind, grid, merge, spread, per_second, split_frames)
+            yield pd.DataFrame({"key": b[key].to_numpy()[row], "place": np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row], "t": t, "h": h, "w": w})
 
-    return shipped(rows).select(key, "kinds", "grids").mapInPandas(run, "key long, place int, t long, h long, w long")
+    return shipped(rows).select(key, "kinds", "grids", *([seconds] if seconds else [])).mapInPandas(run, "key long, place int, t long, h long, w long")
 
 
 def padded(ids: Column, length: int, fill: int) -> Column:
@@ -122,6 +120,12 @@ def flattened(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.groupBy(by).agg(own.alias("l")).select(by, F.flatten(F.transform("l", lambda x: x["v"])).alias("ids"), ends.alias("ends"))
 
 
+def gradient(p: np.ndarray, reference: np.ndarray, obstacles: np.ndarray, alpha: float, sigma: float) -> np.ndarray:
+    """Of the cost of a waypoint: its squared deviation and a Gaussian penalty for each obstacle."""
+    d = p - obstacles
+    return 2 * (p - reference) - (alpha / (2.507 * sigma) * np.exp(-(d**2).sum(1) / (2 * sigma**2))[:, None] * d).sum(0) / sigma**2
+
+
 def pushed_away(path: np.ndarray, obstacles: list[np.ndarray], alpha: float, sigma: float, steps: int = 60) -> np.ndarray:
     """The path that stays near its reference and off the obstacles: squared deviation and Gaussian penalties, by damped Newton steps on each waypoint."""
     out = path.astype(float).copy()
@@ -135,7 +139,7 @@ def pushed_away(path: np.ndarray, obstacles: list[np.ndarray], alpha: float, sig
         for _ in range(steps if len(o) else 0):
             d = p - o
             e = c * np.exp(-(d**2).sum(1) / (2 * sigma**2))
-            g = 2 * (p - path[k]) - (e[:, None] * d).sum(0) / sigma**2
+            g = gradient(p, path[k], o, alpha, sigma)
             hess = 2 * np.eye(2) + np.einsum("i,ij,ik->jk", e, d, d) / sigma**4 - np.eye(2) * e.sum() / sigma**2
             low = np.linalg.eigvalsh(hess)[0]
             step = np.linalg.solve(hess + np.eye(2) * max(0.0, 0.5 - low), g)
@@ -150,19 +154,26 @@ def pushed_away(path: np.ndarray, obstacles: list[np.ndarray], alpha: float, sig
 
 
 def refine_paths(points: DataFrame, occ: DataFrame, reach: float = 5.0, alpha: float = 5.0, sigma: float = 1.0, above: float = 0.1) -> DataFrame:
-    """token, t, x, y: paths moved off the occupied cells within reach of each waypoint; waypoints without any stay."""
+    """token, t, x, y, cells, slope: paths moved off the occupied cells within reach of each waypoint; waypoints without any stay. cells: their number; slope: the
+    length of the cost's gradient where the waypoint came to rest.
+
+    Each waypoint is held against the forecast of its step; the forecast's last step also stands for later ones.
+    """
     at = lambda c: F.lit(-50.0) + (F.col(c) + F.lit(0.5)) * F.lit(0.5)
-    taken = occ.where(F.col("p") > above).select("token", "t", at("c").alias("ox"), at("r").alias("oy"))
+    taken = forecast(occ, above).select("token", "t", at("c").alias("ox"), at("r").alias("oy"))
     near = points.join(taken, ["token", "t"]).where((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 < reach**2)
-    around = near.groupBy("token", "t").agg(F.collect_list("ox").alias("ox"), F.collect_list("oy").alias("oy"))  # cells within reach of a point
+    around = near.groupBy("token", "t").agg(F.sort_array(F.collect_list(F.struct("oy", "ox"))).alias("o"))  # cells within reach of a point
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            moved = [pushed_away(np.array([[x, y]]), [np.column_stack([sorted_(ox, oy)]).reshape(-1, 2) if ox is not None else np.zeros((0, 2))], alpha, sigma)[0] for x, y, ox, oy in zip(b["x"], b["y"], b["ox"], b["oy"], strict=True)]
-            yield b[["token", "t"]].assign(x=[m[0] for m in moved], y=[m[1] for m in moved])
-
-    def sorted_(ox, oy) -> np.ndarray:
-        cells = np.column_stack([ox, oy])
-        return cells[np.lexsort(cells.T)]
-
-    return shipped(points).select("token", "t", "x", "y").join(around, ["token", "t"], "left").mapInPandas(run, "token long, t int, x double, y double")
+            moved, slopes, cells = [], [], []
+            for x, y, o in zip(b["x"], b["y"], b["o"], strict=True):
+                obstacles = np.zeros((0, 2)) if o is None else np.array([(c["ox"], c["oy"]) for c in o])
+                start = np.array([x, y])
+                end = pushed_away(start[None], [obstacles], alpha, sigma)[0]
+                moved.append(end)
+                cells.append(len(obstacles))
+                slopes.append(float(np.hypot(*gradient(end, start, obstacles, alpha, sigma))) if len(obstacles) else 0.0)
+            yield b[["token", "t"]].assign(x=[m[0] for m in moved], y=[m[1] for m in moved], cells=cells, slope=slopes)
+
+    return shipped(points).select("token", "t", "x", "y").join(around, ["token", "t"], "left").mapInPandas(run, "token long, t int, x double, y double, cells int, slope double")

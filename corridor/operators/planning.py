@@ -67,6 +67,12 @@ def hits(points: DataFrame, x: str, y: str, cells: DataFrame, name: str, length:
     return rows.select("token", "t", F.coalesce(F.arrays_overlap("taken", box_cells(F.col(x), F.col(y), length, width)), F.lit(False)).alias(name))
 
 
+def forecast(occ: DataFrame, above: float = 0.1, last: int = 4, steps: int = STEPS) -> DataFrame:
+    """token, t, r, c: the cells that a forecast (t from 0 to ``last``) holds for taken at steps 1 to ``steps``; its last step also stands for later ones."""
+    later = F.explode(F.when(F.col("t") == last, F.sequence(F.lit(last), F.lit(steps))).otherwise(F.array("t")))
+    return occ.where((F.col("p") > above) & F.col("t").between(1, last)).select("token", later.alias("t"), "r", "c")
+
+
 def collisions(gt: DataFrame, pred: DataFrame, cells: DataFrame) -> DataFrame:
     """token, t, gt_hit, point_hit, box_hit: the last two only where the true vehicle is free."""
     rows = align(gt, pred).join(cell_sets(cells), ["token", "t"], "left")

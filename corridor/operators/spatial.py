@@ -7,8 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridor.functions.formats import WAYPOINTS
 from corridor.functions.trajectory_text import two_decimals
-from corridor.operators.planning import LENGTH, SIDE, WIDTH, hits
+from corridor.operators.planning import LENGTH, SIDE, WIDTH, forecast, hits
+
+#: Layers of the lane raster, in the order of formats.LANES; the raster of drivable regions comes as one more layer.
+DIVIDER, CROSSING, BOUNDARY, DRIVABLE = 0, 1, 2, 3
+
 
 def leading(objects: DataFrame) -> DataFrame:
     return objects.where((F.abs("x") < 3) & (F.col("y") >= 0) & (F.col("y") < 10))
@@ -49,6 +54,15 @@ def trajectory_prompt(steps: DataFrame, objects: DataFrame, header: str, lead: s
     return own.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("l")).select("token", F.concat(F.lit(header), F.array_join("l.l", "")).alias("prompt"))
 
 
+def waypoint_prompt(steps: DataFrame, objects: DataFrame, ids: list[int], index: int) -> DataFrame:
+    """token, prompt: where the objects of the given ids are at waypoint ``index`` (from 0, half a second apart); null if any of them has no such waypoint, no row for tokens without such objects."""
+    place = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("ord"))
+    own = for_ids(objects, ids).select("token", "ord", "name").join(steps.where(F.col("t") == index + 1).select("token", "ord", "x", "y"), ["token", "ord"], "left")
+    line = F.concat(F.lit("object type: "), F.col("name"), F.lit(", object id: "), F.col("ord").cast("string"), F.lit(", waypoint: ("), two_decimals(F.col("x")), F.lit(", "), two_decimals(F.col("y")), F.lit(f") at timestep {index}\n"))
+    lines = F.array_sort(F.collect_list(F.struct(place.alias("k"), line.alias("l"))))
+    return own.groupBy("token").agg(lines.alias("l"), F.bool_and(F.col("x").isNotNull()).alias("all")).select("token", F.when(F.col("all"), F.concat(F.lit(WAYPOINTS.format(index / 2 + 0.5)), F.array_join("l.l", ""))).alias("prompt"))
+
+
 def waypoints(objects: DataFrame, steps: int = 6, first: int = 1) -> DataFrame:
     """A row for each object and step t (first to steps): where it will be; step 0 is now."""
     at = objects.withColumn("t", F.explode(F.sequence(F.lit(first), F.lit(steps))))
@@ -84,30 +98,58 @@ def located(cells: DataFrame) -> DataFrame:
     return rows.withColumn("valid", (F.abs("x") <= 50) & (F.abs("y") <= 50))
 
 
-def drivable(points: DataFrame, cells: DataFrame, layer: int = 0) -> DataFrame:
+def layer_cells(cells: DataFrame, *layers: int) -> DataFrame:
+    """token and, for each layer, l0, l1, ...: its set cells as one list of numbers; a raster has SIDE * SIDE cells at most."""
+    number = F.col("r") * SIDE + F.col("c")
+    return cells.where(F.col("layer").isin(*layers)).groupBy("token").agg(*[F.collect_set(F.when(F.col("layer") == k, number)).alias(f"l{n}") for n, k in enumerate(layers)])
+
+
+def is_set(layer: str, r: Column, c: Column) -> Column:
+    return F.coalesce(F.array_contains(layer, r * SIDE + c), F.lit(False))
+
+
+def drivable(points: DataFrame, cells: DataFrame, layer: int = DRIVABLE) -> DataFrame:
     """token, t, drivable: whether the cell of a place is set; off the map it counts as drivable."""
-    own = cells.where(F.col("layer") == layer).select("token", F.col("r").alias("py"), F.col("c").alias("px"), F.lit(True).alias("set"))
-    return quantised(points).join(own, ["token", "py", "px"], "left").select("token", "t", (F.coalesce("set", F.lit(False)) | ~F.col("valid")).alias("drivable"))
+    rows = quantised(points).join(layer_cells(cells, layer), "token", "left")
+    return rows.select("token", "t", (is_set("l0", F.col("py"), F.col("px")) | ~F.col("valid")).alias("drivable"))
 
 
 def all_drivable(found: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.bool_and("drivable").alias("drivable"), F.count("*").alias("steps"))
 
 
-def drivable_around(points: DataFrame, cells: DataFrame, layer: int = 0) -> DataFrame:
-    """token, t, free: how many of the 3 x 3 cells around a place are set; those off the map don't count."""
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    around = quantised(points).where("valid").withColumn("o", near).select("token", "t", (F.col("px") + F.col("o.a")).alias("c"), (F.col("py") + F.col("o.b")).alias("r"))
-    own = cells.where(F.col("layer") == layer).select("token", "r", "c")
-    found = around.join(own, ["token", "r", "c"], "left_semi").groupBy("token", "t").agg(F.count("*").alias("free"))
-    return quantised(points).where("valid").select("token", "t").join(found, ["token", "t"], "left").select("token", "t", F.coalesce("free", F.lit(0)).alias("free"))
+def around(found: Column, compat: bool = False) -> Column:
+    """array<struct<x, y>>: the middles of the 3 x 3 cells around px, py on the map that ``found`` (of row and column) holds, by column, then row. compat: none at the map's first row or column."""
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    spot = lambda o: (F.col("px") + o["a"], F.col("py") + o["b"])
+    inside = lambda c, r: c.between(0, SIDE - 1) & r.between(0, SIDE - 1)
+    offsets = F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]), lambda o: inside(*spot(o)) & found(spot(o)[1], spot(o)[0]))
+    middle = lambda v: F.lit(-50.0) + (v + F.lit(0.5)) * F.lit(0.5)
+    out = F.transform(offsets, lambda o: F.struct(middle(spot(o)[0]).alias("x"), middle(spot(o)[1]).alias("y")))
+    return F.when((F.col("px") > 0) & (F.col("py") > 0), out).otherwise(F.array().cast("array<struct<x:double,y:double>>")) if compat else out
+
+
+def drivable_around(points: DataFrame, cells: DataFrame, layer: int = DRIVABLE, compat: bool = False) -> DataFrame:
+    """token, t, drivable, free: whether a place on the map is drivable, and where around it is."""
+    rows = quantised(points).where("valid").join(layer_cells(cells, layer), "token", "left")
+    return rows.select("token", "t", is_set("l0", F.col("py"), F.col("px")).alias("drivable"), around(lambda r, c: is_set("l0", r, c), compat).alias("free"))
 
 
 def lane_categories(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """token, t, layers: the layers whose cell is set at a place, in order; null off the map."""
-    own = cells.select("token", F.col("r").alias("py"), F.col("c").alias("px"), "layer")
-    found = quantised(points).join(own, ["token", "py", "px"], "left").groupBy("token", "t").agg(F.max("valid").alias("valid"), F.array_sort(F.collect_list("layer")).alias("l"))
-    return found.select("token", "t", F.when(F.col("valid"), F.array_join(F.transform("l", lambda x: x.cast("string")), ",")).alias("layers"))
+    """token, t, layers: the lane layers whose cell is set at a place, in order; null off the map."""
+    rows = quantised(points).join(layer_cells(cells, DIVIDER, CROSSING, BOUNDARY), "token", "left")
+    found = F.concat_ws(",", *[F.when(is_set(f"l{k}", F.col("py"), F.col("px")), F.lit(str(k))) for k in (DIVIDER, CROSSING, BOUNDARY)])
+    return rows.select("token", "t", F.when(F.col("valid"), found).alias("layers"))
+
+
+def lane_scores(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """token, t, valid, found: array<struct<layer, p>> of the lane layers whose cell is set at a place, in order, with their probabilities. cells: token, layer, r, c, p."""
+    number = F.col("r") * SIDE + F.col("c")
+    own = cells.where(F.col("layer").isin(DIVIDER, CROSSING, BOUNDARY)).groupBy("token").agg(F.collect_list(F.struct(number.alias("cell"), "layer", "p")).alias("l"))  # three rasters at most
+    rows = quantised(points).join(own, "token", "left")
+    here = F.filter("l", lambda x: x["cell"] == F.col("py") * SIDE + F.col("px"))
+    found = F.array_sort(F.transform(here, lambda x: F.struct(x["layer"].alias("layer"), x["p"].alias("p"))))
+    return rows.select("token", "t", "valid", F.when(F.col("valid"), F.coalesce(found, F.array().cast("array<struct<layer:int,p:double>>"))).alias("found"))
 
 
 def distance_to(points: DataFrame, cells: DataFrame, layer: int, reach: int = 5) -> DataFrame:
@@ -119,12 +161,13 @@ def distance_to(points: DataFrame, cells: DataFrame, layer: int, reach: int = 5)
     return at.join(near, ["token", "t"], "left").select("token", "t", ((F.col("px") - F.col("l")) * F.lit(0.5)).alias("left"), ((F.col("m") - F.col("px")) * F.lit(0.5)).alias("right"))
 
 
-def nearest(points: DataFrame, cells: DataFrame, layer: int) -> DataFrame:
-    """token, t, r, c: the nearest set cell of a layer at or ahead of a place; ties go to the smaller column, then row."""
-    own = cells.where(F.col("layer") == layer).select("token", "r", "c")
-    joined = quantised(points).where("valid").join(own, "token").where(F.col("r") >= F.col("py"))
-    key = F.struct(((F.col("c") - F.col("px")) ** 2 + (F.col("r") - F.col("py")) ** 2).alias("d"), F.col("c"), F.col("r"))
-    return joined.groupBy("token", "t").agg(F.min(key).alias("k")).select("token", "t", "k.r", "k.c")
+def nearest(points: DataFrame, cells: DataFrame, layer: int = CROSSING) -> DataFrame:
+    """token, t, r, c: the nearest set cell of a layer at or ahead of a place; ties go to the smaller column, then row. Places without one have no row."""
+    rows = quantised(points).where("valid").join(layer_cells(cells, layer), "token")
+    row, column = lambda n: F.floor(n / SIDE).cast("int"), lambda n: (n % SIDE).cast("int")
+    ahead = F.filter("l0", lambda n: n >= F.col("py") * SIDE)
+    away = F.transform(ahead, lambda n: F.struct(((column(n) - F.col("px")) * (column(n) - F.col("px")) + (row(n) - F.col("py")) * (row(n) - F.col("py"))).alias("d"), column(n).alias("c"), row(n).alias("r")))
+    return rows.select("token", "t", F.array_min(away).alias("k")).where("k IS NOT NULL").select("token", "t", "k.r", "k.c")
 
 
 def occupied(points: DataFrame, occ: DataFrame, above: float = 0.1) -> DataFrame:
@@ -133,6 +176,18 @@ def occupied(points: DataFrame, occ: DataFrame, above: float = 0.1) -> DataFrame
     return quantised(points).where(F.col("valid") & (F.col("t") < 5)).join(own, ["token", "t", "py", "px"], "left").select("token", "t", F.coalesce("taken", F.lit(False)).alias("occupied"))
 
 
+def occupied_around(points: DataFrame, occ: DataFrame, above: float = 0.1, compat: bool = False) -> DataFrame:
+    """token, t, occupied, free: as ``occupied``, and the cells around a waypoint that are not taken; with compat those of any probability, if one of them is certain."""
+    number = F.col("r") * SIDE + F.col("c")
+    own = occ.groupBy("token", "t").agg(F.collect_set(F.when(F.col("p") > above, number)).alias("taken"), F.collect_set(F.when(F.col("p") != 0, number)).alias("some"), F.collect_set(F.when(F.col("p") == 1, number)).alias("certain"))
+    rows = quantised(points).where(F.col("valid") & (F.col("t") < 5)).join(own, ["token", "t"], "left")
+    if compat:
+        free = F.when(F.size(around(lambda r, c: is_set("certain", r, c), True)) > 0, around(lambda r, c: is_set("some", r, c), True)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    else:
+        free = around(lambda r, c: ~is_set("taken", r, c))
+    return rows.select("token", "t", is_set("taken", F.col("py"), F.col("px")).alias("occupied"), free.alias("free"))
+
+
 def occupied_strict(points: DataFrame, occ: DataFrame, t: int, above: float = 0.1) -> DataFrame:
     """token, occupied: whether any of a token's places is taken at step t; null if any of them is off the map or t outside 0..4."""
     own = occ.where((F.col("p") > above) & (F.col("t") == t)).select("token", F.col("r").alias("py"), F.col("c").alias("px"), F.lit(True).alias("taken"))
@@ -142,23 +197,28 @@ def occupied_strict(points: DataFrame, occ: DataFrame, t: int, above: float = 0.
 
 def safety_collisions(points: DataFrame, occ: DataFrame, margin: float = 1.0, above: float = 0.1) -> DataFrame:
     """token, t, collides: the footprint with a margin against the forecast, whose last step also stands for later ones."""
-    later = occ.where((F.col("p") > above) & (F.col("t") > 0)).withColumn("t", F.explode(F.when(F.col("t") == 4, F.array(F.lit(4), F.lit(5), F.lit(6))).otherwise(F.array("t"))))
-    return hits(points, "x", "y", later, "collides", LENGTH + margin, WIDTH + margin)
+    return hits(points, "x", "y", forecast(occ, above), "collides", LENGTH + margin, WIDTH + margin)
 
 
-def corners(x: Column, y: Column, dx: Column, dy: Column, angle: Column) -> Column:
-    """The four corners of a box turned clockwise by angle about its middle."""
+def corners(x: Column, y: Column, dx: Column, dy: Column, angle: Column | None = None) -> Column:
+    """The four corners of a box turned clockwise by angle about its middle; without an angle it stands along the axes."""
     signs = ((0.5, 0.5), (0.5, -0.5), (-0.5, -0.5), (-0.5, 0.5))
+    if angle is None:  # an angle of zero would leave terms of -0.0, which Spark's shared subexpressions mistake for terms of 0.0
+        return F.array(*[F.struct((x + dx * a).alias("x"), (y + dy * b).alias("y")) for a, b in signs])
     turned = lambda a, b: F.struct((x + dx * a * F.cos(angle) + dy * b * F.sin(angle)).alias("x"), (y - dx * a * F.sin(angle) + dy * b * F.cos(angle)).alias("y"))
     return F.array(*[turned(F.lit(a), F.lit(b)) for a, b in signs])
 
 
-def overlap(a: Column, b: Column, angle_a: Column, angle_b: Column) -> Column:
-    """Whether two boxes share an area (touching is not enough): no axis of either separates them."""
+def overlap(a: Column, b: Column, *angles: Column | None) -> Column:
+    """Whether two boxes share an area (touching is not enough): no axis of either separates them. angles: of both boxes, None for one along the axes."""
     out = F.lit(True)
-    for angle in (angle_a, angle_b):
-        for u, v in ((F.cos(angle), -F.sin(angle)), (F.sin(angle), F.cos(angle))):
-            along = lambda box, u=u, v=v: F.transform(box, lambda p: p["x"] * u + p["y"] * v)
+    for angle in angles:
+        if angle is None:
+            axes = [lambda p: p["x"], lambda p: p["y"]]
+        else:
+            axes = [lambda p, r=angle: p["x"] * F.cos(r) - p["y"] * F.sin(r), lambda p, r=angle: p["x"] * F.sin(r) + p["y"] * F.cos(r)]
+        for axis in axes:
+            along = lambda box, axis=axis: F.transform(box, lambda p: axis(p))
             out = out & (F.array_max(along(a)) - F.array_min(along(b)) > 1e-9) & (F.array_max(along(b)) - F.array_min(along(a)) > 1e-9)
     return out
 
@@ -184,10 +244,9 @@ def object_collisions(ego: DataFrame, steps: DataFrame, objects: DataFrame, marg
     shape = objects.select("token", "ord", "dx", "dy", "rot_z")
     reach = F.greatest(F.lit(10.0), (F.lit(math.hypot(LENGTH, WIDTH)) + F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)) / 2 + margin)
     near = ego.select("token", "t", F.col("x").alias("ex"), F.col("y").alias("ey")).join(steps.join(shape, ["token", "ord"]), ["token", "t"]).where((F.abs(F.col("x") - F.col("ex")) < reach) & (F.abs(F.col("y") - F.col("ey")) < reach))
-    still = F.lit(0.0)
-    mine = corners(F.col("ex"), F.col("ey"), F.lit(WIDTH), F.lit(LENGTH), still)
+    mine = corners(F.col("ex"), F.col("ey"), F.lit(WIDTH), F.lit(LENGTH))
     rows = near.withColumns({"a": mine, "b": corners(F.col("x"), F.col("y"), F.col("dx"), F.col("dy"), F.col("rot_z"))})
-    rows = rows.withColumns({"overlaps": overlap(F.col("a"), F.col("b"), still, F.col("rot_z")), "distance": box_distance(F.col("a"), F.col("b"))})
+    rows = rows.withColumns({"overlaps": overlap(F.col("a"), F.col("b"), None, F.col("rot_z")), "distance": box_distance(F.col("a"), F.col("b"))})
     return rows.select("token", "t", "ord", "overlaps", F.round("distance", 6).alias("distance"), (F.col("overlaps") | (F.col("distance") < margin)).alias("collides"))
 
 
@@ -198,16 +257,29 @@ def combined_collision(ego: DataFrame, occ: DataFrame, steps: DataFrame, objects
 
 
 def cells_of_boxes(steps: DataFrame, objects: DataFrame) -> DataFrame:
-    """token, t, r, c: the cells whose middle lies in an object's box at a step; step 0 is a copy of step 1."""
+    """token, t, r, c: the cells that an object's box covers at a step; step 0 is a copy of step 1.
+
+    A box's corners are quantised to cells first. Covered are the cells in the polygon of those, its border included, and those that a line along an edge passes through:
+    on each edge, for every column (or row, if the edge is steeper) the nearest cell. Cells off the map are left out.
+    """
     rows = steps.join(objects.select("token", "ord", "dx", "dy", "rot_z"), ["token", "ord"])
-    reach = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) / 2
-    span = lambda c: F.sequence(F.greatest(F.floor((F.col(c) - reach + 50) / 0.5), F.lit(0)).cast("int"), F.least(F.floor((F.col(c) + reach + 50) / 0.5), F.lit(SIDE - 1)).cast("int"))
-    inside = rows.where((F.col("x") + reach > -50) & (F.col("x") - reach < 50) & (F.col("y") + reach > -50) & (F.col("y") - reach < 50))
-    cells = inside.withColumn("c", F.explode(span("x"))).withColumn("r", F.explode(span("y")))
-    u, v = F.col("c") * 0.5 - 49.75 - F.col("x"), F.col("r") * 0.5 - 49.75 - F.col("y")
-    a, b = u * F.cos("rot_z") - v * F.sin("rot_z"), u * F.sin("rot_z") + v * F.cos("rot_z")
-    found = cells.where((F.abs(a) <= F.col("dx") / 2) & (F.abs(b) <= F.col("dy") / 2)).select("token", "t", "r", "c").distinct()
-    return found.union(found.where("t = 1").withColumn("t", F.lit(0)))
+    cell = lambda v: (F.lit(200.0) * (v + F.lit(50.25)) / F.lit(100.0)).cast("int")
+    box = F.transform(corners(*[F.col(c) for c in ("x", "y", "dx", "dy", "rot_z")]), lambda p: F.struct(cell(p["x"]).alias("c"), cell(p["y"]).alias("r")))
+    rows = rows.select("token", "t", box.alias("p")).repartition("token")  # corners are dealt out by scene; cells then never move
+    span = lambda k: F.sequence(F.greatest(F.array_min(F.transform("p", lambda q: q[k])), F.lit(0)), F.least(F.array_max(F.transform("p", lambda q: q[k])), F.lit(SIDE - 1)))
+    on_map = lambda k: (F.array_max(F.transform("p", lambda q: q[k])) >= 0) & (F.array_min(F.transform("p", lambda q: q[k])) < SIDE)
+    cells = rows.where(on_map("c") & on_map("r")).withColumn("c", F.explode(span("c"))).withColumn("r", F.explode(span("r")))
+    left, right, border = F.lit(True), F.lit(True), F.lit(False)
+    for k in range(4):
+        a, b = F.get("p", F.lit(k)), F.get("p", F.lit((k + 1) % 4))
+        u, v = b["c"] - a["c"], b["r"] - a["r"]
+        du, dv = F.col("c") - a["c"], F.col("r") - a["r"]
+        turn = u * dv - v * du
+        left, right = left & (turn >= 0), right & (turn <= 0)
+        within = (du * u + dv * v).between(0, u * u + v * v) | ((du == 0) & (dv == 0))
+        border = border | (within & (2 * F.abs(turn) <= F.greatest(F.abs(u), F.abs(v))))
+    found = cells.where(left | right | border).select("token", "t", "r", "c").distinct()
+    return found.withColumn("t", F.explode(F.when(F.col("t") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("t"))))
 
 
 def chain(rows: DataFrame, *tables: tuple[DataFrame, str, str]) -> DataFrame:

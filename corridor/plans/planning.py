@@ -74,6 +74,6 @@ SELECT token, variant FROM b WHERE NOT m OR NOT ((q >= 2 AND q % 2 = 0) OR (r >=
   CASE WHEN strpos(generated_text, 'Planned Trajectory:') > 0 THEN substr(generated_text, strpos(generated_text, 'Planned Trajectory:')) END AS action,
   CASE WHEN strpos(generated_text, '[') > 0 AND strpos(generated_text, ']') > strpos(generated_text, '[') THEN substr(generated_text, strpos(generated_text, '['), strpos(generated_text, ']') - strpos(generated_text, '[') + 1) END AS plan FROM generations""", "generations")),
     "planning_target_text": (lambda s, d: view(s, d, "gt").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("p")).select("token", text.planning_target(F.col("p")).alias("target")), with_views("""SELECT token,
-  'Planned Trajectory:' || chr(10) || '[' || string_agg('(' || x::DECIMAL(18,2)::VARCHAR || ',' || y::DECIMAL(18,2)::VARCHAR || ')', ', ' ORDER BY t) || ']' AS target FROM gt GROUP BY token""", "gt")),
+  'Planned Trajectory:' || chr(10) || '[' || string_agg('(' || printf('%.2f', x) || ',' || printf('%.2f', y) || ')', ', ' ORDER BY t) || ']' AS target FROM gt GROUP BY token""", "gt")),
     "last_write_wins": (lambda s, d: view(s, d, "pred").groupBy("token").agg(F.max_by(F.struct("x", "y"), "t").alias("w"), F.max("t").alias("t")).select("token", "t", "w.x", "w.y"), with_views("SELECT token, t, x, y FROM pred QUALIFY row_number() OVER (PARTITION BY token ORDER BY t DESC) = 1", "pred")),
 }

@@ -108,7 +108,7 @@ QUERIES = {
     "ego_goals": ((lambda s, d: view(s, d, "orders").select(F.col("o_orderkey").alias("token"), driving.goal(F.col("o_orderkey") % 3 - 1, F.col("o_orderkey") % 2).alias("goal"))), "SELECT o_orderkey AS token, CASE WHEN o_orderkey % 3 - 1 > 0 THEN 'RIGHT' WHEN o_orderkey % 2 > 0 THEN 'LEFT' ELSE 'FORWARD' END AS goal FROM orders"),
     "safe_zone_first_hit": (_first, with_views(_HIT + " SELECT token, ord, t FROM h", "objects")),
     "meta_action": ((lambda s, d: driving.meta_actions(_ego(s, d), driving.roll_out(_ego(s, d)))), "WITH" + _ACTION[1:] + " SELECT * FROM act"),
-    "rule_reasoning_text": (_thoughts, with_views(_HIT + _ACTION[len(_PATH):] + """, n AS (SELECT h.token, string_agg(' - Notable Objects: ' || o.name || ' at (' || o.x::DECIMAL(18,2) || ',' || o.y::DECIMAL(18,2) || '), moving to (' || w.x::DECIMAL(18,2) || ',' || w.y::DECIMAL(18,2) || ') at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10) || '   Potential Effects: within the safe zone of the ego-vehicle at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10), '' ORDER BY h.ord) AS l
+    "rule_reasoning_text": (_thoughts, with_views(_HIT + _ACTION[len(_PATH):] + """, n AS (SELECT h.token, string_agg(' - Notable Objects: ' || o.name || ' at (' || printf('%.2f', o.x::DOUBLE) || ',' || printf('%.2f', o.y::DOUBLE) || '), moving to (' || printf('%.2f', w.x::DOUBLE) || ',' || printf('%.2f', w.y::DOUBLE) || ') at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10) || '   Potential Effects: within the safe zone of the ego-vehicle at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10), '' ORDER BY h.ord) AS l
   FROM h JOIN objects o ON o.token = h.token AND o.ord = h.ord JOIN w ON w.token = h.token AND w.ord = h.ord AND w.t = h.t GROUP BY h.token)
 SELECT act.token, '*****Chain of Thoughts Reasoning:*****' || chr(10) || 'Thoughts:' || chr(10) || coalesce(l, ' - Notable Objects: None' || chr(10) || '   Potential Effects: None' || chr(10)) || 'Driving Plan: ' || action || chr(10) AS thoughts FROM act LEFT JOIN n ON n.token = act.token""", "objects")),
     "planner_messages": ((lambda s, d: driving.planner_message(view(s, d, "planner"))), with_views("SELECT id, ego || perception || coalesce(experiences, '') || commonsense || reasoning AS message FROM planner", "planner")),

@@ -64,20 +64,20 @@ def _ego_prompts(s, d):
 
 QUERIES = {
     "scene_link_walk": ((lambda s, d: links.walk(_links(s, d), "event_id", "next")), "SELECT event_id, first_value(event_id) OVER w AS start, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
-    "ego_prompts": (_ego_prompts, "WITH v AS (SELECT o_orderkey AS k, " + ", ".join(f"((o_orderkey % {m} - 2) / 4 * {f})::DECIMAL(18,2) AS {n}" for n, m, f in _STATES) + """ FROM orders)
+    "ego_prompts": (_ego_prompts, "WITH v AS (SELECT o_orderkey AS k, " + ", ".join(f"printf('%.2f', (o_orderkey % {m} - 2) / 4 * {f}::DOUBLE) AS {n}" for n, m, f in _STATES) + """ FROM orders)
 SELECT k AS token, '*****Ego States:*****' || chr(10) || 'Current State:' || chr(10) || ' - Velocity (vx,vy): (' || vx || ',' || vy || ')' || chr(10) || ' - Heading Angular Velocity (v_yaw): (' || v_yaw || ')' || chr(10) || ' - Acceleration (ax,ay): (' || ax || ',' || ay || ')' || chr(10) || ' - Can Bus: (' || cx || ',' || cy || ')' || chr(10)
-  || ' - Heading Speed: (' || v_head || ')' || chr(10) || ' - Steering: (' || steering || ')' || chr(10) || 'Historical Trajectory (last 2 seconds): [' || list_aggregate(list_transform([0, 1, 2, 3], lambda i: '(' || (-i / 4)::DECIMAL(18,2) || ',' || (i * -0.5)::DECIMAL(18,2) || ')'), 'string_agg', ', ') || ']' || chr(10) || 'Mission Goal: ' || CASE k % 3 WHEN 0 THEN 'RIGHT' WHEN 1 THEN 'LEFT' ELSE 'FORWARD' END || chr(10) AS prompt FROM v"""),
+  || ' - Heading Speed: (' || v_head || ')' || chr(10) || ' - Steering: (' || steering || ')' || chr(10) || 'Historical Trajectory (last 2 seconds): [' || list_aggregate(list_transform([0, 1, 2, 3], lambda i: '(' || printf('%.2f', -i / 4.0::DOUBLE) || ',' || printf('%.2f', i * -0.5::DOUBLE) || ')'), 'string_agg', ', ') || ']' || chr(10) || 'Mission Goal: ' || CASE k % 3 WHEN 0 THEN 'RIGHT' WHEN 1 THEN 'LEFT' ELSE 'FORWARD' END || chr(10) AS prompt FROM v"""),
     "accelerations": ((lambda s, d: driving.accelerations(view(s, d, "gt"))), with_views(", a AS (SELECT token, t, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM gt WINDOW w AS (PARTITION BY token ORDER BY t)), b AS (SELECT token, t, dx - lag(dx) OVER w AS ax, dy - lag(dy) OVER w AS ay FROM a WINDOW w AS (PARTITION BY token ORDER BY t)) SELECT token, ax, ay FROM b WHERE t = 6", "gt")),
     "vision_elements": ((lambda s, d: view(s, d, "media_rows").select("conv_id", "turn", F.size(conversations.vision_elements(F.array(F.struct(F.lit("text").alias("type"), F.when(F.col("n_images") > 0, "i").alias("image"), F.lit(None).cast("string").alias("video")), F.struct(F.when(F.col("n_videos") > 0, "video").otherwise("text").alias("type"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("video"))))).alias("n"))), with_views("SELECT conv_id, turn, ((n_images > 0)::INT + (n_videos > 0)::INT)::INT AS n FROM media_rows", "media_rows")),
     "packed_estimates": ((lambda s, d: view(s, d, "media_rows").select("conv_id", "turn", conversations.packed_estimate(F.col("text"), F.lit(2), F.col("n_images") * 64).alias("tokens"))), with_views("SELECT conv_id, turn, (31 + len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + n_images * 64)::INT AS tokens FROM media_rows", "media_rows")),
     "plain_names": ((lambda s, d: conversations.plain_names(view(s, d, "part").select(F.col("p_partkey").alias("Index"), F.col("p_name").alias("A"), F.col("p_brand").alias("Answer")))), "SELECT p_partkey AS index, p_name AS A, p_brand AS answer FROM part"),
-    "front_object_records": ((lambda s, d: text_records.front_objects(_prompts(s, d), "prompt", "token")), with_views("SELECT token, ord, name, x::DECIMAL(18,2)::DOUBLE AS x, y::DECIMAL(18,2)::DOUBLE AS y, dx::DECIMAL(18,2)::DOUBLE AS dx, dy::DECIMAL(18,2)::DOUBLE AS dy FROM objects WHERE abs(x) < 20 AND abs(y) < 20", "objects")),
+    "front_object_records": ((lambda s, d: text_records.front_objects(_prompts(s, d), "prompt", "token")), with_views("SELECT token, ord, name, printf('%.2f', x::DOUBLE)::DOUBLE AS x, printf('%.2f', y::DOUBLE)::DOUBLE AS y, printf('%.2f', dx::DOUBLE)::DOUBLE AS dx, printf('%.2f', dy::DOUBLE)::DOUBLE AS dy FROM objects WHERE abs(x) < 20 AND abs(y) < 20", "objects")),
     "objects_with_waypoints": ((lambda s, d: text_records.with_waypoints(spatial.front(view(s, d, "objects")).select("token", "ord"), spatial.waypoints(view(s, d, "objects")).where("t = 6 AND y > 0").select("token", "ord", "x", "y"), "token")), with_views(", w AS (SELECT token, ord, x + 6 * vx AS x, y + 3 AS y FROM objects) SELECT o.token, o.ord, w.x, w.y FROM objects o LEFT JOIN w ON w.token = o.token AND w.ord = o.ord AND w.y > 0 WHERE abs(o.x) < 5 AND o.y >= 0 AND o.y < 20", "objects")),
     "boxes_from_text": ((lambda s, d: text_records.boxes_3d(_fenced(s, d), "text", "p_partkey").select("p_partkey", "place", "label", F.get("box", 0).alias("x"), F.size("box").alias("n"))), "SELECT p_partkey, k::INT AS place, CASE k WHEN 0 THEN 'part ' || p_partkey ELSE 'b' END AS label, CASE k WHEN 0 THEN p_partkey % 50 ELSE 1 END::DOUBLE AS x, 9 AS n FROM part, generate_series(0, 1) g(k) WHERE p_partkey % 3 <> 2"),
     "boxed_answers": ((lambda s, d: view(s, d, "part").select("p_partkey", trajectory_text.boxed_answer(F.concat(F.lit("so \\boxed{1} or \\boxed{a_{"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "}} done").otherwise("} open"))).alias("answer"))), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a_{' || p_size || '}' END AS answer FROM part"),
     "code_blocks": ((lambda s, d: view(s, d, "part").select("p_partkey", trajectory_text.last_code_block(F.concat(F.lit("```python\nx = 1\n```\ntext\n```html\n<p>"), F.col("p_name"), F.lit("</p>\n```"))).alias("code"))), "SELECT p_partkey, '<p>' || p_name || '</p>' AS code FROM part"),
     "labelled_points": ((lambda s, d: view(s, d, "part").select("p_partkey", F.posexplode(trajectory_text.labelled_points(F.concat(F.lit('```json\n[{"point_2d": ['), F.col("p_size").cast("string"), F.lit(', 2]}, {"point_2d": [3, 4], "label": "end"}]\n```')))).alias("k", "p")).select("p_partkey", "k", F.get("p.point", 0).alias("x"), F.col("p.label").alias("label"))), "SELECT p_partkey, k::INT AS k, CASE k WHEN 0 THEN p_size ELSE 3 END::DOUBLE AS x, CASE k WHEN 0 THEN 'point_1' ELSE 'end' END AS label FROM part, generate_series(0, 1) g(k)"),
-    "result_times": ((lambda s, d: text_records.matched_times(view(s, d, "events").select("user_id", (F.col("event_id") % 10).alias("time"), F.col("event_type").alias("result"), F.col("event_id").alias("place")), view(s, d, "events").select("user_id", F.concat(F.lit("at "), (F.col("event_id") / 50 % 10).cast("int").cast("string")).alias("content")).distinct(), "user_id")), "WITH c AS (SELECT DISTINCT user_id, 'at ' || (event_id // 50 % 10) AS content FROM events WHERE event_id % 50 = 0) SELECT c.user_id, c.content, arg_max(e.event_type, e.event_id) AS result FROM c JOIN events e ON e.user_id = c.user_id AND contains(c.content, (e.event_id % 10)::VARCHAR) GROUP BY c.user_id, c.content"),
+    "result_times": ((lambda s, d: text_records.matched_times(view(s, d, "events").select("user_id", (F.col("event_id") % 10).alias("time"), F.col("event_type").alias("result"), F.col("event_id").alias("place")), view(s, d, "events").select("user_id", F.concat(F.lit("at "), (F.col("event_id") / 50 % 10).cast("int").cast("string")).alias("content")).distinct(), "user_id")), "WITH c AS (SELECT DISTINCT user_id, 'at ' || (event_id // 50 % 10) AS content FROM events) SELECT c.user_id, c.content, arg_max(e.event_type, e.event_id) AS result FROM c JOIN events e ON e.user_id = c.user_id AND contains(c.content, (e.event_id % 10)::VARCHAR) GROUP BY c.user_id, c.content"),
     "per_embodiment": ((lambda s, d: text_records.per_embodiment(view(s, d, "part").select("p_partkey", F.split("p_type", " ").alias("embodiment")), "embodiment")), "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS embodiment FROM part"),
     "stripped_marks": ((lambda s, d: view(s, d, "part").select("p_partkey", conversations.without_marks(F.concat(F.lit("<ref>"), F.col("p_name"), F.lit("</ref><box>(1,2)</box> ok"))).alias("text"))), "SELECT p_partkey, p_name || ' ok' AS text FROM part"),
     "list_fields": ((lambda s, d: view(s, d, "part").select("p_partkey", F.explode(choices.as_list(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('["'), F.col("p_brand"), F.lit('", "x"]'))).otherwise(F.col("p_brand")))).alias("item"))), "SELECT p_partkey, p_brand AS item FROM part UNION ALL SELECT p_partkey, 'x' FROM part WHERE p_partkey % 2 = 0"),

@@ -10,17 +10,15 @@ from corridor.sources.fixtures import view, with_views
 
 _PIXEL = "trunc(200 * (x + 50.25) / 100)::INT AS px, trunc(200 * (y + 50.25) / 100)::INT AS py"
 _VALID = "px >= 0 AND px < 200 AND py >= 0 AND py < 200"
-_LINE = """'{lead}, object type: ' || name || ', object id: ' || ord || ', position: (' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || '), size: (' || dx::DECIMAL(18,2) || ', ' || dy::DECIMAL(18,2) || ')' || chr(10)"""
+_LINE = """'{lead}, object type: ' || name || ', object id: ' || ord || ', position: (' || printf('%.2f', x::DOUBLE) || ', ' || printf('%.2f', y::DOUBLE) || '), size: (' || printf('%.2f', dx::DOUBLE) || ', ' || printf('%.2f', dy::DOUBLE) || ')' || chr(10)"""
 _STEPS = ", w AS (SELECT token, ord, t::INT AS t, x + t * vx AS x, y + t * 0.5 AS y FROM objects, generate_series(1, 6) s(t))"
 _AT = f", q AS (SELECT *, {_PIXEL} FROM gt), v AS (SELECT *, {_VALID} AS valid FROM q)"
-_POINT = "'(' || x::DECIMAL(18,2) || ', ' || y::DECIMAL(18,2) || ')'"
-_SHOULDERS = _AT + f""", n AS (SELECT v.token, v.t, max(m.c) FILTER (m.c < px) AS l, min(m.c) FILTER (m.c >= px) AS k FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 2 AND m.r >= greatest(py - 5, 0) AND m.r < least(py + 5, 199) WHERE valid GROUP BY v.token, v.t),
-d AS (SELECT v.token, v.t, x, y, ((px - l) * 0.5::DOUBLE) || 'm' AS l, ((k - px) * 0.5::DOUBLE) || 'm' AS k FROM v LEFT JOIN n ON n.token = v.token AND n.t = v.t WHERE valid)
-SELECT token, 'Distance to both sides of road shoulders of selected locations:' || chr(10) || string_agg('Location ' || {_POINT} || CASE WHEN l IS NULL AND k IS NULL THEN ' distance to shoulders are uncertain' WHEN l IS NULL THEN ' distance to left shoulder is uncertain and distance to right shoulder is ' || k
-  WHEN k IS NULL THEN ' distance to left shoulder is ' || l || ' and distance to right shoulder is uncertain' ELSE ' distance to left shoulder is ' || l || ' and right shoulder is ' || k END || chr(10), '' ORDER BY t) AS prompt FROM d GROUP BY token"""
-_EGO = """, eg AS (SELECT token % 15000 AS token, t, avg(x) AS ex, avg(y) AS ey FROM gt GROUP BY 1, 2),
-w AS (SELECT token, ord, dx AS bdx, dy AS bdy, rot_z AS br, t::INT AS t, x + t * vx AS bx, y + t * 0.5 AS by_ FROM objects, generate_series(1, 6) s(t)),
-m AS (SELECT w.*, ex, ey FROM w JOIN eg ON eg.token = w.token AND eg.t = w.t WHERE abs(bx - ex) < 10 AND abs(by_ - ey) < 10),
+_POINT = "'(' || printf('%.2f', x::DOUBLE) || ', ' || printf('%.2f', y::DOUBLE) || ')'"
+_DEALT = """, dl AS (SELECT s.token AS scene, g.token FROM (SELECT token, row_number() OVER (ORDER BY @h('scene|' || token), token) AS place FROM (SELECT DISTINCT token FROM objects)) s
+  JOIN (SELECT token, row_number() OVER (ORDER BY @h('trajectory|' || token), token) AS turn, count(*) OVER () AS n FROM (SELECT DISTINCT token FROM gt)) g ON (s.place - 1) % g.n + 1 = g.turn),
+eg AS (SELECT dl.scene AS token, gt.t, gt.x AS ex, gt.y AS ey FROM dl JOIN gt ON gt.token = dl.token)"""
+_EGO = _DEALT + """, w AS (SELECT token, ord, dx AS bdx, dy AS bdy, rot_z AS br, t::INT AS t, x + t * vx AS bx, y + t * 0.5 AS by_, greatest(10, (sqrt(4.084::DOUBLE * 4.084 + 1.85::DOUBLE * 1.85) + sqrt(dx * dx + dy * dy)) / 2 + 1) AS reach FROM objects, generate_series(1, 6) s(t)),
+m AS (SELECT w.*, ex, ey FROM w JOIN eg ON eg.token = w.token AND eg.t = w.t WHERE abs(bx - ex) < reach AND abs(by_ - ey) < reach),
 p AS (SELECT *, list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [ex + 1.85::DOUBLE * s[1], ey + 4.084::DOUBLE * s[2]]) AS pa,
   list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [bx + bdx * s[1] * cos(br) + bdy * s[2] * sin(br), by_ - bdx * s[1] * sin(br) + bdy * s[2] * cos(br)]) AS pb FROM m),
 x AS (SELECT token, t, ord, pa, pb, unnest([[1::DOUBLE, 0], [0, 1], [cos(br), -sin(br)], [sin(br), cos(br)]]) AS u FROM p),
@@ -30,7 +28,7 @@ e AS (SELECT token, t, ord, pa AS c, pb AS q FROM p UNION ALL SELECT token, t, o
 f AS (SELECT token, t, ord, c[i] AS c, q[j] AS s, q[j % 4 + 1] AS z FROM e, generate_series(1, 4) x(i), generate_series(1, 4) z(j)),
 g AS (SELECT *, greatest(0, least(1, ((c[1] - s[1]) * (z[1] - s[1]) + (c[2] - s[2]) * (z[2] - s[2])) / ((z[1] - s[1]) ** 2 + (z[2] - s[2]) ** 2))) AS k FROM f),
 ds AS (SELECT token, t, ord, min(sqrt((c[1] - s[1] - k * (z[1] - s[1])) ** 2 + (c[2] - s[2] - k * (z[2] - s[2])) ** 2)) AS v FROM g GROUP BY token, t, ord),
-oc AS (SELECT ds.token, ds.t, ds.ord, ov."overlaps", round(v, 6) AS distance, ov."overlaps" OR v < 0.5 AS collides FROM ds JOIN ov ON ov.token = ds.token AND ov.t = ds.t AND ov.ord = ds.ord)"""
+oc AS (SELECT ds.token, ds.t, ds.ord, ov."overlaps", round(v, 6) AS distance, ov."overlaps" OR v < 1 AS collides FROM ds JOIN ov ON ov.token = ds.token AND ov.t = ds.t AND ov.ord = ds.ord)"""
 _SHAPES = """, m AS (SELECT a.token, a.ord AS a, b.ord AS b, a.x AS ax, a.y AS ay, a.dx AS adx, a.dy AS ady, a.rot_z AS ar, b.x AS bx, b.y AS by_, b.dx AS bdx, b.dy AS bdy, b.rot_z AS br
   FROM objects a JOIN objects b ON a.token = b.token AND a.ord < b.ord AND abs(a.x - b.x) < 10 AND abs(a.y - b.y) < 10),
 p AS (SELECT *, list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [ax + adx * s[1] * cos(ar) + ady * s[2] * sin(ar), ay - adx * s[1] * sin(ar) + ady * s[2] * cos(ar)]) AS pa,
@@ -49,22 +47,57 @@ def _map(s, d):
     return view(s, d, "gt"), view(s, d, "map_cells")
 
 
-def _distance(layer):
-    sql = _AT + f""", n AS (SELECT v.token, v.t, max(m.c) FILTER (m.c < px) AS l, min(m.c) FILTER (m.c >= px) AS k FROM v JOIN map_cells m ON m.token = v.token AND m.layer = {layer}
-  AND m.r >= greatest(py - 5, 0) AND m.r < least(py + 5, 199) WHERE valid GROUP BY v.token, v.t)
-SELECT v.token, v.t, (px - l) * 0.5::DOUBLE AS "left", (k - px) * 0.5::DOUBLE AS "right" FROM v LEFT JOIN n ON n.token = v.token AND n.t = v.t WHERE valid"""
+_BORDER = {"shoulder": 2, "divider": 0}
+_HERE = ", v AS (SELECT DISTINCT token, 0 AS t, 0::DOUBLE AS x, 0::DOUBLE AS y, 100 AS px, 100 AS py, true AS valid FROM gt)"
+
+
+def _reached(kind, start=_AT):
+    return start + f""", n AS (SELECT v.token, v.t, max(m.c) FILTER (m.c < px) AS l, min(m.c) FILTER (m.c >= px) AS k FROM v JOIN map_cells m ON m.token = v.token AND m.layer = {_BORDER[kind]}
+  AND m.r >= greatest(py - 5, 0) AND m.r < least(py + 5, 199) WHERE valid GROUP BY v.token, v.t)"""
+
+
+def _distance(kind, layer):
+    sql = _reached(kind) + ' SELECT v.token, v.t, (px - l) * 0.5::DOUBLE AS "left", (k - px) * 0.5::DOUBLE AS "right" FROM v LEFT JOIN n ON n.token = v.token AND n.t = v.t WHERE valid'
     return lambda s, d: spatial.distance_to(*_map(s, d), layer), with_views(sql, "gt", "map_cells")
 
 
-_FILTERS = {
-    "leading_objects": (spatial.leading, "abs(x) < 3 AND y >= 0 AND y < 10"), "surrounding_objects": (spatial.surrounding, "abs(x) < 20 AND abs(y) < 20"),
-    "front_objects": (spatial.front, "abs(x) < 5 AND y >= 0 AND y < 20"), "objects_in_range": (lambda o: spatial.in_range(o, -20, 20, 0, 10), "x BETWEEN -20 AND 20 AND y BETWEEN 0 AND 10"), "all_objects": (spatial.all_objects, "true"),
-}
+def _sides(kind, current):
+    chosen, own, name, uncertain, uncertain_here = formats.SIDES[kind]
+    subject = "'Current ego-vehicle''s'" if current else f"'Location ' || {_POINT}"
+    sql = _reached(kind, _HERE if current else _AT) + f""", d AS (SELECT v.token, v.t, x, y, ((px - l) * 0.5::DOUBLE) || 'm' AS l, ((k - px) * 0.5::DOUBLE) || 'm' AS k FROM v LEFT JOIN n ON n.token = v.token AND n.t = v.t WHERE valid)
+SELECT token, {_quoted(own if current else chosen)} || string_agg({subject} || CASE WHEN l IS NULL AND k IS NULL THEN ' distance to {uncertain_here if current else uncertain} are uncertain'
+  WHEN l IS NULL THEN ' distance to left {name} is uncertain and distance to right {name} is ' || k WHEN k IS NULL THEN ' distance to left {name} is ' || l || ' and distance to right {name} is uncertain'
+  ELSE ' distance to left {name} is ' || l || ' and right {name} is ' || k END || chr(10), '' ORDER BY t) AS prompt FROM d GROUP BY token"""
+    return lambda s, d: map_text.sides(*_map(s, d), kind, current), with_views(sql, "gt", "map_cells")
+
 
 def _quoted(text):
     return "'" + text.replace("\n", "' || chr(10) || '") + "'"
 
 
+def _near(layer):
+    """The set cells of a layer around places on the map, as text."""
+    return f""", nb AS (SELECT v.token, v.t, string_agg('(' || (-50 + (m.c + 0.5::DOUBLE) * 0.5) || ', ' || (-50 + (m.r + 0.5::DOUBLE) * 0.5) || ')', ', ' ORDER BY m.c, m.r) AS s, count(*) AS n
+  FROM v JOIN map_cells m ON m.token = v.token AND abs(m.r - py) <= 1 AND abs(m.c - px) <= 1 AND m.layer = {layer} WHERE valid GROUP BY v.token, v.t)"""
+
+
+def _boxes():
+    """Cells of boxes: corners quantised, then the polygon with its border and the cells along its edges."""
+    signs = ((0.5, 0.5), (0.5, -0.5), (-0.5, -0.5), (-0.5, 0.5))
+    corner = ", ".join(f"trunc(200 * (x + dx * {a} * cos(z) + dy * {b} * sin(z) + 50.25) / 100)::INT AS c{k}, trunc(200 * (y - dx * {a} * sin(z) + dy * {b} * cos(z) + 50.25) / 100)::INT AS r{k}" for k, (a, b) in enumerate(signs))
+    turn = [f"((c{(k + 1) % 4} - c{k}) * (r - r{k}) - (r{(k + 1) % 4} - r{k}) * (c - c{k}))" for k in range(4)]
+    along = [f"((c{(k + 1) % 4} - c{k}) * (c - c{k}) + (r{(k + 1) % 4} - r{k}) * (r - r{k}) BETWEEN 0 AND (c{(k + 1) % 4} - c{k}) * (c{(k + 1) % 4} - c{k}) + (r{(k + 1) % 4} - r{k}) * (r{(k + 1) % 4} - r{k}) AND 2 * abs({turn[k]}) <= greatest(abs(c{(k + 1) % 4} - c{k}), abs(r{(k + 1) % 4} - r{k})))" for k in range(4)]
+    every = lambda f, axis: f"{f}({', '.join(f'{axis}{k}' for k in range(4))})"
+    return _STEPS + f""", b AS (SELECT w.token, w.t, w.x, w.y, o.dx, o.dy, o.rot_z AS z FROM w JOIN objects o USING (token, ord)), p AS (SELECT token, t, {corner} FROM b),
+i AS (SELECT p.*, g.c::INT AS c, h.r::INT AS r FROM p, generate_series(greatest({every('least', 'c')}, 0), least({every('greatest', 'c')}, 199)) g(c), generate_series(greatest({every('least', 'r')}, 0), least({every('greatest', 'r')}, 199)) h(r)),
+f AS (SELECT DISTINCT token, t, r, c FROM i WHERE ({' AND '.join(f'{x} >= 0' for x in turn)}) OR ({' AND '.join(f'{x} <= 0' for x in turn)}) OR {' OR '.join(along)})"""
+
+
+_FILTERS = {
+    "leading_objects": (spatial.leading, "abs(x) < 3 AND y >= 0 AND y < 10"), "surrounding_objects": (spatial.surrounding, "abs(x) < 20 AND abs(y) < 20"),
+    "front_objects": (spatial.front, "abs(x) < 5 AND y >= 0 AND y < 20"), "objects_in_range": (lambda o: spatial.in_range(o, -20, 20, 0, 10), "x BETWEEN -20 AND 20 AND y BETWEEN 0 AND 10"), "all_objects": (spatial.all_objects, "true"),
+}
+
 def _prompt(kind, pick, condition):
     header, lead = formats.OBJECTS_IN_RANGE[0].format(-20, 20, 0, 10) if kind == "range" else formats.OBJECTS[kind][0], formats.OBJECTS.get(kind, formats.OBJECTS_IN_RANGE)[1]
     return (lambda s, d: spatial.prompt(pick(view(s, d, "objects")), header, lead)), with_views(f"SELECT token, {_quoted(header)} || string_agg({_LINE.format(lead=lead)}, '' ORDER BY ord) AS prompt FROM objects WHERE {condition} GROUP BY token", "objects")
@@ -72,9 +105,10 @@ def _prompt(kind, pick, condition):
 
 def _futures(kind, short, pick, condition):
     header, lead, span = formats.TRAJECTORIES[kind]
+    header = header.format(-20, 20, 0, 10)
     start = f"{lead}: " if lead == "Object type" else f"{lead}, object type: "
     rest = "', moving to: ' || max(p) FILTER (t = 6)" if short else f"', future waypoint coordinates in {span}: [' || string_agg(p, ', ' ORDER BY t) || ']'"
-    sql = f"""{_STEPS}, q AS (SELECT w.token, w.ord, o.name, t, '(' || w.x::DECIMAL(18,2) || ', ' || w.y::DECIMAL(18,2) || ')' AS p FROM w JOIN objects o ON o.token = w.token AND o.ord = w.ord WHERE {condition}),
+    sql = f"""{_STEPS}, q AS (SELECT w.token, w.ord, o.name, t, '(' || printf('%.2f', w.x::DOUBLE) || ', ' || printf('%.2f', w.y::DOUBLE) || ')' AS p FROM w JOIN objects o ON o.token = w.token AND o.ord = w.ord WHERE {condition}),
 l AS (SELECT token, ord, '{start}' || name || ', object id: ' || ord || {rest} || chr(10) AS l FROM q GROUP BY token, ord, name) SELECT token, {_quoted(header)} || string_agg(l, '' ORDER BY ord) AS prompt FROM l GROUP BY token"""
 
     def run(s, d):
@@ -85,33 +119,50 @@ l AS (SELECT token, ord, '{start}' || name || ', object id: ' || ord || {rest} |
 
 
 QUERIES = {n: ((lambda s, d, f=f: f(view(s, d, "objects"))), with_views(f"SELECT * FROM objects WHERE {c}", "objects")) for n, (f, c) in _FILTERS.items()} | {
-    "drivable_prompts": ((lambda s, d: map_text.drivable(*_map(s, d))), with_views(_AT + f" SELECT v.token, 'Drivability of selected locations:' || chr(10) || coalesce(string_agg('Location ' || {_POINT} || CASE WHEN m.token IS NOT NULL THEN ' is drivable' ELSE ' is not drivable' END || chr(10), '' ORDER BY v.t) FILTER (valid), '') AS prompt FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 0 GROUP BY v.token", "gt", "map_cells")),
-    "drivable_path_prompts": ((lambda s, d: map_text.drivable_path(*_map(s, d))), with_views(_AT + f" SELECT v.token, 'Drivability of the planned trajectory:' || chr(10) || coalesce(string_agg('Waypoint ' || {_POINT} || ' is not drivable at time step ' || v.t || chr(10), '' ORDER BY v.t) FILTER (valid AND m.token IS NULL), 'All waypoints of the planned trajectory are in drivable regions' || chr(10)) AS prompt FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 0 GROUP BY v.token", "gt", "map_cells")),
+    "drivable_prompts": ((lambda s, d: map_text.drivable(*_map(s, d))), with_views(_AT + f" SELECT v.token, 'Drivability of selected locations:' || chr(10) || coalesce(string_agg('Location ' || {_POINT} || CASE WHEN m.token IS NOT NULL THEN ' is drivable' ELSE ' is not drivable' END || chr(10), '' ORDER BY v.t) FILTER (valid), '') AS prompt FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 3 GROUP BY v.token", "gt", "map_cells")),
+    "drivable_path_prompts": ((lambda s, d: map_text.drivable_path(*_map(s, d))), with_views(_AT + f" SELECT v.token, 'Drivability of the planned trajectory:' || chr(10) || coalesce(string_agg('Waypoint ' || {_POINT} || ' is not drivable at time step ' || v.t || chr(10), '' ORDER BY v.t) FILTER (valid AND m.token IS NULL), 'All waypoints of the planned trajectory are in drivable regions' || chr(10)) AS prompt FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 3 GROUP BY v.token", "gt", "map_cells")),
     "lane_prompts": ((lambda s, d: map_text.lanes(*_map(s, d))), with_views(_AT + f", l AS (SELECT v.token, v.t, any_value(v.x) AS x, any_value(v.y) AS y, any_value(valid) AS valid, string_agg(['divider', 'ped_crossing', 'boundary'][m.layer + 1], ', ' ORDER BY m.layer) AS n FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer < 3 GROUP BY v.token, v.t) SELECT token, 'Lane category of selected locations:' || chr(10) || coalesce(string_agg('Location ' || {_POINT} || CASE WHEN n IS NULL THEN ' has no lane category' ELSE ' has lane category ' || n END || chr(10), '' ORDER BY t) FILTER (valid), '') AS prompt FROM l GROUP BY token", "gt", "map_cells")),
-    "shoulder_prompts": ((lambda s, d: map_text.shoulders(*_map(s, d))), with_views(_SHOULDERS, "gt", "map_cells")),
-    "crossing_prompts": ((lambda s, d: map_text.crossing(*_map(s, d), 3)), with_views(_AT + ", k AS (SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 3 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1) SELECT token, 'Get the nearest pedestrian crossing location:' || chr(10) || string_agg('The nearest pedestrian crossing is at (' || (-50 + (c + 0.5::DOUBLE) * 0.5)::DECIMAL(18,2) || ', ' || (-50 + (r + 0.5::DOUBLE) * 0.5)::DECIMAL(18,2) || ')' || chr(10), '' ORDER BY t) AS prompt FROM k GROUP BY token", "gt", "map_cells")),
+    "shoulder_prompts": _sides("shoulder", False),
+    "current_shoulder_prompts": _sides("shoulder", True),
+    "divider_prompts": _sides("divider", False),
+    "current_divider_prompts": _sides("divider", True),
+    "drivable_path_around_prompts": ((lambda s, d: map_text.drivable_path(*_map(s, d), surrounding=True)), with_views(_AT + _near(3) + f" SELECT v.token, 'Drivability of the planned trajectory:' || chr(10) || coalesce(string_agg('Waypoint ' || {_POINT} || ' is not drivable at time step ' || v.t || chr(10) || coalesce('- Surrounding drivable regions: [' || nb.s || ']' || chr(10), ''), '' ORDER BY v.t) FILTER (valid AND m.token IS NULL), 'All waypoints of the planned trajectory are in drivable regions' || chr(10)) AS prompt FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 3 LEFT JOIN nb ON nb.token = v.token AND nb.t = v.t GROUP BY v.token", "gt", "map_cells")),
+    "lane_score_prompts": ((lambda s, d: map_text.lanes(view(s, d, "gt"), view(s, d, "lane_cells"), scores=True)), with_views(_AT + f", l AS (SELECT v.token, v.t, any_value(v.x) AS x, any_value(v.y) AS y, any_value(valid) AS valid, string_agg(['divider', 'ped_crossing', 'boundary'][m.layer + 1], ', ' ORDER BY m.layer) AS n, string_agg(printf('%.2f', p), ', ' ORDER BY m.layer) AS q FROM v LEFT JOIN lane_cells m ON m.token = v.token AND m.r = py AND m.c = px GROUP BY v.token, v.t) SELECT token, 'Lane category of selected locations:' || chr(10) || coalesce(string_agg('Location ' || {_POINT} || CASE WHEN n IS NULL THEN ' has no lane category' ELSE ' has lane category ' || n || ' with probability score ' || q END || chr(10), '' ORDER BY t) FILTER (valid), '') AS prompt FROM l GROUP BY token", "gt", "lane_cells")),
+    "occupancy_prompts": ((lambda s, d: map_text.occupancy(view(s, d, "gt"), view(s, d, "occ"), 2)), with_views(_AT + f" SELECT v.token, CASE WHEN bool_and(valid) THEN 'Occupancy information:' || chr(10) || string_agg('Location ' || {_POINT} || CASE WHEN o.token IS NOT NULL THEN ' is occupied' ELSE ' is not occupied' END || ' at timestep 2' || chr(10), '' ORDER BY v.t) END AS prompt FROM v LEFT JOIN occ o ON o.token = v.token AND o.t = 2 AND o.r = py AND o.c = px AND o.p > 0.1 GROUP BY v.token", "gt", "occ")),
+    "collision_around_prompts": ((lambda s, d: map_text.collision_check(view(s, d, "gt"), view(s, d, "occ"), surrounding=True)), with_views(_AT + f""", h AS (SELECT v.* FROM v JOIN occ o ON o.token = v.token AND o.t = v.t AND o.r = py AND o.c = px AND o.p > 0.1 AND v.t < 5 WHERE valid),
+z AS (SELECT h.token, h.t, px + a AS c, py + b AS r FROM h, generate_series(-1, 1) g(a), generate_series(-1, 1) k(b) WHERE px + a BETWEEN 0 AND 199 AND py + b BETWEEN 0 AND 199),
+nb AS (SELECT z.token, z.t, string_agg('(' || (-50 + (z.c + 0.5::DOUBLE) * 0.5) || ', ' || (-50 + (z.r + 0.5::DOUBLE) * 0.5) || ')', ', ' ORDER BY z.c, z.r) AS s FROM z LEFT JOIN occ o ON o.token = z.token AND o.t = z.t AND o.r = z.r AND o.c = z.c AND o.p > 0.1 WHERE o.token IS NULL GROUP BY z.token, z.t),
+k AS (SELECT h.token, string_agg('Waypoint ' || {_POINT} || ' collides at timestep ' || h.t || chr(10) || coalesce('- Surrounding not occupied region: [' || nb.s || ']' || chr(10), ''), '' ORDER BY h.t) AS s FROM h LEFT JOIN nb ON nb.token = h.token AND nb.t = h.t GROUP BY h.token)
+SELECT g.token, 'Check collision of the planned trajectory:' || chr(10) || coalesce(k.s, 'The planned trajectory does not collide with any other objects.' || chr(10)) AS prompt FROM (SELECT DISTINCT token FROM gt) g LEFT JOIN k ON k.token = g.token""", "gt", "occ")),
+    "crossing_prompts": ((lambda s, d: map_text.crossing(*_map(s, d))), with_views(_AT + ", k AS (SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 1 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1) SELECT token, 'Get the nearest pedestrian crossing location:' || chr(10) || string_agg('The nearest pedestrian crossing is at (' || printf('%.2f', -50 + (c + 0.5::DOUBLE) * 0.5) || ', ' || printf('%.2f', -50 + (r + 0.5::DOUBLE) * 0.5) || ')' || chr(10), '' ORDER BY t) AS prompt FROM k GROUP BY token", "gt", "map_cells")),
     "collision_check_prompts": ((lambda s, d: map_text.collision_check(view(s, d, "gt"), view(s, d, "occ"))), with_views(f", q AS (SELECT *, {_PIXEL} FROM gt) SELECT q.token, 'Check collision of the planned trajectory:' || chr(10) || coalesce(string_agg('Waypoint ' || {_POINT} || ' collides at timestep ' || q.t || chr(10), '' ORDER BY q.t) FILTER (o.token IS NOT NULL AND {_VALID}), 'The planned trajectory does not collide with any other objects.' || chr(10)) AS prompt FROM q LEFT JOIN occ o ON o.token = q.token AND o.t = q.t AND o.r = py AND o.c = px AND o.p > 0.1 AND q.t < 5 GROUP BY q.token", "gt", "occ")),
     "leading_object_prompts": _prompt("leading", *_FILTERS["leading_objects"]),
     "surrounding_object_prompts": _prompt("surrounding", *_FILTERS["surrounding_objects"]),
     "object_prompt_text": _prompt("front", *_FILTERS["front_objects"]),
     "range_object_prompts": _prompt("range", *_FILTERS["objects_in_range"]),
     "leading_trajectory_prompts": _futures("leading", False, spatial.leading, "abs(o.x) < 3 AND o.y >= 0 AND o.y < 10"),
+    "leading_target_prompts": _futures("leading", True, spatial.leading, "abs(o.x) < 3 AND o.y >= 0 AND o.y < 10"),
+    "all_object_prompts": _prompt("all", *_FILTERS["all_objects"]),
+    "range_trajectory_prompts": _futures("range", False, lambda o: spatial.in_range(o, -20, 20, 0, 10), "o.x BETWEEN -20 AND 20 AND o.y BETWEEN 0 AND 10"),
+    "all_trajectory_prompts": _futures("all", False, spatial.all_objects, "true"),
+    "waypoint_prompts": ((lambda s, d: spatial.waypoint_prompt(spatial.waypoints(view(s, d, "objects")), view(s, d, "objects"), [0, 2, 5], 3)), with_views(_STEPS + f" SELECT w.token, 'Future waypoints of specific objects at time 2.0s:' || chr(10) || string_agg('object type: ' || o.name || ', object id: ' || w.ord || ', waypoint: (' || printf('%.2f', w.x) || ', ' || printf('%.2f', w.y) || ') at timestep 3' || chr(10), '' ORDER BY w.ord) AS prompt FROM w JOIN objects o ON o.token = w.token AND o.ord = w.ord WHERE w.t = 4 AND w.ord IN (0, 2, 5) GROUP BY w.token", "objects")),
     "trajectory_prompts_for_ids": _futures("ids", True, lambda o: spatial.for_ids(o, [0, 2, 5]), "o.ord IN (0, 2, 5)"),
     "leading_trajectories": (lambda s, d: spatial.waypoints(spatial.leading(view(s, d, "objects"))), with_views(_STEPS + " SELECT w.* FROM w JOIN objects o USING (token, ord) WHERE abs(o.x) < 3 AND o.y >= 0 AND o.y < 10", "objects")),
     "waypoints_for_ids": (lambda s, d: spatial.for_ids(spatial.waypoints(view(s, d, "objects")), [0, 2, 5]), with_views(_STEPS + " SELECT * FROM w WHERE ord IN (0, 2, 5)", "objects")),
     "waypoint_at_step": (lambda s, d: spatial.at_step(spatial.waypoints(view(s, d, "objects")), [0, 2, 5], 3), with_views(_STEPS + " SELECT *, 1.5::DOUBLE AS seconds FROM w WHERE ord IN (0, 2, 5) AND t = 3", "objects")),
     "trajectories_in_range": (lambda s, d: spatial.waypoints(spatial.in_range(view(s, d, "objects"), -20, 20, 0, 10)), with_views(_STEPS + " SELECT w.* FROM w JOIN objects o USING (token, ord) WHERE o.x BETWEEN -20 AND 20 AND o.y BETWEEN 0 AND 10", "objects")),
-    "trajectories_ever_in_range": (lambda s, d: spatial.ever_in_range(view(s, d, "objects"), spatial.waypoints(view(s, d, "objects")), -20, 20, 0, 10), with_views(_STEPS + " SELECT * FROM w WHERE EXISTS (SELECT 1 FROM w u WHERE u.token = w.token AND u.ord = w.ord AND u.x BETWEEN -20 AND 20 AND u.y BETWEEN 0 AND 10)", "objects")),
+    "trajectories_ever_in_range": (lambda s, d: spatial.ever_in_range(view(s, d, "objects"), spatial.waypoints(view(s, d, "objects")), -20, 20, 0, 10), with_views(_STEPS + " SELECT w.* FROM w JOIN (SELECT DISTINCT token, ord FROM w WHERE x BETWEEN -20 AND 20 AND y BETWEEN 0 AND 10) u ON u.token = w.token AND u.ord = w.ord", "objects")),
     "all_trajectories": (lambda s, d: spatial.waypoints(view(s, d, "objects")), with_views(_STEPS + " SELECT * FROM w", "objects")),
     "pixel_quantise": (lambda s, d: spatial.quantised(view(s, d, "objects").select("token", "ord", "x", "y")), with_views(f"SELECT *, {_VALID} AS valid FROM (SELECT token, ord, x, y, {_PIXEL} FROM objects)", "objects")),
     "pixel_round_trip": (lambda s, d: spatial.located(spatial.quantised(view(s, d, "objects").select("token", "ord", "x", "y")).where("valid").select("token", "ord", "px", "py")), with_views(f"SELECT token, ord, px, py, -50 + (px + 0.5::DOUBLE) * 0.5 AS x, -50 + (py + 0.5::DOUBLE) * 0.5 AS y, true AS valid FROM (SELECT token, ord, {_PIXEL} FROM objects) WHERE {_VALID}", "objects")),
-    "drivable_lookup": (lambda s, d: spatial.drivable(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, (m.token IS NOT NULL OR NOT valid) AS drivable FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 0", "gt", "map_cells")),
-    "drivable_trajectory": (lambda s, d: spatial.all_drivable(spatial.drivable(*_map(s, d))), with_views(_AT + " SELECT v.token, bool_and(m.token IS NOT NULL OR NOT valid) AS drivable, count(*) AS steps FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 0 GROUP BY v.token", "gt", "map_cells")),
-    "drivable_surrounding": (lambda s, d: spatial.drivable_around(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, count(m.token) AS free FROM v LEFT JOIN map_cells m ON m.token = v.token AND abs(m.r - py) <= 1 AND abs(m.c - px) <= 1 AND m.layer = 0 WHERE valid GROUP BY v.token, v.t", "gt", "map_cells")),
-    "lane_category": (lambda s, d: spatial.lane_categories(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, CASE WHEN any_value(valid) THEN coalesce(string_agg(m.layer::VARCHAR, ',' ORDER BY m.layer), '') END AS layers FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px GROUP BY v.token, v.t", "gt", "map_cells")),
-    "shoulder_distance": _distance(2),
-    "divider_distance": _distance(1),
-    "nearest_crossing": (lambda s, d: spatial.nearest(*_map(s, d), 3), with_views(_AT + " SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 3 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1", "gt", "map_cells")),
+    "drivable_lookup": (lambda s, d: spatial.drivable(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, (m.token IS NOT NULL OR NOT valid) AS drivable FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 3", "gt", "map_cells")),
+    "drivable_trajectory": (lambda s, d: spatial.all_drivable(spatial.drivable(*_map(s, d))), with_views(_AT + " SELECT v.token, bool_and(m.token IS NOT NULL OR NOT valid) AS drivable, count(*) AS steps FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 3 GROUP BY v.token", "gt", "map_cells")),
+    "drivable_surrounding": (lambda s, d: spatial.drivable_around(*_map(s, d)).select("token", "t", "drivable", F.size("free").alias("free"), map_text.listed(F.col("free")).alias("places")), with_views(_AT + _near(3) + " SELECT v.token, v.t, m.token IS NOT NULL AS drivable, coalesce(nb.n, 0)::INT AS free, '[' || coalesce(nb.s, '') || ']' AS places FROM v LEFT JOIN nb ON nb.token = v.token AND nb.t = v.t LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer = 3 WHERE valid", "gt", "map_cells")),
+    "lane_category": (lambda s, d: spatial.lane_categories(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, CASE WHEN any_value(valid) THEN coalesce(string_agg(m.layer::VARCHAR, ',' ORDER BY m.layer), '') END AS layers FROM v LEFT JOIN map_cells m ON m.token = v.token AND m.r = py AND m.c = px AND m.layer < 3 GROUP BY v.token, v.t", "gt", "map_cells")),
+    "shoulder_distance": _distance("shoulder", spatial.BOUNDARY),
+    "divider_distance": _distance("divider", spatial.DIVIDER),
+    "current_crossing": ((lambda s, d: map_text.crossing(map_text.here(view(s, d, "gt")), view(s, d, "map_cells"))), with_views(_HERE + ", k AS (SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 1 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1) SELECT token, 'Get the nearest pedestrian crossing location:' || chr(10) || 'The nearest pedestrian crossing is at (' || printf('%.2f', -50 + (c + 0.5::DOUBLE) * 0.5) || ', ' || printf('%.2f', -50 + (r + 0.5::DOUBLE) * 0.5) || ')' || chr(10) AS prompt FROM k", "gt", "map_cells")),
+    "nearest_crossing": (lambda s, d: spatial.nearest(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 1 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1", "gt", "map_cells")),
     "occupancy_trajectory": (lambda s, d: spatial.occupied(view(s, d, "gt"), view(s, d, "occ")), with_views(f", q AS (SELECT *, {_PIXEL} FROM gt) SELECT q.token, q.t, coalesce(o.p > 0.1, false) AS occupied FROM q LEFT JOIN occ o ON o.token = q.token AND o.t = q.t AND o.r = py AND o.c = px WHERE {_VALID} AND q.t < 5", "gt", "occ")),
     "occupancy_lookup": (lambda s, d: spatial.occupied_strict(view(s, d, "gt"), view(s, d, "occ"), 2), with_views(f", q AS (SELECT *, {_PIXEL} FROM gt) SELECT q.token, CASE WHEN bool_and({_VALID}) THEN bool_or(coalesce(o.p > 0.1, false)) END AS occupied FROM q LEFT JOIN occ o ON o.token = q.token AND o.t = 2 AND o.r = py AND o.c = px GROUP BY q.token", "gt", "occ")),
     "safety_collision": (lambda s, d: spatial.safety_collisions(view(s, d, "pred"), view(s, d, "occ")), with_views(""", o AS (SELECT r, c FROM generate_series(96, 105) a(r), generate_series(97, 102) b(c)),
@@ -128,13 +179,11 @@ g AS (SELECT *, greatest(0, least(1, ((c[1] - s[1]) * (t[1] - s[1]) + (c[2] - s[
 SELECT token, a, b, round(min(sqrt((c[1] - s[1] - k * (t[1] - s[1])) ** 2 + (c[2] - s[2] - k * (t[2] - s[2])) ** 2)), 5) AS distance FROM g GROUP BY token, a, b""", "objects")),
     "object_collision": (lambda s, d: spatial.object_collisions(*_ego(s, d)), with_views(_EGO + " SELECT * FROM oc", "gt", "objects")),
     "combined_collision": (lambda s, d: spatial.combined_collision(*_forecast(s, d)), with_views(_EGO + """, o AS (SELECT r, c FROM generate_series(96, 105) a(r), generate_series(97, 102) b(c)),
-h AS (SELECT DISTINCT eg.token, eg.t FROM eg, o, occ s WHERE s.token % 15000 = eg.token AND s.p > 0.1 AND s.t > 0 AND s.t = least(eg.t, 4) AND s.r = greatest(0, least(199, trunc(ey / 0.5 + o.r)::INT)) AND s.c = greatest(0, least(199, trunc(ex / 0.5 + o.c)::INT))),
+fc AS (SELECT dl.scene AS token, f.t, f.r, f.c FROM occ f JOIN dl ON dl.token = f.token WHERE f.p > 0.1 AND f.t > 0),
+h AS (SELECT DISTINCT eg.token, eg.t FROM eg, o, fc s WHERE s.token = eg.token AND s.t = least(eg.t, 4) AND s.r = greatest(0, least(199, trunc(ey / 0.5 + o.r)::INT)) AND s.c = greatest(0, least(199, trunc(ex / 0.5 + o.c)::INT))),
 hc AS (SELECT DISTINCT token, t FROM oc WHERE collides)
 SELECT eg.token, eg.t, h.token IS NOT NULL AND hc.token IS NOT NULL AS collides FROM eg LEFT JOIN h ON h.token = eg.token AND h.t = eg.t LEFT JOIN hc ON hc.token = eg.token AND hc.t = eg.t""", "gt", "objects", "occ")),
-    "detections_to_cells": (lambda s, d: spatial.cells_of_boxes(spatial.waypoints(view(s, d, "objects")), view(s, d, "objects")).groupBy("token", "t").agg(F.count("*").alias("cells"), F.sum("r").alias("rows"), F.sum("c").alias("columns")), with_views(_STEPS + """, b AS (SELECT w.token, w.t, w.x, w.y, o.dx, o.dy, o.rot_z AS z FROM w JOIN objects o USING (token, ord) WHERE w.t <= 2),
-g AS (SELECT *, sqrt(dx ** 2 + dy ** 2) / 2 AS h FROM b), i AS (SELECT g.*, r.r, c.c FROM g, generate_series(greatest(floor((y - h + 50) / 0.5), 0)::INT, least(floor((y + h + 50) / 0.5), 199)::INT) r(r), generate_series(greatest(floor((x - h + 50) / 0.5), 0)::INT, least(floor((x + h + 50) / 0.5), 199)::INT) c(c)),
-k AS (SELECT *, c * 0.5 - 49.75 - x AS u, r * 0.5 - 49.75 - y AS v FROM i), f AS (SELECT DISTINCT token, t, r::INT AS r, c::INT AS c FROM k WHERE abs(u * cos(z) - v * sin(z)) <= dx / 2 AND abs(u * sin(z) + v * cos(z)) <= dy / 2)
-SELECT token, t, count(*) AS cells, sum(r)::BIGINT AS "rows", sum(c)::BIGINT AS "columns" FROM (SELECT * FROM f UNION ALL SELECT token, 0, r, c FROM f WHERE t = 1) GROUP BY token, t""", "objects")),
+    "detections_to_cells": (lambda s, d: spatial.cells_of_boxes(spatial.waypoints(view(s, d, "objects")), view(s, d, "objects")).groupBy("token", "t").agg(F.count("*").alias("cells"), F.sum("r").alias("rows"), F.sum("c").alias("columns")), with_views(_boxes() + ' SELECT token, t, count(*) AS cells, sum(r)::BIGINT AS "rows", sum(c)::BIGINT AS "columns" FROM (SELECT * FROM f UNION ALL SELECT token, 0, r, c FROM f WHERE t = 1) GROUP BY token, t', "objects")),
     "foreign_key_chain": (lambda s, d: spatial.chain(view(s, d, "orders"), (view(s, d, "customer"), "o_custkey", "c_custkey"), (view(s, d, "nation"), "c_nationkey", "n_nationkey"), (view(s, d, "region"), "n_regionkey", "r_regionkey")).select("o_orderkey", "n_name", "r_name"), "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "scene_chain_order": (lambda s, d: spatial.ordered_chain(view(s, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id").select("user_id", "event_id", "place"), "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place FROM events"),
     "invalid_tokens": (lambda s, d: view(s, d, "gt").select("token").distinct().join(view(s, d, "pred").select("token").distinct(), "token", "left_anti"), with_views("SELECT DISTINCT token FROM gt WHERE token NOT IN (SELECT token FROM pred)", "gt", "pred")),

@@ -44,6 +44,8 @@ SELECT token, t, r, c, max(p) AS p FROM (SELECT token, cast(i % 5 AS int) AS t,
     "map_cells": (("gt",), """
 SELECT DISTINCT token, cast(i % 4 AS int) AS layer, cast(@h('mr|' || token || '|' || i) % 200 AS int) AS r, cast(@h('mc|' || token || '|' || i) % 200 AS int) AS c
 FROM (SELECT token, @series(0, 199) AS i FROM (SELECT DISTINCT token FROM gt) a) b"""),
+    "lane_cells": (("map_cells",), """
+SELECT token, layer, r, c, (@h('lp|' || token || '|' || layer || '|' || r || '|' || c) % 201) / cast(200 as double) AS p FROM map_cells WHERE layer < 3"""),
     "samples": (("conversations", "orders", "customer", "nation", "region"), """
 SELECT u.conv_id, u.turn, u.text AS user_text, CASE u.conv_id % 3 WHEN 0 THEN 'RIGHT' WHEN 1 THEN 'LEFT' ELSE 'FORWARD' END AS goal, r.r_name AS location,
   CASE WHEN @h(u.conv_id || '|' || u.turn || '|0') % 2 = 1 THEN '<What is the mission goal?>' ELSE '' END || CASE WHEN @h(u.conv_id || '|' || u.turn || '|1') % 2 = 1 THEN '<What do you perceive in the scene?>' ELSE '' END ||
