@@ -99,10 +99,11 @@ def first_list(text: Column) -> Column:
     return F.when((a > 0) & (b > a), F.substring(text, a, b - a + 1))
 
 
-def action_suffix(text: Column, marker: str = MARKER) -> Column:
-    """From the marker to the end; null without it."""
+def action_suffix(text: Column, marker: str = MARKER, compat: bool = False) -> Column:
+    """From the marker to the end; null without it, or, with compat, the last character."""
     at = F.instr(text, marker)
-    return F.when(at > 0, F.substring(text, at, F.length(text)))
+    found = F.when(at > 0, F.substring(text, at, F.length(text)))
+    return F.coalesce(found, F.substring(text, -1, 1)) if compat else found
 
 
 def section(text: Column, start: str, end: str) -> Column:
@@ -143,6 +144,13 @@ def last_code_block(text: Column, languages: str = "python|html") -> Column:
     return F.when(F.size(blocks) > 0, F.trim(F.regexp_replace(F.element_at(blocks, -1), r"^\s+|\s+$", "")))
 
 
+def first_code(text: Column) -> Column:
+    """The text of the first code element of Markdown, a fenced block or a span between single marks, whichever comes first; null without one."""
+    mark = r"(?:```[^\n`]*\n([\s\S]*?)```|`([^`\n]+)`)"
+    block, span = F.regexp_extract(text, mark, 1), F.regexp_extract(text, mark, 2)
+    return F.when(text.rlike(mark), F.when(span != "", span).otherwise(block))
+
+
 def fenced_json(text: Column) -> Column:
     """The body of a fenced json block, else from the first [ to the last ]."""
     fenced = F.nullif(F.regexp_extract(text, r"```json\s*([\s\S]*?)\s*```", 1), F.lit(""))

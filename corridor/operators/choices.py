@@ -98,8 +98,8 @@ def code_prompt(question: Column, starter: Column, has_function: Column) -> Colu
     return F.concat(F.lit("\nQUESTION:\n"), question, F.when(call, formats.CALL_BASED).otherwise(formats.STANDARD_IO), begun, F.lit("\nANSWER:\n"))
 
 
-def same_output(got: Column, want: Column) -> Column:
-    """The comparison ladder: equal when trimmed, line by line, as numbers nearly, as sets of words, as sets of numbers to three places."""
+def output_rung(got: Column, want: Column) -> Column:
+    """The first rung of the comparison ladder that holds: trimmed, lines, numbers (nearly, in order), words (as sets), rounded (sets of numbers to three places); null if none."""
     trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
@@ -109,7 +109,11 @@ def same_output(got: Column, want: Column) -> Column:
     sets = F.array_sort(F.array_distinct(words(got))) == F.array_sort(F.array_distinct(words(want)))
     rounded = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: F.round(x, 3))))
     near = ~F.exists(a, lambda x: x.isNull()) & ~F.exists(b, lambda x: x.isNull()) & (F.size(a) > 0) & (rounded(a) == rounded(b))
-    return F.coalesce((trim(got) == trim(want)) | (lines(got) == lines(want)) | numeric | sets | near, F.lit(False))
+    return F.when(trim(got) == trim(want), "trimmed").when(lines(got) == lines(want), "lines").when(numeric, "numbers").when(sets, "words").when(near, "rounded")
+
+
+def same_output(got: Column, want: Column) -> Column:
+    return output_rung(got, want).isNotNull()
 
 
 def test_summary(rows: DataFrame, outcome: str = "outcome") -> DataFrame:

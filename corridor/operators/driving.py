@@ -10,6 +10,8 @@ from corridor.functions.trajectory_text import two_decimals
 
 #: Half width and half length of the ego vehicle in metres.
 HALF_WIDTH, HALF_LENGTH = 0.925, 2.042
+#: The half length that the newer rule texts reckon with.
+NEWER_HALF_LENGTH = 2.04
 
 def goal(right: Column, left: Column) -> Column:
     return F.when(right > 0, "RIGHT").when(left > 0, "LEFT").otherwise("FORWARD")
@@ -25,17 +27,17 @@ def roll_out(ego: DataFrame, steps: int = 6) -> DataFrame:
     return rows.select("token", "t", F.sum("dx").over(so_far).alias("x"), F.sum("dy").over(so_far).alias("y"), "dx", "dy")
 
 
-def in_zone(x1: Column, y1: Column, x2: Column, y2: Column, half_width: Column, half_length: Column) -> Column:
+def in_zone(x1: Column, y1: Column, x2: Column, y2: Column, half_width: Column, half_length: Column, own_half_length: float = HALF_LENGTH) -> Column:
     """Whether the second is in front of the first, within two metres to the side and six ahead of touching."""
-    return (F.abs(x1 - x2) < HALF_WIDTH + half_width + 2) & (y2 > y1) & (y2 - y1 < HALF_LENGTH + half_length + 6)
+    return (F.abs(x1 - x2) < HALF_WIDTH + half_width + 2) & (y2 > y1) & (y2 - y1 < own_half_length + half_length + 6)
 
 
-def first_hits(path: DataFrame, steps: DataFrame, objects: DataFrame) -> DataFrame:
+def first_hits(path: DataFrame, steps: DataFrame, objects: DataFrame, half_length: float = HALF_LENGTH) -> DataFrame:
     """token, ord, t: the first step at which an object is in the safe zone; objects that stay behind are left out before the join."""
     behind = steps.groupBy("token", "ord").agg(F.max("y").alias("m")).where("m <= 0").select("token", "ord")
     near = steps.join(behind, ["token", "ord"], "left_anti").select("token", "ord", "t", F.col("x").alias("ox"), F.col("y").alias("oy")).join(objects.select("token", "ord", "dx", "dy"), ["token", "ord"])
     rows = near.join(path.select("token", "t", F.col("x").alias("ex"), F.col("y").alias("ey")), ["token", "t"])
-    hit = in_zone(F.col("ex"), F.col("ey"), F.col("ox"), F.col("oy"), F.col("dx") / 2, F.col("dy") / 2)
+    hit = in_zone(F.col("ex"), F.col("ey"), F.col("ox"), F.col("oy"), F.col("dx") / 2, F.col("dy") / 2, half_length)
     return rows.where(hit).groupBy("token", "ord").agg(F.min("t").alias("t"))
 
 
@@ -83,17 +85,21 @@ def squared(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_experiences(memory: DataFrame, queries: DataFrame, k: int = 3, factors: tuple[float, ...] = (1.0, 10.0, 1.0), blocks: int = 32) -> DataFrame:
+def nearest_experiences(memory: DataFrame, queries: DataFrame, k: int = 3, factors: tuple[float, ...] = (1.0, 10.0, 1.0), block: int = 20_000) -> DataFrame:
     """query, ord, confidence, place: the k memories of highest exp(-sum factor * squared distance); a query's own memory has confidence 0, ties go to the smaller ord.
 
-    Both have ord, k1, k2, k3. Memories are dealt into blocks and queries go to every block: a stated set of queries against all rows, never all pairs of rows.
+    Both have ord, k1, k2, k3. Memories are dealt into blocks of about ``block`` rows and queries go to every block: a stated set of queries
+    against all rows, never all pairs of rows. A block keeps k memories a query.
     """
+    blocks = max(1, -(-memory.count() // block))
     own = memory.withColumn("_b", F.pmod(F.xxhash64("ord"), F.lit(blocks)))
     asked = queries.select(F.col("ord").alias("query"), *[F.col(f"k{i}").alias(f"q{i}") for i in (1, 2, 3)]).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     far = sum((F.lit(w) * squared(f"k{i}", f"q{i}") for i, w in enumerate(factors, 1)), F.lit(0.0))
-    rows = own.join(asked, "_b").select("query", "ord", F.when(F.col("query") == F.col("ord"), 0.0).otherwise(F.exp(-far)).alias("confidence"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("confidence"), "ord"))
-    return rows.withColumn("place", place).where(F.col("place") <= k)
+    rows = own.join(asked, "_b").select("_b", "query", "ord", F.when(F.col("query") == F.col("ord"), 0.0).otherwise(F.exp(-far)).alias("confidence"))
+    best = [F.desc("confidence"), F.col("ord")]
+    rows = rows.withColumn("_p", F.row_number().over(Window.partitionBy("_b", "query").orderBy(*best))).where(F.col("_p") <= k)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*best))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("query", "ord", "confidence", "place")
 
 
 def picked(index: Column, candidates: Column, compat: bool = False) -> Column:

@@ -110,3 +110,8 @@ def padded(points: DataFrame, tokens: DataFrame) -> DataFrame:
     """Exactly STEPS waypoints for each token: missing ones are zero, later ones are cut."""
     grid = tokens.select("token").distinct().withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
     return grid.join(points.select("token", "t", "x", "y"), ["token", "t"], "left").fillna(0.0, ["x", "y"])
+
+
+def last_written(records: DataFrame, value: str, key: str = "token", order: str = "line") -> DataFrame:
+    """key and value of each key's last record, in file order, whose value is not null: a later record replaces an earlier one, one that could not be parsed doesn't."""
+    return records.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(value))

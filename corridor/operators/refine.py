@@ -39,3 +39,13 @@ def refined(drawn: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
 def corpus_loss(tokens: DataFrame) -> DataFrame:
     """tokens, loss (mean negative log-probability), perplexity over all tokens."""
     return tokens.where("lp IS NOT NULL").agg(F.count("*").alias("tokens"), F.sum(-F.col("lp")).alias("s")).select("tokens", F.round(F.col("s") / F.col("tokens"), 6).alias("loss"), F.round(F.exp(F.col("s") / F.col("tokens")), 3).alias("perplexity"))
+
+
+def unflattened(outputs: DataFrame, spans: DataFrame, *key: str) -> DataFrame:
+    """key, k (from 0) and the columns of the outputs that belong to each row of key, start, length; outputs have place, from 0. Places past the end have null outputs."""
+    each = spans.where("length > 0").select(*key, "start", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("k", "place"))
+    return each.join(outputs, "place", "left").drop("start", "place")
+
+
+def type_counts(rows: DataFrame, column: str = "conversation_type") -> DataFrame:
+    return rows.groupBy(column).agg(F.count("*").alias("n"))

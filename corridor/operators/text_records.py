@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor.functions.trajectory_text import fenced_json
+from corridor.functions.formats import TRAJECTORIES
+from corridor.functions.trajectory_text import fenced_json, pairs_of
 from corridor.functions.workers import shipped
 
 #: The forms of an object's line and of a waypoint list.
 OBJECT = r"object type: (\w+), object id: (\d+), position: \((-?[\d.]+), (-?[\d.]+)\), size: \((-?[\d.]+), (-?[\d.]+)\)"
-NUMBERS = r"\((-?[\d.]+),\s*(-?[\d.]+)\)"
+PLACE = r"\((-?[\d.]+),\s*(-?[\d.]+)\)"
+FUTURE = r"object id:\s*(\d+).*?future waypoint coordinates.*?:\s*(\[.*?\])"
 
 
 def lines(rows: DataFrame, text: str, *key: str) -> DataFrame:
@@ -30,6 +32,18 @@ def front_objects(rows: DataFrame, text: str, *key: str) -> DataFrame:
     return found.select(*key, part(2).cast("int").alias("ord"), part(1).alias("name"), *[part(k).cast("double").alias(c) for k, c in ((3, "x"), (4, "y"), (5, "dx"), (6, "dy"))])
 
 
+def future_waypoints(rows: DataFrame, text: str, *key: str) -> DataFrame:
+    """key, ord, waypoints (array<struct<x, y>>): the futures listed under the header of specific objects, up to a blank line or one that begins with <; of several lists for an object the last."""
+    header = F.lit(TRAJECTORIES["ids"][0].strip())
+    own = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    every = lines(rows, text, *key).withColumn("_section", F.sum(F.contains(F.col("value"), header).cast("int")).over(own)).where("_section > 0")
+    stop = ((F.trim("value") == "") | F.startswith(F.col("value"), F.lit("<"))).cast("int")
+    closed = F.max(stop).over(Window.partitionBy(*key, "_section").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    found = every.withColumn("_closed", closed).where((F.col("_closed") == 0) & F.col("value").rlike(FUTURE))
+    found = found.select(*key, "line", F.regexp_extract("value", FUTURE, 1).cast("int").alias("ord"), pairs_of(F.regexp_extract("value", FUTURE, 2), PLACE).alias("waypoints"))
+    return found.where("waypoints IS NOT NULL").groupBy(*key, "ord").agg(F.max_by("waypoints", "line").alias("waypoints"))
+
+
 def with_waypoints(objects: DataFrame, waypoints: DataFrame, *key: str) -> DataFrame:
     """Objects and, where their id has any, the text of their future waypoints."""
     return objects.join(waypoints, [*key, "ord"], "left")

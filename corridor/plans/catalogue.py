@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridor.plans import conversations, planning, reasoning, records, spatial
+from corridor.plans import conversations, files, planning, reasoning, records, spatial
 
-_ALL = planning.QUERIES | spatial.QUERIES | reasoning.QUERIES | conversations.QUERIES | records.QUERIES
+_ALL = planning.QUERIES | spatial.QUERIES | reasoning.QUERIES | conversations.QUERIES | records.QUERIES | files.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

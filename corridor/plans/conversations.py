@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridor.functions import formats, media, trajectory_text
-from corridor.operators import choices, conversations
+from corridor.operators import choices, conversations, refine
 from corridor.sources.fixtures import view, with_views
 
 _WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
@@ -51,9 +51,9 @@ def _sizes(s, d):
 
 
 def _stdout(s, d):
-    k = F.col("p_partkey") % 6
-    got = F.when(k == 0, "3 4").when(k == 1, " 3 4\n").when(k == 2, "4 3").when(k == 3, "3.0000001 4").when(k == 4, "3\n4").otherwise("5 6")
-    return view(s, d, "part").select("p_partkey", k.alias("k"), got.alias("got"), F.lit("3 4").alias("want"))
+    k = F.col("p_partkey") % 8
+    got = F.when(k == 0, "3 4").when(k == 1, " 3 4\n").when(k == 2, "4 3").when(k == 3, "3.0000001 4").when(k == 4, "3\n4").when(k == 6, "4.0001 3").when(k == 7, "3 4\nx ").otherwise("5 6")
+    return view(s, d, "part").select("p_partkey", k.alias("k"), got.alias("got"), F.when(k == 7, "3 4\n\nx").otherwise("3 4").alias("want"))
 
 
 QUERIES = {
@@ -72,6 +72,13 @@ QUERIES = {
 un AS (SELECT conv_id, turn, unnest(generate_series(1, len(p))) AS i, p FROM sp), kd AS (SELECT conv_id, turn, (i - 1)::INT AS place, CASE p[i] WHEN '<image>' THEN 'image' WHEN '<video>' THEN 'video' ELSE 'text' END AS kind, p[i] AS value FROM un)
 SELECT *, CASE WHEN kind <> 'text' THEN (row_number() OVER (PARTITION BY conv_id, turn, kind ORDER BY place) - 1)::INT END AS media FROM kd""", "media_rows")),
     "media_validation": ((lambda s, d: conversations.media_check(view(s, d, "media_rows")).select("conv_id", "turn", "images", "videos", "problem")), with_views(_CHECK + " SELECT conv_id, turn, images, videos, problem FROM pr", "media_rows")),
+    "media_validation_lenient": ((lambda s, d: conversations.media_check(view(s, d, "media_rows"), strict=False).select("conv_id", "turn", "problem")), with_views(_CHECK + " SELECT conv_id, turn, nullif(problem, 'surplus media') AS problem FROM pr", "media_rows")),
+    "yes_no_prompts": ((lambda s, d: view(s, d, "part").select("p_partkey", choices.yes_no_prompt(F.col("p_name")).alias("prompt"))), "SELECT p_partkey, p_name || ' Please answer yes or no.' AS prompt FROM part"),
+    "short_prompts": ((lambda s, d: view(s, d, "part").select("p_partkey", choices.short_prompt(F.col("p_name")).alias("prompt"))), "SELECT p_partkey, p_name || chr(10) || 'Please try to answer the question with short words or phrases if possible.' AS prompt FROM part"),
+    "strict_resize": ((lambda s, d: _sizes(s, d).select("id", media.strict_resize(F.col("height"), F.col("width"), 32, 4096, 16777216).alias("z")).select("id", "z.height", "z.width")), with_views(_RESIZE + " SELECT id, CASE WHEN height >= 32 AND width >= 32 THEN rh END AS height, CASE WHEN height >= 32 AND width >= 32 THEN rw END AS width FROM rs", "sizes")),
+    "fixed_nframes": ((lambda s, d: _sizes(s, d).select("id", media.fixed_nframes(F.col("id") % 50, F.col("frames")).alias("n"))), with_views(", n AS (SELECT id, frames, (round_even((id % 50) / 2, 0) * 2)::BIGINT AS n FROM sizes) SELECT id, CASE WHEN n >= 2 AND n <= frames THEN n END AS n FROM n", "sizes")),
+    "sft_rows_plain": ((lambda s, d: conversations.sft_rows(_sample(s, d), "", False, False, False, True).select("id", F.posexplode("conversations").alias("place", "c")).select("id", "place", F.col("c.from").alias("who"), F.col("c.value").alias("value"))), with_views(f"SELECT id, 0 AS place, 'human' AS who, '<image>' || chr(10) || {_HEAD} AS value FROM planner UNION ALL SELECT id, 1, 'assistant', commonsense || coalesce(chain_of_thoughts, '') || planning_target FROM planner", "planner")),
+    "refined_type_counts": ((lambda s, d: refine.type_counts(conversations.expand_masks(_sample(s, d), "id", 8).where("keep_goal AND NOT keep_cot"))), with_views(_MASKS + " SELECT conversation_type, count(*) AS n FROM mk WHERE keep_goal AND NOT keep_cot GROUP BY conversation_type", "planner")),
     "validation_stats": ((lambda s, d: conversations.validation_statistics(conversations.media_check(view(s, d, "media_rows")))), with_views(_CHECK + " SELECT count(*) AS total, sum((problem IS NULL)::INT) AS valid, count(*) FILTER (problem = 'missing media') AS missing, count(*) FILTER (problem = 'surplus media') AS surplus, count(*) FILTER (problem = 'placeholder in an answer') AS in_answer, sum((images > 0)::INT) AS with_images, sum((videos > 0)::INT) AS with_videos, round(avg((problem IS NULL)::INT), 6) AS ratio FROM pr", "media_rows")),
     "packed_prefix_lengths": ((lambda s, d: conversations.prefix_lengths(view(s, d, "media_rows").select("conv_id", "turn", conversations.words(F.col("text")).alias("n")), "n", "turn", "conv_id")), with_views(f", w AS (SELECT conv_id, turn, {_WORDS.format('text')}::INT AS n FROM media_rows), c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM w) SELECT conv_id, turn, n, (e - n)::BIGINT AS start, e::BIGINT AS \"end\" FROM c", "media_rows")),
     "mcq_option_infer": (_inferred, with_views(_INFER + " SELECT * FROM f", "mcq")),
@@ -81,8 +88,8 @@ SELECT *, CASE WHEN kind <> 'text' THEN (row_number() OVER (PARTITION BY conv_id
     "mcq_prompts": ((lambda s, d: view(s, d, "mcq").select("doc_id", choices.mcq_prompt(F.concat(F.lit("What in "), F.col("split"), F.when(F.col("doc_id") % 2 == 0, "?").otherwise("中?")), choices.options("a", "b", "c", "d")).alias("prompt"))), with_views("SELECT doc_id, 'Question: What in ' || split || CASE WHEN doc_id % 2 = 0 THEN '?' ELSE '中?' END || chr(10) || 'Options:' || chr(10) || 'A. ' || a || chr(10) || 'B. ' || b || chr(10) || 'C. ' || c || chr(10) || 'D. ' || d || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Please select the correct answer from the options above.' ELSE '请直接回答选项字母。' END AS prompt FROM mcq", "mcq")),
     "judge_prompts": ((lambda s, d: view(s, d, "mcq").select("doc_id", choices.judge_prompt(F.lit("Which"), choices.options("a", "b", "c", "d"), F.col("prediction")).alias("prompt"))), with_views("SELECT doc_id, '" + formats.JUDGE.replace("\n", "' || chr(10) || '") + "' || 'Which?' || chr(10) || 'Options: There are several options: ' || chr(10) || 'A. ' || a || chr(10) || 'B. ' || b || chr(10) || 'C. ' || c || chr(10) || 'D. ' || d || chr(10) || chr(10) || 'Answer: ' || prediction || chr(10) || 'Your output: ' AS prompt FROM mcq", "mcq")),
     "unresolved_answers": ((lambda s, d: _inferred(s, d).where("inferred IS NULL").select("doc_id", F.lit("Z").alias("option"), F.lit(False).alias("extracted"))), with_views(_INFER + " SELECT doc_id, 'Z' AS option, false AS extracted FROM f WHERE inferred IS NULL", "mcq")),
-    "output_comparison": ((lambda s, d: _stdout(s, d).select("p_partkey", choices.same_output(F.col("got"), F.col("want")).alias("same"))), "SELECT p_partkey, p_partkey % 6 <> 5 AS same FROM part"),
-    "code_test_summary": ((lambda s, d: choices.test_summary(_stdout(s, d).select((F.when(F.col("k") == 4, -1).when(F.col("k") == 3, -2).when(F.col("k") == 5, 0).otherwise(1)).alias("outcome")))), "WITH o AS (SELECT CASE p_partkey % 6 WHEN 4 THEN -1 WHEN 3 THEN -2 WHEN 5 THEN 0 ELSE 1 END AS o FROM part) SELECT count(*) AS total, count(*) FILTER (o = 1) AS passed, count(*) FILTER (o = 0) AS failed, count(*) FILTER (o = -1) AS timed_out, count(*) FILTER (o = -2) AS broken, round(avg((o = 1)::INT), 6) AS accuracy, bool_and(o = 1) AS all_passed FROM o"),
+    "output_comparison": ((lambda s, d: _stdout(s, d).select("p_partkey", choices.same_output(F.col("got"), F.col("want")).alias("same"), choices.output_rung(F.col("got"), F.col("want")).alias("rung"))), "SELECT p_partkey, p_partkey % 8 <> 5 AS same, ['trimmed', 'trimmed', 'words', 'numbers', 'numbers', NULL, 'rounded', 'lines'][p_partkey % 8 + 1] AS rung FROM part"),
+    "code_test_summary": ((lambda s, d: choices.test_summary(_stdout(s, d).select((F.when(F.col("k") == 4, -1).when(F.col("k") == 3, -2).when(F.col("k") == 5, 0).otherwise(1)).alias("outcome")))), "WITH o AS (SELECT CASE p_partkey % 8 WHEN 4 THEN -1 WHEN 3 THEN -2 WHEN 5 THEN 0 ELSE 1 END AS o FROM part) SELECT count(*) AS total, count(*) FILTER (o = 1) AS passed, count(*) FILTER (o = 0) AS failed, count(*) FILTER (o = -1) AS timed_out, count(*) FILTER (o = -2) AS broken, round(avg((o = 1)::INT), 6) AS accuracy, bool_and(o = 1) AS all_passed FROM o"),
     "smart_resize": ((lambda s, d: _sizes(s, d).select("id", media.smart_resize(F.col("height"), F.col("width")).alias("z")).select("id", "z.height", "z.width")), with_views(_RESIZE + " SELECT id, rh AS height, rw AS width FROM rs", "sizes")),
     "smart_nframes": ((lambda s, d: _sizes(s, d).select("id", media.smart_nframes(F.col("frames"), F.col("fps")).alias("n"))), with_views(", n AS (SELECT id, frames, (floor(least(least(greatest(frames / fps * 2, 4), floor(least(768, frames) / 2) * 2), frames) / 2) * 2)::BIGINT AS n FROM sizes) SELECT id, CASE WHEN n >= 2 AND n <= frames THEN n END AS n FROM n", "sizes")),
     "frame_range": ((lambda s, d: _sizes(s, d).select("id", media.frame_range(F.col("frames"), F.col("fps"), F.when(F.col("id") % 3 != 0, (F.col("id") % 40).cast("double")), F.when(F.col("id") % 4 != 0, (F.col("id") % 70).cast("double"))).alias("z")).select("id", "z.first", "z.last", "z.frames")), with_views(""", q AS (SELECT id, frames, fps, CASE WHEN id % 3 <> 0 THEN (id % 40)::DOUBLE END AS s, CASE WHEN id % 4 <> 0 THEN (id % 70)::DOUBLE END AS e FROM sizes),

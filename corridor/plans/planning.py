@@ -33,6 +33,15 @@ def _report(s, d, cumulative):
     return planning.report(planning.errors(planning.align(view(s, d, "gt"), view(s, d, "pred"))).groupBy("t").agg(F.avg("l2").alias("v")), "v", cumulative)
 
 
+def _last(s, d):
+    """Every generation twice, the second time changed or broken."""
+    own = view(s, d, "generations")
+    again = F.when(F.col("token") % 3 == 0, "broken").otherwise(F.replace(F.col("generated_text"), F.lit("("), F.lit("(1")))
+    records = own.select("token", F.lit(0).alias("line"), "generated_text").union(own.select("token", F.lit(1), again))
+    found = planning.last_written(records.withColumn("p", text.parse_strict(F.col("generated_text"))), "p")
+    return found.select("token", F.posexplode("p").alias("k", "w")).select("token", (F.col("k") + 1).alias("t"), "w.x", "w.y")
+
+
 QUERIES = {
     "planning_l2_by_step": (lambda s, d: planning.l2_by_step(view(s, d, "gt"), view(s, d, "pred")), with_views(_ALIGNED + " SELECT t, n, missing, round(v, 6) AS l2 FROM l", "gt", "pred")),
     "planning_report_endpoint": (lambda s, d: _report(s, d, False), with_views(_ALIGNED + """, p AS (SELECT max(v) FILTER (t = 2) AS at_2, max(v) FILTER (t = 4) AS at_4, max(v) FILTER (t = 6) AS at_6 FROM l)
@@ -70,10 +79,14 @@ SELECT token, t::INT AS t, v[2 * t - 1]::DOUBLE AS x, v[2 * t]::DOUBLE AS y FROM
     "invalid_predictions": (lambda s, d: view(s, d, "generations").where(text.parse_trajectory(F.col("generated_text")).isNull()).select("token", "variant"), with_views(rf""", a AS (SELECT token, variant, trim(split_part(generated_text, 'Planned Trajectory:', 2), ' ' || chr(10)) AS s, contains(generated_text, 'Planned Trajectory:') AS m FROM generations),
 b AS (SELECT token, variant, m, len(regexp_extract_all(regexp_extract(s, '(\[[\s\S]*?\])', 1), '{_NUM}')) AS q, len(regexp_extract_all(regexp_extract(s, '(\([\s\S]*?\))', 1), '{_NUM}')) AS r FROM a)
 SELECT token, variant FROM b WHERE NOT m OR NOT ((q >= 2 AND q % 2 = 0) OR (r >= 2 AND r % 2 = 0))""", "generations")),
-    "action_suffix": (lambda s, d: view(s, d, "generations").select("token", text.action_suffix(F.col("generated_text")).alias("action"), text.first_list(F.col("generated_text")).alias("plan")), with_views("""SELECT token,
+    "action_suffix": (lambda s, d: view(s, d, "generations").select("token", text.action_suffix(F.col("generated_text")).alias("action"), text.first_list(F.col("generated_text")).alias("plan"), text.action_suffix(F.col("generated_text"), compat=True).alias("compat")), with_views("""SELECT token,
   CASE WHEN strpos(generated_text, 'Planned Trajectory:') > 0 THEN substr(generated_text, strpos(generated_text, 'Planned Trajectory:')) END AS action,
-  CASE WHEN strpos(generated_text, '[') > 0 AND strpos(generated_text, ']') > strpos(generated_text, '[') THEN substr(generated_text, strpos(generated_text, '['), strpos(generated_text, ']') - strpos(generated_text, '[') + 1) END AS plan FROM generations""", "generations")),
+  CASE WHEN strpos(generated_text, '[') > 0 AND strpos(generated_text, ']') > strpos(generated_text, '[') THEN substr(generated_text, strpos(generated_text, '['), strpos(generated_text, ']') - strpos(generated_text, '[') + 1) END AS plan,
+  CASE WHEN strpos(generated_text, 'Planned Trajectory:') > 0 THEN substr(generated_text, strpos(generated_text, 'Planned Trajectory:')) ELSE right(generated_text, 1) END AS compat FROM generations""", "generations")),
     "planning_target_text": (lambda s, d: view(s, d, "gt").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("p")).select("token", text.planning_target(F.col("p")).alias("target")), with_views("""SELECT token,
   'Planned Trajectory:' || chr(10) || '[' || string_agg('(' || printf('%.2f', x) || ',' || printf('%.2f', y) || ')', ', ' ORDER BY t) || ']' AS target FROM gt GROUP BY token""", "gt")),
-    "last_write_wins": (lambda s, d: view(s, d, "pred").groupBy("token").agg(F.max_by(F.struct("x", "y"), "t").alias("w"), F.max("t").alias("t")).select("token", "t", "w.x", "w.y"), with_views("SELECT token, t, x, y FROM pred QUALIFY row_number() OVER (PARTITION BY token ORDER BY t DESC) = 1", "pred")),
+    "last_write_wins": (_last, with_views(rf""", rec AS (SELECT token, 0 AS line, generated_text AS g FROM generations UNION ALL SELECT token, 1, CASE WHEN token % 3 = 0 THEN 'broken' ELSE replace(generated_text, '(', '(1') END FROM generations),
+a AS (SELECT token, line, regexp_extract_all(regexp_extract(g, '\[(.*?)\]', 1), '\(\s*{_NUM}\s*,\s*{_NUM}\s*\)') AS v FROM rec),
+d AS (SELECT token, arg_max(v, line) AS v FROM a WHERE len(v) = 6 GROUP BY token), e AS (SELECT token, v, unnest(generate_series(1, 6)) AS t FROM d)
+SELECT token, t::INT AS t, regexp_extract_all(v[t], '{_NUM}')[1]::DOUBLE AS x, regexp_extract_all(v[t], '{_NUM}')[2]::DOUBLE AS y FROM e""", "generations")),
 }

@@ -95,11 +95,11 @@ QUERIES = {
     "matrix_wide": ((lambda s, d: reasoning.wide(reasoning.matrix(_pairs(s, d)))), with_views(_MATRIX + " SELECT a, " + ", ".join(f"sum(n) FILTER (b = '{m}')::BIGINT AS \"{m}\"" for m in reasoning.MARKERS) + " FROM x GROUP BY a", "samples")),
     "pair_statistics": ((lambda s, d: reasoning.pair_statistics(_pairs(s, d))), with_views(_PAIRS + " SELECT count(*) AS pairs, sum((n > 0)::INT) AS non_zero, round(avg(n), 6) AS average FROM c", "samples")),
     "field_inventory": ((lambda s, d: reasoning.fields(view(s, d, "pages"), F.col("html"), r"<([a-zA-Z][a-zA-Z0-9]*)")), r"SELECT field, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS field FROM pages) GROUP BY field"),
-    "field_names": ((lambda s, d: reasoning.fields(view(s, d, "pages"), F.col("html"), r"<([a-zA-Z][a-zA-Z0-9]*)").select("field").distinct()), r"SELECT DISTINCT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS field FROM pages"),
+    "field_names": ((lambda s, d: reasoning.fields(view(s, d, "pages"), F.col("html"), r"<([a-zA-Z][a-zA-Z0-9]*)").select("field").distinct().orderBy("field")), r"SELECT DISTINCT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS field FROM pages"),
     "elbo_weights": ((lambda s, d: _soft(s, d).withColumn("weight", F.round("weight", 6))), with_views(_SOFT + " SELECT doc_id, k, lp_post, lp_prior, log_weight, round(weight, 6) AS weight FROM s", "latents")),
     "resample": (_drawn, with_views(_DRAWN + " SELECT doc_id, draw, k FROM d", "latents")),
     "refined_rows": ((lambda s, d: refine.refined(_drawn(s, d), _soft(s, d), "doc_id").withColumn("weight", F.round("weight", 6))), with_views(_DRAWN + " SELECT d.doc_id, d.draw, d.k, s.lp_prior AS joint_prob, s.lp_post AS generation_prob, round(s.weight, 6) AS weight, 'prior' AS conversation_type FROM d JOIN s ON s.doc_id = d.doc_id AND s.k = d.k", "latents")),
-    "refined_type_counts": ((lambda s, d: refine.refined(_drawn(s, d), _soft(s, d), "doc_id").groupBy("conversation_type").agg(F.count("*").alias("n"))), "SELECT 'prior' AS conversation_type, 2 * count(*) AS n FROM documents"),
+    "unflattened_generations": ((lambda s, d: refine.unflattened(view(s, d, "latents").select((F.col("doc_id") * 8 + F.col("k")).alias("place"), "lp_post"), view(s, d, "documents").select("doc_id", (F.col("doc_id") * 8).alias("start"), (F.col("doc_id") % 9).alias("length")), "doc_id")), with_views("SELECT s.doc_id, g.k::INT AS k, l.lp_post FROM documents s, generate_series(0, 8) g(k) LEFT JOIN latents l ON l.doc_id * 8 + l.k = s.doc_id * 8 + g.k WHERE g.k < s.doc_id % 9", "latents")),
     "prior_logprob": ((lambda s, d: refine.prior_log_probability(_tokens(s, d), 2, "doc_id", "k")), with_views(_TOKENS + " SELECT doc_id, k, coalesce(sum(lp) FILTER (pos >= 2), 0) AS lp FROM tk GROUP BY doc_id, k", "latents")),
     "corpus_loss_perplexity": ((lambda s, d: refine.corpus_loss(_tokens(s, d))), with_views(_TOKENS + " SELECT count(lp) AS tokens, round(sum(-lp) / count(lp), 6) AS loss, round(exp(sum(-lp) / count(lp)), 3) AS perplexity FROM tk", "latents")),
     "exact_sample": ((lambda s, d: keyed.sample(view(s, d, "documents").select("doc_id", "lang"), 0.3, "42", "doc_id")), with_views("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (ORDER BY @h('42|' || doc_id), doc_id) <= floor(0.3 * count(*) OVER ())").replace("WITH RECURSIVE \n", "")),
@@ -107,11 +107,13 @@ QUERIES = {
     "ego_rollout": ((lambda s, d: driving.roll_out(_ego(s, d))), "WITH" + _PATH[1:] + " SELECT token, t, x, y, dx, dy FROM path"),
     "ego_goals": ((lambda s, d: view(s, d, "orders").select(F.col("o_orderkey").alias("token"), driving.goal(F.col("o_orderkey") % 3 - 1, F.col("o_orderkey") % 2).alias("goal"))), "SELECT o_orderkey AS token, CASE WHEN o_orderkey % 3 - 1 > 0 THEN 'RIGHT' WHEN o_orderkey % 2 > 0 THEN 'LEFT' ELSE 'FORWARD' END AS goal FROM orders"),
     "safe_zone_first_hit": (_first, with_views(_HIT + " SELECT token, ord, t FROM h", "objects")),
+    "safe_zone_newer": ((lambda s, d: driving.first_hits(driving.roll_out(_ego(s, d)), spatial.waypoints(view(s, d, "objects"), first=0), view(s, d, "objects"), driving.NEWER_HALF_LENGTH)), with_views(_HIT.replace("2.042", "2.04") + " SELECT token, ord, t FROM h", "objects")),
     "meta_action": ((lambda s, d: driving.meta_actions(_ego(s, d), driving.roll_out(_ego(s, d)))), "WITH" + _ACTION[1:] + " SELECT * FROM act"),
     "rule_reasoning_text": (_thoughts, with_views(_HIT + _ACTION[len(_PATH):] + """, n AS (SELECT h.token, string_agg(' - Notable Objects: ' || o.name || ' at (' || printf('%.2f', o.x::DOUBLE) || ',' || printf('%.2f', o.y::DOUBLE) || '), moving to (' || printf('%.2f', w.x::DOUBLE) || ',' || printf('%.2f', w.y::DOUBLE) || ') at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10) || '   Potential Effects: within the safe zone of the ego-vehicle at ' || (h.t * 0.5::DOUBLE) || ' second' || chr(10), '' ORDER BY h.ord) AS l
   FROM h JOIN objects o ON o.token = h.token AND o.ord = h.ord JOIN w ON w.token = h.token AND w.ord = h.ord AND w.t = h.t GROUP BY h.token)
 SELECT act.token, '*****Chain of Thoughts Reasoning:*****' || chr(10) || 'Thoughts:' || chr(10) || coalesce(l, ' - Notable Objects: None' || chr(10) || '   Potential Effects: None' || chr(10)) || 'Driving Plan: ' || action || chr(10) AS thoughts FROM act LEFT JOIN n ON n.token = act.token""", "objects")),
     "planner_messages": ((lambda s, d: driving.planner_message(view(s, d, "planner"))), with_views("SELECT id, ego || perception || coalesce(experiences, '') || commonsense || reasoning AS message FROM planner", "planner")),
+    "planner_messages_long": ((lambda s, d: driving.planner_message(view(s, d, "planner").withColumn("long_experiences", F.upper("experiences")), False, True)), with_views("SELECT id, ego || perception || coalesce(upper(experiences), '') || commonsense || coalesce(chain_of_thoughts, '') AS message FROM planner", "planner")),
     "common_sense": ((lambda s, d: s.range(1).select(F.lit(driving.common_sense()).alias("prompt"))), "SELECT chr(10) || '*****Traffic Rules:*****' || chr(10) || '- " + "' || chr(10) || '- ".join(driving.TRAFFIC_RULES) + "' || chr(10) AS prompt"),
     "experience_topk": ((lambda s, d: driving.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).withColumn("confidence", F.round("confidence", 6))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
   + 10 * list_sum(list_transform(generate_series(10, 12), lambda i: (q.e[i] - m.e[i]) ** 2)) + list_sum(list_transform(generate_series(13, 20), lambda i: (q.e[i] - m.e[i]) ** 2)))) END AS confidence FROM mem q, mem m WHERE q.ord % 100 = 0),
@@ -119,4 +121,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC,
     "experience_pick": ((lambda s, d: driving.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "ord"))).alias("c")).select("query", driving.picked((F.col("query") / 100 % 4).cast("int"), F.col("c.ord")).alias("picked"))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
   + 10 * list_sum(list_transform(generate_series(10, 12), lambda i: (q.e[i] - m.e[i]) ** 2)) + list_sum(list_transform(generate_series(13, 20), lambda i: (q.e[i] - m.e[i]) ** 2)))) END AS confidence FROM mem q, mem m WHERE q.ord % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, ord) AS place FROM c) SELECT query, max(ord) FILTER (place - 1 = query // 100 % 4) AS picked FROM r WHERE place <= 3 GROUP BY query"""),
+    "experience_pick_compat": ((lambda s, d: driving.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "ord"))).alias("c")).select("query", driving.picked((F.col("query") / 100 % 4).cast("int"), F.col("c.ord"), compat=True).alias("picked"))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
+  + 10 * list_sum(list_transform(generate_series(10, 12), lambda i: (q.e[i] - m.e[i]) ** 2)) + list_sum(list_transform(generate_series(13, 20), lambda i: (q.e[i] - m.e[i]) ** 2)))) END AS confidence FROM mem q, mem m WHERE q.ord % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, ord) AS place FROM c) SELECT query, max(ord) FILTER (place - 1 = query // 100 % 4 AND place < 3) AS picked FROM r WHERE place <= 3 GROUP BY query"""),
 }

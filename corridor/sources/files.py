@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import math
+import pickle
+import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +20,22 @@ CONVERSATION = T.StructType([T.StructField("token", T.StringType()), T.StructFie
 GENERATION = T.StructType([T.StructField(n, t) for n, t in (("sample_id", T.LongType()), ("token", T.StringType()), ("generated_text", T.StringType()), ("has_image", T.BooleanType()), ("has_video", T.BooleanType()), ("original_conversations", T.ArrayType(TURN)), ("finish_reason", T.StringType()))])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir, which is the checkpoint folder too. Where it is unset, a local session gets one of its own; a cluster is refused."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
+    if not found and current.isDefined():
+        found = current.get()
+    if not found:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="corridor-")
+    if current.isEmpty():
+        context.setCheckpointDir(found)
+    return found
+
+
 def with_corrupt(schema: T.StructType) -> T.StructType:
     return schema if CORRUPT in schema.fieldNames() else T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
@@ -24,9 +45,53 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, lines: bool)
     return spark.read.schema(with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", not lines).json(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, separator: str = "\t") -> DataFrame:
-    """Delimited text with a header; empty fields are null."""
-    return spark.read.schema(schema).option("sep", separator).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType, separator: str = "\t", line_ends_in_fields: bool = False, limit: int | None = None) -> DataFrame:
+    """Delimited text with a header; empty fields are null. Files are split among tasks, unless quoted fields may hold line ends: then a file is one task. limit: that many rows, for a look."""
+    rows = spark.read.schema(schema).option("sep", separator).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", line_ends_in_fields).csv(path)
+    return rows if limit is None else rows.limit(limit)
+
+
+def checksums(spark: SparkSession, path: str) -> set[str]:
+    """The MD5 of every file of a folder, or of the file."""
+    return {r.md5 for r in spark.read.format("binaryFile").load(path).select(F.md5("content").alias("md5")).collect()}  # a number a file
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, wanted: set[str], **options) -> DataFrame:
+    """A table whose files have the wanted checksums; others are refused."""
+    if (found := checksums(spark, path)) != wanted:
+        raise ValueError(f"{path}: {len(found ^ wanted)} checksums differ")
+    return read_table(spark, path, schema, **options)
+
+
+class _Plain(pickle.Unpickler):
+    """Loads numbers, texts, lists, dictionaries and NumPy arrays; names of anything else are refused, so that no file can run code."""
+
+    #: What arrays are made of in pickles of either generation of NumPy.
+    KNOWN = {("numpy", "ndarray"), ("numpy", "dtype"), *((f"numpy.{core}.multiarray", f) for core in ("core", "_core") for f in ("_reconstruct", "scalar")), ("numpy.core.numeric", "_frombuffer"), ("numpy._core.numeric", "_frombuffer"), ("collections", "OrderedDict")}
+
+    def find_class(self, module: str, name: str):
+        if (module, name) not in self.KNOWN:
+            raise pickle.UnpicklingError(f"{module}.{name} is not data")
+        return super().find_class(module, name)
+
+
+def unpickled(rows: DataFrame, content: str) -> DataFrame:
+    """token, t (from 1), x, y of pickled dictionaries of token to an n x 2 array, one a row (of binaryFile, say). What isn't one, or holds more than data, yields nothing."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data in b[content]:
+                try:
+                    paths = {str(k): np.asarray(v, float).reshape(-1, np.shape(v)[-1])[:, :2] for k, v in _Plain(io.BytesIO(data)).load().items()}
+                except Exception:  # noqa: BLE001  any broken payload is none
+                    continue
+                for k, v in paths.items():
+                    yield pd.DataFrame({"token": k, "t": np.arange(1, len(v) + 1), "x": v[:, 0], "y": v[:, 1]})
+
+    from corridor.functions.workers import shipped
+
+    return shipped(rows).select(content).mapInPandas(run, "token string, t int, x double, y double")
 
 
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -93,11 +158,23 @@ def write_table(rows: DataFrame, path: str, separator: str = ",") -> None:
     rows.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
-def write_split(rows: DataFrame, valid: Column, good: str, bad: str) -> None:
-    """Valid rows to one folder, all others (null verdicts too) to another."""
-    verdict = F.coalesce(valid, F.lit(False))
-    write_lines(rows.where(verdict), good)
-    write_lines(rows.where(~verdict), bad)
+def write_arrays(rows: DataFrame, path: str, per_file: int = 50_000) -> None:
+    """JSON arrays, one a file of about ``per_file`` rows."""
+    files = max(1, math.ceil(rows.count() / per_file))
+    dealt = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file"), F.struct(*rows.columns).alias("row"))
+    dealt.groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+
+
+def write_split(rows: DataFrame, valid: Column, path: str) -> None:
+    """Valid rows to ``valid=true`` of a folder, all others (null verdicts too) to ``valid=false``, in one pass."""
+    rows.withColumn("valid", F.coalesce(valid, F.lit(False))).write.mode("overwrite").partitionBy("valid").json(path)
+
+
+def write_stamped(rows: DataFrame, folder: str, name: str, stamp: str, separator: str = "\t") -> str:
+    """A table under a name of its own for each run, ``{name}_{stamp}.tsv``; returns its path."""
+    path = f"{folder}/{name}_{stamp}.{'tsv' if separator == chr(9) else 'csv'}"
+    write_table(rows, path, separator)
+    return path
 
 
 def write_result(rows: DataFrame, summary: DataFrame, path: str) -> None:
@@ -105,6 +182,26 @@ def write_result(rows: DataFrame, summary: DataFrame, path: str) -> None:
     write_lines(summary, f"{path}/summary")
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """Changes whenever a file of a folder does: a hash of names, sizes and times."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    return f"{hash_text(repr(files)):016x}"
+
+
+def hash_text(text: str) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+
+
+def counted(spark: SparkSession, path: str, cache: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``count`` makes of a Parquet table, kept in ``cache`` for as long as the table's files stay as they are."""
+    return staged(spark, f"{cache}/{version(spark, path)}", lambda: count(spark.read.parquet(path)))
+
+
 def staged(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A stage's table: read if it has been completed before, else made and written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -134,11 +134,64 @@ def test_bins_hold_their_volume(sizes):
         assert sum(own) <= 4096 or len(own) == 1
 
 
-def test_labels_and_positions():
-    ids = np.array([5, 77091, 198, 7, 8, 151645, 198, 9, 77091, 198, 1])
-    assert packing.mask_labels(ids).tolist() == [-100, -100, -100, 7, 8, 151645, 198, -100, -100, -100, -100]
-    assert packing.rope_positions([0, 1, 1, 0], [(1, 2, 4)]).tolist() == [[0, 1, 1, 2 + 1], [0, 1, 1, 3], [0, 1, 2, 3]]
-    assert packing.rope_positions([], []).shape == (3, 0)
+def masked(ids, start=1, end=2):
+    """The rule by definition: from each start that no answer holds, two on, through the next end and one more."""
+    out, free = [-100] * len(ids), 0
+    for k, x in enumerate(ids):
+        stops = [j for j in range(k + 2, len(ids)) if ids[j] == end]
+        if x == start and k >= free and stops:
+            out[k + 2 : stops[0] + 2], free = ids[k + 2 : stops[0] + 2], stops[0] + 1
+    return out
+
+
+def test_label_masks_by_definition(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.choice([0, 1, 2, 3, 4], rng.integers(0, 30), p=[0.3, 0.2, 0.2, 0.2, 0.1]).tolist()) for k in range(300)]
+    got = {r.k: r.labels for r in packing.label_masks(spark.createDataFrame([*rows, (999, None)], "k int, ids array<long>"), "ids", "k", start=1, end=2).collect()}
+    assert got == {k: masked(ids) for k, ids in rows} | {999: []}
+    fixed = spark.createDataFrame([([5, 77091, 198, 7, 8, 151645, 198, 9, 77091, 198, 1],)], "ids array<long>")
+    assert packing.label_masks(fixed, "ids").first().labels == [-100, -100, -100, 7, 8, 151645, 198, -100, -100, -100, -100]
+
+
+def positions(kinds, grids, merge=2, seconds=None, split=False):
+    """Position ids token by token."""
+    out, base, place, before = [], 0, 0, None
+    for kind in kinds:
+        if kind != before:
+            base, place = (max(map(max, out)) + 1 if out else 0), 0
+        if kind == 0:
+            out.append((base + place,) * 3)
+        else:
+            _, h, w = grids[kind - 1]
+            f, rest = divmod(place, (h // merge) * (w // merge))
+            out.append((base + (0 if split else int(f * seconds[kind - 1] * 2) if seconds else f), base + rest // (w // merge), base + rest % (w // merge)))
+        before, place = kind, place + 1
+    return out
+
+
+def test_positions_by_definition(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        grids = [(int(rng.integers(1, 4)), 2 * int(rng.integers(1, 4)), 2 * int(rng.integers(1, 4))) for _ in range(2)]
+        kinds = [0] * int(rng.integers(0, 4))
+        for n, (t, h, w) in enumerate(grids, 1):
+            kinds += [n] * (t * h * w // 4) + [0] * int(rng.integers(0, 3))
+        rows.append((k, kinds, grids, [float(rng.integers(1, 5)) / 2, 1.0]))
+    frame = spark.createDataFrame([*rows, (99, [], [], [])], "key long, kinds array<int>, grids array<array<int>>, seconds array<double>")
+    for options, want in (({}, {}), ({"split_frames": True}, {"split": True}), ({"seconds": "seconds"}, {"seconds": True})):
+        got = {}
+        for r in packing.rope_index(frame, "key", **options).orderBy("key", "place").collect():
+            got.setdefault(r.key, []).append((r.t, r.h, r.w))
+        assert got == {k: positions(kinds, grids, **(want | ({"seconds": s} if "seconds" in want else {}))) for k, kinds, grids, s in rows if kinds}
+
+
+def test_later_steps_meet_the_last_forecast(spark):
+    points = spark.createDataFrame([(1, t, 0.3, 0.0) for t in range(1, 7)], "token long, t int, x double, y double")
+    occ = spark.createDataFrame([(1, 4, 99, 99, 1.0), (1, 0, 99, 99, 1.0)], "token long, t int, r int, c int, p double")
+    got = {r.t: r for r in packing.refine_paths(points, occ).collect()}
+    assert all((got[t].x, got[t].cells) == (0.3, 0) for t in (1, 2, 3)) and all(got[t].cells == 1 and got[t].slope < 1e-6 for t in (4, 5, 6))
+    assert got[4].x == got[5].x == got[6].x > 0.6
 
 
 def test_paths_leave_obstacles():
@@ -164,8 +217,8 @@ def test_files(spark, tmp_path):
     assert files.read_annotations(spark, str(tmp_path / "a.json"), files.CONVERSATION).count() == 2
     with pytest.raises(ValueError):
         files.read_annotations(spark, "a.xml", files.CONVERSATION)
-    files.write_split(lines.drop("_corrupt_record"), F.col("token") == "a", str(tmp_path / "good"), str(tmp_path / "bad"))
-    assert (spark.read.text(str(tmp_path / "good")).count(), spark.read.text(str(tmp_path / "bad")).count()) == (1, 2)
+    files.write_split(lines.drop("_corrupt_record"), F.col("token") == "a", str(tmp_path / "split"))
+    assert (spark.read.text(str(tmp_path / "split/valid=true")).count(), spark.read.text(str(tmp_path / "split/valid=false")).count()) == (1, 2)
     made = []
     for _ in range(2):
         files.staged(spark, str(tmp_path / "stage"), lambda: made.append(1) or spark.range(3))
@@ -176,13 +229,64 @@ def test_files(spark, tmp_path):
 
 
 def test_tools(spark):
-    objects = spark.createDataFrame([(1, 0, 1.0, 5.0), (1, 1, 30.0, 5.0)], "token int, ord int, x double, y double")
-    assert tools.call("leading_object", {"objects": objects}).count() == 1
-    assert tools.call("objects_in_range", {"objects": objects}, x_start=0, x_end=50, y_start=0, y_end=10).count() == 2
-    for name, args in (("nothing", {}), ("objects_in_range", {"x_start": -99, "x_end": 0, "y_start": 0, "y_end": 0})):
+    objects = spark.createDataFrame([(1, 0, "car", 1.0, 5.0, 2.0, 4.0), (1, 1, "bus", 30.0, 5.0, 2.0, 4.0), (2, 0, "car", 40.0, 40.0, 2.0, 4.0)], "token int, ord int, name string, x double, y double, dx double, dy double")
+    cells = spark.createDataFrame([(1, spatial.BOUNDARY, 100, 90), (1, spatial.DIVIDER, 99, 104), (2, spatial.CROSSING, 110, 100)], "token int, layer int, r int, c int")
+    waypoints = objects.select("token", "ord", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("t"), "x", "y")
+    occ = spark.createDataFrame([(1, 1, 100, 100, 0.5)], "token int, t int, r int, c int, p double")
+    frames = {"objects": objects, "scenes": objects.select("token"), "map_cells": cells, "waypoints": waypoints, "occ": occ, "lane_cells": cells.withColumn("p", F.lit(0.5))}
+    box = {"x_start": 0, "x_end": 50, "y_start": 0, "y_end": 10}
+    assert tools.call("get_leading_object_detection", frames).count() == 1
+    assert tools.call("get_object_detections_in_range", frames, **box).count() == 2
+    bad = [("nothing", {}), ("get_object_detections_in_range", box | {"x_start": -99}), ("get_object_detections_in_range", {}), ("get_current_shoulder", {"x": 1}), ("get_drivable_at_locations", {"locations": [(1,)]}), ("check_drivable_of_planned_trajectory", {"trajectory": [(0, 0)]}), ("get_future_trajectories_for_specific_objects", {"object_ids": [True]}), ("get_lane_category_at_locations", {"locations": [(0, 0)], "return_score": 1})]
+    for name, args in bad:
         with pytest.raises(ValueError):
-            tools.call(name, {"objects": objects}, **args)
-    assert len(tools.described()) == 16
+            tools.call(name, frames, **args)
+    assert len(tools.described()) == 18 and len(tools.described(hidden=True)) == 20
+    places, path = {"locations": [(0, 0), (5, -5.5)]}, {"trajectory": [(0, 0)] * 6}
+    arguments = {"get_object_detections_in_range": box, "get_future_trajectories_in_range": box, "get_future_trajectories_for_specific_objects": {"object_ids": [0]}, "get_future_waypoint_of_specific_objects_at_timestep": {"object_ids": [0], "timestep": 2},
+                 "get_occupancy_at_locations_for_timestep": places | {"timestep": 1}, "check_occupancy_for_planned_trajectory": path, "check_drivable_of_planned_trajectory": path, "get_lane_category_at_locations": places | {"return_score": True}}
+    for name, tool in tools.TOOLS.items():
+        args = arguments.get(name, places if "locations" in tool.arguments else {})
+        assert tools.say(name, frames, **args).columns == ["token", "prompt"] and tools.say(name, frames, **args).count() > 0 and tools.call(name, frames, **args).count() > 0, name
+    text = {r.token: r.text for r in tools.rerun([("get_current_shoulder", {}), ("nothing", {}), ("get_nearest_pedestrian_crossing", {})], frames).collect()}
+    assert text[1] == "Distance to both sides of road shoulders of current ego-vehicle location:\nCurrent ego-vehicle's distance to left shoulder is 5.0m and distance to right shoulder is uncertain\n"
+    assert text[2].endswith("shoulders are uncertain\nGet the nearest pedestrian crossing location:\nThe nearest pedestrian crossing is at (0.25, 5.25)\n")
+
+
+def test_two_decimals_are_those_of_printf(spark):
+    rng = np.random.default_rng(8)
+    values = [0.125, 2.675, 1.005, -0.001, 1.115, -0.0, 1e14 / 3, 99.995, *rng.uniform(-100, 100, 500).round(3).tolist(), *(rng.integers(-900, 900, 500) / 8).tolist()]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", trajectory_text.two_decimals(F.col("v")).alias("s")).collect()
+    assert all(r.s == f"{r.v:.2f}" for r in got)
+
+
+def test_surroundings(spark):
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, -50.2, 0.0)], "token int, t int, x double, y double")
+    cells = spark.createDataFrame([(1, spatial.DRIVABLE, 101, 99), (1, spatial.DRIVABLE, 99, 101), (1, spatial.DRIVABLE, 100, 1)], "token int, layer int, r int, c int")
+    got = {r.t: (r.drivable, [(p.x, p.y) for p in r.free]) for r in spatial.drivable_around(points, cells).collect()}
+    assert got == {1: (False, [(-0.25, 0.75), (0.75, -0.25)]), 2: (False, [(-49.25, 0.25)])}
+    assert {r.t: len(r.free) for r in spatial.drivable_around(points, cells, compat=True).collect()} == {1: 2, 2: 0}
+    occ = spark.createDataFrame([(1, 1, 100, 100, 0.9), (1, 1, 101, 101, 1.0), (1, 1, 99, 99, 0.05)], "token int, t int, r int, c int, p double")
+    free = {compat: next([(p.x, p.y) for p in r.free] for r in spatial.occupied_around(points, occ, compat=compat).collect() if r.t == 1) for compat in (False, True)}
+    assert len(free[False]) == 7 and free[True] == [(-0.25, -0.25), (0.25, 0.25), (0.75, 0.75)]
+
+
+def test_pickles_of_data_alone(spark):
+    import pickle
+
+    rows = spark.createDataFrame([(pickle.dumps({"a": np.array([[1.0, 2.0], [3.0, 4.0]])}),), (b"cos\nsystem\n(S'true'\ntR.",), (b"junk",), (pickle.dumps({"b": [[5, 6]]}),)], "content binary")
+    assert sorted(map(tuple, files.unpickled(rows, "content").collect())) == [("a", 1, 1.0, 2.0), ("a", 2, 3.0, 4.0), ("b", 1, 5.0, 6.0)]
+
+
+def test_checksums_and_versions(spark, tmp_path):
+    path = str(tmp_path / "t.tsv")
+    files.write_table(spark.range(5), path, "\t")
+    assert files.read_checked(spark, path, "id long", files.checksums(spark, path)).count() == 5
+    with pytest.raises(ValueError):
+        files.read_checked(spark, path, "id long", {"0" * 32})
+    before = files.version(spark, path)
+    files.write_table(spark.range(6), path, "\t")
+    assert files.version(spark, path) != before
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -201,11 +305,13 @@ def test_links(spark):
     chain = spark.createDataFrame([(1, 7), (7, 3), (3, None), (9, None), (4, 9)], "k long, n long")
     assert {r.k: (r.start, r.place) for r in links.walk(chain, "k", "n").collect()} == {1: (1, 1), 7: (1, 2), 3: (1, 3), 4: (4, 1), 9: (4, 2)}
     assert links.walk(chain.limit(0), "k", "n").count() == 0
+    ring = chain.union(spark.createDataFrame([(20, 21), (21, 22), (22, 20)], "k long, n long"))
+    assert {r.k: (r.start, r.place) for r in links.walk(ring, "k", "n").where("k >= 20").collect()} == {20: (None, None), 21: (None, None), 22: (None, None)}
 
 
 def test_map_texts(spark):
     points = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 99.0, 0.0), (2, 1, 0.0, 0.0)], "token int, t int, x double, y double")
-    cells = spark.createDataFrame([(1, 0, 120, 120)], "token int, layer int, r int, c int")
+    cells = spark.createDataFrame([(1, spatial.DRIVABLE, 120, 120)], "token int, layer int, r int, c int")
     got = {r.token: r.prompt for r in map_text.drivable(points, cells).collect()}
     assert got == {1: "Drivability of selected locations:\nLocation (10.00, 10.00) is drivable\n", 2: "Drivability of selected locations:\nLocation (0.00, 0.00) is not drivable\n"}
     path = {r.token: r.prompt.split("\n")[1] for r in map_text.drivable_path(points, cells).collect()}

@@ -48,21 +48,38 @@ def test_one_margin_of_a_metre_for_both_detectors(spark):
     assert hits(spatial.combined_collision(ego, occ, steps, objects)) == [True] and hits(spatial.combined_collision(ego, occ, steps, objects, 0.5)) == [False]
 
 
+def filled(x, y, dx, dy, angle):
+    """Cells of a box: the polygon of its quantised corners with its border, and the cells nearest to its edges, found step by step along each."""
+    turned = [(x + a * dx * math.cos(angle) + b * dy * math.sin(angle), y - a * dx * math.sin(angle) + b * dy * math.cos(angle)) for a, b in ((0.5, 0.5), (0.5, -0.5), (-0.5, -0.5), (-0.5, 0.5))]
+    p = [(int(200 * (u + 50.25) / 100), int(200 * (v + 50.25) / 100)) for u, v in turned]
+    out = set()
+    for (a, b), (c, d) in zip(p, p[1:] + p[:1], strict=True):
+        n = max(abs(c - a), abs(d - b))
+        for k in range(n + 1):
+            for half in (-1e-9, 1e-9):  # of two cells that are equally near, both
+                u, v = (a + (c - a) * k / n, b + (d - b) * k / n) if n else (a, b)
+                out.add((math.floor(u + 0.5 + half), math.floor(v + 0.5 + half)))
+    for c in range(min(q[0] for q in p), max(q[0] for q in p) + 1):
+        for r in range(min(q[1] for q in p), max(q[1] for q in p) + 1):
+            turns = [(e[0] - s[0]) * (r - s[1]) - (e[1] - s[1]) * (c - s[0]) for s, e in zip(p, p[1:] + p[:1], strict=True)]
+            if min(turns) >= 0 or max(turns) <= 0:
+                out.add((c, r))
+    return {(r, c) for c, r in out if 0 <= c < 200 and 0 <= r < 200}
+
+
 @tables
 def test_detections_fill_all_six_steps(spark):
     want = {}
-    for o in view(spark, DATA, "objects").collect():
+    for o in view(spark, DATA, "objects").limit(1500).collect():
         for t in range(1, 7):
-            x, y, h = o.x + t * o.vx, o.y + t * 0.5, math.hypot(o.dx, o.dy) / 2
-            for r in range(max(math.floor((y - h + 50) / 0.5), 0), min(math.floor((y + h + 50) / 0.5), 199) + 1):
-                for c in range(max(math.floor((x - h + 50) / 0.5), 0), min(math.floor((x + h + 50) / 0.5), 199) + 1):
-                    u, v = c * 0.5 - 49.75 - x, r * 0.5 - 49.75 - y
-                    if abs(u * math.cos(o.rot_z) - v * math.sin(o.rot_z)) <= o.dx / 2 and abs(u * math.sin(o.rot_z) + v * math.cos(o.rot_z)) <= o.dy / 2:
-                        for k in (0, 1) if t == 1 else (t,):
-                            want.setdefault((o.token, k), set()).add((r, c))
-    got = {(r.token, r.t): (r.cells, r["rows"], r["columns"]) for r in catalogue.queries()["detections_to_cells"](spark, DATA).collect()}
-    assert {t for _, t in got} == set(range(7))
-    assert got == {k: (len(v), sum(r for r, _ in v), sum(c for _, c in v)) for k, v in want.items()}
+            for k in (0, 1) if t == 1 else (t,):
+                want.setdefault((o.token, k), set()).update(filled(o.x + t * o.vx, o.y + t * 0.5, o.dx, o.dy, o.rot_z))
+    some = view(spark, DATA, "objects").limit(1500)
+    got = {}
+    for r in spatial.cells_of_boxes(spatial.waypoints(some), some).collect():
+        assert (r.r, r.c) not in got.setdefault((r.token, r.t), set())
+        got[r.token, r.t].add((r.r, r.c))
+    assert {t for _, t in got} == set(range(7)) and got == {k: v for k, v in want.items() if v}
 
 
 @tables
