@@ -1,9 +1,11 @@
 """Byte-pair merges compiled into a lazily determinised finite-state transducer.
 
-Two neighbouring pieces are compatible if merging their union by itself gives them again. A word's pieces are the one way to cut it into compatible pieces.
-So there is a state for each piece, the last that was emitted, and from it a transition for each compatible piece; transitions are made when first met.
-A piece is emitted after a lookahead of at most the longest piece: the longest that fits is taken, and given up for the next shorter one if it leads into
-a dead end, which happens at most once at each place of a word, as what leads to a place is unique too.
+Two neighbouring pieces are compatible if merging their union by itself gives them again. A word's pieces are the one way to cut it into compatible pieces, and so
+are those of each of its beginnings. After some symbols, a configuration is a beginning that ends in a whole piece, and the part of a next piece that has been
+read since; a state holds all configurations that may still go on, with the pieces on which they differ. A transition reads a symbol: it drops the configurations
+that no piece continues, adds the one that ends here, and emits the pieces on which all that are left agree. A part is never longer than the longest piece, so a
+piece is emitted after a bounded lookahead; nothing is ever taken back. States and transitions are made when first met and kept; a transition carries what it
+emits and how many pieces that is.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import lru_cache
 import regex
 
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Transitions and words that a worker keeps, at most; beyond, the store starts anew. It changes speed alone.
+#: Transitions and words that a worker keeps, at most; beyond, the store starts anew. That changes speed alone.
 TRANSITIONS, WORDS = 1_000_000, 400_000
 
 
@@ -27,20 +29,63 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Node:
+    """A start of pieces: what may follow, and the piece that it is itself."""
+
+    __slots__ = ("next", "piece")
+
+    def __init__(self) -> None:
+        self.next: dict[str, Node] = {}
+        self.piece: int | None = None
+
+
+class State:
+    """last: the piece emitted last (-1: none). waiting: configurations, each the pieces not emitted yet and the start of a piece that has been read since; the last has read nothing. final: what is emitted if the word ends here."""
+
+    __slots__ = ("final", "last", "next", "waiting")
+
+    def __init__(self, last: int, waiting: tuple[tuple[tuple[int, ...], Node], ...]) -> None:
+        self.last, self.waiting = last, waiting
+        self.next: dict[str, tuple[State, tuple[int, ...], int]] = {}
+        self.final = waiting[-1][0]
+
+
 class Transducer:
     """pieces: a piece's symbols, as a string, to its id. formed: a pair of ids that merge to (rank, id of the union)."""
 
     def __init__(self, pieces: dict[str, int], formed: dict[tuple[int, int], tuple[int, int]]) -> None:
         self.pieces, self.formed = pieces, formed
-        #: Every start of a piece, and the piece's id where it is one itself (else -1).
-        self.starts = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), -1) | pieces
+        self.root = Node()
+        for symbols, v in pieces.items():
+            at = self.root
+            for x in symbols:
+                if x not in at.next:
+                    at.next[x] = Node()
+                at = at.next[x]
+            at.piece = v
         self.born, self.alone = {}, {}
         for symbols, v in pieces.items():
             steps = self.merging([pieces[s] for s in symbols])
             whole = [x for x in steps if len(x) == 1]
             self.alone[v] = whole == [[v]]
             self.born[v] = (formed[tuple(steps[-2])][0], *steps[-2]) if self.alone[v] and len(symbols) > 1 else (-1, v, v)
-        self.after: dict[int, dict[int, bool]] = {}
+        self.states: dict[tuple, State] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.start = self.state(-1, (((), self.root),))
+        self.made = 0
+
+    def state(self, last: int, waiting: tuple) -> State:
+        if (found := self.states.get((last, waiting))) is None:
+            found = self.states[last, waiting] = State(last, waiting)
+        return found
+
+    def forget(self) -> None:
+        """Starts the stores anew. A state that is in use goes on; what it leads to is made again."""
+        for s in self.states.values():
+            s.next.clear()
+        self.states.clear()
+        self.pairs.clear()
+        self.start = self.state(-1, (((), self.root),))
         self.made = 0
 
     def merging(self, ids: list[int]) -> list[list[int]]:
@@ -54,15 +99,39 @@ class Transducer:
             steps.append(ids)
         return steps
 
-    def transition(self, a: int, b: int) -> bool:
-        """Whether b may follow a (-1: the start)."""
-        known = self.after.setdefault(a, {})
-        if (found := known.get(b)) is None:
-            found = known[b] = self.alone[b] and (a < 0 or self.border(a, b))
-            self.made += 1
-            if self.made > TRANSITIONS:
-                self.after.clear()
-                self.made = 0
+    def follows(self, a: int, b: int) -> bool:
+        """Whether piece b may follow piece a (-1: the start)."""
+        if (found := self.pairs.get((a, b))) is None:
+            found = self.pairs[a, b] = self.alone[b] and (a < 0 or self.border(a, b))
+        return found
+
+    def step(self, state: State, symbol: str) -> tuple[State, tuple[int, ...], int]:
+        """The transition of a symbol: the next state, the pieces emitted, and their number."""
+        if self.made >= TRANSITIONS:
+            self.forget()
+        going, ended, last = [], None, state.last
+        for own, node in state.waiting:
+            if (node := node.next.get(symbol)) is None:
+                continue
+            if ended is None and (piece := node.piece) is not None and self.follows(own[-1] if own else last, piece):
+                ended = (*own, piece)
+            if node.next:
+                going.append((own, node))
+        if ended is None:
+            raise ValueError("symbols outside the vocabulary")
+        agreed = 0
+        if not going:
+            agreed = len(ended)
+        elif going[0][0]:  # the first has gone on longest: no other has fewer pieces in common
+            while agreed < len(ended) and all(len(own) > agreed and own[agreed] == ended[agreed] for own, _ in going):
+                agreed += 1
+        emitted = ended[:agreed]
+        waiting = (*((own[agreed:], node) for own, node in going), (ended[agreed:], self.root)) if agreed else (*going, (ended, self.root))
+        key = (emitted[-1] if agreed else last, waiting)
+        if (after := self.states.get(key)) is None:
+            after = self.states[key] = State(*key)
+        found = state.next[symbol] = (after, emitted, agreed)
+        self.made += 1
         return found
 
     def border(self, a: int, b: int) -> bool:
@@ -81,38 +150,23 @@ class Transducer:
                 b, right_until = b_start, rb
 
     def ids(self, symbols: str) -> list[int]:
-        out: list[int] = []
-        taken: list[tuple] = []  # of each step: where it began, and what may still be tried there
-        dead: set[int] = set()
-        at, end, last = 0, len(symbols), -1
-        start, after = self.starts.get, self.after
-        while at < end:
-            ways, stop = [], at + 1
-            while stop <= end and (piece := start(symbols[at:stop])) is not None:
-                if piece >= 0:
-                    ways.append((piece, stop))
-                stop += 1
-            while True:
-                if not ways:
-                    if not taken:
-                        raise ValueError("symbols outside the vocabulary")
-                    dead.add(at)
-                    at, ways = taken.pop()
-                    out.pop()
-                    last = out[-1] if out else -1
-                    continue
-                piece, stop = ways.pop()
-                try:
-                    fits = after[last][piece]
-                except KeyError:
-                    fits = self.transition(last, piece)
-                if fits and stop not in dead:
-                    break
-            taken.append((at, ways))
-            out.append(piece)
-            at, last = stop, piece
+        """The pieces of a word, as they are emitted."""
+        state, out = self.start, []
+        for x in symbols:
+            state, emitted, n = state.next.get(x) or self.step(state, x)
+            if n:
+                out += emitted
+        out += state.final
         return out
 
+    def count(self, symbols: str) -> int:
+        """How many those are: the sum of what the transitions carry."""
+        state, total = self.start, 0
+        for x in symbols:
+            state, _, n = state.next.get(x) or self.step(state, x)
+            total += n
+        return total + len(state.final)
+
 
 @lru_cache(maxsize=4)
 def from_ranks(path: str) -> tuple[Transducer, list[bytes]]:

@@ -1,12 +1,12 @@
 """Byte-level BPE: encoding by a lazily determinised transducer, decoding by an incremental UTF-8 state machine.
 
-Null and empty texts have no ids. Rows are independent: repeated and null ids keep a row each. Texts of any length are encoded whole; the decoder
-takes ids in blocks, and a character whose bytes lie in two blocks waits for its end.
+A word's bytes go through the transducer (see bpe.py), which emits ids after a bounded lookahead; words that have been read are stored with what they emit. The decoder
+takes ids in blocks, and a character whose bytes lie in two blocks waits for its end. Null and empty texts have no ids, an empty table gives none. Rows are independent:
+repeated and null ids keep a row each. Texts of any length are encoded whole. Other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corridor.llm import bpe
-from corridor.llm.common import documents, map_arrow
+from corridor.llm.common import documents, map_arrow, uncollected
 from corridor.llm.token_counts import Words
 
 BLOCK = 1 << 15
@@ -75,12 +75,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         own = codec(ranks, pattern)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.encode(t.as_py() or "") for t in part.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                with uncollected():
+                    ids = [own.encode(t.as_py() or "") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_arrow(documents(docs), run, "doc_id long, ids array<int>")
 
@@ -100,18 +101,18 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Encodes and decodes every row in one pass: doc_id, n_tokens, sha256 of the decimal ids joined by a space, sha256 of the decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         own = codec(ranks, pattern)
         for batch in batches:
             sizes, coded, decoded = [], [], []
-            for text in batch.column(1):
-                ids = own.encode(text.as_py() or "")
-                sizes.append(len(ids))
-                coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                back = hashlib.sha256()
-                for piece in own.decode(ids):
-                    back.update(piece.encode())
-                decoded.append(back.hexdigest())
+            with uncollected():
+                for text in batch.column(1):
+                    ids = own.encode(text.as_py() or "")
+                    sizes.append(len(ids))
+                    coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    back = hashlib.sha256()
+                    for piece in own.decode(ids):
+                        back.update(piece.encode())
+                    decoded.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(documents(docs), run, SCHEMA)

@@ -2,50 +2,78 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corridor.sources.files import shared_folder
+
 _WRITTEN: list[str] = []
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the session has it; a local one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="corridor-shared-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corridor-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/corridor-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that this process has written, once the results that read them are stored."""
+def mark() -> int:
+    """How many tables this process has written: what is written from now on can be dropped by ``drop_written(spark, mark)``."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int = 0, *but: DataFrame) -> None:
+    """Deletes the tables that this process has written since a mark, but for those that the given frames were read from. For when nothing else reads them any more."""
+    stay = {p for df in but for p in _WRITTEN if any(p.split("/")[-1] in f for f in df.inputFiles()[:1])}
     jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for path in [p for p in _WRITTEN[since:] if p not in stay]:
+        _WRITTEN.remove(path)
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot that has more than one in HOT of all rows; so there are fewer than HOT hot keys, whatever the data.
+HOT = 2000
+
+
+def even_join(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows joined (inner, left or left_semi) with others, which have few rows a key; no task gets all rows of a hot key.
+
+    Rows of hot keys stay where they are and meet the others' rows of those keys by a broadcast of fewer than HOT keys; the rest is dealt out by key. hot: the
+    hot keys, if known. Keys must not be null.
+    """
+    if hot is None:
+        sizes = rows.groupBy(*keys).count()
+        total = rows.count()
+        hot = sizes.where(F.col("count") * HOT > total).select(*keys)
+    hot = F.broadcast(written(hot.select(*keys).coalesce(1), "hot"))
+    few = F.broadcast(others.join(hot, keys, "left_semi"))
+    return rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(others, keys, how))
+
+
+@contextmanager
+def uncollected():
+    """No cycle collection inside: the stored words and transitions of a tokenizer are many objects without a cycle among them."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package on the workers' path."""
     ship(df.sparkSession)

@@ -4,13 +4,12 @@ First pass: every task encodes its documents, keeps their ids with the running t
 folder, so that the order it fixed can't change under retries. The totals of the partitions (one row each) get a prefix sum. Second pass: a document's
 place in the stream is its partition's offset plus its running total, and from that its pieces follow without any look at other documents.
 
-A document's ids are those of its text and the end id; a null text counts as empty. So every row yields at least one piece, repeated and null ids too.
-The last sequence alone is short, and it is padded to a power of two if that is less than the window: see ``padded``.
+A document's ids are those of its text and the end id; a null text counts as empty. So every row yields at least one piece, repeated and null ids too, and an
+empty table none. Texts of any length are encoded whole, one at a time, and cut freely. Other columns are left behind, whatever their names. The last sequence alone is short, and it is padded to a power of two if that is less than the window: see ``padded``.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import zlib
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.llm.bpe import byte_characters
-from corridor.llm.common import documents, map_arrow, written
+from corridor.llm.common import documents, map_arrow, uncollected, written
 
 BROADCAST = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -67,16 +66,16 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, end_id: int) -> Data
     """part, doc_id, ids (little-endian, of ``width`` bytes), before (tokens of the partition before it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         own, part, total = encoder(vocabulary, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 some, ids, before = batch.slice(k, 512), [], []
-                for text in some.column(1):
-                    one = np.array([*own.encode(text.as_py() or ""), end_id], own.dtype)
-                    ids.append(one.tobytes())
-                    before.append(total)
-                    total += len(one)
+                with uncollected():
+                    for text in some.column(1):
+                        one = np.array([*own.encode(text.as_py() or ""), end_id], own.dtype)
+                        ids.append(one.tobytes())
+                        before.append(total)
+                        total += len(one)
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), some.column(0), pa.array(ids, pa.binary()), pa.array([int(own.dtype[-1])] * n, pa.int32()), pa.array(before, pa.int64())], ["part", "doc_id", "ids", "width", "before"])
 

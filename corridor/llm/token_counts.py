@@ -1,18 +1,18 @@
 """Token counts by a compiled finite-state tokenizer whose chunk state maps compose.
 
-The tokenizer is a deterministic transducer (see bpe.py) whose transitions emit a token each; transitions over whole words carry the number of
-tokens that they emit. White space brings it into its start state whatever the state before. So the map of a
-chunk from entry states to (exit state, tokens) needs three things: the part before its first white space, which the entry state reads to its end; the
-tokens between its first and last white space; and the part after the last, which is the exit state. Such maps compose associatively, and the maps of a
-text's chunks are combined by a parallel prefix scan: pairs, pairs of pairs, and so on.
-
-Empty and null texts have 0 bytes and 0 tokens. Rows are independent: repeated and null ids keep a row each. Texts of any length are read whole, in
-chunks of ``CHUNK`` characters; memory per task is bounded by one text and the stored words.
+The tokenizer is a deterministic machine over characters. Its state is what kind of word is open, the state of the piece transducer inside it (see bpe.py), and the
+byte that is held back until it is known whether the word ends with it. Every transition carries the number of tokens that it emits; transitions over whole words are
+stored as such, with the sum. White space brings the machine into its start state, whatever the state before. So the map of a chunk, from an entry state to an exit
+state and a number of tokens, is: read the characters before the first white space from the entry state; then a number that is the same for all, and an exit state
+that is too. A chunk without white space maps each state to what its characters lead to. Such maps compose associatively: the exit state of one reads on through what
+the next one has left open. The maps of a text's chunks are combined by a parallel prefix scan: pairs, pairs of pairs, and so on.
+
+Empty and null texts have 0 bytes and 0 tokens, an empty table gives none. Rows are independent: repeated and null ids keep a row each. Texts of any length are read
+whole, in chunks of ``CHUNK`` characters; memory per task is bounded by one text and the stored words and transitions. Other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from corridor.llm import bpe
-from corridor.llm.common import documents, map_arrow
+from corridor.llm.common import documents, map_arrow, uncollected
 
-CHUNK = 1 << 16
+CHUNK = 1 << 13
+#: Fixed value: the words that the machine below cuts, in lower-case text.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Characters for which NFC changes nothing and lower case is one character, whatever the library's version of Unicode: Latin letters, no combining marks.
 PLAIN = re.compile("[\x00-įı-ſ‐-‧‰-⁞€]*")
@@ -44,62 +46,122 @@ class Words(dict):
         return out
 
 
+#: What a word is so far: none is open; letters; neither letters nor digits; an apostrophe that began it; and that with r, v or l, which may yet become a word of three.
+OUT, LETTERS, OTHERS, MARK, MARKED = range(5)
+
+
 class Counter:
-    """Counts tokens as the tokenizers library does for a file with lower-casing word-end BPE or with plain byte-level BPE."""
+    """Counts tokens as the tokenizers library does for a file with lower-casing word-end BPE."""
 
     def __init__(self, path: str) -> None:
         self.machine, spec = bpe.from_json(path)
-        self.suffix = bool(spec["model"].get("end_of_word_suffix"))
         self.special = re.compile("|".join(re.escape(a["content"]) for a in spec["added_tokens"]) or r"(?!)")
         parts = spec["pre_tokenizer"]["pretokenizers"] if spec["pre_tokenizer"]["type"] == "Sequence" else [spec["pre_tokenizer"]]
         split = next((p for p in parts if p["type"] == "Split"), None)
-        known = self.suffix and split and split["behavior"] == "Removed" and split["invert"] and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        if not known:
+        known = spec["model"].get("end_of_word_suffix") and split and split["behavior"] == "Removed" and split["invert"] and split["pattern"]["Regex"] == CUTS
+        if not known or [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path}: the transducer is compiled for NFC, lower case and words without white space")
-        self.split = bpe.splitter(split["pattern"]["Regex"])
-        self.white = regex.compile(bpe.white(r"\s"))
+        self.split = bpe.splitter(CUTS)
+        self.white, self.kinds = (regex.compile(bpe.white(p)) for p in (r"\s", r"(\s)|(\p{L})|(\p{N})"))
         self.normal = _normalizer(path)
         self.words = Words(self.emitted)
+        self.outside = (OUT, self.machine.start, "")
 
     def emitted(self, word: str) -> int:
         own = word.encode().decode("latin-1")
-        return len(self.machine.ids(own[:-1] + chr(ord(own[-1]) + 256)))
+        return self.machine.count(own[:-1] + chr(ord(own[-1]) + 256))
 
     def read(self, text: str) -> int:
+        """The tokens of a text that begins and ends outside of words."""
         return sum(map(self.words.__getitem__, self.split(text)))
 
-    def state_map(self, chunk: str) -> tuple:
-        """(whether it has white space, what the entry state reads on, tokens in between, the exit state); without white space all is read on."""
+    def fed(self, state: tuple, char: str, mode: int) -> tuple[tuple, int]:
+        """A character more of the open word: its bytes go to the transducer, but for the last, which is held back."""
+        _, inner, held = state
+        total, own = 0, held + char.encode().decode("latin-1")
+        for x in own[:-1]:
+            inner, _, n = inner.next.get(x) or self.machine.step(inner, x)
+            total += n
+        return (mode, inner, own[-1]), total
+
+    def closed(self, state: tuple) -> int:
+        """The tokens that are emitted when the open word ends here."""
+        mode, inner, held = state
+        if mode == OUT:
+            return 0
+        if len(held) > 1:  # an apostrophe and a letter that turn out to be two words
+            return self.emitted(held[0]) + self.emitted(held[1])
+        inner, _, n = inner.next.get(x := chr(ord(held) + 256)) or self.machine.step(inner, x)
+        return n + len(inner.final)
+
+    def begun(self, char: str, kind: int | None) -> tuple[tuple, int]:
+        if kind == 1:
+            return self.outside, 0
+        if kind == 3:
+            return self.outside, self.emitted(char)
+        return self.fed((OUT, self.machine.start, ""), char, LETTERS if kind == 2 else MARK if char == "'" else OTHERS)
+
+    def step(self, state: tuple, char: str) -> tuple[tuple, int]:
+        """The transition of a character: the next state, and the tokens emitted."""
+        kind = m.lastindex if (m := self.kinds.match(char)) else None
+        mode, inner, held = state
+        if (mode == LETTERS and kind == 2) or (mode in (OTHERS, MARK) and kind is None):
+            return self.fed(state, char, LETTERS if kind == 2 else OTHERS)
+        if mode == MARK and char in "stmd":
+            return self.outside, self.emitted("'" + char)
+        if mode == MARK and char in "rvl":
+            return (MARKED, inner, "'" + char), 0
+        if mode == MARKED:
+            if held + char in ("'re", "'ve", "'ll"):
+                return self.outside, self.emitted(held + char)
+            open_, _ = self.begun(held[1], 2)
+            after, n = self.step(open_, char)
+            return after, self.emitted("'") + n
+        after, n = self.begun(char, kind)
+        return after, self.closed(state) + n
+
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        total = 0
+        for char in text:
+            state, n = self.step(state, char)
+            total += n
+        return state, total
+
+    def state_map(self, chunk: str) -> tuple[str, int, tuple | None]:
+        """What the entry state reads on; the tokens from there on and the exit state, or None for that if all is read from the entry state."""
         if (first := self.white.search(chunk)) is None:
-            return False, chunk, 0, ""
-        last = next(self.white.finditer(chunk[::-1])).start()
-        return True, chunk[: first.start()], self.read(chunk[first.end() : len(chunk) - last]), chunk[len(chunk) - last :]
+            return chunk, 0, None
+        last = len(chunk) - next(self.white.finditer(chunk[::-1])).start()
+        leaves, n = self.run(self.outside, chunk[last:])
+        return chunk[: first.start()], self.read(chunk[first.end() : last]) + n, leaves
 
     def compose(self, a: tuple, b: tuple) -> tuple:
-        if not a[0]:
-            return b[0], a[1] + b[1], b[2], b[3]
-        if not b[0]:
-            return True, a[1], a[2], a[3] + b[1]
-        return True, a[1], a[2] + self.read(a[3] + b[1]) + b[2], b[3]
+        if a[2] is None:
+            return a[0] + b[0], b[1], b[2]
+        state, n = self.run(a[2], b[0])
+        return (a[0], a[1] + n, state) if b[2] is None else (a[0], a[1] + n + self.closed(state) + b[1], b[2])
 
     def scan(self, maps: list[tuple]) -> tuple:
         while len(maps) > 1:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
         return maps[0]
 
+    def applied(self, whole: tuple) -> int:
+        """The tokens of a text of which that is the map."""
+        state, n = self.run(self.outside, whole[0])
+        return n + self.closed(state) + whole[1] + (self.closed(whole[2]) if whole[2] else 0)
+
     def normalized(self, text: str) -> str:
         return text.lower() if PLAIN.fullmatch(text) else self.normal(text)
 
     def count(self, text: str) -> int:
         parts = self.special.split(text)
         total = len(parts) - 1
-        for part in parts:
+        for part in map(self.normalized, parts):
             if len(part) <= CHUNK:
-                total += self.read(self.normalized(part))
+                total += self.read(part)
             else:
-                part = self.normalized(part)
-                _, head, inner, tail = self.scan([self.state_map(part[k : k + CHUNK]) for k in range(0, len(part), CHUNK)])
-                total += self.read(head) + inner + self.read(tail)
+                total += self.applied(self.scan([self.state_map(part[k : k + CHUNK]) for k in range(0, len(part), CHUNK)]))
         return total
 
 
@@ -119,14 +181,14 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) of every row. vocabulary: path of a tokenizers file, as workers see it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         own = counter(vocabulary)
         for batch in batches:
             sizes, counts = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                sizes.append(len(text.encode()))
-                counts.append(own.count(text))
+            with uncollected():
+                for text in batch.column(1):
+                    text = text.as_py() or ""
+                    sizes.append(len(text.encode()))
+                    counts.append(own.count(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_arrow(documents(docs), run, SCHEMA)
