@@ -4,9 +4,10 @@
 features, whose products approximate a Gaussian kernel. Each partition of the labelled rows adds up its part of the normal equations; their sum is solved on
 the driver, D by D numbers however many rows. Isotonic regression, on rows that the ridge fit did not see, turns its values into probabilities of label 1.
 
-The fit takes at most ``SAMPLE`` labelled rows, those of least hash. Null texts count as empty; the statistics of an empty text are zeros. A document with
-several labels has their mean. Without labels every score is 0.5; with one label alone, that label. Rows are independent; repeated and null ids keep a row
-each, and a null id falls into no fold and has no label.
+The fit takes the documents of at most ``SAMPLE`` labels, those of least hash; of repeated rows of a document one, of least text hash. Null texts count as empty;
+the statistics of an empty text are zeros; texts of any length are read whole, one at a time. A document with several labels has their mean. Without labels
+every score is 0.5; with one label alone, that label. An empty table gives none. Rows are independent; repeated and null ids keep a row each, and a null id
+falls into no fold and has no label. Columns beyond those named are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,14 +70,14 @@ class Model:
 
 
 def isotonic(x: np.ndarray, total: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pools neighbours, in the order of x, until the shares of good ones never fall. Returns the pools' mean x and shares, smoothed by half a row."""
+    """Pools neighbours, in the order of x, until the shares of good ones rise from pool to pool. Returns the pools' mean x and shares; both ascend."""
     pools: list[list[float]] = []
     for a, n, g in zip(x, total, good, strict=True):
         pools.append([a * n, n, g])
         while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
             s, n2, g2 = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n2, pools[-1][2] + g2]
-    return np.array([s / n for s, n, _ in pools]), np.array([(g + 0.25) / (n + 0.5) for _, n, g in pools])
+    return np.array([s / n for s, n, _ in pools]), np.array([g / n for _, n, g in pools])
 
 
 def measured(docs: DataFrame, *more: str) -> DataFrame:
@@ -96,6 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     marks = marks.where(F.col("y").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.avg("y").alias("y"))
     marks = written(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labels")  # SAMPLE rows bound the broadcast
     own = documents(docs).join(F.broadcast(marks), "doc_id")
+    first = own.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+    own = own.join(F.broadcast(first), "doc_id").where(F.xxhash64("text").eqNullSafe(F.col("h"))).dropDuplicates(["doc_id"])  # SAMPLE rows at most, however often an id is repeated
     own = written(measured(own.withColumn("calibrates", remainder(F.col("doc_id"), folds) == (held_out + folds - 1) % folds), "y", "calibrates"), "statistics")
     stats = own.select(F.col("y"), F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale")).orderBy("k").collect()
     range_ = own.agg(F.min("y"), F.max("y")).first()
