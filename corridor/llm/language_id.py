@@ -2,11 +2,14 @@
 
 Features are the counts of hashed 1- to 3-grams of lower-case characters (digits and ASCII punctuation read as spaces), weighted by inverse document
 frequency and scaled to unit length. Document frequencies cover every learnable text. The weights are trained by follow-the-regularised-leader with an
-elastic-net penalty, which leaves most of them at zero, on a sample bounded by ``SLOTS`` documents a language and ``SAMPLE`` in all: the one of least hash
-in each slot that ids hash into. More than ``MOST`` language values are refused. A part of the sample is left for calibration: one temperature that fits the probabilities to it.
-
-A text that is null or has no letter is ``und`` with score 0. Learnable are rows with an id, a text, a language and a fold other than the held-out one;
-without any, every text is ``und``. Rows are independent; repeated and null ids keep a row each. Whole texts are read, in blocks of bounded size.
+elastic-net penalty, which leaves most of them at zero: a model keeps the buckets that any language has a weight for. They are trained on a sample bounded by
+``SLOTS`` documents a language and ``SAMPLE`` in all: the one of least hash in each slot that ids hash into, once however often it is repeated. A part of the
+sample is left for calibration: one temperature that fits the probabilities to it. More than ``MOST`` language values are refused; so a model has at most
+MOST * 2^BITS weights, and travels as a broadcast of that bound.
+
+A text that is null, empty or has no letter is ``und`` with score 0. Learnable are rows with an id, a text, a language and a fold other than the held-out one;
+without any, every text is ``und``. An empty table gives none. Rows are independent; repeated and null ids keep a row each. Whole texts are read, in blocks of
+bounded size. Columns beyond those named are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,9 +61,10 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """languages, weights by language and bucket, inverse document frequencies, temperature."""
+    """languages; place: of each bucket, its column in weights, or -1 where all languages have none; inverse document frequencies; bias; temperature."""
 
     languages: list[str] = field(default_factory=list)
+    place: np.ndarray | None = None
     weights: np.ndarray | None = None
     idf: np.ndarray | None = None
     bias: np.ndarray | None = None
@@ -68,7 +72,8 @@ class Model:
 
     def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         x = counts * self.idf[at]
-        return self.weights[:, at] @ (x / max(np.sqrt((x * x).sum()), 1e-12)) + self.bias
+        norm, k = max(np.sqrt((x * x).sum()), 1e-12), self.place[at]
+        return self.weights[:, k[k >= 0]] @ (x[k >= 0] / norm) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
@@ -144,9 +149,10 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
         raise ValueError(f"more than {MOST} language values")
     slots = min(SLOTS, SAMPLE // max(kinds, 1))
     hashed = F.xxhash64("doc_id")
-    slot = F.pmod(hashed, F.lit(slots))
-    picks = rows.groupBy("lang", slot.alias("slot")).agg(F.min_by("doc_id", hashed).alias("doc_id"))
-    sample = rows.join(F.broadcast(picks), ["lang", "doc_id"]).select("lang", "slot", "text")  # at most SAMPLE ids
+    slot, version = F.pmod(hashed, F.lit(slots)), F.xxhash64("text")
+    picks = rows.groupBy("lang", slot.alias("slot")).agg(F.min(F.struct(hashed.alias("h"), F.col("doc_id"), version.alias("version"))).alias("p"))
+    picks = picks.select("lang", "p.doc_id", "p.version")  # at most SAMPLE rows
+    sample = rows.withColumn("version", version).join(F.broadcast(picks), ["lang", "doc_id", "version"]).select("lang", slot.alias("slot"), "text").dropDuplicates(["lang", "slot"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +172,10 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
         (check if r.slot < slots // 4 else fit).append((place[r.lang], at, x / max(np.sqrt((x * x).sum()), 1e-12)))
     fit, check = fit or check, check or fit
     weights, bias = follow(fit, len(languages), 1 << BITS)
-    model = Model(languages, weights, idf, bias)
+    used = np.flatnonzero((weights != 0).any(0))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    model = Model(languages, place, weights[:, used], idf, bias)
     logits = np.array([weights[:, at] @ x + bias for _, at, x in check])
     model.temperature = temperature_of(logits, np.array([y for y, _, _ in check])) if len(languages) > 1 else 1.0
     return model
@@ -176,8 +185,10 @@ def identify(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """The columns ``more`` of docs, and lang_pred and score of its text, of every row."""
     others = [docs[c].alias(f"_{k}") for k, c in enumerate(more)]
     rows = docs.select(docs["text"].cast("string").alias("_text"), *others)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [f.name for f in batch.schema][1:] + ["lang_pred", "score"])
