@@ -1,7 +1,7 @@
 """Connected components by contraction: every node points at its least neighbour, twice; edges move to what their ends point at, until none is left.
 
 Of two linked nodes at least one gives up its place in a round, so the nodes left at least halve, whatever the shape of the links. All steps are joins and
-grouped minima over written tables; nothing gathers a node's neighbours or a component.
+grouped minima over written tables; nothing gathers a node's neighbours or a component, and nodes with a large share of the links are joined apart. No edges give no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm.common import written
+from corridor.llm.common import even_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,13 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
         second = first.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = written(first.join(second, "up").select("node", "top"), "pointers")
+        step = written(even_join(written(first, "ups"), second, ["up"]).select("node", "top"), "pointers")
         moved = step.select(F.col("node").alias("component"), "top")
         if found is None:
             found = step.select("node", F.col("top").alias("component"))
         else:
-            found = written(found.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
+            found = written(even_join(found, moved, ["component"], "left").select("node", F.coalesce("top", "component").alias("component")), "components")
         a, b = step.toDF("a", "ta"), step.toDF("b", "tb")
-        ends = edges.join(a, "a").join(b, "b").where("ta <> tb")
+        ends = even_join(written(even_join(edges, a, ["a"]), "ends"), b, ["b"]).where("ta <> tb")
         edges = written(ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -6,9 +6,12 @@ two vectors differs from the product of the rounded ones by at most e1 + (1 + e1
 computed again in double precision. A tile returns, for each of its vectors, the number of vectors that it links with and the least one that it is
 connected with inside the tile: no list of pairs, however many links a group has.
 
+Tiles get components as the table has them, four bytes each where it has floats: they are exact, and tiles round them themselves. A class is known by two
+64-bit hashes of its label and components, so no join or sort carries vectors as keys.
+
 Vectors that are null, empty, zero, or hold null or non-finite components, and those without a label, link with nothing: no links, a component of their
 own. Vectors of different lengths don't link. Rows of one id count as vectors of their own in n_links and share a component; a row without an id takes no
-part and gets a null component.
+part and gets a null component. An empty table gives no rows. Other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corridor.llm.common import ship, written
+from corridor.llm.common import HOT, drop_written, even_join, mark, ship, written
 from corridor.llm.components import components
 from corridor.llm.topk_search import matrix, usable
 
-BLOCK, STRIP = 2048, 256
+BLOCK, STRIP = 8192, 256
 TILE = "node long, links long, root long"
 
 
@@ -84,24 +88,31 @@ def tile(nodes: np.ndarray, copies: np.ndarray, x: np.ndarray, block: np.ndarray
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vec_id, embedding, label."""
-    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("v"), vectors["label"].cast("string").alias("label"))
+    spark, since = vectors.sparkSession, mark()
+    narrow = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    v = vectors["embedding"] if narrow else vectors["embedding"].cast("array<double>")
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), v.alias("v"), vectors["label"].cast("string").alias("label"))
     able = usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumns({"v": F.when(able, F.col("v")), "label": F.when(able, F.col("label"))})
-    classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    rows = rows.withColumns({"v": F.when(able, F.transform("v", lambda x: x + F.lit(0).cast("float" if narrow else "double"))), "label": F.when(able, F.col("label"))})  # no negative zeros
+    rows = rows.withColumns({f"k{n}": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(n), "label", "v")) for n in (1, 2)})
+    classes = rows.where("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = written(classes.withColumn("dim", F.size("v")), "classes")
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = even_join(classes.select("label", "dim", "k1", "k2", "node", "copies", "v"), sizes, ["label", "dim"]).withColumn("block", F.pmod(F.col("k1"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "v", "block")
-    ship(vectors.sparkSession)
+    ship(spark)
 
     def run(group: pa.Table) -> pa.Table:
-        return tile(group["node"].to_numpy(), group["copies"].to_numpy(), matrix(group["v"]), group["block"].to_numpy(), group["i"][0].as_py() == group["j"][0].as_py(), threshold)
+        return tile(group["node"].to_numpy(), group["copies"].to_numpy(), matrix(group["v"]).astype(np.float64), group["block"].to_numpy(), group["i"][0].as_py() == group["j"][0].as_py(), threshold)
 
     tiles = written(dealt.groupBy("label", "dim", "i", "j").applyInArrow(run, TILE), "tiles")
     found = components(tiles.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = tiles.groupBy("node").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counts, "node", "left").join(found, "node", "left").select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(per_class, ["label", "v"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    own = classes.select("k1", "k2", "node", "copies").join(counts, "node", "left").join(found, "node", "left")
+    own = written(own.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component")), "per_class")
+    keyed, alone = rows.where("k1 IS NOT NULL").select("vec_id", "k1", "k2"), rows.where("k1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
+    hot = classes.where(F.col("copies") * HOT > F.lit(max(1, vectors.count()))).select("k1", "k2")
+    out = written(even_join(keyed, own, ["k1", "k2"], hot=hot).select("vec_id", "n", "component").unionByName(alone), "linked")
+    drop_written(spark, since, out)
+    return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))
