@@ -6,20 +6,26 @@ for them, and so on with alternating sides until a level errs on nothing. So for
 it is, without error and without a join. The first level's bits are set so that its errors are about as many as the listed keys: all levels together are
 a few dozen bits a listed key however large the corpus.
 
-A url that is null or has no ``://`` has an empty host and path, and no rule. Rows are independent; repeated and null ids keep a row each. A url that no
-rule fits gets ``default``. An empty list of rules makes no level. Lists of over ``MOST`` keys are refused: their levels would not fit a broadcast.
+A level's bits travel with the plan as one array of numbers. Lists of over ``MOST`` keys are cut by a hash of the key into parts of about that size, each with a cascade
+of its own over its share of the corpus's keys; pages go through the parts one after the other, so that no plan carries more than one part's levels.
+
+A url that is null, empty or has no ``://`` has an empty host and path, and no rule. Rows are independent; repeated and null ids keep a row each. A url that no
+rule fits gets ``default``; of a key that is listed under several verdicts the first in alphabetical order holds. An empty list of rules makes no level, an empty table
+gives no rows. Urls of any length are read whole. Other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations
 
+import array
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm.common import written
+from corridor.llm.common import drop_written, mark, written
 
+#: Listed keys a part; its levels have about 40 bits a key, so an array of at most 20 MB.
 MOST = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,21 +43,26 @@ def keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(domains, lambda d: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat(d, p))))
 
 
+def numbers(spark: SparkSession, words: list[int]) -> Column:
+    """An array of 64-bit numbers as one literal, handed over in bytes."""
+    context = spark.sparkContext
+    out = context._gateway.new_array(context._jvm.long, len(words))
+    data = context._jvm.java.nio.ByteBuffer.wrap(bytearray(array.array("q", words).tobytes())).order(context._jvm.java.nio.ByteOrder.nativeOrder())
+    data.asLongBuffer().get(out)
+    return type(F.lit(0))(context._jvm.org.apache.spark.sql.functions.lit(out))
+
+
 @dataclass
 class Level:
-    words: list[int]
+    words: Column
     bits: int
     hashes: int
     seed: int
 
-    def positions(self, key: Column) -> list[Column]:
-        return _positions(key, self.bits, self.hashes, self.seed)
-
     def holds(self, key: Column) -> Column:
-        words = F.expr(f"cast(split('{','.join(map(str, self.words))}', ',') as array<bigint>)")  # folds to a literal
         out = F.lit(True)
-        for p in self.positions(key):
-            out = out & (F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
+        for p in _positions(key, self.bits, self.hashes, self.seed):
+            out = out & (F.getbit(F.get(self.words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
         return out
 
 
@@ -69,7 +80,7 @@ def level(own: DataFrame, n: int, error: float, seed: int) -> Level:
     words = [0] * math.ceil(bits / 64)
     for r in rows:
         words[r.w] = r.x
-    return Level(words, bits, hashes, seed)
+    return Level(numbers(own.sparkSession, words), bits, hashes, seed)
 
 
 class Cascade:
@@ -84,15 +95,12 @@ class Cascade:
 
 
 def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """listed, universe: key (string); the universe has every key that will be asked, listed or not, repeats allowed."""
+    """listed, universe: key (string); the universe has every key that will be asked, listed or not, once each."""
     listed = written(listed.where("key is not null").distinct(), "listed")
     if not (n := listed.count()):
         return Cascade([])
-    if n > MOST:
-        raise ValueError(f"{n} listed keys; the filter holds {MOST}")
-    size = universe.agg(F.approx_count_distinct("key")).first()[0]
-    levels = [level(listed, n, min(0.5, n / (math.sqrt(2) * max(size, 1))), 0)]
-    own, others = listed, universe.where(levels[0].holds(F.col("key"))).distinct().join(listed, "key", "left_anti")
+    levels = [level(listed, n, min(0.5, n / (math.sqrt(2) * max(universe.count(), 1))), 0)]
+    own, others = listed, universe.where(levels[0].holds(F.col("key"))).join(listed, "key", "left_anti")
     while True:
         others = written(others, "errors")
         if not (n := others.count()):
@@ -102,15 +110,33 @@ def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
         others = others.where(levels[-1].holds(F.col("key")))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule, verdict. rules: (verdict, host and path); the longest that fits a url decides."""
-    spark: SparkSession = pages.sparkSession
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: str = "allow") -> DataFrame:
+    """page_id, host, path, rule, verdict. rules: (verdict, host and path), or a table of verdict and rule; the longest that fits a url decides."""
+    spark, since = pages.sparkSession, mark()
+    if isinstance(rules, list):
+        empty = spark.range(0).select(F.lit("").alias("verdict"), F.lit("").alias("rule"))
+        rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules]))) if rules else empty
+    rules = written(rules.select("verdict", F.col("rule").alias("key"), (F.length("rule") - F.length(F.split_part("rule", F.lit("/"), F.lit(1)))).alias("n")).where("key IS NOT NULL"), "rules")
+    verdicts = {r.verdict: r.parts for r in rules.groupBy("verdict").agg(F.ceil(F.countDistinct("key") / F.lit(MOST)).alias("parts")).collect()}  # a row a verdict
+    lengths = sorted(r.n for r in rules.select("n").distinct().collect())  # as many as rules have lengths of path
     host, path = host_and_path(F.col("url"))
     urls = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    lengths = sorted({len(r) - len(r.partition("/")[0]) for _, r in rules})
-    asked = keys(F.col("host"), F.col("path"), lengths) if rules else F.array().cast("array<string>")
-    universe = urls.select("host", "path").distinct().select(F.explode(asked).alias("key"))
-    cascades = {v: cascade(spark.range(1).select(F.explode(F.array(*[F.lit(r) for w, r in rules if w == v])).alias("key")), universe) for v in sorted({v for v, _ in rules})}
-    verdict = lambda key: F.coalesce(*[F.when(c.lists(key), F.lit(v)) for v, c in cascades.items()])
-    fits = F.filter(F.transform(asked, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), (verdict(k) if cascades else F.lit(None).cast("string")).alias("verdict"))), lambda x: x["verdict"].isNotNull())
-    return urls.withColumn("best", F.array_max(fits)).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    asked = keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
+    universe = written(urls.select("host", "path").distinct().select(F.explode(asked).alias("key")).distinct(), "keys") if lengths else None
+    parts = max(verdicts.values(), default=0)
+    part = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+    best = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
+    urls = urls.withColumn("best", best)
+    for p in range(parts):
+        inside = F.lit(True) if parts == 1 else part(F.col("key")) == p
+        cascades = {v: cascade(rules.where((F.col("verdict") == v) & inside).select("key"), universe.where(inside)) for v in sorted(verdicts)}
+        verdict = lambda key, cascades=cascades: F.coalesce(*[F.when(c.lists(key), F.lit(v)) for v, c in cascades.items()])
+        here = lambda k: part(k) == p  # noqa: B023, E731  used before p goes on
+        own = asked if parts == 1 else F.filter(asked, here)
+        fits = F.filter(F.transform(own, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), verdict(k).alias("verdict"))), lambda x: x["verdict"].isNotNull())
+        urls = urls.withColumn("best", F.array_max(fits) if parts == 1 else F.greatest("best", F.array_max(fits)))
+        if p + 1 < parts:
+            urls = written(urls, "judged")
+    if parts == 1:
+        drop_written(spark, since)
+    return urls.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
