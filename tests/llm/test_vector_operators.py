@@ -50,14 +50,35 @@ def test_top_k_of_few_and_repeated_rows(spark):
     assert [(r["rank"], r.vec_id) for r in topk_search.top_k(rows, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1), (2, 1), (3, 2)]
 
 
-def test_bounds_lose_nothing():
+def test_bounds_lose_nothing(monkeypatch):
+    monkeypatch.setattr(topk_search, "TILE", 256)
     rng = np.random.default_rng(5)
-    q, c = rng.integers(-64, 65, (30, 40)), rng.integers(-64, 65, (3000, 40))
-    c[:200] = q[0] + rng.integers(-3, 4, (200, 40))
-    rows, pos, score = topk_search.best(q, np.arange(30) + 10**6, c, np.arange(3000), 20)
-    for k in range(30):
-        s = c @ q[k]
-        assert pos[rows == k].tolist() == np.lexsort((np.arange(3000), -s))[:20].tolist()
+    for scale in (64, 2**28):  # whole numbers that products of doubles hold exactly, and others
+        q, c = rng.integers(-scale, scale + 1, (30, 40)), rng.integers(-scale, scale + 1, (3000, 40))
+        c[:200] = q[0] + rng.integers(-3, 4, (200, 40))
+        c[500:560] = c[400]  # ties
+        true = [np.lexsort((np.arange(3000), -(c @ q[k])))[:20] for k in range(30)]
+        kth = np.array([(c @ q[k])[t[-1]] for k, t in enumerate(true)], float)
+        for bars in (np.full(30, -np.inf), kth, kth - 5):
+            rows, pos, score = topk_search.best(q, np.arange(30) + 10**6, bars, c, np.arange(3000), 20)
+            assert all(pos[rows == k].tolist() == true[k].tolist() and score[rows == k].tolist() == (c @ q[k])[true[k]].tolist() for k in range(30))
+
+
+def test_smooth_vectors_are_pruned(monkeypatch):
+    monkeypatch.setattr(topk_search, "TILE", 256)
+    rng = np.random.default_rng(6)
+    c = np.rint(np.cumsum(rng.normal(size=(4000, 64)), 1) * 8).astype(np.int64)
+    q, seen = c[::100], {}
+    bars = np.array([np.sort(c @ v)[-20] for v in q], float)
+    rows, pos, _ = topk_search.best(q, np.arange(len(q)) + 10**6, bars, c, np.arange(4000), 20, seen)
+    assert all(pos[rows == k].tolist() == np.lexsort((np.arange(4000), -(c @ v)))[:20].tolist() for k, v in enumerate(q))
+    assert seen[4][1] < 0.3 * seen[4][0] and min(n for _, n in seen.values()) < 0.1 * len(q) * len(c)
+
+
+def test_top_k_in_blocks_and_with_bars(spark, monkeypatch):
+    for name, value in (("QUERIES", 7), ("CANDIDATES", 90), ("SAMPLE", 60), ("TILE", 32)):
+        monkeypatch.setattr(topk_search, name, value)
+    test_top_k(spark)
 
 
 def brute(x, labels, threshold=0.98):
@@ -134,6 +155,17 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(rows, []).collect()} == {"allow"}
 
 
+def test_urls_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST", 1)
+    test_urls(spark)
+
+
+def test_rules_of_a_table_and_long_urls(spark):
+    rows = spark.createDataFrame([(1, "http://a.org/" + "x/" * 50_000), (2, "http://" + "s." * 200 + "a.org/y"), (3, "http://b.org/")], "page_id long, url string")
+    rules = spark.createDataFrame([("block", "a.org/x/"), ("allow", "a.org/"), ("block", None), ("block", "a.org/")], "verdict string, rule string")
+    assert [(r.rule, r.verdict) for r in url_filter.judge(rows, rules, "other").orderBy("page_id").collect()] == [("a.org/x/", "block"), ("a.org/", "allow"), (None, "other")]
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where(F.pmod(F.xxhash64("key"), F.lit(11)) == 0)
