@@ -43,23 +43,24 @@ def drop_written(spark: SparkSession, since: int = 0, *but: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A key is hot that has more than one in HOT of all rows; so there are fewer than HOT hot keys, whatever the data.
-HOT = 2000
+#: A key is hot that has more than UNIT rows and more than one in HOT of all; so there are fewer than HOT hot keys, whatever the data.
+HOT, UNIT = 2000, 1000
 
 
-def even_join(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+def even_join(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inner", spread: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """rows joined (inner, left or left_semi) with others, which have few rows a key; no task gets all rows of a hot key.
 
-    Rows of hot keys stay where they are and meet the others' rows of those keys by a broadcast of fewer than HOT keys; the rest is dealt out by key. hot: the
-    hot keys, if known. Keys must not be null.
+    A hot key's rows are dealt out by a hash of the columns ``spread`` (all but the keys, if not named), and the others' rows of that key are copied to each of these
+    parts. Only the hot keys, fewer than HOT, are broadcast. sizes: keys and ``rows`` a key, if known. Keys must not be null.
     """
-    if hot is None:
-        sizes = rows.groupBy(*keys).count()
-        total = rows.count()
-        hot = sizes.where(F.col("count") * HOT > total).select(*keys)
-    hot = F.broadcast(written(hot.select(*keys).coalesce(1), "hot"))
-    few = F.broadcast(others.join(hot, keys, "left_semi"))
-    return rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(others, keys, how))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows")) if sizes is None else sizes.select(*keys, "rows")
+    unit = F.greatest(F.lit(UNIT), F.floor(F.lit(rows.count()) / F.lit(HOT)))
+    hot = F.broadcast(written(sizes.where(F.col("rows") > unit).select(*keys, F.ceil(F.col("rows") / unit).alias("_parts")).coalesce(1), "hot"))
+    spread = [c for c in rows.columns if c not in keys] if spread is None else spread
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts) if spread else F.lit(0).cast("long")).drop("_parts")
+    right = others.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
 @contextmanager

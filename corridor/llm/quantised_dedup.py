@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corridor.llm.common import HOT, drop_written, even_join, mark, ship, written
+from corridor.llm.common import drop_written, even_join, mark, ship, written
 from corridor.llm.components import components
 from corridor.llm.topk_search import matrix, usable
 
@@ -97,8 +97,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = rows.withColumns({f"k{n}": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(n), "label", "v")) for n in (1, 2)})
     classes = rows.where("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = written(classes.withColumn("dim", F.size("v")), "classes")
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = even_join(classes.select("label", "dim", "k1", "k2", "node", "copies", "v"), sizes, ["label", "dim"]).withColumn("block", F.pmod(F.col("k1"), F.col("blocks")))
+    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("rows"))
+    dealt = even_join(classes.select("label", "dim", "k1", "node", "copies", "v"), sizes, ["label", "dim"], spread=["node"], sizes=sizes).withColumn("block", F.pmod(F.col("k1"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "v", "block")
     ship(spark)
@@ -112,7 +112,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     own = classes.select("k1", "k2", "node", "copies").join(counts, "node", "left").join(found, "node", "left")
     own = written(own.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component")), "per_class")
     keyed, alone = rows.where("k1 IS NOT NULL").select("vec_id", "k1", "k2"), rows.where("k1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
-    hot = classes.where(F.col("copies") * HOT > F.lit(max(1, vectors.count()))).select("k1", "k2")
-    out = written(even_join(keyed, own, ["k1", "k2"], hot=hot).select("vec_id", "n", "component").unionByName(alone), "linked")
+    sizes = classes.select("k1", "k2", F.col("copies").alias("rows"))
+    out = written(even_join(keyed, own, ["k1", "k2"], sizes=sizes).select("vec_id", "n", "component").unionByName(alone), "linked")
     drop_written(spark, since, out)
     return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))
