@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in stages that each work on all that the one before kept.
 
 Null and empty texts score as the quality classifier has learnt to score texts without statistics; those that remain have no letter and go with the language
-stage. Repeated rows are copies of each other for the near-duplicate stage. Columns other than those of documents are left behind by the first stage.
+stage. Repeated rows are copies of each other for the near-duplicate stage. Texts of any length pass whole; an empty table stays empty. Columns other than those of
+documents, whatever their names, are left behind by the first stage. A stage's own tables and those of the stage before are deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridor.llm import language_id, order_minhash, packing, pii, quality
-from corridor.llm.common import table, written
+from corridor.llm.common import drop_written, mark, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of a lower quality score go; so do those whose language is ``und`` or less likely than this.
@@ -46,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_written(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
