@@ -41,6 +41,7 @@ def drop_written(spark: SparkSession, since: int = 0, *but: DataFrame) -> None:
         _WRITTEN.remove(path)
         path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()  # lets Spark see which shuffles nothing can read any more, and delete their files
 
 
 #: A key is hot that has more than UNIT rows and more than one in HOT of all; so there are fewer than HOT hot keys, whatever the data.

@@ -18,9 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     found = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
+        first = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "ups")
         second = first.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = written(even_join(written(first, "ups"), second, ["up"]).select("node", "top"), "pointers")
+        step = written(even_join(first, second, ["up"]).select("node", "top"), "pointers")
         moved = step.select(F.col("node").alias("component"), "top")
         if found is None:
             found = step.select("node", F.col("top").alias("component"))

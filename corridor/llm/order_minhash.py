@@ -187,8 +187,8 @@ def small(df: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b: nodes) whose texts are similar."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = written(words.join(ends, "node", "left_semi"), "texts")
+    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    found = written(words.join(small(ends), "node", "left_semi"), "texts")
     left, right = found.toDF("a", "words_a"), found.toDF("b", "words_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,8 @@ def between(members: DataFrame, found: DataFrame, nodes: DataFrame, words: DataF
     blocks = lambda n: F.ceil(n / F.floor(rows)).cast("long")
     groups = groups.select(*keys, "rows", "largest", blocks(F.col("rows") - F.col("most")).alias("across"), blocks(F.col("rows")).alias("down"))
     mixed = even_join(graded, groups.drop("rows"), keys, sizes=groups).withColumn("outside", F.col("component") != F.col("largest"))
-    texts = words.join(mixed.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "picks"), "node")
+    wanted = small(written(mixed.select("node").distinct(), "wanted"))
+    texts = written(words.join(wanted, "node", "left_semi").join(nodes.select("node", "picks").join(wanted, "node", "left_semi"), "node"), "texts")
     full = mixed.join(texts, "node").withColumn("h", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     first = full.where("outside").withColumns({"side": F.lit(0), "i": F.pmod("h", "across"), "j": every("down")})
@@ -314,11 +315,14 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     buckets = written(buckets, "buckets")
     members = even_join(picks, buckets.withColumn("size", F.col("rows")).drop("rows"), ["band", "pick"], spread=["node"], sizes=buckets)
     members = written(members, "members")
+    drop_written(spark, since, rows, nodes, members)
     pairs = members.select("node", F.explode(F.array("first", "last")).alias("end")).where((F.col("node") != F.col("end")) & (F.abs(grade_of("node") - grade_of("end")) <= 1))
     pairs = written(pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "pairs")
     links = verified(pairs, words, threshold)
     found = components(links)
+    drop_written(spark, since, rows, nodes, members, links, found)
     more = between(members.where("size > 3").select("band", "pick", "node"), found, nodes, words, threshold)
+    drop_written(spark, since, rows, nodes, links, found, more)
     if not more.isEmpty():
         found = components(links.union(more))
     rooted = written(nodes.select("key", "node", "head").join(found, "node", "left").select("key", "head", F.coalesce("component", "node").alias("root")), "roots")
