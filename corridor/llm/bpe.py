@@ -18,8 +18,10 @@ from functools import lru_cache
 import regex
 
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Transitions and words that a worker keeps, at most; beyond, the store starts anew. That changes speed alone.
-TRANSITIONS, WORDS = 1_000_000, 400_000
+#: Transitions that a worker keeps, at most, and words in each of two generations; beyond, the stores start anew. That changes speed alone.
+TRANSITIONS, WORDS = 1_000_000, 200_000
+#: A state keeps transitions from the visit of this number on that leads to a new one.
+RARE = 2
 
 
 def byte_characters() -> dict[str, int]:
@@ -42,12 +44,13 @@ class Node:
 class State:
     """last: the piece emitted last (-1: none). waiting: configurations, each the pieces not emitted yet and the start of a piece that has been read since; the last has read nothing. final: what is emitted if the word ends here."""
 
-    __slots__ = ("final", "last", "next", "waiting")
+    __slots__ = ("final", "last", "left", "next", "waiting")
 
     def __init__(self, last: int, waiting: tuple[tuple[tuple[int, ...], Node], ...]) -> None:
         self.last, self.waiting = last, waiting
         self.next: dict[str, tuple[State, tuple[int, ...], int]] = {}
         self.final = waiting[-1][0]
+        self.left = RARE
 
 
 class Transducer:
@@ -110,26 +113,46 @@ class Transducer:
         if self.made >= TRANSITIONS:
             self.forget()
         going, ended, last = [], None, state.last
+        pairs = self.pairs
         for own, node in state.waiting:
-            if (node := node.next.get(symbol)) is None:
+            node = node.next.get(symbol)
+            if node is None:
                 continue
-            if ended is None and (piece := node.piece) is not None and self.follows(own[-1] if own else last, piece):
-                ended = (*own, piece)
+            if ended is None and (piece := node.piece) is not None:
+                before = own[-1] if own else last
+                fits = pairs.get((before, piece))
+                if fits or (fits is None and self.follows(before, piece)):
+                    ended = (*own, piece)
             if node.next:
                 going.append((own, node))
         if ended is None:
             raise ValueError("symbols outside the vocabulary")
-        agreed = 0
         if not going:
             agreed = len(ended)
-        elif going[0][0]:  # the first has gone on longest: no other has fewer pieces in common
-            while agreed < len(ended) and all(len(own) > agreed and own[agreed] == ended[agreed] for own, _ in going):
+        elif len(going) == 1:
+            first, agreed = going[0][0], 0
+            for x, y in zip(first, ended, strict=False):
+                if x != y:
+                    break
+                agreed += 1
+        else:
+            agreed = 0
+            for column in zip(ended, *[own for own, _ in going], strict=False):
+                if column.count(column[0]) != len(column):
+                    break
                 agreed += 1
         emitted = ended[:agreed]
-        waiting = (*((own[agreed:], node) for own, node in going), (ended[agreed:], self.root)) if agreed else (*going, (ended, self.root))
-        key = (emitted[-1] if agreed else last, waiting)
+        if agreed:
+            last = emitted[-1]
+            waiting = (*[(own[agreed:], node) for own, node in going], (ended[agreed:], self.root))
+        else:
+            waiting = (*going, (ended, self.root))
+        if state.left > 1:  # what is met once may never be met again
+            state.left -= 1
+            return State(last, waiting), emitted, agreed
+        key = (last, waiting)
         if (after := self.states.get(key)) is None:
-            after = self.states[key] = State(*key)
+            after = self.states[key] = State(last, waiting)
         found = state.next[symbol] = (after, emitted, agreed)
         self.made += 1
         return found

@@ -50,6 +50,7 @@ class Utf8Machine:
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         self.machine, self.pieces = bpe.from_ranks(path)
+        self.decimal = [str(k) for k in range(len(self.pieces))]
         self.split = bpe.splitter(pattern)
         self.words = Words(lambda word: tuple(self.machine.ids(word.encode().decode("latin-1"))))
 
@@ -108,7 +109,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 for text in batch.column(1):
                     ids = own.encode(text.as_py() or "")
                     sizes.append(len(ids))
-                    coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    coded.append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
                     back = hashlib.sha256()
                     for piece in own.decode(ids):
                         back.update(piece.encode())

@@ -33,16 +33,18 @@ PLAIN = re.compile("[\x00-įı-ſ‐-‧‰-⁞€]*")
 
 
 class Words(dict):
-    """Word to what the transducer emits for it. Holds a bounded number of words."""
+    """Word to what the transducer emits for it. Holds a bounded number of words, in two generations: when one is full, those that it has not been asked for go."""
 
     def __init__(self, emit) -> None:
         super().__init__()
-        self.emit = emit
+        self.emit, self.older = emit, {}
 
     def __missing__(self, word: str):
         if len(self) >= bpe.WORDS:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = self.emit(word)
+        out = self.older.get(word)
+        out = self[word] = self.emit(word) if out is None else out
         return out
 
 
