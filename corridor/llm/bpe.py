@@ -4,8 +4,8 @@ Two neighbouring pieces are compatible if merging their union by itself gives th
 are those of each of its beginnings. After some symbols, a configuration is a beginning that ends in a whole piece, and the part of a next piece that has been
 read since; a state holds all configurations that may still go on, with the pieces on which they differ. A transition reads a symbol: it drops the configurations
 that no piece continues, adds the one that ends here, and emits the pieces on which all that are left agree. A part is never longer than the longest piece, so a
-piece is emitted after a bounded lookahead; nothing is ever taken back. States and transitions are made when first met and kept; a transition carries what it
-emits and how many pieces that is.
+piece is emitted after a bounded lookahead; nothing is ever taken back. States and transitions are made when first met, and those that are met again are kept;
+a transition carries what it emits and how many pieces that is.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from functools import lru_cache
 import regex
 
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Transitions that a worker keeps, at most, and words in each of two generations; beyond, the stores start anew. That changes speed alone.
-TRANSITIONS, WORDS = 1_000_000, 200_000
+#: Transitions and pairs of pieces that a worker keeps, at most, those met first, and words in each of two generations. What isn't kept is made again: that changes speed alone.
+TRANSITIONS, WORDS = 200_000, 100_000
 #: A state keeps transitions from the visit of this number on that leads to a new one.
-RARE = 2
+RARE = 3
 
 
 def byte_characters() -> dict[str, int]:
@@ -82,15 +82,6 @@ class Transducer:
             found = self.states[last, waiting] = State(last, waiting)
         return found
 
-    def forget(self) -> None:
-        """Starts the stores anew. A state that is in use goes on; what it leads to is made again."""
-        for s in self.states.values():
-            s.next.clear()
-        self.states.clear()
-        self.pairs.clear()
-        self.start = self.state(-1, (((), self.root),))
-        self.made = 0
-
     def merging(self, ids: list[int]) -> list[list[int]]:
         """Merging by the definition, step by step: the pair of lowest rank first, the leftmost of equals. For compiling only."""
         steps = [ids]
@@ -105,13 +96,13 @@ class Transducer:
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a (-1: the start)."""
         if (found := self.pairs.get((a, b))) is None:
-            found = self.pairs[a, b] = self.alone[b] and (a < 0 or self.border(a, b))
+            found = self.alone[b] and (a < 0 or self.border(a, b))
+            if len(self.pairs) < TRANSITIONS:
+                self.pairs[a, b] = found
         return found
 
     def step(self, state: State, symbol: str) -> tuple[State, tuple[int, ...], int]:
         """The transition of a symbol: the next state, the pieces emitted, and their number."""
-        if self.made >= TRANSITIONS:
-            self.forget()
         going, ended, last = [], None, state.last
         pairs = self.pairs
         for own, node in state.waiting:
@@ -147,7 +138,7 @@ class Transducer:
             waiting = (*[(own[agreed:], node) for own, node in going], (ended[agreed:], self.root))
         else:
             waiting = (*going, (ended, self.root))
-        if state.left > 1:  # what is met once may never be met again
+        if state.left > 1 or self.made >= TRANSITIONS:  # what is met once may never be met again
             state.left -= 1
             return State(last, waiting), emitted, agreed
         key = (last, waiting)

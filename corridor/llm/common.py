@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corridor.sources.files import shared_folder
 
 _WRITTEN: list[str] = []
+BATCH = 2048
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -66,19 +67,23 @@ def even_join(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "i
 
 @contextmanager
 def uncollected():
-    """No cycle collection inside: the stored words and transitions of a tokenizer are many objects without a cycle among them."""
+    """No cycle collection inside, and none of what was made inside after it: the stored words and transitions of a tokenizer are many objects without a cycle to find. Collection goes on for all else."""
     on = gc.isenabled()
     gc.disable()
     try:
         yield
     finally:
+        gc.freeze()
         if on:
             gc.enable()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers' path."""
+    """mapInArrow with this package on the workers' path, in batches of at most BATCH rows: texts may be long, and a batch is held by Spark and by Python."""
     ship(df.sparkSession)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
     return df.mapInArrow(fn, schema)
 
 
