@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corridor.llm import bpe_codec, language_id, order_minhash, packing, pii, quality, quantised_dedup, token_counts, topk_search, url_filter
+from corridor.llm import bpe_codec, language_id, lloyd_codes, order_minhash, packing, pii, quality, quantised_dedup, token_counts, topk_search, url_filter, whitening
 from corridor.llm.common import table
 
 #: (verdict, host and path).
@@ -56,8 +56,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def lloyd_sql(rounds: int = 6) -> str:
+    """The rounds one after the other, by plain scans of all entries."""
+    parts = ["""WITH w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 8) + 1:(part + 1) * (len(x) // 8)] AS y FROM w, range(8) g(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS e, y AS c FROM p WHERE r <= 16)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT r, part, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM (SELECT p.r, p.part, e, list_inner_product(y, y) - 2 * list_inner_product(y, c) + list_inner_product(c, c) AS d FROM p JOIN c{k} ON p.part = c{k}.part) GROUP BY r, part)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT o.part, o.e, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN (SELECT part, e, list(f ORDER BY k) AS c FROM
+  (SELECT part, e, k, floor(sum(v) / count(*)) AS f FROM (SELECT a.part, a.e, unnest(p.y) AS v, generate_subscripts(p.y, 1) AS k FROM a{k} a JOIN p ON p.r = a.r AND p.part = a.part) GROUP BY part, e, k) GROUP BY part, e) m ON m.part = o.part AND m.e = o.e)""")
+    return ",\n".join(parts) + f""",
+s AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, e, k)) AS h FROM (SELECT part, e, unnest(c) AS v, generate_subscripts(c, 1) AS k FROM c{rounds}))
+SELECT w.vec_id, s.code, s.error, (sum(s.error) OVER (PARTITION BY w.label))::BIGINT AS label_error, h.h AS codebooks_sha256 FROM w JOIN s ON s.r = w.r, h"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_token_counts, op3_url_filter, op4_language_id, op5_quality, op6_packing, op7_pii, op8_order_minhash, op9_quantised_dedup, op10_bpe)
+    own = (op1_topk, op2_token_counts, op3_url_filter, op4_language_id, op5_quality, op6_packing, op7_pii, op8_order_minhash, op9_quantised_dedup, op10_bpe, op11_lloyd_codes, op13_whitening)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -78,6 +103,7 @@ u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([
 m AS (SELECT u.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict FROM u JOIN rules r
   ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.page_id)
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)""",
+        "op11_lloyd_codes": lloyd_sql(),
         "op9_quantised_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
