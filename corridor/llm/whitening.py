@@ -7,7 +7,7 @@ not grow with the number of rows or tasks. The covariance is then reduced to tri
 
 A row's deviation is exact at any size; one beyond 64 bits is null. Vectors that are null, empty or hold null or non-finite components take no part. The commonest
 length, of equally common ones the smallest, sets the dimension; vectors of other lengths take no part. Null ids keep their rows, repeated rows each get theirs;
-they count once in the fit list. Components whose eigenvalue is not above a billionth of a billionth of the trace have no direction and are left out, so a table of
+they count once in the fit list. Components whose eigenvalue is not above 1e-13 of the trace, where doubles hold nothing but rounding, have no direction and are left out, so a table of
 equal vectors and an empty one give no rows. Other columns are left behind, whatever their names.
 """
 
@@ -26,7 +26,7 @@ from corridor.llm.topk_search import matrix, usable
 
 #: Groups that tasks' triangles are merged in before the driver adds up one from each.
 GROUPS, STRIP = 64, 256
-NO_DIRECTION = 1e-18
+NO_DIRECTION = 1e-13
 
 
 def two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
