@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corridor.llm import bpe_codec, language_id, lloyd_codes, order_minhash, packing, pii, quality, quantised_dedup, token_counts, topk_search, url_filter, whitening
+from corridor.llm import bpe_codec, html_extraction, language_id, lloyd_codes, order_minhash, packing, pii, quality, quantised_dedup, token_counts, topk_search, url_filter, whitening
 from corridor.llm.common import table
 
 #: (verdict, host and path).
@@ -60,6 +60,10 @@ def op11_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd_codes.codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -82,7 +86,7 @@ SELECT w.vec_id, s.code, s.error, (sum(s.error) OVER (PARTITION BY w.label))::BI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_token_counts, op3_url_filter, op4_language_id, op5_quality, op6_packing, op7_pii, op8_order_minhash, op9_quantised_dedup, op10_bpe, op11_lloyd_codes, op13_whitening)
+    own = (op1_topk, op2_token_counts, op3_url_filter, op4_language_id, op5_quality, op6_packing, op7_pii, op8_order_minhash, op9_quantised_dedup, op10_bpe, op11_lloyd_codes, op12_host_suffix_array, op13_whitening)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
