@@ -6,10 +6,10 @@ to that depth. Neighbours that agree to the full depth begin a substring of at l
 (of another address or text). Sorted ranges are tasks of any number; a substring that fills several ranges, however common it is, is one row of each, and these meet.
 
 A run is covered if such a substring holds it. A place (path of elements and classes) on a host is a boilerplate place if most of its different runs are covered. Covered
-runs of boilerplate places go, and so do covered runs elsewhere that stand on at least a quarter of a host's pages, four at least; unique runs stay. What repetition can't
-tell is then checked by what elements say of themselves: menus, forms, comments and the like go though unique, and where a page has an article (or else a main part), its
-runs stay though repeated, as copies of articles do, and others go. ``n_repeated`` and ``n_corrected`` say how many runs of a page the array marked, and on how many the
-check ruled otherwise.
+runs of boilerplate places go. Elsewhere those go whose neighbours differ from page to page: of four pairs of neighbours at least, and of a quarter as many as the host
+has pages; a copied article keeps its neighbours, so its runs stay. Unique runs stay. What repetition can't tell is then checked by what elements say of themselves:
+menus, forms, comments and the like go though unique, and where a page has an article (or else a main part), its runs stay though repeated, and others go.
+``n_repeated`` and ``n_corrected`` say how many runs of a page the array marked, and on how many the check ruled otherwise.
 
 A page without html has no text. Repeated rows get a row each and count as one page; null ids keep their rows; a page without a host shares one with all such pages. A
 host of one page has no repeats. Pages are read whole, whatever their length. An empty table gives no rows. Other columns are left behind, whatever their names.
@@ -30,7 +30,7 @@ from corridor.llm.url_filter import host_and_path
 
 #: A substring is long from this many words on.
 WORDS = 4
-#: Share and number of a host's pages from which a covered run is boilerplate wherever it stands.
+#: From so many pairs of neighbours, and so many for each of the host's pages, a covered run is boilerplate wherever it stands.
 SHARE, PAGES = 0.25, 4
 #: Boilerplate tokens that are handed to every task (8 bytes each), counted first; beyond, they are joined by key.
 FEW = 500_000
@@ -153,14 +153,16 @@ def boilerplate(units: DataFrame) -> DataFrame:
 
     covered = written(map_arrow(found.select("suffix", "pages"), split, "token long, pages long").where(F.col("token") != END).groupBy("token").agg(F.max("pages").alias("pages")), "covered")
     hosts = units.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    each = units.select("host", F.explode(F.arrays_zip("tokens", "places")).alias("r")).select("host", F.col("r.tokens").alias("token"), F.col("r.places").alias("place")).distinct()
+    context = lambda k: F.xxhash64(F.get("tokens", k - 1), F.get("tokens", k + 1))
+    each = units.select("host", F.explode(F.transform("tokens", lambda t, k: F.struct(t.alias("token"), F.get("places", k).alias("place"), context(k).alias("context")))).alias("r")).select("host", "r.*")
+    each = each.groupBy("host", "token", "place").agg(F.count_distinct("context").alias("contexts"))
     each = written(each.join(covered, "token", "left"), "runs")
     places = each.groupBy("host", "place").agg((2 * F.count("pages") > F.count("*")).alias("common"), F.count("*").alias("rows"))
     marked = each.where("pages IS NOT NULL")
     marked = even_join(marked, places.select("host", "place", "common"), ["host", "place"], sizes=places)
     sizes = marked.groupBy("host").agg(F.count("*").alias("rows"))
     marked = even_join(marked, hosts, ["host"], sizes=sizes)
-    often = (F.col("pages") >= PAGES) & (F.col("pages") >= SHARE * F.col("of"))
+    often = (F.col("contexts") >= PAGES) & (F.col("contexts") >= SHARE * F.col("of"))
     return written(marked.where(F.col("common") | often).select("token").distinct(), "boilerplate")
 
 

