@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corridor.functions import formats
 from corridor.functions.trajectory_text import two_decimals
-from corridor.operators import spatial
+from corridor.operators import distance, spatial
 
 
 def at(x: str = "x", y: str = "y") -> Column:
@@ -81,7 +81,7 @@ def shoulders(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def crossing(points: DataFrame, cells: DataFrame) -> DataFrame:
-    rows = spatial.located(spatial.nearest(points, cells).select("token", "t", F.col("c").alias("px"), F.col("r").alias("py")))
+    rows = spatial.located(distance.nearest(points, cells).select("token", "t", F.col("c").alias("px"), F.col("r").alias("py")))
     return told(rows, formats.CROSSING_HEADER, F.concat(F.lit("The nearest pedestrian crossing is at "), at(), F.lit("\n")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corridor.functions.formats import WAYPOINTS
 from corridor.functions.trajectory_text import two_decimals
+from corridor.operators import grid
 from corridor.operators.planning import LENGTH, SIDE, WIDTH, forecast, hits
 
 #: Layers of the lane raster, in the order of formats.LANES; the raster of drivable regions comes as one more layer.
@@ -161,15 +162,6 @@ def distance_to(points: DataFrame, cells: DataFrame, layer: int, reach: int = 5)
     return at.join(near, ["token", "t"], "left").select("token", "t", ((F.col("px") - F.col("l")) * F.lit(0.5)).alias("left"), ((F.col("m") - F.col("px")) * F.lit(0.5)).alias("right"))
 
 
-def nearest(points: DataFrame, cells: DataFrame, layer: int = CROSSING) -> DataFrame:
-    """token, t, r, c: the nearest set cell of a layer at or ahead of a place; ties go to the smaller column, then row. Places without one have no row."""
-    rows = quantised(points).where("valid").join(layer_cells(cells, layer), "token")
-    row, column = lambda n: F.floor(n / SIDE).cast("int"), lambda n: (n % SIDE).cast("int")
-    ahead = F.filter("l0", lambda n: n >= F.col("py") * SIDE)
-    away = F.transform(ahead, lambda n: F.struct(((column(n) - F.col("px")) * (column(n) - F.col("px")) + (row(n) - F.col("py")) * (row(n) - F.col("py"))).alias("d"), column(n).alias("c"), row(n).alias("r")))
-    return rows.select("token", "t", F.array_min(away).alias("k")).where("k IS NOT NULL").select("token", "t", "k.r", "k.c")
-
-
 def occupied(points: DataFrame, occ: DataFrame, above: float = 0.1) -> DataFrame:
     """token, t, occupied: whether a waypoint's cell is taken at its step; steps 1 to 4 on the map only."""
     own = occ.where(F.col("p") > above).select("token", "t", F.col("r").alias("py"), F.col("c").alias("px"), F.lit(True).alias("taken"))
@@ -240,12 +232,16 @@ def box_distance(a: Column, b: Column) -> Column:
 
 
 def object_collisions(ego: DataFrame, steps: DataFrame, objects: DataFrame, margin: float = 1.0) -> DataFrame:
-    """token, t, ord, overlaps, distance, collides: for every object that its size lets come within the margin, and for others near a waypoint of the ego vehicle (within ten metres in x and y); an object without a row cannot collide."""
-    shape = objects.select("token", "ord", "dx", "dy", "rot_z")
+    """token, t, ord, overlaps, distance, collides: for every object that its size lets come within the margin, and for others near a waypoint of the ego vehicle (within ten metres in x and y); an object without a row cannot collide.
+
+    Objects and waypoints meet on a grid, so a crowded scene is dealt out by place and objects far off are never tested.
+    """
     reach = F.greatest(F.lit(10.0), (F.lit(math.hypot(LENGTH, WIDTH)) + F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)) / 2 + margin)
-    near = ego.select("token", "t", F.col("x").alias("ex"), F.col("y").alias("ey")).join(steps.join(shape, ["token", "ord"]), ["token", "t"]).where((F.abs(F.col("x") - F.col("ex")) < reach) & (F.abs(F.col("y") - F.col("ey")) < reach))
-    mine = corners(F.col("ex"), F.col("ey"), F.lit(WIDTH), F.lit(LENGTH))
-    rows = near.withColumns({"a": mine, "b": corners(F.col("x"), F.col("y"), F.col("dx"), F.col("dy"), F.col("rot_z"))})
+    others = steps.join(objects.select("token", "ord", "dx", "dy", "rot_z", reach.alias("reach")), ["token", "ord"])
+    ex, ey, x, y, r = (F.col(c) for c in ("ex", "ey", "x", "y", "reach"))
+    near = grid.meeting(ego.select("token", "t", F.col("x").alias("ex"), F.col("y").alias("ey")), others, ["token", "t"], (ex, ey, ex, ey), (x - r, y - r, x + r, y + r), unit=16.0, levels=([0], grid.levels_of(grid.boxed(objects.select("dx", "dy", reach.alias("reach")), (-r, -r, r, r), "_b", 16.0), "_b")))
+    near = near.where((F.abs(x - ex) < r) & (F.abs(y - ey) < r))
+    rows = near.withColumns({"a": corners(ex, ey, F.lit(WIDTH), F.lit(LENGTH)), "b": corners(x, y, F.col("dx"), F.col("dy"), F.col("rot_z"))})
     rows = rows.withColumns({"overlaps": overlap(F.col("a"), F.col("b"), None, F.col("rot_z")), "distance": box_distance(F.col("a"), F.col("b"))})
     return rows.select("token", "t", "ord", "overlaps", F.round("distance", 6).alias("distance"), (F.col("overlaps") | (F.col("distance") < margin)).alias("collides"))
 

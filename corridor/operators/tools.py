@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions import formats
-from corridor.operators import map_text, spatial
+from corridor.operators import distance, map_text, spatial
 
 Frames = dict[str, DataFrame]
 
@@ -129,7 +129,7 @@ TOOLS: dict[str, Tool] = {
     "get_current_shoulder": _borders("shoulder", True, "metres to the shoulders"),
     "get_distance_to_lane_divider_at_locations": _borders("divider", False, "metres from places to the dividers"),
     "get_current_lane_divider": _borders("divider", True, "metres to the dividers"),
-    "get_nearest_pedestrian_crossing": Tool(lambda f: spatial.nearest(map_text.here(f["scenes"]), f["map_cells"]), lambda f: map_text.crossing(map_text.here(f["scenes"]), f["map_cells"]), "the next crossing ahead"),
+    "get_nearest_pedestrian_crossing": Tool(lambda f: distance.nearest(map_text.here(f["scenes"]), f["map_cells"]), lambda f: map_text.crossing(map_text.here(f["scenes"]), f["map_cells"]), "the next crossing ahead"),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridor.functions import formats, keyed
-from corridor.operators import map_text, planning, spatial
+from corridor.operators import distance, grid, map_text, planning, spatial
 from corridor.sources.fixtures import view, with_views
 
 _PIXEL = "trunc(200 * (x + 50.25) / 100)::INT AS px, trunc(200 * (y + 50.25) / 100)::INT AS py"
@@ -14,11 +14,11 @@ _LINE = """'{lead}, object type: ' || name || ', object id: ' || ord || ', posit
 _STEPS = ", w AS (SELECT token, ord, t::INT AS t, x + t * vx AS x, y + t * 0.5 AS y FROM objects, generate_series(1, 6) s(t))"
 _AT = f", q AS (SELECT *, {_PIXEL} FROM gt), v AS (SELECT *, {_VALID} AS valid FROM q)"
 _POINT = "'(' || printf('%.2f', x::DOUBLE) || ', ' || printf('%.2f', y::DOUBLE) || ')'"
-_DEALT = """, dl AS (SELECT s.token AS scene, g.token FROM (SELECT token, row_number() OVER (ORDER BY @h('scene|' || token), token) AS place FROM (SELECT DISTINCT token FROM objects)) s
+_DEALT = """, dl AS MATERIALIZED (SELECT s.token AS scene, g.token FROM (SELECT token, row_number() OVER (ORDER BY @h('scene|' || token), token) AS place FROM (SELECT DISTINCT token FROM objects)) s
   JOIN (SELECT token, row_number() OVER (ORDER BY @h('trajectory|' || token), token) AS turn, count(*) OVER () AS n FROM (SELECT DISTINCT token FROM gt)) g ON (s.place - 1) % g.n + 1 = g.turn),
-eg AS (SELECT dl.scene AS token, gt.t, gt.x AS ex, gt.y AS ey FROM dl JOIN gt ON gt.token = dl.token)"""
+eg AS MATERIALIZED (SELECT dl.scene AS token, gt.t, gt.x AS ex, gt.y AS ey FROM dl JOIN gt ON gt.token = dl.token)"""
 _EGO = _DEALT + """, w AS (SELECT token, ord, dx AS bdx, dy AS bdy, rot_z AS br, t::INT AS t, x + t * vx AS bx, y + t * 0.5 AS by_, greatest(10, (sqrt(4.084::DOUBLE * 4.084 + 1.85::DOUBLE * 1.85) + sqrt(dx * dx + dy * dy)) / 2 + 1) AS reach FROM objects, generate_series(1, 6) s(t)),
-m AS (SELECT w.*, ex, ey FROM w JOIN eg ON eg.token = w.token AND eg.t = w.t WHERE abs(bx - ex) < reach AND abs(by_ - ey) < reach),
+m AS MATERIALIZED (SELECT w.*, ex, ey FROM w JOIN eg ON eg.token = w.token AND eg.t = w.t WHERE abs(bx - ex) < reach AND abs(by_ - ey) < reach),
 p AS (SELECT *, list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [ex + 1.85::DOUBLE * s[1], ey + 4.084::DOUBLE * s[2]]) AS pa,
   list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.5]], lambda s: [bx + bdx * s[1] * cos(br) + bdy * s[2] * sin(br), by_ - bdx * s[1] * sin(br) + bdy * s[2] * cos(br)]) AS pb FROM m),
 x AS (SELECT token, t, ord, pa, pb, unnest([[1::DOUBLE, 0], [0, 1], [cos(br), -sin(br)], [sin(br), cos(br)]]) AS u FROM p),
@@ -38,7 +38,8 @@ p AS (SELECT *, list_transform([[0.5, 0.5], [0.5, -0.5], [-0.5, -0.5], [-0.5, 0.
 def _pairs(s, d):
     o = view(s, d, "objects")
     a, b = (o.select("token", *[F.col(c).alias(p + c) for c in ("ord", "x", "y", "dx", "dy", "rot_z")]) for p in "ab")
-    near = a.join(b, "token").where((F.col("aord") < F.col("bord")) & (F.abs(F.col("ax") - F.col("bx")) < 10) & (F.abs(F.col("ay") - F.col("by")) < 10))
+    half = lambda p: tuple(F.col(p + c) + v for v in (-5, 5) for c in "xy")
+    near = grid.meeting(a, b, ["token"], half("a"), half("b"), levels=([1], [1])).where((F.col("aord") < F.col("bord")) & (F.abs(F.col("ax") - F.col("bx")) < 10) & (F.abs(F.col("ay") - F.col("by")) < 10))
     box = lambda p: spatial.corners(*[F.col(p + c) for c in ("x", "y", "dx", "dy", "rot_z")])
     return near.select("token", F.col("aord").alias("a"), F.col("bord").alias("b"), box("a").alias("pa"), box("b").alias("pb"), F.col("arot_z").alias("ra"), F.col("brot_z").alias("rb"))
 
@@ -162,7 +163,8 @@ SELECT g.token, 'Check collision of the planned trajectory:' || chr(10) || coale
     "shoulder_distance": _distance("shoulder", spatial.BOUNDARY),
     "divider_distance": _distance("divider", spatial.DIVIDER),
     "current_crossing": ((lambda s, d: map_text.crossing(map_text.here(view(s, d, "gt")), view(s, d, "map_cells"))), with_views(_HERE + ", k AS (SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 1 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1) SELECT token, 'Get the nearest pedestrian crossing location:' || chr(10) || 'The nearest pedestrian crossing is at (' || printf('%.2f', -50 + (c + 0.5::DOUBLE) * 0.5) || ', ' || printf('%.2f', -50 + (r + 0.5::DOUBLE) * 0.5) || ')' || chr(10) AS prompt FROM k", "gt", "map_cells")),
-    "nearest_crossing": (lambda s, d: spatial.nearest(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 1 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1", "gt", "map_cells")),
+    "nearest_crossing": (lambda s, d: distance.nearest(*_map(s, d)), with_views(_AT + " SELECT v.token, v.t, m.r, m.c FROM v JOIN map_cells m ON m.token = v.token AND m.layer = 1 AND m.r >= py WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1", "gt", "map_cells")),
+    "nearest_layer_cells": (lambda s, d: distance.nearest_of_layers(*_map(s, d), 0, 1, 2, 3).withColumn("distance", F.round("distance", 6)), with_views(_AT + " SELECT v.token, v.t, m.layer, m.r, m.c, round(sqrt((m.c - px) * (m.c - px) + (m.r - py) * (m.r - py)) * 0.5::DOUBLE, 6) AS distance FROM v JOIN map_cells m ON m.token = v.token WHERE valid QUALIFY row_number() OVER (PARTITION BY v.token, v.t, m.layer ORDER BY (m.c - px) * (m.c - px) + (m.r - py) * (m.r - py), m.c, m.r) = 1", "gt", "map_cells")),
     "occupancy_trajectory": (lambda s, d: spatial.occupied(view(s, d, "gt"), view(s, d, "occ")), with_views(f", q AS (SELECT *, {_PIXEL} FROM gt) SELECT q.token, q.t, coalesce(o.p > 0.1, false) AS occupied FROM q LEFT JOIN occ o ON o.token = q.token AND o.t = q.t AND o.r = py AND o.c = px WHERE {_VALID} AND q.t < 5", "gt", "occ")),
     "occupancy_lookup": (lambda s, d: spatial.occupied_strict(view(s, d, "gt"), view(s, d, "occ"), 2), with_views(f", q AS (SELECT *, {_PIXEL} FROM gt) SELECT q.token, CASE WHEN bool_and({_VALID}) THEN bool_or(coalesce(o.p > 0.1, false)) END AS occupied FROM q LEFT JOIN occ o ON o.token = q.token AND o.t = 2 AND o.r = py AND o.c = px GROUP BY q.token", "gt", "occ")),
     "safety_collision": (lambda s, d: spatial.safety_collisions(view(s, d, "pred"), view(s, d, "occ")), with_views(""", o AS (SELECT r, c FROM generate_series(96, 105) a(r), generate_series(97, 102) b(c)),
@@ -179,9 +181,10 @@ g AS (SELECT *, greatest(0, least(1, ((c[1] - s[1]) * (t[1] - s[1]) + (c[2] - s[
 SELECT token, a, b, round(min(sqrt((c[1] - s[1] - k * (t[1] - s[1])) ** 2 + (c[2] - s[2] - k * (t[2] - s[2])) ** 2)), 5) AS distance FROM g GROUP BY token, a, b""", "objects")),
     "object_collision": (lambda s, d: spatial.object_collisions(*_ego(s, d)), with_views(_EGO + " SELECT * FROM oc", "gt", "objects")),
     "combined_collision": (lambda s, d: spatial.combined_collision(*_forecast(s, d)), with_views(_EGO + """, o AS (SELECT r, c FROM generate_series(96, 105) a(r), generate_series(97, 102) b(c)),
-fc AS (SELECT dl.scene AS token, f.t, f.r, f.c FROM occ f JOIN dl ON dl.token = f.token WHERE f.p > 0.1 AND f.t > 0),
-h AS (SELECT DISTINCT eg.token, eg.t FROM eg, o, fc s WHERE s.token = eg.token AND s.t = least(eg.t, 4) AND s.r = greatest(0, least(199, trunc(ey / 0.5 + o.r)::INT)) AND s.c = greatest(0, least(199, trunc(ex / 0.5 + o.c)::INT))),
-hc AS (SELECT DISTINCT token, t FROM oc WHERE collides)
+fc AS MATERIALIZED (SELECT DISTINCT dl.scene AS token, f.t, f.r, f.c FROM occ f JOIN dl ON dl.token = f.token WHERE f.p > 0.1 AND f.t > 0),
+ec AS MATERIALIZED (SELECT DISTINCT token, t, least(t, 4) AS ft, greatest(0, least(199, trunc(ey / 0.5 + o.r)::INT)) AS r, greatest(0, least(199, trunc(ex / 0.5 + o.c)::INT)) AS c FROM eg, o),
+h AS MATERIALIZED (SELECT DISTINCT ec.token, ec.t FROM ec JOIN fc ON fc.token = ec.token AND fc.t = ec.ft AND fc.r = ec.r AND fc.c = ec.c),
+hc AS MATERIALIZED (SELECT DISTINCT token, t FROM oc WHERE collides)
 SELECT eg.token, eg.t, h.token IS NOT NULL AND hc.token IS NOT NULL AS collides FROM eg LEFT JOIN h ON h.token = eg.token AND h.t = eg.t LEFT JOIN hc ON hc.token = eg.token AND hc.t = eg.t""", "gt", "objects", "occ")),
     "detections_to_cells": (lambda s, d: spatial.cells_of_boxes(spatial.waypoints(view(s, d, "objects")), view(s, d, "objects")).groupBy("token", "t").agg(F.count("*").alias("cells"), F.sum("r").alias("rows"), F.sum("c").alias("columns")), with_views(_boxes() + ' SELECT token, t, count(*) AS cells, sum(r)::BIGINT AS "rows", sum(c)::BIGINT AS "columns" FROM (SELECT * FROM f UNION ALL SELECT token, 0, r, c FROM f WHERE t = 1) GROUP BY token, t', "objects")),
     "foreign_key_chain": (lambda s, d: spatial.chain(view(s, d, "orders"), (view(s, d, "customer"), "o_custkey", "c_custkey"), (view(s, d, "nation"), "c_nationkey", "n_nationkey"), (view(s, d, "region"), "n_regionkey", "r_regionkey")).select("o_orderkey", "n_name", "r_name"), "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
