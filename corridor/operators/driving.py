@@ -81,27 +81,6 @@ def planner_message(rows: DataFrame, short_experience: bool = True, own_reasonin
     return rows.select("id", F.concat(*[F.coalesce(c, F.lit("")) for c in order]).alias("message"))
 
 
-def squared(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest_experiences(memory: DataFrame, queries: DataFrame, k: int = 3, factors: tuple[float, ...] = (1.0, 10.0, 1.0), block: int = 20_000) -> DataFrame:
-    """query, ord, confidence, place: the k memories of highest exp(-sum factor * squared distance); a query's own memory has confidence 0, ties go to the smaller ord.
-
-    Both have ord, k1, k2, k3. Memories are dealt into blocks of about ``block`` rows and queries go to every block: a stated set of queries
-    against all rows, never all pairs of rows. A block keeps k memories a query.
-    """
-    blocks = max(1, -(-memory.count() // block))
-    own = memory.withColumn("_b", F.pmod(F.xxhash64("ord"), F.lit(blocks)))
-    asked = queries.select(F.col("ord").alias("query"), *[F.col(f"k{i}").alias(f"q{i}") for i in (1, 2, 3)]).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    far = sum((F.lit(w) * squared(f"k{i}", f"q{i}") for i, w in enumerate(factors, 1)), F.lit(0.0))
-    rows = own.join(asked, "_b").select("_b", "query", "ord", F.when(F.col("query") == F.col("ord"), 0.0).otherwise(F.exp(-far)).alias("confidence"))
-    best = [F.desc("confidence"), F.col("ord")]
-    rows = rows.withColumn("_p", F.row_number().over(Window.partitionBy("_b", "query").orderBy(*best))).where(F.col("_p") <= k)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(*best))
-    return rows.withColumn("place", place).where(F.col("place") <= k).select("query", "ord", "confidence", "place")
-
-
 def picked(index: Column, candidates: Column, compat: bool = False) -> Column:
     """The chosen candidate, null if the index is outside; with compat the last one can't be chosen."""
     top = F.size(candidates) - (1 if compat else 0)

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,60 +122,94 @@ def flattened(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.groupBy(by).agg(own.alias("l")).select(by, F.flatten(F.transform("l", lambda x: x["v"])).alias("ids"), ends.alias("ends"))
 
 
-def gradient(p: np.ndarray, reference: np.ndarray, obstacles: np.ndarray, alpha: float, sigma: float) -> np.ndarray:
-    """Of the cost of a waypoint: its squared deviation and a Gaussian penalty for each obstacle."""
-    d = p - obstacles
-    return 2 * (p - reference) - (alpha / (2.507 * sigma) * np.exp(-(d**2).sum(1) / (2 * sigma**2))[:, None] * d).sum(0) / sigma**2
+def terms(p: np.ndarray, reference: np.ndarray, obstacles: np.ndarray, row: np.ndarray, alpha: float, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cost, gradient and second derivatives (xx, xy, yy) of many waypoints at once: squared deviation and a Gaussian penalty for each obstacle. row: the waypoint that an obstacle belongs to."""
+    n, d = len(p), p[row] - obstacles
+    e = alpha / (2.507 * sigma) * np.exp(-(d**2).sum(1) / (2 * sigma**2))
+    total = lambda v: np.bincount(row, v, n)
+    cost = ((p - reference) ** 2).sum(1) + total(e)
+    slope = 2 * (p - reference) - np.stack([total(e * d[:, k]) for k in (0, 1)], 1) / sigma**2
+    bend = 2 - total(e) / sigma**2
+    return cost, slope, np.stack([bend + total(e * d[:, 0] ** 2) / sigma**4, total(e * d[:, 0] * d[:, 1]) / sigma**4, bend + total(e * d[:, 1] ** 2) / sigma**4], 1)
 
 
-def pushed_away(path: np.ndarray, obstacles: list[np.ndarray], alpha: float, sigma: float, steps: int = 60) -> np.ndarray:
-    """The path that stays near its reference and off the obstacles: squared deviation and Gaussian penalties, by damped Newton steps on each waypoint."""
-    out = path.astype(float).copy()
-    c = alpha / (2.507 * sigma)
+def least_bend(bends: np.ndarray) -> np.ndarray:
+    """The least second derivative in any direction."""
+    a, b, c = bends.T
+    return (a + c) / 2 - np.hypot((a - c) / 2, b)
 
-    def cost(p: np.ndarray, ref: np.ndarray, o: np.ndarray) -> float:
-        return float(((p - ref) ** 2).sum() + c * np.exp(-((p - o) ** 2).sum(1) / (2 * sigma**2)).sum())
 
-    for k, o in enumerate(obstacles):
-        p = out[k] + (1e-6 if len(o) else 0)
-        for _ in range(steps if len(o) else 0):
-            d = p - o
-            e = c * np.exp(-(d**2).sum(1) / (2 * sigma**2))
-            g = gradient(p, path[k], o, alpha, sigma)
-            hess = 2 * np.eye(2) + np.einsum("i,ij,ik->jk", e, d, d) / sigma**4 - np.eye(2) * e.sum() / sigma**2
-            low = np.linalg.eigvalsh(hess)[0]
-            step = np.linalg.solve(hess + np.eye(2) * max(0.0, 0.5 - low), g)
-            rate, here = 1.0, cost(p, path[k], o)
-            while rate > 1e-6 and cost(p - rate * step, path[k], o) > here:
-                rate /= 2
-            p = p - rate * step
-            if np.abs(rate * step).max() < 1e-9:
-                break
-        out[k] = p
-    return out
+def trusted_step(slope: np.ndarray, bends: np.ndarray, radius: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Newton's step on the second derivatives, made positive where they are not, cut to the radius; and by how much the quadratic model falls. Those of ``flat`` are on a saddle and go along it where it bends down."""
+    a, b, c = bends.T
+    low = least_bend(bends)
+    lift = np.maximum(0.5 - low, 0)
+    det = (a + lift) * (c + lift) - b * b
+    step = -np.stack([(c + lift) * slope[:, 0] - b * slope[:, 1], (a + lift) * slope[:, 1] - b * slope[:, 0]], 1) / det[:, None]
+    angle = np.arctan2(2 * b, a - c) / 2 + np.pi / 2  # across the direction of the greatest one
+    step = np.where(flat[:, None], np.stack([np.cos(angle), np.sin(angle)], 1), step)
+    length = np.maximum(np.hypot(*step.T), 1e-300)
+    step *= (np.where(flat, radius, np.minimum(length, radius)) / length)[:, None]
+    x, y = step.T
+    return step, -((slope * step).sum(1) + (a * x * x + 2 * b * x * y + c * y * y) / 2)
+
+
+def pushed_away(start: np.ndarray, obstacles: np.ndarray, row: np.ndarray, alpha: float, sigma: float, rounds: int = 500, rest: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Where waypoints [n, 2] come to rest that stay near their start and off their obstacles, and the length of the gradient there: one trust-region search for all of them.
+
+    A waypoint is done when its gradient is shorter than ``rest`` and no direction bends down, never because steps got short. A step counts if the cost falls as the model says; where the change of
+    the cost is lost in rounding, if the gradient gets shorter. obstacles: [m, 2]; row: the waypoint that each belongs to, ascending. Waypoints without any stay.
+    """
+    p = start.astype(float).copy()
+    moving = np.bincount(row, minlength=len(p)) > 0
+    p[moving] += 1e-6  # off the ridge, should it start on one
+    cost, slope, bends = terms(p, start, obstacles, row, alpha, sigma)
+    radius = np.full(len(p), sigma)
+    busy = lambda k: (np.hypot(*slope[k].T) > rest) | (least_bend(bends[k]) < -1e-9)
+    live = np.flatnonzero(moving)
+    live = live[busy(live)]
+    for _ in range(rounds):
+        if not len(live):
+            break
+        at = np.full(len(p), -1)
+        at[live] = np.arange(len(live))
+        own = at[row] >= 0
+        step, fall = trusted_step(slope[live], bends[live], radius[live], np.hypot(*slope[live].T) <= rest)
+        there = p[live] + step
+        new_cost, new_slope, new_bends = terms(there, start[live], obstacles[own], at[row[own]], alpha, sigma)
+        change = cost[live] - new_cost
+        lost = np.abs(change) <= 1e-14 * (1 + np.abs(cost[live]))
+        shorter = np.hypot(*new_slope.T) < np.hypot(*slope[live].T)
+        good = np.where(lost, shorter, change > 0.1 * fall)
+        size = np.hypot(*step.T)
+        radius[live] = np.where(good & (lost | (change > 0.75 * fall)), np.maximum(radius[live], 2 * size), np.where(good & (change > 0.25 * fall), radius[live], size / 4))
+        k = live[good]
+        p[k], cost[k], slope[k], bends[k] = there[good], new_cost[good], new_slope[good], new_bends[good]
+        live = live[busy(live) & (radius[live] > 1e-15)]
+    return p, np.where(moving, np.hypot(*slope.T), 0.0)
 
 
 def refine_paths(points: DataFrame, occ: DataFrame, reach: float = 5.0, alpha: float = 5.0, sigma: float = 1.0, above: float = 0.1) -> DataFrame:
-    """token, t, x, y, cells, slope: paths moved off the occupied cells within reach of each waypoint; waypoints without any stay. cells: their number; slope: the
-    length of the cost's gradient where the waypoint came to rest.
+    """token, t, x, y, cells, slope: paths moved off the occupied cells within reach of each waypoint; waypoints without any stay, those with a null place too. cells:
+    their number; slope: the length of the cost's gradient where the waypoint came to rest, its certificate.
 
-    Each waypoint is held against the forecast of its step; the forecast's last step also stands for later ones.
+    Each waypoint is held against the forecast of its step; the forecast's last step also stands for later ones. A batch of waypoints is solved at once.
     """
     at = lambda c: F.lit(-50.0) + (F.col(c) + F.lit(0.5)) * F.lit(0.5)
     taken = forecast(occ, above).select("token", "t", at("c").alias("ox"), at("r").alias("oy"))
     near = points.join(taken, ["token", "t"]).where((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 < reach**2)
     around = near.groupBy("token", "t").agg(F.sort_array(F.collect_list(F.struct("oy", "ox"))).alias("o"))  # cells within reach of a point
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            moved, slopes, cells = [], [], []
-            for x, y, o in zip(b["x"], b["y"], b["o"], strict=True):
-                obstacles = np.zeros((0, 2)) if o is None else np.array([(c["ox"], c["oy"]) for c in o])
-                start = np.array([x, y])
-                end = pushed_away(start[None], [obstacles], alpha, sigma)[0]
-                moved.append(end)
-                cells.append(len(obstacles))
-                slopes.append(float(np.hypot(*gradient(end, start, obstacles, alpha, sigma))) if len(obstacles) else 0.0)
-            yield b[["token", "t"]].assign(x=[m[0] for m in moved], y=[m[1] for m in moved], cells=cells, slope=slopes)
-
-    return shipped(points).select("token", "t", "x", "y").join(around, ["token", "t"], "left").mapInPandas(run, "token long, t int, x double, y double, cells int, slope double")
+            start = np.stack([b[c].to_numpy(zero_copy_only=False).astype(float) for c in "xy"], 1)
+            sizes = pc.fill_null(pc.list_value_length(b["o"]), 0).to_numpy().astype(np.int64)
+            flat = b["o"].flatten()
+            obstacles = np.stack([flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("ox", "oy")], 1) if len(flat) else np.zeros((0, 2))
+            end, slopes = pushed_away(start, obstacles, np.repeat(np.arange(len(b)), sizes), alpha, sigma)
+            moved = [pa.array(v, mask=np.isnan(v)) for v in end.T]
+            yield pa.RecordBatch.from_arrays([b["token"], b["t"], *moved, pa.array(sizes.astype(np.int32)), pa.array(slopes)], ["token", "t", "x", "y", "cells", "slope"])
+
+    rows = shipped(points).select("token", "t", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(around, ["token", "t"], "left")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("token", "t")}
+    return rows.mapInArrow(run, f"token {kinds['token']}, t {kinds['t']}, x double, y double, cells int, slope double")

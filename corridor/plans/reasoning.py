@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridor.functions import keyed
-from corridor.operators import driving, reasoning, refine, spatial
+from corridor.operators import driving, experience, reasoning, refine, spatial
 from corridor.sources.fixtures import view, with_views
 
 _KINDS = ", m(place, kind) AS (VALUES " + ", ".join(f"({k}, '{m}')" for k, m in enumerate(reasoning.MARKERS)) + ")"
@@ -115,13 +115,13 @@ SELECT act.token, '*****Chain of Thoughts Reasoning:*****' || chr(10) || 'Though
     "planner_messages": ((lambda s, d: driving.planner_message(view(s, d, "planner"))), with_views("SELECT id, ego || perception || coalesce(experiences, '') || commonsense || reasoning AS message FROM planner", "planner")),
     "planner_messages_long": ((lambda s, d: driving.planner_message(view(s, d, "planner").withColumn("long_experiences", F.upper("experiences")), False, True)), with_views("SELECT id, ego || perception || coalesce(upper(experiences), '') || commonsense || coalesce(chain_of_thoughts, '') AS message FROM planner", "planner")),
     "common_sense": ((lambda s, d: s.range(1).select(F.lit(driving.common_sense()).alias("prompt"))), "SELECT chr(10) || '*****Traffic Rules:*****' || chr(10) || '- " + "' || chr(10) || '- ".join(driving.TRAFFIC_RULES) + "' || chr(10) AS prompt"),
-    "experience_topk": ((lambda s, d: driving.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).withColumn("confidence", F.round("confidence", 6))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
+    "experience_topk": ((lambda s, d: experience.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).withColumn("confidence", F.round("confidence", 6))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
   + 10 * list_sum(list_transform(generate_series(10, 12), lambda i: (q.e[i] - m.e[i]) ** 2)) + list_sum(list_transform(generate_series(13, 20), lambda i: (q.e[i] - m.e[i]) ** 2)))) END AS confidence FROM mem q, mem m WHERE q.ord % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, ord)::INT AS place FROM c) SELECT query, ord, round(confidence, 6) AS confidence, place FROM r WHERE place <= 3"""),
-    "experience_pick": ((lambda s, d: driving.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "ord"))).alias("c")).select("query", driving.picked((F.col("query") / 100 % 4).cast("int"), F.col("c.ord")).alias("picked"))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
+    "experience_pick": ((lambda s, d: experience.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "ord"))).alias("c")).select("query", driving.picked((F.col("query") / 100 % 4).cast("int"), F.col("c.ord")).alias("picked"))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
   + 10 * list_sum(list_transform(generate_series(10, 12), lambda i: (q.e[i] - m.e[i]) ** 2)) + list_sum(list_transform(generate_series(13, 20), lambda i: (q.e[i] - m.e[i]) ** 2)))) END AS confidence FROM mem q, mem m WHERE q.ord % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, ord) AS place FROM c) SELECT query, max(ord) FILTER (place - 1 = query // 100 % 4) AS picked FROM r WHERE place <= 3 GROUP BY query"""),
-    "experience_pick_compat": ((lambda s, d: driving.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "ord"))).alias("c")).select("query", driving.picked((F.col("query") / 100 % 4).cast("int"), F.col("c.ord"), compat=True).alias("picked"))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
+    "experience_pick_compat": ((lambda s, d: experience.nearest_experiences(_memory(s, d), _memory(s, d).where("ord % 100 = 0")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "ord"))).alias("c")).select("query", driving.picked((F.col("query") / 100 % 4).cast("int"), F.col("c.ord"), compat=True).alias("picked"))), "WITH" + _MEMORY[1:] + """, c AS (SELECT q.ord AS query, m.ord, CASE WHEN q.ord = m.ord THEN 0 ELSE exp(-(list_sum(list_transform(generate_series(1, 9), lambda i: (q.e[i] - m.e[i]) ** 2))
   + 10 * list_sum(list_transform(generate_series(10, 12), lambda i: (q.e[i] - m.e[i]) ** 2)) + list_sum(list_transform(generate_series(13, 20), lambda i: (q.e[i] - m.e[i]) ** 2)))) END AS confidence FROM mem q, mem m WHERE q.ord % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, ord) AS place FROM c) SELECT query, max(ord) FILTER (place - 1 = query // 100 % 4 AND place < 3) AS picked FROM r WHERE place <= 3 GROUP BY query"""),
 }

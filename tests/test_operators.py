@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corridor.functions import keyed, media, trajectory_text
-from corridor.operators import choices, conversations, driving, links, map_text, packing, planning, reasoning, refine, spatial, text_records, tools
+from corridor.operators import choices, conversations, driving, experience, links, map_text, packing, planning, reasoning, refine, spatial, text_records, tools
 from corridor.sources import files
 from corridor.streaming import generations
 
@@ -108,10 +109,49 @@ def test_matrix_is_symmetric(spark):
 
 def test_nearest_experience_excludes_itself(spark):
     own = spark.createDataFrame([(k, [float(k)] * 9, [0.0] * 3, [0.0] * 8) for k in range(6)], "ord long, k1 array<double>, k2 array<double>, k3 array<double>")
-    got = driving.nearest_experiences(own, own.where("ord = 2")).orderBy("place").collect()
+    got = experience.nearest_experiences(own, own.where("ord = 2")).orderBy("place").collect()
     assert [r.ord for r in got] == [1, 3, 0] and got[0].confidence == pytest.approx(math.exp(-9))
 
 
+def experiences(n, seed, clusters):
+    rng = np.random.default_rng(seed)
+    middle = rng.uniform(-3, 3, (clusters, 20))
+    return [(k, *(v.tolist() for v in np.split(middle[k % clusters] + rng.normal(scale=0.2, size=20), [9, 12]))) for k in range(n)]
+
+
+def plain_experiences(rows, queries, k=3):
+    keys = np.array([np.concatenate(r[1:]) for r in rows])
+    factor = np.r_[np.ones(9), np.full(3, 10.0), np.ones(8)]
+    for q in queries:
+        confidence = np.exp(-(factor * (keys - keys[q]) ** 2).sum(1))
+        confidence[q] = 0
+        for place, m in enumerate(np.argsort(-confidence, kind="stable")[:k], 1):
+            yield q, int(m), place, round(float(confidence[m]), 9)
+
+
+@pytest.mark.parametrize(("clusters", "part"), [(40, 0.5), (1, 1.01)])
+def test_experiences_in_blocks(spark, monkeypatch, clusters, part):
+    monkeypatch.setattr(experience, "BLOCK", 32)
+    rows = experiences(1500, 1, clusters)
+    for k in range(600, 700):
+        rows[k] = (k, *rows[7][1:])  # copies: ties, and a crowded block
+    rows[9] = (9, [90.0] * 9, [90.0] * 3, [90.0] * 8)  # so far off that every confidence is zero
+    own = spark.createDataFrame(rows, "ord long, k1 array<double>, k2 array<double>, k3 array<double>")
+    asked = [0, 7, 9, 600, 1234]
+    found, blocks = experience.searched(own, own.where(F.col("ord").isin(asked)))
+    assert sorted((r.query, r.ord, r.place, round(r.confidence, 9)) for r in found.collect()) == sorted(plain_experiences(rows, asked))
+    visits = {r.query: r.visited / r.blocks for r in blocks.collect()}
+    assert set(visits) == set(asked) and all(visits[q] < part for q in asked if q != 9)
+
+
+def test_experiences_of_odd_rows(spark):
+    rows = [(k, [0.0] * 9, [0.0] * 3, [0.0] * 8) for k in range(2)] + [(5, None, [0.0] * 3, [0.0] * 8), (6, [float("nan")] * 9, [0.0] * 3, [0.0] * 8), (None, [0.0] * 9, [0.0] * 3, [0.0] * 8), (7, [0.0], [], [])]
+    own = spark.createDataFrame(rows, "ord long, k1 array<double>, k2 array<double>, k3 array<double>").withColumns({"n": F.lit(1), "_p": F.lit("clash")})
+    got = [(r.query, r.ord, r.confidence, r.place) for r in experience.nearest_experiences(own, own).collect()]
+    assert {(0, 1, 1.0, 1), (0, 0, 0.0, 2), (1, 0, 1.0, 1), (1, 1, 0.0, 2)} <= set(got) and {q for q, *_ in got} <= {0, 1}
+    assert experience.nearest_experiences(own.limit(0), own).count() == 0 and experience.nearest_experiences(own, own.limit(0)).count() == 0
+
+
 def test_speed_words(spark):
     words = {(0.1, 0.2): "STOP", (3.0, 0.1): "A DECELERATION TO ZERO", (3.0, 3.2): "A CONSTANT SPEED", (9.0, 3.0): "A QUICK DECELERATION", (4.0, 3.0): "A DECELERATION", (1.0, 3.0): "A QUICK ACCELERATION", (2.0, 3.0): "AN ACCELERATION"}
     for (now, then), want in words.items():
@@ -195,9 +235,37 @@ def test_later_steps_meet_the_last_forecast(spark):
 
 
 def test_paths_leave_obstacles():
-    moved = packing.pushed_away(np.array([[0.2, 0.0], [5.0, 5.0]]), [np.array([[0.0, 0.0]]), np.zeros((0, 2))], 5.0, 1.0)
+    moved, slope = packing.pushed_away(np.array([[0.2, 0.0], [5.0, 5.0]]), np.array([[0.0, 0.0]]), np.array([0]), 5.0, 1.0)
     p = moved[0, 0]  # where 2 (p - 0.2) = c p exp(-p^2 / 2)
-    assert abs(2 * (p - 0.2) - 5 / 2.507 * p * math.exp(-p * p / 2)) < 1e-6 and p > 0.7 and moved[1].tolist() == [5.0, 5.0]
+    assert abs(2 * (p - 0.2) - 5 / 2.507 * p * math.exp(-p * p / 2)) < 1e-6 and p > 0.7 and moved[1].tolist() == [5.0, 5.0] and slope[1] == 0
+
+
+@pytest.mark.parametrize("alpha", [0.5, 5.0, 50.0])
+def test_every_waypoint_comes_to_rest(alpha):
+    """On a minimum: no gradient is left, no direction leads down; also between two cells, on one and in a crowd of them."""
+    rng = np.random.default_rng(int(alpha))
+    start = rng.uniform(-3, 3, (400, 2))
+    start[:3] = [[0, 0], [0.25, 0], [1.0, 1.0]]
+    sets = [np.array([[-0.25, 0.0], [0.25, 0.0]]), np.array([[0.25, 0.0]]), np.stack(np.meshgrid(np.arange(-4, 5) / 2, np.arange(-4, 5) / 2), -1).reshape(-1, 2)] + [np.round(rng.uniform(-3, 3, (rng.integers(0, 60), 2)) * 2) / 2 for _ in range(397)]
+    row = np.repeat(np.arange(400), [len(o) for o in sets])
+    end, slope = packing.pushed_away(start, np.concatenate(sets), row, alpha, 1.0)
+    assert slope.max() < 1e-7
+    cost = lambda p: packing.terms(p, start, np.concatenate(sets), row, alpha, 1.0)[0]
+    assert (cost(end) <= cost(start + 1e-6) + 1e-12).all()
+    for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1)):
+        for s in (1e-3, -1e-3):
+            assert (cost(end + [[s * dx, s * dy]]) >= cost(end) - 1e-12).all()
+    alone = [packing.pushed_away(start[k : k + 1], sets[k], np.zeros(len(sets[k]), int), alpha, 1.0)[0][0] for k in range(40)]
+    assert np.allclose(alone, end[:40], atol=1e-7)  # the batch makes no difference
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_every_given_waypoint_comes_to_rest(spark):
+    from corridor.sources.fixtures import view
+
+    d = "/root/testdata/sf0.01"
+    found = packing.refine_paths(view(spark, d, "pred"), view(spark, d, "occ"))
+    assert found.agg(F.max("slope")).first()[0] < 1e-6
 
 
 def test_media_parts(spark):
