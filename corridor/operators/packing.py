@@ -140,14 +140,16 @@ def least_bend(bends: np.ndarray) -> np.ndarray:
 
 
 def trusted_step(slope: np.ndarray, bends: np.ndarray, radius: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Newton's step on the second derivatives, made positive where they are not, cut to the radius; and by how much the quadratic model falls. Those of ``flat`` are on a saddle and go along it where it bends down."""
+    """Newton's step on the second derivatives, made positive where they are not, cut to the radius; and by how much the quadratic model falls. Those of ``flat`` are on or near a saddle and leave it where it bends down."""
     a, b, c = bends.T
     low = least_bend(bends)
     lift = np.maximum(0.5 - low, 0)
     det = (a + lift) * (c + lift) - b * b
     step = -np.stack([(c + lift) * slope[:, 0] - b * slope[:, 1], (a + lift) * slope[:, 1] - b * slope[:, 0]], 1) / det[:, None]
     angle = np.arctan2(2 * b, a - c) / 2 + np.pi / 2  # across the direction of the greatest one
-    step = np.where(flat[:, None], np.stack([np.cos(angle), np.sin(angle)], 1), step)
+    along = np.stack([np.cos(angle), np.sin(angle)], 1)
+    along *= np.where((along * slope).sum(1) > 0, -1, 1)[:, None]
+    step = np.where(flat[:, None], along, step)
     length = np.maximum(np.hypot(*step.T), 1e-300)
     step *= (np.where(flat, radius, np.minimum(length, radius)) / length)[:, None]
     x, y = step.T
@@ -174,7 +176,7 @@ def pushed_away(start: np.ndarray, obstacles: np.ndarray, row: np.ndarray, alpha
         at = np.full(len(p), -1)
         at[live] = np.arange(len(live))
         own = at[row] >= 0
-        step, fall = trusted_step(slope[live], bends[live], radius[live], np.hypot(*slope[live].T) <= rest)
+        step, fall = trusted_step(slope[live], bends[live], radius[live], (np.hypot(*slope[live].T) < 1e-6) & (least_bend(bends[live]) < -1e-9))
         there = p[live] + step
         new_cost, new_slope, new_bends = terms(there, start[live], obstacles[own], at[row[own]], alpha, sigma)
         change = cost[live] - new_cost
