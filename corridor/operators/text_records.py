@@ -58,9 +58,24 @@ def boxes_3d(rows: DataFrame, text: str, *key: str) -> DataFrame:
 
 
 def matched_times(results: DataFrame, contents: DataFrame, *key: str) -> DataFrame:
-    """Each content with the last result whose time it mentions (results of the same key)."""
-    found = contents.join(results, [*key]).where(F.contains(F.col("content"), F.col("time").cast("string")))
-    return found.groupBy(*key, "content").agg(F.max_by("result", "place").alias("result"))
+    """key, content, result: each content (repeats count once) with the last result, by place, whose time it mentions (results of the same key); contents that mention none have no row.
+
+    Of each key and time only the last result is kept. Contents are cut once into all their pieces of the lengths that times have, and pieces meet times by equality: the
+    work grows with the length of the contents, not with how many results a key has, and a key with many rows is dealt out over its pieces. Null times, places and contents
+    match nothing; of results of one place the greatest counts.
+    """
+    time = F.col("time").cast("string")
+    last = results.withColumn("_piece", time).where("_piece IS NOT NULL AND place IS NOT NULL").groupBy(*key, "_piece").agg(F.max(F.struct("place", "result")).alias("_last"))
+    lengths = sorted(r[0] for r in last.select(F.length("_piece").alias("n")).distinct().collect())  # as many as times have different lengths
+    own = contents.select(*key, "content").where("content IS NOT NULL").distinct()
+
+    def pieces(n: int) -> Column:
+        starts = F.when(F.length("content") >= n, F.sequence(F.lit(1), F.length("content") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.substring("content", k, F.lit(n)))
+
+    cut = own.withColumn("_piece", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[pieces(n) for n in lengths]))))
+    found = cut.join(last, [*key, "_piece"]).groupBy(*key, "content").agg(F.max("_last").alias("_last"))
+    return found.select(*key, "content", F.col("_last.result").alias("result"))
 
 
 def per_embodiment(rows: DataFrame, column: str) -> DataFrame:

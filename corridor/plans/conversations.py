@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corridor.functions import formats, media, trajectory_text
-from corridor.operators import choices, conversations, refine
+from corridor.functions import formats, images, media, trajectory_text
+from corridor.operators import choices, conversations, history, refine
 from corridor.sources.fixtures import view, with_views
 
 _WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
@@ -56,7 +56,37 @@ def _stdout(s, d):
     return view(s, d, "part").select("p_partkey", k.alias("k"), got.alias("got"), F.when(k == 7, "3 4\n\nx").otherwise("3 4").alias("want"))
 
 
+#: Tokens (words here) that a conversation's history may have.
+_BUDGET = 60
+
+
+def _history(s, d):
+    turns = view(s, d, "conversations").select("conv_id", "turn", "role", F.size(F.split("text", " ")).alias("tokens"))
+    return history.within_budget(turns, _BUDGET)
+
+
+def _images(s, d):
+    """Data URIs of image files that are broken off behind their headers; every sixth before its size."""
+    hexed = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    big = lambda x, n=2: hexed(x, n)
+    small = lambda x, n=2: F.concat(*[F.substring(hexed(x, n), 2 * k - 1, 2) for k in range(n, 0, -1)])
+    h, w, text = F.col("height").cast("long"), F.col("width").cast("long"), lambda t: F.lit(t.encode().hex())
+    riff = lambda kind, body: F.concat(text("RIFF"), F.lit("00000000"), text("WEBP" + kind), F.lit("00000000"), body)
+    png = F.concat(F.lit("89504e470d0a1a0a0000000d"), text("IHDR"), big(w, 4), big(h, 4), F.lit("0806000000"))
+    jpeg = F.concat(F.lit("ffd8ffe00010"), text("JFIF"), F.lit("00" * 10), F.lit("ffffdb0004aabb"), F.lit("ffc2001108"), big(h), big(w), F.lit("03"))
+    forms = [png, jpeg, F.concat(text("GIF89a"), small(w), small(h)), riff("VP8X", F.concat(F.lit("10000000"), small(w - 1, 3), small(h - 1, 3))), riff("VP8L", F.concat(F.lit("2f"), small((w - 1) + (h - 1) * 16384, 4))), F.substring(jpeg, 1, 40)]
+    kind = F.get(F.array(*[F.lit(k) for k in ("png", "jpeg", "gif", "webp", "webp", "jpeg")]), (F.col("id") % 6).cast("int"))
+    uri = F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(F.unhex(F.get(F.array(*forms), (F.col("id") % 6).cast("int")))))
+    rows = images.with_headers(view(s, d, "sizes").select("id", images.image_bytes(uri).alias("content")), "content")
+    return rows.select("id", "image.*").withColumn("z", media.smart_resize(F.col("height"), F.col("width"))).select("id", "format", "width", "height", "channels", F.col("z.height").alias("resized_height"), F.col("z.width").alias("resized_width"))
+
+
 QUERIES = {
+    "history_within_budget": (_history, f"""WITH c AS (SELECT conv_id, turn, role, len(string_split(text, ' '))::INT AS tokens FROM conversations), s AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC))::BIGINT AS upto FROM c),
+w AS (SELECT conv_id, min(turn) AS f, max(upto) AS a, min(turn) FILTER (role = 'user' AND upto <= {_BUDGET}) AS st FROM s GROUP BY conv_id)
+SELECT s.conv_id, s.turn, s.role, s.tokens, s.upto FROM s JOIN w ON w.conv_id = s.conv_id WHERE s.turn >= CASE WHEN a <= {_BUDGET} THEN f ELSE st END"""),
+    "image_headers": (_images, with_views(_RESIZE + """ SELECT id, CASE id % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'gif' WHEN 3 THEN 'webp' WHEN 4 THEN 'webp' END AS format, CASE WHEN id % 6 < 5 THEN s.width END AS width, CASE WHEN id % 6 < 5 THEN s.height END AS height,
+  CASE id % 6 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 3 END AS channels, CASE WHEN id % 6 < 5 THEN rh END AS resized_height, CASE WHEN id % 6 < 5 THEN rw END AS resized_width FROM sizes s JOIN rs USING (id)""", "sizes")),
     "mask_expansion": ((lambda s, d: conversations.expand_masks(_sample(s, d), "id", 8).select("id", "conversation_type", "index", *[f"keep_{b}" for b in _BLOCKS])), with_views(_MASKS + " SELECT id, conversation_type, index, " + ", ".join(f"keep_{b}" for b in _BLOCKS) + " FROM mk", "planner")),
     "masked_conversations": ((lambda s, d: conversations.masked_conversation(conversations.expand_masks(_sample(s, d), "id", 8)).select("id", "conversation_type", "index", "user", "assistant")), with_views(_MASKS + f" SELECT id, conversation_type, index, '<image>' || chr(10) || {_HEAD} || CASE WHEN conversation_type = 'posterior' THEN planning_target ELSE '' END AS user, " + " || ".join(f"CASE WHEN keep_{b} THEN {_TEXTS[b]} ELSE '' END" for b in _BLOCKS) + " || CASE WHEN conversation_type = 'posterior' THEN '' ELSE planning_target END AS assistant FROM mk", "planner")),
     "vqa_coin": ((lambda s, d: conversations.one_kind(_sample(s, d), "id", 4).select("id", "conversation_type", "index", *[f"keep_{b}" for b in _VQA])), with_views(_COINS + " SELECT id, conversation_type, index, " + ", ".join(f"keep_{b}" for b in _VQA) + " FROM cn", "planner")),

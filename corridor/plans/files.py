@@ -73,11 +73,15 @@ def _split(s, d):
 
 
 def _cached(s, d):
-    """The second call reads what the first has counted."""
-    count = lambda rows: rows.groupBy("lang").agg(F.sum(F.size(F.split("text", " "))).alias("words"))
-    view(s, d, "documents").select("lang", "text").write.parquet(path := _place(s, "documents"))
-    files.counted(s, path, cache := _place(s, "counts"), count)
-    return files.counted(s, path, cache, lambda rows: count(rows.limit(0)))
+    """Counts of a folder that grows: the second call reads the new files alone, the third, after nothing has changed, none."""
+    from corridor.sources import manifest
+
+    own = view(s, d, "documents").select("doc_id", "lang", "text")
+    path, cache = _place(s, "documents"), _place(s, "counts")
+    for part in (F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 != 0, F.lit(False)):
+        own.where(part).drop("doc_id").write.mode("append").parquet(path)
+        out = manifest.file_sums(s, path, own.drop("doc_id").schema, cache, ["lang"], {"words": F.size(F.split("text", " ")).cast("long")})
+    return out
 
 
 def _pickles(s, d):
@@ -97,6 +101,34 @@ def _whole(fn):
     return lambda batches: fn([b] if len(b := pd.concat(list(batches) or [pd.DataFrame({"token": [], "t": [], "x": [], "y": []})])) else [])
 
 
+def _calls(s, d):
+    """Three rounds of calls with a model that fails by the hash of request and attempt; the clock stands still."""
+    from corridor.operators import calls
+
+    def model(b):
+        import hashlib
+
+        fails = [int(hashlib.md5(f"{k}|{n}".encode()).hexdigest()[:8], 16) % 2 == 0 for k, n in zip(b["key"], b["attempt"], strict=True)]
+        return [None if f else f"{p or 'none'}:{n}" for f, p, n in zip(fails, b["prompt"], b["attempt"], strict=True)]
+
+    requests = view(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("prompt"))
+    path = _place(s, "calls")
+    for now in (0.0, 0.5, 1.0, 3.0, 100.0):  # attempts are due at 0, 1 and 3
+        calls.call_due(requests, path, model, now, slices=2, clock=lambda: 0.0)
+    found = calls.answers(requests, calls.ledger(s, path), F.concat(F.lit("no answer: "), F.coalesce("prompt", F.lit("none"))))
+    return found.select("key", "status", "answer")
+
+
+def _scores(s, d):
+    """A fixed function in a model's place."""
+    from corridor.operators import text_records
+
+    def model(b):
+        return pd.DataFrame({"doc_id": b["doc_id"], "score": [len((t or "").split(" ")) % 7 / 8 for t in b["text"]]})
+
+    return text_records.scored(view(s, d, "documents").select("doc_id", "text"), model, "doc_id long, score double")
+
+
 _ROWS = "SELECT conv_id, turn::INT AS turn, role, text FROM conversations"
 QUERIES = {
     "json_arrays": (_arrays, _ROWS),
@@ -107,6 +139,9 @@ QUERIES = {
     "result_files": (_result, "SELECT doc_id, lang, n_chars > 1000 AS hit, round(avg((n_chars > 1000)::INT) OVER (PARTITION BY lang), 6) AS accuracy FROM documents WHERE lang IS NOT NULL"),
     "point_lookup": (_point, "SELECT doc_id, n_chars FROM documents WHERE source = 'src3'"),
     "split_files": (_split, "SELECT role = 'user' AS valid, role, count(*) AS n FROM conversations GROUP BY ALL"),
+    "call_ledger": (_calls, with_views(""", r AS (SELECT doc_id, coalesce(lang, 'none') AS prompt, list_filter([1, 2, 3], lambda n: ('0x' || substr(md5(doc_id || '|' || n), 1, 8))::BIGINT % 2 <> 0) AS good FROM documents)
+SELECT doc_id::VARCHAR AS key, CASE WHEN len(good) > 0 THEN 'answered' ELSE 'given up' END AS status, CASE WHEN len(good) > 0 THEN prompt || ':' || good[1] ELSE 'no answer: ' || prompt END AS answer FROM r""").replace("WITH RECURSIVE ,", "WITH").replace("WITH RECURSIVE \n,", "WITH")),
+    "model_scores": (_scores, "SELECT doc_id, (len(string_split(coalesce(text, ''), ' ')) % 7) / 8.0::DOUBLE AS score FROM documents"),
     "cached_counts": (_cached, "SELECT lang, sum(len(string_split(text, ' ')))::BIGINT AS words FROM documents GROUP BY lang"),
     "pickled_paths": (_pickles, with_views("SELECT token::VARCHAR AS token, t, x, y FROM gt", "gt")),
 }
