@@ -18,13 +18,13 @@ FILE = ["path", "length", "changed"]
 MANY = 16
 
 
-AT = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.unix_millis("_metadata.file_modification_time").alias("changed")]
+AT = ["_metadata.file_path AS path", "_metadata.file_size AS length", "unix_millis(_metadata.file_modification_time) AS changed"]
 
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:
     """path, length, changed (milliseconds) of a folder's Parquet files, and name, by which they are read; their contents are not read here."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return found.select(*AT, F.col("path").alias("name"))
+    return found.selectExpr(*AT, "path AS name")
 
 
 def generations(spark: SparkSession, cache: str) -> list[str]:
@@ -55,7 +55,7 @@ def file_sums(spark: SparkSession, path: str, schema: T.StructType, cache: str,
     new = present.join(known, FILE, "left_anti")
     names = [r.name for r in new.select("name").collect()]  # of what has come since
     if names:
-        fresh = spark.read.schema(schema).parquet(*names).select(*keys, *[c.alias(n) for n, c in values.items()], *AT)
+        fresh = spark.read.schema(schema).parquet(*names).select(*keys, *[c.alias(n) for n, c in values.items()], *map(F.expr, AT))
         each = fresh.groupBy(*FILE, *keys).agg(*[F.sum(n).alias(n) for n in values]).groupBy(*FILE).agg(F.collect_list(F.struct(*keys, *values)).alias("sums"))  # a file's groups
         none = F.array().cast(counted["sums"].dataType)  # a file without rows is counted, too
         _written(new.select(*FILE).join(each, FILE, "left").select(*FILE, F.coalesce("sums", none).alias("sums")), cache)
