@@ -3,7 +3,7 @@
 Base spans are those of four fixed patterns with their checks. Generators of high recall then propose spans of other kinds: ``secret`` (long tokens),
 ``account`` (digit groups), ``phone_local`` (digits in a national form), ``email_written`` (addresses spelled out), ``iban`` and ``identity`` (3-2-4 digits).
 Their spans may overlap. Gradient-boosted trees score each by its format and its context. A kind's threshold is the least score from which on its precision
-reaches ``PRECISION`` on snippets of a second writer, whose phrases, prose and share of formats the trees have not seen. Of accepted spans that overlap each
+reaches ``PRECISION`` on snippets of a second writer, whose phrases, prose and share of formats the trees have not seen, weighed as if ``PRIOR`` of proposals were personal. Of accepted spans that overlap each
 other or a base span, base spans stay, then the higher score, then the earlier.
 
 Both writers are here (``TRAINING``, ``CALIBRATION``): templates with a fixed seed, no corpus text, no outside model. Both write hard negatives: lookalikes in plain
@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,6 +35,8 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "phone_local", "email_written", "iban", "identity")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 PRECISION, ROUNDS, DEPTH, RATE, BINS = 0.95, 60, 3, 0.3, 32
+#: The share of proposals that are taken to be personal when thresholds are set.
+PRIOR = 0.1
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -59,7 +63,7 @@ _CUES = {
 }
 
 
-_LETTERS, _PARTS = re.compile(r"[A-Za-z]+"), re.compile(r"[A-Za-z]+|[0-9]+")
+_LETTERS, _DIGITS, _PARTS, _HEX = (re.compile(x) for x in (r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]+|[0-9]+", r"[0-9a-fA-F]+"))
 #: A short name before a mark, as keys of services begin with.
 _PREFIX = re.compile(r"[A-Za-z]{2,5}[_-](?:[a-z]{4}_)?|[A-Z]{4}(?=[A-Z0-9]{16})")
 
@@ -101,19 +105,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
     """Format and context of a proposed span."""
     s, before, after = text[start:end], text[max(0, start - 32) : start].lower(), text[end : end + 16].lower()
-    n, digits = len(s), sum(c.isdigit() for c in s)
-    counts = np.unique(list(s), return_counts=True)[1] / n
+    n, counts = len(s), Counter(s)
+    digits = sum(counts[d] for d in "0123456789")
     cues = [any(c in before for c in own) for own in _CUES.values()]
     own = _CUES[kind]
-    alpha = re.sub(r"[^0-9]", "", s)
+    alpha = "".join(_DIGITS.findall(s))
     near = max((len(before) - (before.rfind(c) + len(c)) < 8 for c in own if c in before), default=False)
-    switches = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
+    words, parts = _LETTERS.findall(s), _PARTS.findall(s)
+    entropy = math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n
+    switches = 2 * len(_DIGITS.findall(s)) - s[0].isdigit() - s[-1].isdigit()
     return [
-        *(float(kind == k) for k in ADDED), n, digits / n, float(-(counts * np.log2(counts)).sum()), len(counts) / n, switches / n,
-        sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s), float(bool(re.fullmatch(r"[0-9a-fA-F]+", s))), float(bool(alpha) and luhn(alpha)),
+        *(float(kind == k) for k in ADDED), n, digits / n, entropy, len(counts) / n, switches / n,
+        sum(k for c, k in counts.items() if c.isupper()) / n, sum(k for c, k in counts.items() if not c.isalnum()), float(bool(_HEX.fullmatch(s))), float(bool(alpha) and luhn(alpha)),
         *map(float, cues), float(near), float(any(c in after for c in own)), float(before[-1:] in "\"'"), float(before.rstrip(" \"'")[-1:] in ":="), float(before[-1:] in "#$€£"),
         float(any(x in before for x in ("version", "order", "isbn", "page", "sha", "commit", "id ", "part", "total", "http", "doi"))), float(s.islower()), float("-" in s), float("_" in s or "/" in s),
-        sum(c in "aeiouAEIOU" for c in s) / max(1, sum(c.isalpha() for c in s)), max(map(len, _LETTERS.findall(s)), default=0), len(_PARTS.findall(s)) / n, float(bool(_PREFIX.match(s))), len((_LETTERS.findall(s) or [""])[-1]),
+        sum(counts[c] for c in "aeiouAEIOU") / max(1, sum(map(len, words))), max(map(len, words), default=0), len(parts) / n, float(bool(_PREFIX.match(s))), len(words[-1]) if words else 0,
     ]
 
 
@@ -134,11 +140,11 @@ CALIBRATION = {
 
 def snippets(seed: int, each: int, style: dict[str, tuple[str, ...]]) -> list[tuple[str, str, int, int, int]]:
     """(kind, text, start, end, label): spans in invented sentences, personal and not, with the phrases of a style."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *xs: xs[rng.integers(len(xs))]
-    some = lambda a, b: int(rng.integers(a, b))
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(of[k] for k in rng.integers(0, len(of), n))
+    rng = random.Random(seed)
+    pick = lambda *xs: xs[int(rng.random() * len(xs))]
+    some = lambda a, b: a + int(rng.random() * (b - a))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choices(of, k=n))
     hexa = lambda n: letters(n, "0123456789abcdef")
     mixed = lambda n: letters(n, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     syllable = lambda: pick(*"bcdfglmnprst") + pick("a", "e", "i", "o", "u", "ie", "ou") + pick("", "", "n", "r", "s", "tion")
@@ -222,18 +228,24 @@ def boost(x: np.ndarray, y: np.ndarray) -> list[tuple[list[tuple[int, float]], n
     return rounds
 
 
+def threshold(score: np.ndarray, good: np.ndarray) -> float:
+    """The least score from which on a proposal is personal with PRECISION, if PRIOR of all proposals are; infinite if no score is. A harmless snippet and a half more are reckoned than were seen above a score."""
+    order = np.argsort(-score, kind="stable")
+    hit, miss = np.cumsum(good[order]) / max(1, good.sum()), (np.cumsum(1 - good[order]) + 0.5) / max(1, len(good) - good.sum())
+    last = np.r_[np.diff(score[order]) != 0, True]  # equal scores are accepted together
+    precise = np.flatnonzero(last & (PRIOR * hit >= PRECISION * (PRIOR * hit + (1 - PRIOR) * miss)))
+    return float(score[order][precise[-1]]) if len(precise) else math.inf
+
+
 @lru_cache(maxsize=1)
 def trained() -> Trees:
     own, check = snippets(5, 600, TRAINING), snippets(6, 800, CALIBRATION)
     x, y = (np.array(v, float) for v in ([features(k, t, a, b) for k, t, a, b, _ in own], [label for *_, label in own]))
     trees = Trees(boost(x, y), {})
+    score, good = trees.score(np.array([features(*r[:4]) for r in check])), np.array([r[4] for r in check], float)
     for kind in ADDED:
-        rows = [(k, t, a, b, label) for k, t, a, b, label in check if k == kind]
-        score = trees.score(np.array([features(*r[:4]) for r in rows]))
-        good = np.array([r[4] for r in rows])
-        order = np.argsort(-score)
-        precise = np.flatnonzero(np.cumsum(good[order]) / np.arange(1, len(order) + 1) >= PRECISION)
-        trees.thresholds[kind] = float(score[order][precise[-1]]) if len(precise) else math.inf
+        rows = np.array([r[0] == kind for r in check])
+        trees.thresholds[kind] = threshold(score[rows], good[rows])
     return trees
 
 
@@ -241,33 +253,39 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     return [(kind, *m.span()) for kind, pattern in _GENERATORS.items() for m in pattern.finditer(text)]
 
 
-def spans(text: str, trees: Trees) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans and added spans, each by kind, then start."""
-    base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    some = proposals(text)
-    added: list[tuple[str, int, int]] = []
-    if some:
-        score = trees.score(np.array([features(k, text, a, b) for k, a, b in some]))
-        accepted = sorted((-s, a, b, k) for (k, a, b), s in zip(some, score, strict=True) if s >= trees.thresholds[k])
+def spans(texts: list[str], trees: Trees) -> Iterator[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """Base spans and added spans of each text, each by kind, then start. All proposals are scored at once."""
+    place = {k: n for n, k in enumerate((*BASE, *ADDED))}
+    by = lambda x: (place[x[0]], x[1])
+    some = [proposals(t) for t in texts]
+    rows = [features(k, t, a, b) for t, own in zip(texts, some, strict=True) for k, a, b in own]
+    scores = iter(trees.score(np.array(rows)).tolist() if rows else [])
+    for text, own in zip(texts, some, strict=True):
+        base = base_spans(text)
+        added: list[tuple[str, int, int]] = []
+        accepted = sorted((-s, a, b, k) for (k, a, b), s in zip(own, [next(scores) for _ in own], strict=True) if s >= trees.thresholds[k])
         busy = bytearray(len(text)) if accepted else bytearray()
-        for a, b in taken if accepted else []:
+        for _, a, b in base if accepted else []:
             busy[a:b] = b"\1" * (b - a)
         for _, a, b, k in accepted:
             if not any(busy[a:b]):
                 busy[a:b] = b"\1" * (b - a)
                 added.append((k, a, b))
-    place = {k: n for n, k in enumerate((*BASE, *ADDED))}
-    by = lambda x: (place[x[0]], x[1])
-    return sorted(base, key=by), sorted(added, key=by)
+        yield sorted(base, key=by), sorted(added, key=by)
+
+
+#: Texts whose proposals are scored together.
+SCORED = 256
 
 
 def _each(column: pa.Array, trees: Trees) -> Iterator[tuple[str, list, list]]:
     """Text and spans of every row; texts in which a linear scan of the whole batch sees nothing to find are not read again."""
-    may = pc.fill_null(pc.match_substring_regex(column, _ANY), False)
-    for text, some in zip(column, may.to_pylist(), strict=True):
-        text = text.as_py() or ""
-        yield (text, *spans(text, trees)) if some else (text, [], [])
+    may = pc.fill_null(pc.match_substring_regex(column, _ANY), False).to_pylist()
+    for lo in range(0, len(column), SCORED):
+        texts, read = [t.as_py() or "" for t in column[lo : lo + SCORED]], may[lo : lo + SCORED]
+        found = spans([t for t, some in zip(texts, read, strict=True) if some], trees)
+        for text, some in zip(texts, read, strict=True):
+            yield (text, *next(found)) if some else (text, [], [])
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -206,7 +208,7 @@ def test_written_addresses_over_line_ends(spark):
     texts = ["mail harold at acmecorp dot com now", "mail harold at\nacmecorp dot com now", "mail harold at acmecorp\ndot com now"]
     assert [pii.proposals(t)[0][0] for t in texts] == ["email_written"] * 3
     found = [r.spans for r in pii.personal_data(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert found == [pii.joined(pii.spans(t, pii.trained())[1]) for t in texts] and found[1]
+    assert found == [pii.joined(added) for _, added in pii.spans(texts, pii.trained())] and found[1]
 
 
 def test_added_spans_are_precise():
@@ -220,6 +222,27 @@ def test_added_spans_are_precise():
     assert all((k, a, b) in pii.proposals(t) for k, t, a, b, label in rows if label)
 
 
+def test_thresholds_hold_under_the_prior():
+    """As many personal snippets as harmless ones are no corpus: weighed by the prior, what is accepted is still precise."""
+    score, good = np.array([0.9, 0.8, 0.7, 0.6, 0.5, 0.4]), np.array([1, 1, 1, 0, 1, 0])
+    assert pii.threshold(score, good) == np.inf == pii.threshold(np.r_[np.full(500, 0.9), np.zeros(300)], np.r_[np.ones(400), np.zeros(400)])  # equal scores stand together; half a harmless snippet of two is too many at one in ten
+    score, good = np.r_[np.linspace(1, 0.6, 400), np.linspace(0.61, 0, 400)], np.r_[np.ones(400), np.zeros(400)]
+    least = pii.threshold(score, good)
+    hit, miss = (score[good == 1] >= least).mean(), ((score[good == 0] >= least).sum() + 0.5) / 400
+    assert 0.6 <= least < 0.7 and pii.PRIOR * hit / (pii.PRIOR * hit + (1 - pii.PRIOR) * miss) >= pii.PRECISION
+    trees, rows = pii.trained(), pii.snippets(98, 300, pii.CALIBRATION)
+    score = trees.score(np.array([pii.features(*r[:4]) for r in rows]))
+    hit, good = np.array([s >= trees.thresholds[r[0]] for s, r in zip(score, rows, strict=True)]), np.array([r[4] == 1 for r in rows])
+    assert pii.PRIOR * hit[good].mean() / (pii.PRIOR * hit[good].mean() + (1 - pii.PRIOR) * hit[~good].mean()) > 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_added_spans_of_the_given_documents(spark):
+    rows = pii.personal_data(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("spans").collect()
+    kinds = Counter(x.split(":")[0] for r in rows for x in r.spans.split(",") if x)
+    assert {k: n for k, n in kinds.items() if k in pii.ADDED} == {"secret": 13} and set(pii.BASE) <= set(kinds)
+
+
 PIECES = st.sampled_from(["peter", " at ", "\nat\n", "(at)", "[dot]", " dot ", "\ndot\n", "dot", "com", " ", "\n", "x" * 25, "a1b2c3d4e5" * 3, 'token = "', '"', "1", "DE12", " 1234", "é", "-", "@", "."])
 
 
@@ -230,7 +253,7 @@ def test_no_text_is_passed_over(text):
 
     trees = pii.trained()
     (got,) = pii._each(pa.array([text]), trees)
-    assert got[1:] == pii.spans(text, trees)
+    assert got[1:] == next(pii.spans([text], trees))
 
 
 def words(rng, letters, n):
