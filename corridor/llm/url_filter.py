@@ -1,6 +1,7 @@
 """URL rules by a cascade of Bloom filters, in DataFrame operations alone.
 
-Keys are a host or one of its parent domains followed by a prefix of the path, in the lengths that rules have. The first level holds the listed keys;
+Keys are a host's last labels followed by a prefix of the path, in the numbers of labels and lengths of path that rules have; so a url has as many keys as rules have
+such shapes at most, however many labels its host has. The first level holds the listed keys;
 a scan of the corpus finds every other key that it takes for listed, and the second level holds those; then the listed keys that the second level takes
 for them, and so on with alternating sides until a level errs on nothing. So for each key of the corpus the level that first says no tells on which side
 it is, without error and without a join. The first level's bits are set so that its errors are about as many as the listed keys: all levels together are
@@ -35,12 +36,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), UPPER, LOWER), part(2)
 
 
-def keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a url: parent domains by path prefixes."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
-    return F.flatten(F.transform(domains, lambda d: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat(d, p))))
+def labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The keys of a url that a rule could have: for each shape (labels of the domain, length of the path) the host's last labels and the path's beginning, if there are as many."""
+    has = [F.when((labels(host) >= d) & (F.length(path) >= n), F.concat(F.substring_index(host, ".", -d), F.substring(path, 1, n))) for d, n in shapes]
+    return F.filter(F.array(*has), lambda k: k.isNotNull())
 
 
 def numbers(spark: SparkSession, words: list[int]) -> Column:
@@ -118,11 +121,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: s
         rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules]))) if rules else empty
     rules = written(rules.select("verdict", F.col("rule").alias("key"), (F.length("rule") - F.length(F.split_part("rule", F.lit("/"), F.lit(1)))).alias("n")).where("key IS NOT NULL"), "rules")
     verdicts = {r.verdict: r.parts for r in rules.groupBy("verdict").agg(F.ceil(F.countDistinct("key") / F.lit(MOST)).alias("parts")).collect()}  # a row a verdict
-    lengths = sorted(r.n for r in rules.select("n").distinct().collect())  # as many as rules have lengths of path
+    shapes = sorted((r.d, r.n) for r in rules.select(labels(F.split_part("key", F.lit("/"), F.lit(1))).alias("d"), "n").distinct().collect())  # as many as rules have
     host, path = host_and_path(F.col("url"))
     urls = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    asked = keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
-    universe = written(urls.select("host", "path").distinct().select(F.explode(asked).alias("key")).distinct(), "keys") if lengths else None
+    asked = keys(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<string>")
+    universe = written(urls.select("host", "path").distinct().select(F.explode(asked).alias("key")).distinct(), "keys") if shapes else None
     parts = max(verdicts.values(), default=0)
     part = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
     best = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")

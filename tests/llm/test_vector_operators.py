@@ -174,3 +174,16 @@ def test_cascade_is_exact(spark):
     wrong = universe.where(own.lists(F.col("key")) != (F.pmod(F.xxhash64("key"), F.lit(11)) == 0))
     assert wrong.count() == 0
     assert url_filter.cascade(listed.limit(0), universe).levels == []
+
+
+def test_hosts_of_many_labels_have_few_keys(spark):
+    """As many keys as rules have shapes, whatever the host: no parent domains that no rule could name."""
+    hosts = ["a.b.c", "c", "", "x." * 100_000 + "b.c", "." * 50, "b.c"]
+    rows = spark.createDataFrame([(k, f"http://{h}/en/1") for k, h in enumerate(hosts)], "page_id long, url string")
+    rules = [("block", "b.c/en/"), ("allow", "c/"), ("block", "z.b.c/en/1")]
+    host, path = url_filter.host_and_path(F.col("url"))
+    own = rows.select("page_id", url_filter.keys(host, path, [(1, 1), (2, 4), (3, 5)]).alias("k")).collect()
+    assert {r.page_id: list(r.k) for r in own} == {
+        0: ["c/", "b.c/en/", "a.b.c/en/1"], 1: ["c/"], 2: ["/"], 3: ["c/", "b.c/en/", "x.b.c/en/1"], 4: ["/", "./en/", "../en/1"], 5: ["c/", "b.c/en/"],
+    }
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(rows, rules, "none").collect()} == {0: ("b.c/en/", "block"), 1: ("c/", "allow"), 2: (None, "none"), 3: ("b.c/en/", "block"), 4: (None, "none"), 5: ("b.c/en/", "block")}
