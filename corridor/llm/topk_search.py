@@ -4,7 +4,7 @@ A vector is cut into equal segments, coarse to fine. With the segments' means an
 segments of length * ((difference of means)^2 + (difference of deviations)^2), so their inner product, (|q|^2 + |c|^2 - distance^2) / 2, is at most a bound
 that costs two numbers a segment. A pair whose bound at some resolution is below the query's k-th best score so far is out; survivors get exact scores.
 
-There are two passes. The first scores every query against a sample of at most ``SAMPLE`` candidates, those of least hash; the k-th best of them is a score that the
+There are two passes, whatever the size of the table. The first scores every query against a sample of candidates, those of least hash; the k-th best of them is a score that the
 k-th best of all can't be below: the query's bar. The second goes through all candidates with those bars, which rise as better ones are found; so pruning begins with
 the first candidate. The sample speeds the search up, it decides nothing: every candidate is either scored or proved to be worse than k others.
 
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from corridor.llm.common import drop_written, mark, ship, written
 
-QUERIES, CANDIDATES, TILE, SAMPLE = 4096, 16384, 2048, 4096
+#: The sample is one in SHARE of the candidates, SAMPLE at most.
+QUERIES, CANDIDATES, TILE, SAMPLE, SHARE = 4096, 16384, 512, 4096, 8
 SEGMENTS, WORTH, REST = (4, 8, 16, 32), 0.05, 7
 FOUND = "query_id long, query_key long, vec_id long, score long"
 
@@ -142,13 +143,10 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: int = 64)
     asked = written(own.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query_key", F.xxhash64("v")), "queries")
     n = own.count()
     blocks_q, blocks_c = max(1, math.ceil(asked.count() / QUERIES)), max(1, math.ceil(n / CANDIDATES))
-    if n > SAMPLE:
-        sampled = written(own.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE), "sample")
-        first = cells(asked.withColumn("bar", F.lit(None).cast("double")), sampled, blocks_q, 1, k)
-        bars = first.groupBy("query_id", "query_key").agg(F.min("score").cast("double").alias("bar"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
-        asked = written(asked.join(bars.withColumnRenamed("query_id", "vec_id"), ["vec_id", "query_key"], "left"), "queries")
-    else:
-        asked = asked.withColumn("bar", F.lit(None).cast("double"))
+    sampled = written(own.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(max(k + 1, min(SAMPLE, n // SHARE))), "sample")
+    first = cells(asked.withColumn("bar", F.lit(None).cast("double")), sampled, blocks_q, 1, k)
+    bars = first.groupBy("query_id", "query_key").agg(F.min("score").cast("double").alias("bar"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    asked = written(asked.join(bars.withColumnRenamed("query_id", "vec_id"), ["vec_id", "query_key"], "left"), "queries")
     found = written(cells(asked, own, blocks_q, blocks_c, k), "found")
     drop_written(spark, since, found)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")

@@ -1,8 +1,10 @@
 """Operators on vectors and urls against brute force; and odd input."""
 
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corridor.llm import components, order_minhash, quantised_dedup, topk_search, url_filter
@@ -45,6 +47,23 @@ def test_top_k(spark):
     assert topk_search.top_k(frame(spark, x).limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_bounds_spare_scores_on_the_given_vectors(spark):
+    """With bars from a sample, the levels discard pairs before any exact score, and what is left holds the best."""
+    own = topk_search.integers(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 64).orderBy("vec_id").toPandas()
+    ids, x = own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(np.int64)
+    asked = ids % 20 == 0
+    scores = x[asked] @ x.T
+    bars = np.sort(scores[:, :: topk_search.SHARE], 1)[:, -21].astype(float)
+    seen = {}
+    rows, pos, _ = topk_search.best(x[asked], ids[asked], bars, x, ids, 20, seen)
+    before, after = seen[32]
+    assert before == scores.size and after < 0.85 * before
+    scores[ids[asked][:, None] == ids] = scores.min() - 1
+    for q in range(asked.sum()):
+        assert pos[rows == q].tolist() == np.lexsort((ids, -scores[q]))[:20].tolist()
+
+
 def test_top_k_of_few_and_repeated_rows(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1)], SCHEMA)
     assert [(r["rank"], r.vec_id) for r in topk_search.top_k(rows, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1), (2, 1), (3, 2)]
