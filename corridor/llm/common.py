@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corridor.sources.files import shared_folder
@@ -53,11 +54,13 @@ def even_join(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "i
     """rows joined (inner, left or left_semi) with others, which have few rows a key; no task gets all rows of a hot key.
 
     A hot key's rows are dealt out by a hash of the columns ``spread`` (all but the keys, if not named), and the others' rows of that key are copied to each of these
-    parts. Only the hot keys, fewer than HOT, are broadcast. sizes: keys and ``rows`` a key, if known. Keys must not be null.
+    parts. Only the hot keys, fewer than HOT, are broadcast. sizes: keys and ``rows`` a key, if known: then ``rows`` are read by the join alone. Keys must not be null.
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows")) if sizes is None else sizes.select(*keys, "rows")
-    unit = F.greatest(F.lit(UNIT), F.floor(F.lit(rows.count()) / F.lit(HOT)))
-    hot = F.broadcast(written(sizes.where(F.col("rows") > unit).select(*keys, F.ceil(F.col("rows") / unit).alias("_parts")).coalesce(1), "hot"))
+    seen = Observation()
+    large = written(sizes.observe(seen, F.sum("rows").alias("rows")).where(F.col("rows") > UNIT), "large")  # the total and the large keys in one job
+    unit = F.greatest(F.lit(UNIT), F.floor(F.lit(seen.get["rows"] or 0) / F.lit(HOT)))
+    hot = F.broadcast(large.where(F.col("rows") > unit).select(*keys, F.ceil(F.col("rows") / unit).alias("_parts")))
     spread = [c for c in rows.columns if c not in keys] if spread is None else spread
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     left = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts) if spread else F.lit(0).cast("long")).drop("_parts")
@@ -78,13 +81,29 @@ def uncollected():
             gc.enable()
 
 
+def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function; when a task is through with it, its worker, which goes on to others, gives back what it no longer needs: garbage (frozen objects included), Arrow's pool and the allocator's free pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.unfreeze()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package on the workers' path, in batches of at most BATCH rows: texts may be long, and a batch is held by Spark and by Python."""
     ship(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH:
         conf.set(name, str(BATCH))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(tidied(fn), schema)
 
 
 def ship(spark: SparkSession) -> None:

@@ -4,8 +4,8 @@ Features are the counts of hashed 1- to 3-grams of lower-case characters (digits
 frequency and scaled to unit length. Document frequencies cover every learnable text. The weights are trained by follow-the-regularised-leader with an
 elastic-net penalty, which leaves most of them at zero: a model keeps the buckets that any language has a weight for. They are trained on a sample bounded by
 ``SLOTS`` documents a language and ``SAMPLE`` in all: the one of least hash in each slot that ids hash into, once however often it is repeated. A part of the
-sample is left for calibration: one temperature that fits the probabilities to it. More than ``MOST`` language values are refused; so a model has at most
-MOST * 2^BITS weights, and travels as a broadcast of that bound.
+sample is left for calibration: one temperature that fits the probabilities to it. The sample is of the ``MOST`` commonest language values (ties by name), which are those
+that can be predicted; so a model has at most MOST * 2^BITS weights, and travels as a broadcast of that bound.
 
 A text that is null, empty or has no letter is ``und`` with score 0. Learnable are rows with an id, a text, a language and a fold other than the held-out one;
 without any, every text is ``und``. An empty table gives none. Rows are independent; repeated and null ids keep a row each. Whole texts are read, in blocks of
@@ -145,9 +145,9 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     for k, n in df.items():
         idf[k] = np.log((1 + total) / (1 + n)) + 1
 
-    if (kinds := rows.select("lang").distinct().limit(MOST + 1).count()) > MOST:
-        raise ValueError(f"more than {MOST} language values")
-    slots = min(SLOTS, SAMPLE // max(kinds, 1))
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST).select("lang").collect()
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(common, "lang string")), "lang", "left_semi")  # MOST values at most
+    slots = min(SLOTS, SAMPLE // max(len(common), 1))
     hashed = F.xxhash64("doc_id")
     slot, version = F.pmod(hashed, F.lit(slots)), F.xxhash64("text")
     picks = rows.groupBy("lang", slot.alias("slot")).agg(F.min(F.struct(hashed.alias("h"), F.col("doc_id"), version.alias("version"))).alias("p"))
@@ -156,9 +156,12 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grams(t.as_py()) for t in batch.column(2)]
-            at = [np.flatnonzero(c).astype(np.int32) for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([c[k].astype(np.int32) for c, k in zip(found, at, strict=True)], pa.list_(pa.int32()))], ["lang", "slot", "at", "counts"])
+            at, counts = [], []
+            for text in batch.column(2):
+                own = grams(text.as_py())  # one text's buckets at a time
+                at.append(np.flatnonzero(own).astype(np.int32))
+                counts.append(own[at[-1]].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "slot", "at", "counts"])
 
     own = map_arrow(sample, features, "lang string, slot long, at array<int>, counts array<int>").orderBy("lang", "slot").collect()
     languages = sorted({r.lang for r in own})

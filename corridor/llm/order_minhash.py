@@ -346,13 +346,16 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The kept rows of docs, with all columns; of repeated rows one."""
     own = classes(docs, threshold).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
     own = written(own.where("NOT _kept OR _n > 1"), "copies")
-    rows = docs.withColumn("_hash", F.xxhash64(docs["text"].cast("string")))
+    name = "_hash"
+    while name.lower() in (c.lower() for c in docs.columns):  # the caller's columns keep their names and values
+        name += "_"
+    rows = docs.withColumn(name, F.xxhash64(docs["text"].cast("string")))
 
     def joined(keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(keys, (F.col("_hash") == F.col("_text")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_id")), how)
+        return rows.join(keys, (rows[name] == keys["_text"]) & rows["doc_id"].cast("long").eqNullSafe(keys["_id"]), how)
 
     out = joined(small(own.select("_id", "_text")), "left_anti")
     repeated = written(own.where("_kept").select("_id", "_text"), "repeated")
     if not repeated.isEmpty():
-        out = out.union(joined(small(repeated), "left_semi").dropDuplicates(["doc_id", "_hash"]))
-    return out.drop("_hash")
+        out = out.union(joined(small(repeated), "left_semi").dropDuplicates(["doc_id", name]))
+    return out.drop(name)

@@ -505,3 +505,54 @@ def test_alike_in_shingles_is_alike_in_words(a, changes):
     both = len(np.intersect1d(x, y))
     if both / (len(x) + len(y) - both) >= 0.8:
         assert order_minhash.similarity(u, v, 0.8) >= 0.8
+
+
+def test_clashing_names_stay_in_deduplicated_rows(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, "h1", 10, "t1"), (2, text + " more", "h2", 20, "t2"), (3, "other words here", "h3", 30, "t3"), (3, "other words here", "h3", 30, "t3"), (4, None, "h4", 40, "t4")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _hash string, _id int, _text string")
+    got = order_minhash.deduplicated(frame)
+    assert got.columns == frame.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2], rows[4]]
+
+
+def test_languages_beyond_the_commonest_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST", 2)
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(k, make(letters), lang) for k, (letters, lang) in enumerate([("abcde", "x"), ("fghij", "y")] * 60 + [("klmno", "z")] * 20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["x", "y"] and model.predict(make("abcde"))[0] == "x" and model.predict(make("klmno"))[0] in ("x", "y")
+
+
+def test_workers_give_back_what_they_froze():
+    import gc
+
+    from corridor.llm.common import tidied, uncollected
+
+    def fn(batches):
+        for b in batches:
+            with uncollected():
+                yield b
+
+    assert list(tidied(fn)(iter([1, 2]))) == [1, 2]
+    assert gc.get_freeze_count() == 0 and gc.isenabled()
+
+
+def test_rows_are_counted_once_for_even_joins(spark):
+    """Hot keys are dealt out, others not; the rows are read for the sizes and for the join, not a third time."""
+    from corridor.llm.common import UNIT, even_join
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    n = 4 * UNIT
+    rows = spark.range(n).select(F.when(F.col("id") % 4 < 3, 0).otherwise(F.col("id")).alias("k"), "id").mapInArrow(count, "k long, id long")
+    others = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = even_join(rows, others, ["k"])
+    assert got.agg(F.count("*"), F.sum("v")).first()[:] == (n, sum(2 * k for k in range(n) if k % 4 == 3))
+    assert read.value == 2 * n
