@@ -75,16 +75,51 @@ def test_chunk_maps_compose(text, size):
     own = token_counts.counter(WORD)
     text = own.normalized(text)
     want = own.read(text)
-    maps = [own.state_map(text[k : k + size]) for k in range(0, len(text), size)] or [own.state_map("")]
-    assert own.applied(own.scan(maps)) == want
+    maps = [own.state_map(text, k, min(k + size, len(text))) for k in range(0, len(text), size)] or [own.state_map("", 0, 0)]
+    assert own.applied(own.scan(maps, text), text) == want
     one = maps[0]
     for m in maps[1:]:
-        one = own.compose(one, m)
-    assert own.applied(one) == want
+        one = own.compose(one, m, text)
+    assert own.applied(one, text) == want
     state, n = own.run(own.outside, text)
     assert n + own.closed(state) == want
 
 
+def stretches(n):
+    rng = random.Random(n)
+    return {
+        "letters": "".join(rng.choices("etaoinshrdlu", k=n)), "one letter": "a" * n, "marks": "".join(rng.choices("=-_.+", k=n)), "one mark": "-" * n, "chinese": "".join(rng.choices("的一是不了人我在有他这中大来上", k=n)),
+        "code": "".join(rng.choices("abcxyz019(){};='.", k=n)), "apostrophes": "".join(rng.choices("s't'relv'", k=n)), "hex": "".join(rng.choices("0123456789abcdef", k=n)),
+    }
+
+
+@pytest.mark.parametrize("name", list(stretches(1)))
+def test_maps_foresee_entry_states(name, monkeypatch):
+    """Texts without white space: maps hold states alone, each state that a chunk is entered in is in its map, and what they add up to is what one reading gives."""
+    text, own = stretches(20_000)[name], token_counts.counter(WORD)
+    state, total = own.outside, 0
+    for k in range(0, len(text), 1700):
+        one = own.state_map(text, k, min(k + 1700, len(text)))
+        assert all(isinstance(v, bpe.State) for _, v, _ in [s for s, _ in one.ways.values()])
+        state, n = one.ways[token_counts.key(state)]
+        total += n
+    assert total + own.closed(state) == own.count(text) == own.read(text)
+    assert own.count(text) == len(Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)
+
+
+def test_unforeseen_entry_states_are_read(monkeypatch):
+    own, text = token_counts.counter(WORD), stretches(9000)["letters"]
+    monkeypatch.setattr(token_counts, "CHUNK", 1000)
+    want = own.read(text)
+    monkeypatch.setattr(token_counts.Counter, "entries", lambda self, text, at: [])
+    assert own.count(text) == want
+
+
+def test_ten_million_characters_without_white_space():
+    own, text = token_counts.counter(WORD), stretches(10_000)["letters"] * 1000
+    assert own.count(text) == len(Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.one_of(st.text("abcdeinorst =-_.'", max_size=300), st.sampled_from("= -a_0#x").flatmap(lambda c: st.integers(1, 600).map(lambda n: c * n))))
 def test_pieces_leave_after_a_bounded_lookahead(text):
