@@ -42,6 +42,35 @@ def _last(s, d):
     return found.select("token", F.posexplode("p").alias("k", "w")).select("token", (F.col("k") + 1).alias("t"), "w.x", "w.y")
 
 
+def _written(s, d, forms):
+    """token, generated_text: each token's predicted path in one of some formats, by turns. forms: (before, of a point with x and y, between, after)."""
+    points = view(s, d, "pred").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("p"))  # a path has a fixed number of points
+
+    def told(before, point, between, after):
+        return F.concat(F.lit(before), F.array_join(F.transform("p", lambda q: point(q["x"].cast("string"), q["y"].cast("string"), q["t"])), between), F.lit(after))
+
+    return points.select("token", F.get(F.array(*[told(*f) for f in forms]), (F.col("token") % len(forms)).cast("int")).alias("generated_text"))
+
+
+def _read(rows, parse):
+    found = rows.select("token", parse(F.col("generated_text")).alias("p"))
+    return found.select("token", F.posexplode("p").alias("k", "w")).select("token", (F.col("k") + 1).alias("t"), F.col("w.x").alias("x"), F.col("w.y").alias("y"))
+
+
+_HEAD = "Thoughts: go.\nPlanned Trajectory:\n"
+#: Texts that the tolerant parser meets: a literal, quoted and spaced pairs (of brackets in brackets the first is seen), bare pairs within and out of bounds, torn numbers, one bare pair alone.
+_ROBUST = [
+    (_HEAD + "[", lambda x, y, t: F.concat(F.lit("("), x, F.lit(", "), y, F.lit(")")), ", ", "]"), (_HEAD, lambda x, y, t: F.concat(F.lit("['"), x, F.lit("' '"), y, F.lit("']")), ", ", "."),
+    (_HEAD, lambda x, y, t: F.concat(F.lit("[ "), x, F.lit(" "), y, F.lit(" ]")), ", ", "."), (_HEAD + "[", lambda x, y, t: F.concat(x, F.lit(" "), y), "; ", "]"),
+    (_HEAD + "[", lambda x, y, t: F.concat(x, F.lit(" 99999"), F.replace(y, F.lit("-"), F.lit(""))), "; ", "]"), (_HEAD + "[", lambda x, y, t: F.concat(F.lit("("), F.replace(x, F.lit("."), F.lit(".  .")), F.lit(" , "), y, F.lit(")")), "; ", "]"),
+    (_HEAD + "[", lambda x, y, t: F.when(t == 1, F.concat(x, F.lit(" "), y)).otherwise(F.lit("and")), "; ", "]"),
+]
+#: Traces: nested lists, nested tuples, numbers that don't decode, an odd number in plain words, one number alone.
+_TRACES = [
+    ("go [[", lambda x, y, t: F.concat(x, F.lit(", "), y), "], [", "]] end"), ("go ((", lambda x, y, t: F.concat(x, F.lit(", "), y), "), (", ")) end"), ("go [[", lambda x, y, t: F.concat(x, F.lit(".5, "), y), "], [", "]] end"),
+    ("from 7 ", lambda x, y, t: F.concat(x, F.lit(" to "), y), " then ", "!"), ("only ", lambda x, y, t: F.when(t == 1, x).otherwise(F.lit("none")), " and ", "!"),
+]
+
 QUERIES = {
     "planning_l2_by_step": (lambda s, d: planning.l2_by_step(view(s, d, "gt"), view(s, d, "pred")), with_views(_ALIGNED + " SELECT t, n, missing, round(v, 6) AS l2 FROM l", "gt", "pred")),
     "planning_report_endpoint": (lambda s, d: _report(s, d, False), with_views(_ALIGNED + """, p AS (SELECT max(v) FILTER (t = 2) AS at_2, max(v) FILTER (t = 4) AS at_4, max(v) FILTER (t = 6) AS at_6 FROM l)
@@ -58,6 +87,9 @@ SELECT round(at_2, 6) AS at_2, round(at_4, 6) AS at_4, round(at_6, 6) AS at_6, r
 SELECT token, count(*) AS steps, round(sum(coalesce(sqrt(dx * dx + dy * dy), 0)), 6) AS length FROM a GROUP BY token""", "gt")),
     "padded_trajectories": (lambda s, d: planning.padded(view(s, d, "pred"), view(s, d, "gt")), with_views("SELECT gt.token, gt.t, coalesce(pred.x, 0) AS x, coalesce(pred.y, 0) AS y FROM gt LEFT JOIN pred ON pred.token = gt.token AND pred.t = gt.t", "gt", "pred")),
     "generated_texts": (lambda s, d: view(s, d, "generations"), with_views("SELECT * FROM generations", "generations")),
+    "parse_robust_formats": (lambda s, d: _read(_written(s, d, _ROBUST), text.parse_robust), with_views("SELECT token, t, x, y FROM pred WHERE token % 7 IN (0, 3, 5) OR (token % 7 IN (1, 2) AND t = 1)", "pred")),
+    "parse_trace_formats": (lambda s, d: _read(_written(s, d, _TRACES), text.parse_trace), with_views(""", n AS (SELECT token, 2 * t AS k, x AS v FROM pred UNION ALL SELECT token, 2 * t + 1, y FROM pred UNION ALL SELECT DISTINCT token, 1, 7 FROM pred)
+SELECT token, t, x, y FROM pred WHERE token % 5 IN (0, 1) UNION ALL SELECT a.token, ((a.k + 1) // 2)::INT AS t, a.v AS x, b.v AS y FROM n a JOIN n b ON b.token = a.token AND b.k = a.k + 1 WHERE a.token % 5 = 3 AND a.k % 2 = 1""", "pred")),
     "parse_trajectory_text": (lambda s, d: _points(s, d, text.parse_trajectory), with_views(rf""", a AS (SELECT token, trim(split_part(generated_text, 'Planned Trajectory:', 2), ' ' || chr(10)) AS s FROM generations WHERE contains(generated_text, 'Planned Trajectory:')),
 b AS (SELECT token, regexp_extract_all(regexp_extract(s, '(\[[\s\S]*?\])', 1), '{_NUM}') AS q, regexp_extract_all(regexp_extract(s, '(\([\s\S]*?\))', 1), '{_NUM}') AS r FROM a),
 c AS (SELECT token, CASE WHEN len(q) >= 2 AND len(q) % 2 = 0 THEN q WHEN len(r) >= 2 AND len(r) % 2 = 0 THEN r END AS v FROM b),
