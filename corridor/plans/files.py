@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corridor.functions.workers import shipped
-from corridor.sources import files
+from corridor.operators import calls, reasoning, text_records
+from corridor.plans.reasoning import _MATRIX
+from corridor.sources import files, manifest
 from corridor.sources.fixtures import view, with_views
 
 _TURNS = "conv_id long, turn int, role string, text string"
@@ -74,8 +76,6 @@ def _split(s, d):
 
 def _cached(s, d):
     """Counts of a folder that grows: the second call reads the new files alone, the third, after nothing has changed, none."""
-    from corridor.sources import manifest
-
     own = view(s, d, "documents").select("doc_id", "lang", "text")
     path, cache = _place(s, "documents"), _place(s, "counts")
     for part in (F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 != 0, F.lit(False)):
@@ -103,8 +103,6 @@ def _whole(fn):
 
 def _calls(s, d):
     """Three rounds of calls with a model that fails by the hash of request and attempt; the clock stands still."""
-    from corridor.operators import calls
-
     def model(b):
         import hashlib
 
@@ -121,14 +119,20 @@ def _calls(s, d):
 
 def _scores(s, d):
     """A fixed function in a model's place."""
-    from corridor.operators import text_records
-
     def model(b):
         return pd.DataFrame({"doc_id": b["doc_id"], "score": [len((t or "").split(" ")) % 7 / 8 for t in b["text"]]})
 
     return text_records.scored(view(s, d, "documents").select("doc_id", "text"), model, "doc_id long, score double")
 
 
+def _matrix(s, d):
+    """The matrix of kinds as a CSV with a header, read back into cells."""
+    files.write_table(reasoning.wide(reasoning.matrix(reasoning.pairs(view(s, d, "samples"), "answer"))), path := _place(s, "matrix.csv"))
+    kinds = [*reasoning.MARKERS]
+    read = files.read_table(s, path, _schema(s, ", ".join(["a string", *(f"c{k} long" for k in range(len(kinds)))])), ",")
+    return read.select("a", F.explode(F.arrays_zip(F.array(*map(F.lit, kinds)).alias("b"), F.array(*[F.col(f"c{k}") for k in range(len(kinds))]).alias("n"))).alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.n").alias("n"))
+
+
 _ROWS = "SELECT conv_id, turn::INT AS turn, role, text FROM conversations"
 QUERIES = {
     "json_arrays": (_arrays, _ROWS),
@@ -139,6 +143,7 @@ QUERIES = {
     "result_files": (_result, "SELECT doc_id, lang, n_chars > 1000 AS hit, round(avg((n_chars > 1000)::INT) OVER (PARTITION BY lang), 6) AS accuracy FROM documents WHERE lang IS NOT NULL"),
     "point_lookup": (_point, "SELECT doc_id, n_chars FROM documents WHERE source = 'src3'"),
     "split_files": (_split, "SELECT role = 'user' AS valid, role, count(*) AS n FROM conversations GROUP BY ALL"),
+    "matrix_file": (_matrix, with_views(_MATRIX + " SELECT a, b, sum(n)::BIGINT AS n FROM x GROUP BY a, b", "samples")),
     "call_ledger": (_calls, with_views(""", r AS (SELECT doc_id, coalesce(lang, 'none') AS prompt, list_filter([1, 2, 3], lambda n: ('0x' || substr(md5(doc_id || '|' || n), 1, 8))::BIGINT % 2 <> 0) AS good FROM documents)
 SELECT doc_id::VARCHAR AS key, CASE WHEN len(good) > 0 THEN 'answered' ELSE 'given up' END AS status, CASE WHEN len(good) > 0 THEN prompt || ':' || good[1] ELSE 'no answer: ' || prompt END AS answer FROM r""").replace("WITH RECURSIVE ,", "WITH").replace("WITH RECURSIVE \n,", "WITH")),
     "model_scores": (_scores, "SELECT doc_id, (len(string_split(coalesce(text, ''), ' ')) % 7) / 8.0::DOUBLE AS score FROM documents"),

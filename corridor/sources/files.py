@@ -197,11 +197,6 @@ def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
 
 
-def counted(spark: SparkSession, path: str, cache: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``count`` makes of a Parquet table, kept in ``cache`` for as long as the table's files stay as they are."""
-    return staged(spark, f"{cache}/{version(spark, path)}", lambda: count(spark.read.parquet(path)))
-
-
 def staged(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A stage's table: read if it has been completed before, else made and written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
