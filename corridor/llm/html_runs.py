@@ -37,13 +37,17 @@ OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 #: Last words of names.
 OUT_WORDS = frozenset(
     "ad ads advert advertisement advertisements advertising adverts adsense alert announcement aside banner bar breadcrumb breadcrumbs bottombar colophon comment comments commentlist consent cookie cookies copyright discussion disclaimer "
-    "disqus feedback flash footer footnotes form forms gdpr header imprint legal links login masthead menu menus message modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promotion "
+    "disqus feedback flash footer footnotes form forms gdpr header imprint legal links login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promotion "
     "promoted rail recommendations recommended registration related replies reply respond reviews search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription survey teaser toast toolbar topbar "
     "trending warning widget widgets".split()
 )
 #: Words that say so wherever they stand in a name.
 OUT_ANYWHERE = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter popup promo related share sidebar social sponsor sponsored subscribe".split())
-ARTICLE_WORDS, BODY_WORDS, MAIN_WORDS = frozenset("article post entry story blogpost".split()), frozenset("body content copy main text".split()), frozenset("content main".split())
+#: Names of the page's own text are made of these words alone: one of the first or second kind, and any of the third.
+ARTICLE_WORDS, MAIN_WORDS = frozenset("article blogpost entry post story".split()), frozenset("content main".split())
+BESIDES = frozenset("area blog body center column container copy detail details full inner left news outer page primary right section single site text view wrap wrapper".split())
+#: Last words of names of frames around several parts.
+FRAMES = frozenset("container frame grid layout outer page row wrap wrapper".split())
 #: Words before which a name tells of something else than the element itself.
 ABOUT = frozenset("has with no without is hide show".split())
 
@@ -72,12 +76,11 @@ def named(name: str, attributes: str) -> tuple[int, str]:
         if not words or set(words) & ABOUT:
             continue
         comment = bool(set(words) & {"comment", "comments", "commentlist"})
-        if comment or name not in ("html", "body", "article", "main") and (words[-1] in OUT_WORDS or set(words) & OUT_ANYWHERE):
+        around = words[-1] in FRAMES and set(words) & MAIN_WORDS
+        if comment or name not in ("html", "body", "article", "main") and (words[-1] in OUT_WORDS or set(words) & OUT_ANYWHERE and not around):
             return (OUT if name not in ("html", "body") else NONE), path
-        if words[-1] in ARTICLE_WORDS or set(words) & ARTICLE_WORDS and words[-1] in BODY_WORDS:
-            says = max(says, ARTICLE)
-        elif words[-1] in MAIN_WORDS:
-            says = max(says, MAIN)
+        if set(words) <= ARTICLE_WORDS | MAIN_WORDS | BESIDES:
+            says = max(says, ARTICLE if set(words) & ARTICLE_WORDS else MAIN if set(words) & MAIN_WORDS else NONE)
     if "article" in roles or found.get("itemprop", "").lower() == "articlebody":
         says = ARTICLE
     elif "main" in roles:

@@ -28,6 +28,7 @@ def text(page):
         ("<article>a<div class='cookie-notice'>n</div><aside>s</aside><form>f<input value=x></form>b</article>", "a b"), ("<article><header><h1>T</h1><span>by me</span></header>a<footer>f</footer></article>", "T a"),
         ("<header>h</header><div role=main>m</div><div role=complementary>c</div>", "m"), ("<article class=comment>c</article><p>p", "p"), ("<article>a<p hidden>h</p><p style='display: none'>n</p></article>", "a"),
         ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a b c d"), ("<table><tr><td>a<td>b<tr><td>c</table>d", "a b c d"), ("x</article></p>y</div>z", "x yz"), ("<script>never closed", ""), ("<div class='post-content'>p</div><div class=post-footer>f</div>", "p"),
+        ("<div class='content-sidebar-wrap'><div class=content>c</div><div class=sidebar>s</div></div>", "c"), ("<div class=widget-content>w</div><div class=forum-message>m</div>", "w m"), ("<div class=featured-post>f</div><div class='blog-post single'>p</div>", "p"),
         ("<article>a<span class=ad>buy</span>b</article>", "a b"), ("<article>uneven<b>bold<p>next</b></article><nav>n", "unevenbold next"),
     ],
 )
