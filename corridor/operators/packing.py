@@ -140,10 +140,11 @@ def least_bend(bends: np.ndarray) -> np.ndarray:
 
 
 def trusted_step(slope: np.ndarray, bends: np.ndarray, radius: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Newton's step on the second derivatives, made positive where they are not, cut to the radius; and by how much the quadratic model falls. Those of ``flat`` are on or near a saddle and leave it where it bends down."""
+    """Newton's step on the second derivatives, made positive where they are not (the least becomes its absolute value; one that is small but positive stays, so that shallow valleys take no
+    more steps than steep ones), cut to the radius; and by how much the quadratic model falls. Those of ``flat`` are on or near a saddle and leave it where it bends down."""
     a, b, c = bends.T
     low = least_bend(bends)
-    lift = np.maximum(0.5 - low, 0)
+    lift = np.maximum(np.maximum(np.abs(low), 1e-9) - low, 0)
     det = (a + lift) * (c + lift) - b * b
     step = -np.stack([(c + lift) * slope[:, 0] - b * slope[:, 1], (a + lift) * slope[:, 1] - b * slope[:, 0]], 1) / det[:, None]
     angle = np.arctan2(2 * b, a - c) / 2 + np.pi / 2  # across the direction of the greatest one
