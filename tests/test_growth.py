@@ -1,8 +1,10 @@
 """What went wrong on larger tables: rare rows, and work that grew faster than the input."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from corridor.operators import packing
+from corridor.operators import boxes, packing, spatial
 
 
 def test_paths_in_shallow_valleys_come_to_rest():
@@ -16,3 +18,66 @@ def test_paths_in_shallow_valleys_come_to_rest():
     near = np.stack([at(rng.integers(92, 109, (200_000, 7))), at(rng.integers(95, 136, (200_000, 7)))], 2)
     row, k = np.nonzero(((near - start[:, None]) ** 2).sum(2) < 25)
     assert packing.pushed_away(start, near[row, k], row, 5.0, 1.0)[1].max() < 1e-8
+
+
+def scenes(spark, n, scenes, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(int(rng.integers(0, scenes)), k, *(float(v) for v in (*rng.uniform(-60, 60, 2), rng.choice([0.1, 1.5, 12.0]), rng.choice([0.2, 4.0, 30.0]), rng.uniform(0, 6.3), 0.25))) for k in range(n)]
+    return spark.createDataFrame([*rows, (1, n, 0.0, 0.0, 1.0, 1.0, None, 0.0), (None, n, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0)], "token long, ord int, x double, y double, dx double, dy double, rot_z double, vx double")
+
+
+def test_objects_moved_where_paths_meet_them(spark):
+    """The same pairs as by the grid, from one join by scene: no row of a step is shuffled."""
+    objects = scenes(spark, 400, 3)
+    rng = np.random.default_rng(1)
+    ego = spark.createDataFrame([(k, t, float(rng.uniform(-9, 9)), 2.0 * t) for k in range(3) for t in range(1, 7)], "token long, t int, x double, y double")
+    paths = spatial.paths_of(ego.withColumn("risk", F.col("t") % 2 == 0), "risk")
+    plain = spatial.object_collisions(ego, spatial.waypoints(objects), objects)
+    found = spatial.moving_collisions(paths, objects)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.where("collides").count() > 10
+    both = {(r.token, r.t): r.collides for r in spatial.moving_combined(paths, objects).collect()}
+    hit = {(r.token, r.t) for r in plain.where("collides").collect()}
+    assert both == {(k, t): t % 2 == 0 and (k, t) in hit for k in range(3) for t in range(1, 7)} and any(both.values())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(token") <= 2  # objects once, paths once
+
+
+def test_runs_against_every_cell():
+    """Rows of convex boxes are runs: held against the condition on every cell, thin and degenerate boxes and those beyond the map too."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(-6, 12, (4, 120)), rng.integers(-6, 12, (4, 120))
+    turned = boxes.corners(*(rng.uniform(a, b, 240) for a, b in ((-3, 9), (-3, 9), (0, 9), (0, 9))), *((f := rng.uniform(0, 6.3, 240)) * 0 + np.cos(f), np.sin(f)))
+    x, y = np.c_[np.stack([x[0], x[1], x[1], x[0]]), np.trunc(turned[0])], np.c_[np.stack([y[0], y[0], y[1], y[1]]), np.trunc(turned[1])]
+    box, r, c0, c1 = boxes.covered(x.astype(float), y.astype(float))
+    got = {(b, row, c) for b, row, lo, hi in zip(box, r, c0, c1, strict=True) for c in range(lo, hi + 1)}
+    want = set()
+    for b in range(x.shape[1]):
+        p = list(zip(x[:, b], y[:, b], strict=True))
+        for c in range(0, 22):
+            for row in range(0, 22):
+                turns, edge = [], False
+                for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1], strict=True):
+                    u, v, du, dv = bx - ax, by - ay, c - ax, row - ay
+                    turns.append(u * dv - v * du)
+                    edge = edge or bool(0 <= du * u + dv * v <= u * u + v * v and 2 * abs(turns[-1]) <= max(abs(u), abs(v)) and (u or v or (du == dv == 0)))
+                inside = (min(turns) >= 0 or max(turns) <= 0) and min(x[:, b]) <= c <= max(x[:, b]) and min(y[:, b]) <= row <= max(y[:, b])
+                if inside or edge:
+                    want.add((b, row, c))
+    assert got == want
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_runs_of_crowded_scenes_in_small_batches(spark, batch):
+    """A scene in many batches gives each cell once, and what cells give; boxes with nulls cover nothing."""
+    objects = scenes(spark, 300, 2).withColumn("token", F.concat(F.lit("s"), "token"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = spatial.moving(objects, 2)
+        got = [(r.token, r.t, r.r, c) for r in spatial.runs_of_boxes(rows).collect() for c in range(r.c0, r.c1 + 1)]
+        cells = spatial.cells_of_boxes(spatial.waypoints(objects, 2), objects)
+        assert {f.name: f.dataType.simpleString() for f in cells.schema} == {"token": "string", "t": "int", "r": "int", "c": "int"}
+        assert len(set(got)) == len(got) > 1000 and sorted(got) == sorted(map(tuple, cells.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alone = [spatial.cells_of_boxes(spatial.waypoints(o, 2), o) for k in range(5) for o in [objects.where(F.col("ord") == k)]]
+    assert {tuple(r) for a in alone for r in a.collect()} <= set(got)
