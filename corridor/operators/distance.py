@@ -2,7 +2,8 @@
 
 The first pass runs along columns: for every cell the nearest set row of its column. The second runs along rows: each column is a parabola whose height is the square of
 what the first pass found, and the lower envelope of the parabolas gives the nearest column for every place of the row at once. Breakpoints are whole numbers, so
-equal distances are decided exactly: for the smaller column, then the smaller row. A raster is transformed once, whatever the number of places that ask for it.
+equal distances are decided exactly: for the smaller column, then the smaller row. A raster is transformed once, whatever the number of places that ask for it. Where a
+raster has so few set cells and places that all their pairs are less work than its transform, they are compared, under the same rule for equal distances.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from corridor.operators.spatial import CROSSING, quantised
 
 #: Rasters transformed at a time, and rows of them whose envelopes are built at a time.
 RASTERS, ROWS = 64, 4096
+#: Pairs of a raster's set cells and places up to which they are compared outright, for less than a transform's work, and pairs compared at a time.
+FEW, PAIRS = 20_000, 1 << 20
 FAR = 1 << 20
 
 
@@ -63,8 +66,8 @@ def envelope(height: np.ndarray) -> np.ndarray:
     return np.where(top[:, None] >= 0, lowest, -1)
 
 
-def looked_up(cells: list[np.ndarray], places: list[np.ndarray], ahead: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the nearest set cell for the places of each raster, -1 where it has none. Cells and places as numbers row * SIDE + column."""
+def by_transform(cells: list[np.ndarray], places: list[np.ndarray], ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What ``looked_up`` gives, by the distance transform."""
     sizes = np.array([len(p) for p in places])
     k, place = np.repeat(np.arange(len(cells)), sizes), np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
     r, c = np.full(len(place), -1), np.full(len(place), -1)
@@ -86,6 +89,40 @@ def looked_up(cells: list[np.ndarray], places: list[np.ndarray], ahead: bool) ->
     return r, c
 
 
+def by_pairs(cells: list[np.ndarray], places: list[np.ndarray], ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What ``looked_up`` gives, by all pairs: the least of distance, column and row as one number."""
+    n, m = np.array([len(s) for s in cells], np.int64), np.array([len(p) for p in places], np.int64)
+    cell, place = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (cells, places))
+    raster = np.repeat(np.arange(len(n)), m)
+    best = np.full(len(place), -1)
+    asked = np.flatnonzero(n[raster] > 0)
+    part = np.cumsum(n[raster[asked]]) // PAIRS
+    for own in np.split(asked, np.flatnonzero(np.diff(part)) + 1) if len(asked) else []:
+        k = n[raster[own]]
+        starts = np.cumsum(k) - k
+        other = cell[np.arange(k.sum()) - np.repeat(starts - (np.cumsum(n) - n)[raster[own]], k)]
+        at = np.repeat(place[own], k)
+        r, c = other // SIDE, other % SIDE
+        down, aside = r - at // SIDE, c - at % SIDE
+        rank = ((down * down + aside * aside) * SIDE + c) * SIDE + r
+        least = np.minimum.reduceat(np.where(down < 0, 1 << 40, rank) if ahead else rank, starts)
+        best[own] = np.where(least < 1 << 40, least, -1)
+    return np.where(best < 0, -1, best % SIDE), np.where(best < 0, -1, best // SIDE % SIDE)
+
+
+def looked_up(cells: list[np.ndarray], places: list[np.ndarray], ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the nearest set cell for the places of each raster, -1 where it has none. Cells and places as numbers row * SIDE + column."""
+    sizes = np.array([len(p) for p in places], np.int64)
+    few = np.array([len(s) for s in cells], np.int64) * sizes <= FEW
+    r, c = np.full(sizes.sum(), -1), np.full(sizes.sum(), -1)
+    for kind, find in ((few, by_pairs), (~few, by_transform)):
+        some = np.flatnonzero(kind)
+        if len(some):
+            own = np.repeat(kind, sizes)
+            r[own], c[own] = find([cells[k] for k in some], [places[k] for k in some], ahead)
+    return r, c
+
+
 def transformed(points: DataFrame, cells: DataFrame, layers: tuple[int, ...], ahead: bool) -> DataFrame:
     """token, layer, py, px, r, c: for each different cell of places on the map the nearest set cell of each layer; none for layers without cells. A raster and its places are SIDE * SIDE cells each at most."""
     on = cells.where(F.col("layer").isin(*layers) & F.col("r").between(0, SIDE - 1) & F.col("c").between(0, SIDE - 1))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corridor.operators import boxes, packing, spatial
+from corridor.operators import boxes, distance, packing, spatial
 
 
 def test_paths_in_shallow_valleys_come_to_rest():
@@ -81,3 +81,17 @@ def test_runs_of_crowded_scenes_in_small_batches(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     alone = [spatial.cells_of_boxes(spatial.waypoints(o, 2), o) for k in range(5) for o in [objects.where(F.col("ord") == k)]]
     assert {tuple(r) for a in alone for r in a.collect()} <= set(got)
+
+
+@pytest.mark.parametrize("ahead", [True, False])
+def test_few_cells_are_compared_without_a_transform(monkeypatch, ahead):
+    """Both ways agree, ties too, and rasters of either kind may share a batch; small ones never build an envelope."""
+    rng = np.random.default_rng(4)
+    cells = [rng.choice(40_000, n, replace=False) if n % 2 else rng.choice(900, n % 800, replace=False) for n in (0, 1, 2, 50, 51, 400, 7001, 9, 30_001)]
+    places = [rng.choice(40_000, m) for m in (3, 6, 6, 6, 0, 6, 40, 1, 5)]
+    monkeypatch.setattr(distance, "PAIRS", 500)
+    slow = distance.by_transform(cells, places, ahead)
+    for way in (distance.by_pairs, distance.looked_up):
+        assert all((a == b).all() for a, b in zip(slow, way(cells, places, ahead), strict=True))
+    monkeypatch.setattr(distance, "envelope", None)
+    assert distance.looked_up(cells[:6], places[:6], ahead)[0].tolist() == slow[0][:27].tolist()
