@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corridor.operators import boxes, distance, packing, spatial
+from corridor.operators import boxes, distance, driving, packing, spatial
 
 
 def test_paths_in_shallow_valleys_come_to_rest():
@@ -95,3 +95,15 @@ def test_few_cells_are_compared_without_a_transform(monkeypatch, ahead):
         assert all((a == b).all() for a, b in zip(slow, way(cells, places, ahead), strict=True))
     monkeypatch.setattr(distance, "envelope", None)
     assert distance.looked_up(cells[:6], places[:6], ahead)[0].tolist() == slow[0][:27].tolist()
+
+
+def test_safe_zones_without_rows_of_steps(spark):
+    """Hits and their texts as by rows of steps, from one join by scene."""
+    objects = scenes(spark, 300, 3).withColumn("name", F.lit("car"))
+    ego = spark.createDataFrame([(k, 0.25 * k, 2.0 + k, 0.0, 0.125) for k in range(3)], "token long, vx double, vy double, ax double, ay double")
+    path, steps = driving.roll_out(ego), spatial.waypoints(objects, first=0)
+    plain, found = driving.first_hits(path, steps, objects), driving.moving_first_hits(path, objects)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, found.select("token", "ord", "t").collect())) and found.count() > 3
+    actions = driving.meta_actions(ego, path)
+    assert sorted(driving.reasoning_text(ego, plain, actions, steps, objects).collect()) == sorted(driving.moving_reasoning_text(ego, found, actions).collect())
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(token") <= 2
