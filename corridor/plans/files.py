@@ -89,11 +89,13 @@ def _pickles(s, d):
         import pickle
 
         for b in batches:
-            paths = [{str(k): np.column_stack([g["x"], g["y"]]) for k, g in b.sort_values("t").groupby("token")}]
+            b = b.sort_values(["token", "t"])
+            first = np.flatnonzero(np.diff(b["token"].to_numpy(), prepend=np.nan))
+            paths = [dict(zip(b["token"].iloc[first].astype(str), np.split(b[["x", "y"]].to_numpy(), first[1:]), strict=True))]
             yield pd.DataFrame({"content": [pickle.dumps(p) for p in paths] + [b"cos\nsystem\n(S'true'\ntR."]})
 
     gt = view(s, d, "gt").select("token", "t", "x", "y")
-    return files.unpickled(shipped(gt).repartition(4, "token").sortWithinPartitions("token").mapInPandas(_whole(dump), "content binary"), "content")
+    return files.unpickled(shipped(gt).repartition("token").mapInPandas(_whole(dump), "content binary"), "content")
 
 
 def _whole(fn):

@@ -86,8 +86,9 @@ def unpickled(rows: DataFrame, content: str) -> DataFrame:
                     paths = {str(k): np.asarray(v, float).reshape(-1, np.shape(v)[-1])[:, :2] for k, v in _Plain(io.BytesIO(data)).load().items()}
                 except Exception:  # noqa: BLE001  any broken payload is none
                     continue
-                for k, v in paths.items():
-                    yield pd.DataFrame({"token": k, "t": np.arange(1, len(v) + 1), "x": v[:, 0], "y": v[:, 1]})
+                if paths:  # a payload is one batch, not one a token
+                    sizes, all_ = [len(v) for v in paths.values()], np.concatenate(list(paths.values()))
+                    yield pd.DataFrame({"token": np.repeat(np.array(list(paths), object), sizes), "t": np.concatenate([np.arange(1, n + 1) for n in sizes]), "x": all_[:, 0], "y": all_[:, 1]})
 
     from corridor.functions.workers import shipped
 
