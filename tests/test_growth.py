@@ -107,3 +107,44 @@ def test_safe_zones_without_rows_of_steps(spark):
     actions = driving.meta_actions(ego, path)
     assert sorted(driving.reasoning_text(ego, plain, actions, steps, objects).collect()) == sorted(driving.moving_reasoning_text(ego, found, actions).collect())
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(token") <= 2
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_scores_pass_by_cells_that_no_place_asks_for(spark):
+    """Cells meet the places that ask for them before they are gathered, and are never sorted."""
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 5.0, 5.0), (1, 3, 900.0, 0.0), (2, 1, 0.0, 0.0)], "token long, t int, x double, y double")
+    cells = spark.createDataFrame([(1, k % 4, r, 100, r / 200) for k, r in enumerate([100, 100, 101, 100, 100, 7])] + [(3, 0, 100, 100, 0.5)], "token long, layer int, r int, c int, p double")
+    found = spatial.lane_scores(points, cells)
+    got = {(r.token, r.t): (r.valid, r.found and sorted((f.layer, f.p) for f in r.found)) for r in found.collect()}
+    assert got == {(1, 1): (True, [(0, 0.5), (0, 0.5), (1, 0.5)]), (1, 2): (True, []), (1, 3): (False, None), (2, 1): (True, [])}
+    assert "ShuffledHashJoin" in plan_of(found) and "array_contains(places" in plan_of(found)
+
+
+def test_a_payload_is_one_frame(spark, monkeypatch):
+    """Paths of a payload come out together, those without points too."""
+    import pickle
+
+    import pandas as pd
+
+    from corridor.sources import files
+
+    data = pickle.dumps({f"k{k}": np.full((k % 4, 2), k / 2) for k in range(3000)})
+    made, frame = [], pd.DataFrame
+    monkeypatch.setattr(files.pd, "DataFrame", lambda *a, **k: made.append(1) or frame(*a, **k))
+
+    class Rows:
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return list(run(iter([frame({"content": [data, b"broken", pickle.dumps({})]})])))
+
+        def select(self, *_):
+            return self
+
+    from corridor.functions import workers
+
+    monkeypatch.setattr(workers, "shipped", lambda rows: rows)
+    out = files.unpickled(Rows(), "content")
+    assert len(made) == 1 and len(out[0]) == sum(k % 4 for k in range(3000))
+    assert out[0].iloc[1].tolist() == ["k2", 1, 1.0, 1.0] and out[0].iloc[2].tolist() == ["k2", 2, 1.0, 1.0]
