@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corridor.operators import boxes, distance, driving, packing, spatial
+from corridor.operators import boxes, distance, driving, experience, packing, spatial
 
 
 def test_paths_in_shallow_valleys_come_to_rest():
@@ -148,3 +148,30 @@ def test_a_payload_is_one_frame(spark, monkeypatch):
     out = files.unpickled(Rows(), "content")
     assert len(made) == 1 and len(out[0]) == sum(k % 4 for k in range(3000))
     assert out[0].iloc[1].tolist() == ["k2", 1, 1.0, 1.0] and out[0].iloc[2].tolist() == ["k2", 2, 1.0, 1.0]
+
+
+def test_experiences_of_a_block_meet_as_a_matrix(spark, monkeypatch):
+    """Many equal distances of different vectors, copies, far ones of the least confidences, queries in several deals and rows of other sizes: as by plain sorting, without a row for each pair."""
+    for name, n in (("BLOCK", 64), ("QUERIES", 16), ("TILE", 1000)):
+        monkeypatch.setattr(experience, name, n)
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 2, (900, 20)) / 2.0
+    keys[300:340] = keys[3]
+    keys[899] = 0.25 + np.sqrt(743.5 / 48)  # confidences of a few of the least doubles
+    cut = lambda v: [x.tolist() for x in np.split(v, [9, 12])]
+    other = [(1000 + k, [0.0], [0.0], [0.0]) for k in range(60)]
+    own = spark.createDataFrame([*((k, *cut(v)) for k, v in enumerate(keys)), *other], "ord long, k1 array<double>, k2 array<double>, k3 array<double>")
+    asked = [*range(0, 900, 7), 899]
+    found = experience.nearest_experiences(own, own.where(F.col("ord").isin(asked)))
+    got = {(r.query, r.place): (r.ord, r.confidence) for r in found.collect()}
+    factor, want = np.r_[np.ones(9), np.full(3, 10.0), np.ones(8)], {}
+    for q in asked:
+        confidence = np.exp(-(factor * (keys - keys[q]) ** 2).sum(1))
+        confidence[q] = 0
+        best = np.argsort(-confidence.round(12) if q != 899 else -confidence, kind="stable")[:3]
+        want |= {(q, place): (int(m), pytest.approx(confidence[m], rel=1e-9, abs=1e-320)) for place, m in enumerate(best, 1)}
+    assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "FlatMapCoGroupsInArrow" in plan and "Join [_p" not in plan
+    i, j, _ = experience.nearest(np.arange(600), keys[:600] + rng.normal(size=(600, 20)), np.full(600, np.nan), np.arange(900), keys, 3, (9, 3, 8), (1.0, 10.0, 1.0))
+    assert len(i) <= 4 * 600  # of 540,000 pairs
