@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def section(text: Column, start: str, end: str) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """As ``%.2f`` prints it: the hundredth nearest to the exact binary value, ties to even, small negatives with their sign.
+    """As ``%.2f`` prints it: the hundredth nearest to the exact binary value, ties to even, small negatives with their sign; null for null.
 
     The product with 100 and what rounding it lost are held apart (Dekker's splitting), so a product that only looks like a tie is told from a real one.
     """
@@ -124,9 +126,18 @@ def two_decimals(value: Column) -> Column:
     below = F.floor(product).cast("double")
     nearest = F.when((product - below == 0.5) & (lost != 0), below + F.when(lost > 0, 1.0).otherwise(0.0)).otherwise(F.rint(product))
     cents = F.abs(nearest.try_cast("long"))
-    sign = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
+    sign = F.when((v < 0) | ((v == 0) & (v.cast("string") == "-0.0")), "-").otherwise("")  # only zeros are written out to tell
     plain = F.concat(sign, (cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return F.when(F.isnan(v), "nan").when(F.abs(v) < 1e13, plain).otherwise(F.format_string("%.2f", v))
+    return F.when(F.isnan(v), "nan").when(F.abs(v) < 1e13, plain).when(v.isNotNull(), F.format_string("%.2f", v))
+
+
+def hundredths(*columns: pa.Array) -> list[pa.Array]:
+    """``two_decimals`` of columns of a batch: each different number is printed once."""
+    n = [len(c) for c in columns]
+    every = pa.concat_arrays([c.cast("double") for c in columns])
+    bits = pa.array(every.to_numpy(zero_copy_only=False).view(np.int64), mask=every.is_null().to_numpy(zero_copy_only=False)).dictionary_encode()
+    texts = pa.array(["%.2f" % v for v in bits.dictionary.to_numpy().view(np.float64).tolist()], pa.string()).take(bits.indices)
+    return [texts.slice(at - k, k) for at, k in zip(np.cumsum(n).tolist(), n, strict=True)]
 
 
 def points_text(points: Column) -> Column:

@@ -1,10 +1,13 @@
 """What went wrong on larger tables: rare rows, and work that grew faster than the input."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corridor.functions import formats, trajectory_text
 from corridor.operators import boxes, distance, driving, experience, packing, spatial
+from corridor.plans import catalogue
 
 
 def test_paths_in_shallow_valleys_come_to_rest():
@@ -175,3 +178,22 @@ def test_experiences_of_a_block_meet_as_a_matrix(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan and "Join [_p" not in plan
     i, j, _ = experience.nearest(np.arange(600), keys[:600] + rng.normal(size=(600, 20)), np.full(600, np.nan), np.arange(900), keys, 3, (9, 3, 8), (1.0, 10.0, 1.0))
     assert len(i) <= 4 * 600  # of 540,000 pairs
+
+
+def test_trajectories_said_by_batch(spark, monkeypatch):
+    """As from rows of steps, with nulls, odd numbers and many small batches; objects are gathered once, neither steps nor texts are rows that are shuffled."""
+    monkeypatch.setattr(spatial, "BATCH", 7)
+    odd = [0.125, 2.675, -0.001, -0.0, 1.005, 1e12, float("nan"), None, 33.335]
+    rows = [(k % 5, 40 - k, "car" if k % 4 else None, odd[k % 9], k / 8, 1.5, odd[-1 - k % 9], 0.0, odd[(k + 3) % 9] if k % 2 else 0.25) for k in range(40)] + [(None, 1, "car", *[0.0] * 6), (1, None, "car", *[0.0] * 6), (9, 1, None, *[0.0] * 6)]
+    objects = spark.createDataFrame(rows, "token long, ord int, name string, x double, y double, dx double, dy double, rot_z double, vx double").repartition(1)
+    for short in (False, True):
+        how = ("Header:\n", "Object type", "3s", short)
+        plain = spatial.trajectory_prompt(spatial.waypoints(objects), objects, *how)
+        assert sorted(map(str, spatial.moving_prompt(objects, *how).collect())) == sorted(map(str, plain.collect()))
+    numbers = [v for v in odd if v is not None] + [0.005, 1e-9, -123456.785]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in numbers], "v double").select(trajectory_text.two_decimals(F.col("v"))).collect()]
+    assert trajectory_text.hundredths(pa.array(numbers), pa.array([1.0]))[0].to_pylist() == want
+    said = {r.token: r.prompt for r in spatial.prompt(objects, *formats.OBJECTS["all"]).collect()}
+    assert set(said) == {0, 1, 2, 3, 4, 9, None} and said[9] == formats.OBJECTS["all"][0] and said[2].count("\n") == 1 + sum(r[0] == 2 and None not in r[1:7] for r in rows)
+    plan = catalogue.queries()["all_trajectory_prompts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") <= 2
