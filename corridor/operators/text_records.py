@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.functions.formats import TRAJECTORIES
-from corridor.functions.trajectory_text import fenced_json, pairs_of
+from corridor.functions.trajectory_text import fenced_json
 from corridor.functions.workers import shipped
 
 #: The forms of an object's line and of a waypoint list.
 OBJECT = r"object type: (\w+), object id: (\d+), position: \((-?[\d.]+), (-?[\d.]+)\), size: \((-?[\d.]+), (-?[\d.]+)\)"
 PLACE = r"\((-?[\d.]+),\s*(-?[\d.]+)\)"
-FUTURE = r"object id:\s*(\d+).*?future waypoint coordinates.*?:\s*(\[.*?\])"
+FUTURE = r"object id:\s*(\d+)[^\n\r\x85\u2028\u2029]*?future waypoint coordinates[^\n\r\x85\u2028\u2029]*?:\s*(\[[^\n\r\x85\u2028\u2029]*?\])"  # no point of Java's meets an end of line
+FUTURE_OF, PLACE_OF = re.compile(FUTURE, re.ASCII), re.compile(PLACE, re.ASCII)
 
 
 def lines(rows: DataFrame, text: str, *key: str) -> DataFrame:
@@ -32,16 +35,47 @@ def front_objects(rows: DataFrame, text: str, *key: str) -> DataFrame:
     return found.select(*key, part(2).cast("int").alias("ord"), part(1).alias("name"), *[part(k).cast("double").alias(c) for k, c in ((3, "x"), (4, "y"), (5, "dx"), (6, "dy"))])
 
 
+def futures_in(text: str) -> dict[int, list[tuple[float | None, float | None]]]:
+    """Of one text the last list of each object's futures, as ``future_waypoints`` reads them."""
+    header, found, within = TRAJECTORIES["ids"][0].strip(), {}, False
+    at = text.find(header)
+    for line in text[text.rfind("\n", 0, at) + 1 :].split("\n") if at >= 0 else []:
+        within = (within or header in line) and bool(line.strip(" ")) and not line.startswith("<")
+        if within and (m := FUTURE_OF.search(line)) and (pairs := PLACE_OF.findall(m[2])):
+            found[int(m[1])] = [(number(x), number(y)) for x, y in pairs]
+    return found
+
+
+def number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
 def future_waypoints(rows: DataFrame, text: str, *key: str) -> DataFrame:
-    """key, ord, waypoints (array<struct<x, y>>): the futures listed under the header of specific objects, up to a blank line or one that begins with <; of several lists for an object the last."""
-    header = F.lit(TRAJECTORIES["ids"][0].strip())
-    own = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    every = lines(rows, text, *key).withColumn("_section", F.sum(F.contains(F.col("value"), header).cast("int")).over(own)).where("_section > 0")
-    stop = ((F.trim("value") == "") | F.startswith(F.col("value"), F.lit("<"))).cast("int")
-    closed = F.max(stop).over(Window.partitionBy(*key, "_section").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    found = every.withColumn("_closed", closed).where((F.col("_closed") == 0) & F.col("value").rlike(FUTURE))
-    found = found.select(*key, "line", F.regexp_extract("value", FUTURE, 1).cast("int").alias("ord"), pairs_of(F.regexp_extract("value", FUTURE, 2), PLACE).alias("waypoints"))
-    return found.where("waypoints IS NOT NULL").groupBy(*key, "ord").agg(F.max_by("waypoints", "line").alias("waypoints"))
+    """key, ord, waypoints (array<struct<x, y>>): the futures listed under the header of specific objects, up to a blank line or one that begins with <; of several lists for an object the last.
+
+    A text is read where it lies, by itself; lines are no rows. Ids beyond an int are null, as are numbers that aren't any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, ord_, ends, xs, ys = [], [], [0], [], []
+            for k, own in enumerate(b["_text"].to_pylist()):
+                for o, points in futures_in(own).items():
+                    at.append(k)
+                    ord_.append(o if o < 2**31 else None)
+                    xs.extend(x for x, _ in points)
+                    ys.extend(y for _, y in points)
+                    ends.append(len(xs))
+            points = pa.StructArray.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], ["x", "y"])
+            keys = [b[k].take(pa.array(at, pa.int64())) for k in key]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(ord_, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), points)], [*key, "ord", "waypoints"])
+
+    having = rows.where(F.contains(F.col(text), F.lit(TRAJECTORIES["ids"][0].strip()))).select(*key, F.col(text).alias("_text"))
+    kinds = [f"`{k}` {having.schema[k].dataType.simpleString()}" for k in key]
+    return shipped(having).mapInArrow(run, ", ".join([*kinds, "ord int, waypoints array<struct<x: double, y: double>>"]))
 
 
 def with_waypoints(objects: DataFrame, waypoints: DataFrame, *key: str) -> DataFrame:

@@ -76,10 +76,11 @@ def _positions(time, after):
 
 def _texts_with_futures(s, d):
     """Prompts of objects, then of some objects' futures, then lines of another section."""
-    own = view(s, d, "objects")
-    futures = spatial.trajectory_prompt(spatial.waypoints(spatial.for_ids(own, [0, 2, 5])), own, *formats.TRAJECTORIES["ids"]).withColumnRenamed("prompt", "futures")
+    header, lead, span = formats.TRAJECTORIES["ids"]
+    full, first = formats.OBJECTS["all"]
+    found = spatial.listed(view(s, d, "objects"), prompt=(full, spatial.object_lines(first), None), futures=(header, spatial.moving_lines(lead, span), F.col("ord").isin(0, 2, 5)))
     text = F.concat("prompt", F.lit("\n"), F.coalesce("futures", F.lit("")), F.lit("<next>\nobject id: 9, future waypoint coordinates in 3s: [(1.00, 1.00)]"))
-    return spatial.prompt(own, *formats.OBJECTS["all"]).join(futures, "token", "left").select("token", text.alias("text"))
+    return found.select("token", text.alias("text"))
 
 
 def _sensor(s, d):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corridor.functions import formats, trajectory_text
-from corridor.operators import boxes, distance, driving, experience, packing, spatial
+from corridor.operators import boxes, distance, driving, experience, packing, spatial, text_records
 from corridor.plans import catalogue
 
 
@@ -197,3 +197,20 @@ def test_trajectories_said_by_batch(spark, monkeypatch):
     assert set(said) == {0, 1, 2, 3, 4, 9, None} and said[9] == formats.OBJECTS["all"][0] and said[2].count("\n") == 1 + sum(r[0] == 2 and None not in r[1:7] for r in rows)
     plan = catalogue.queries()["all_trajectory_prompts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange") <= 2
+
+
+def test_futures_read_where_texts_lie(spark):
+    """Sections, ends, repeats and odd numbers as the lines say; no line is a row, and no text is shuffled after its objects were gathered."""
+    head, line = "Future trajectories for specific objects:", "Object type: car, object id: {}, future waypoint coordinates in 3s: [{}]"
+    texts = {
+        1: "\n".join([line.format(9, "(9.00, 9.00)"), "x " + head, line.format(1, "(1.00, -2.00), (3.00,4.00)"), line.format(2, "(1.00, 1.00)"), line.format(1, "(5.00, 6.00)"), "  ", line.format(3, "(1.00, 1.00)"), head, line.format(4, "(7.00, 8.00)"), "<b>", line.format(5, "(1.00, 1.00)")]),
+        2: "\n".join(["<" + head, line.format(1, "(1.00, 1.00)")]),
+        3: "\n".join([head + " " + line.format(6, "(0.50, 1.5.0)"), line.format(7, ""), "object id: 8\rfuture waypoint coordinates: [(1.00, 1.00)]", line.format(99999999999, "(1.00, 2.00)")]),
+        4: "no header\n" + line.format(1, "(1.00, 1.00)"),
+        5: None,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "token long, text string")
+    got = {(r.token, r.ord): [tuple(p) for p in r.waypoints] for r in text_records.future_waypoints(rows, "text", "token").collect()}
+    assert got == {(1, 1): [(5.0, 6.0)], (1, 2): [(1.0, 1.0)], (1, 4): [(7.0, 8.0)], (3, 6): [(0.5, None)], (3, None): [(1.0, 2.0)]}
+    plan = catalogue.queries()["future_waypoint_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange") <= 2
