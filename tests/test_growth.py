@@ -214,3 +214,19 @@ def test_futures_read_where_texts_lie(spark):
     assert got == {(1, 1): [(5.0, 6.0)], (1, 2): [(1.0, 1.0)], (1, 4): [(7.0, 8.0)], (3, 6): [(0.5, None)], (3, None): [(1.0, 2.0)]}
     plan = catalogue.queries()["future_waypoint_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange") <= 2
+
+
+def test_pairs_of_boxes_by_batch(spark):
+    """Distances and overlaps of pairs come from batches, as pair by pair, and a pair's cells are few: most objects go into one or two."""
+    for name in ("box_min_distance", "box_overlap"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "array_min" not in plan
+    rng = np.random.default_rng(6)
+    rows = [(k, *(float(v) for p in range(2) for v in (*rng.uniform(-4, 4, 2), *rng.choice([0.0, 1.5, 4.0], 2), rng.uniform(0, 6.3)))) for k in range(200)]
+    names = [p + c for p in "ab" for c in ("x", "y", "dx", "dy", "rot_z")]
+    pairs = spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} double" for n in names))
+    sides = [[F.col(p + c) for c in ("x", "y", "dx", "dy", "rot_z")] for p in "ab"]
+    got = {r.k: r for r in boxes.compared(pairs.select("k", *boxes.shape("a", *sides[0]), *boxes.shape("b", *sides[1])), "k").collect()}
+    a, b = (spatial.corners(*s) for s in sides)
+    for r in pairs.select("k", spatial.overlap(a, b, sides[0][-1], sides[1][-1]).alias("o"), spatial.box_distance(a, b).alias("d")).collect():
+        assert got[r.k].overlaps == r.o and got[r.k].distance == pytest.approx(r.d, abs=1e-9)
